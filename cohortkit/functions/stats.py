@@ -18,6 +18,18 @@ from pyspark.sql import types as T
 _SQRT2 = math.sqrt(2.0)
 
 
+def _ship_by_value() -> None:
+    # UDF bodies travel inside the task closure, so executors need no install of
+    # this package (on a cluster, ``--py-files`` works as well)
+    import sys
+
+    from pyspark import cloudpickle
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+_ship_by_value()
+
+
 def _betacf(a: float, b: float, x: float, max_iter: int = 300, eps: float = 1e-15) -> float:
     """Continued fraction for the incomplete beta function (modified Lentz)."""
     tiny = 1e-300

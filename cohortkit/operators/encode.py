@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortkit.operators.tokens import levels
+from cohortkit.operators.tokens import levels, levels_many
 
 # Spellings treated as a missing categorical value.
 MISSING_TOKENS = ("na", "missing", "nan", "n/a")
@@ -38,9 +38,10 @@ def codes(df: DataFrame, cols: Mapping[str, object], suffix: str = "",
     """``{column: reference}`` -> ordinal codes. Levels come from ``level_source``
     (e.g. the train split) or ``df``; only the level list touches the driver."""
     src = level_source if level_source is not None else df
+    lv = levels_many(src, list(cols), max_levels)
     exprs = {}
     for c, ref in cols.items():
-        exprs[c + suffix] = map_codes(c, code_map(levels(src, c, max_levels), ref))
+        exprs[c + suffix] = map_codes(c, code_map(lv[c], ref))
     return df.withColumns(exprs)
 
 

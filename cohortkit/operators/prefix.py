@@ -30,6 +30,20 @@ def default_buckets(df: DataFrame) -> int:
     return max(2, 2 * n)
 
 
+# Up to this many histogram rows a plain window (one partition per ``by`` group) is
+# used: the row count is measured, so the largest window partition is bounded by it.
+SINGLE_LEVEL_MAX_ROWS = 2_000_000
+
+
+def plan_buckets(df: DataFrame, max_rows: int = SINGLE_LEVEL_MAX_ROWS) -> tuple[DataFrame, int]:
+    """Materialise a histogram (it is read more than once) and choose the bucket count
+    from its measured size: 1 below ``max_rows``, else ~2 x shuffle partitions."""
+    from cohortkit.session import materialise
+    df = materialise(df)
+    n = df.count()
+    return df, (1 if n <= max_rows else max(default_buckets(df), 2 * (n // max_rows + 1)))
+
+
 def _bucketize(df: DataFrame, order_col: str, buckets: int) -> DataFrame:
     if buckets <= 1:
         # caller guarantees each ``by`` group is small (e.g. a few category levels)
@@ -53,9 +67,20 @@ def running(df: DataFrame, order_col: str, cols: Sequence[str], by: Sequence[str
     if how not in ("sum", "min"):
         raise ValueError("how must be 'sum' or 'min'")
     by = list(by)
-    k = buckets or default_buckets(df)
-    bdf = _bucketize(df, order_col, k)
+    if buckets is None:
+        df, buckets = plan_buckets(df)
+    k = buckets
     agg = F.sum if how == "sum" else F.min
+    rorder = F.col(order_col).desc() if descending else F.col(order_col).asc()
+    end = Window.currentRow if inclusive else -1
+    if k <= 1:
+        # single level: each ``by`` group is one window partition (bounded by the caller
+        # or by the measured row count); partitioning on ``by`` alone lets a following
+        # groupBy(by) reuse it without another shuffle
+        w = Window.partitionBy(*by).orderBy(rorder).rowsBetween(Window.unboundedPreceding, end)
+        return df.select("*", *[(F.coalesce(agg(c).over(w), F.lit(0)) if how == "sum" else agg(c).over(w))
+                                .alias(c + suffix) for c in cols])
+    bdf = _bucketize(df, order_col, k)
 
     # level 1: one row per (group, bucket) and the scan over buckets
     tot = bdf.groupBy(*by, _B).agg(*[agg(c).alias(f"_t_{c}") for c in cols])
@@ -67,8 +92,6 @@ def running(df: DataFrame, order_col: str, cols: Sequence[str], by: Sequence[str
         offsets = F.broadcast(offsets)
 
     # level 2: scan inside each (group, bucket)
-    rorder = F.col(order_col).desc() if descending else F.col(order_col).asc()
-    end = Window.currentRow if inclusive else -1
     wr = Window.partitionBy(*by, _B).orderBy(rorder).rowsBetween(Window.unboundedPreceding, end)
     rows = bdf.select("*", *[agg(c).over(wr).alias(f"_r_{c}") for c in cols])
 

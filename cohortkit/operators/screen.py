@@ -152,6 +152,8 @@ def bh(df: DataFrame, p: str = "p_value", by: Sequence[str] = ("feature_group",)
     by = list(by)
     valid = df.where(F.col(p).isNotNull())
     hist = valid.groupBy(*by, F.col(p).alias("_p")).agg(F.count(F.lit(1)).alias("_cnt"))
+    if buckets is None:
+        hist, buckets = prefix.plan_buckets(hist)
     m = hist.groupBy(*by).agg(F.sum("_cnt").alias("_m"))
     ranked = prefix.running(hist, "_p", ["_cnt"], by=by, inclusive=True, buckets=buckets,
                             suffix="_rank")
@@ -210,11 +212,13 @@ def volcano(cohort: DataFrame, categorical: Mapping[str, object], continuous: Se
     """The volcano table: feature_group, feature, log2fc, p_value, p_value_corrected,
     neg_log10_q. The per-feature table is vocabulary-sized; it is checkpointed (shared
     checkpoint folder, lineage cut) before the BH scans read it twice."""
-    fs = feature_stats(cohort, categorical, continuous, token_cols, group)
     if materialise:
-        from cohortkit.session import checkpoint_dir
-        checkpoint_dir(fs.sparkSession)
-        fs = fs.checkpoint(eager=True)
+        # the person-level input is read by several jobs (totals, levels, histograms):
+        # write the narrow projection once instead of re-running its joins each time
+        from cohortkit.session import materialise as _mat
+        cols = ["person_id", group, *categorical, *continuous, *[c for c, _ in token_cols.values()]]
+        cohort = _mat(cohort.select(*dict.fromkeys(cols)))
+    fs = feature_stats(cohort, categorical, continuous, token_cols, group)
     out = bh(fs)
     return out.withColumn("neg_log10_q", neg_log10())
 

@@ -51,6 +51,25 @@ def levels(df: DataFrame, col: str, max_levels: int = 10000) -> list:
     return [r[0] for r in rows]
 
 
+def levels_many(df: DataFrame, cols: Sequence[str], max_levels: int = 10000) -> dict:
+    """``levels`` for several columns in one job: the stacked (column, value) pairs are
+    de-duplicated on executors and at most ``len(cols) * (max_levels + 1)`` rows reach the
+    driver; a column over the cap raises."""
+    cols = list(cols)
+    stacked = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v"))
+                                  for c in cols]))
+    rows = (df.select(stacked.alias("s")).select("s.c", "s.v").where(F.col("v").isNotNull())
+              .distinct().limit(len(cols) * (max_levels + 1)).collect())
+    out = {c: [] for c in cols}
+    for r in rows:
+        out[r["c"]].append(r["v"])
+    for c in cols:
+        if len(out[c]) > max_levels:
+            raise ValueError(f"{c} has more than {max_levels} levels; use the long form")
+        out[c].sort()
+    return out
+
+
 def indicators_wide(df: DataFrame, key: str, col: str, sep: str, level_list: Sequence[str],
                     prefix: str = "", underscore_to_space: bool = True,
                     keep: Sequence[str] = (), max_levels: int = 200) -> DataFrame:
