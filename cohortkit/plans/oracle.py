@@ -388,3 +388,13 @@ _q("best3_runs", """
 select run_id, round(avg((prediction - label) * (prediction - label)), 6) as loss
 from preds group by run_id order by loss, run_id limit 3""")
 
+
+# ---------------------------------------------------------------- embedding / models
+_q("embed_cache_delta", """
+select distinct md5(d.text) as text_key, 64 as n_dims from documents d
+where d.text is not null
+  and md5(d.text) not in (select md5(text) from documents where doc_id % 3 <> 0 and text is not null)""")
+_q("baseline_linear_1f", """
+select round(regr_slope(cast(audit_c_score as double), age), 6) as slope,
+       round(regr_intercept(cast(audit_c_score as double), age), 6) as intercept
+from split_cohort where split = 'train'""")

@@ -406,3 +406,103 @@ def best3_runs(spark, sf_dir):
     runs = M.regression(Cohort(spark, sf_dir).predictions, by=["run_id"]) \
         .select("run_id", r6("mse").alias("loss"))
     return M.best_runs(runs, "loss", "run_id", n=3)
+
+
+# ------------------------------------------------------------------ I1-I5 V1 V3
+def _encoder():
+    from cohortkit.operators.embed import HashingEncoder
+    return HashingEncoder(dim=64)
+
+
+@register
+def embed_cache_delta(spark, sf_dir):
+    """Vectors still to compute when the cache already holds doc_id % 3 <> 0."""
+    from cohortkit.operators import embed as EM
+    c = Cohort(spark, sf_dir)
+    enc = _encoder()
+    empty = spark.createDataFrame([], EM.CACHE_SCHEMA)
+    cache = EM.embed_new(c.texts.where(F.col("doc_id") % 3 != 0), "text", empty, enc)
+    delta = EM.embed_new(c.texts, "text", cache, enc)
+    return delta.select("text_key", F.size("vector").alias("n_dims"))
+
+
+@register
+def pca_embed(spark, sf_dir):
+    """V1 + V3: centred PCA of the embeddings table to 8 dimensions, as columns."""
+    from cohortkit.operators import embed as EM
+    c = Cohort(spark, sf_dir)
+    red = EM.pca(c.vectors, "embedding", k=8)
+    out = EM.to_columns(red, "reduced", 8, keep=["vec_id"])
+    return out.select("vec_id", *[r6(f"embed_{i}").alias(f"embed_{i}") for i in range(8)])
+
+
+# ------------------------------------------------------------------ F1-F5 B1-B6
+DEMO_CATEGORICAL = ["gender", "race", "ethnicity"]
+
+
+def _model_frame(c: Cohort) -> tuple[DataFrame, list[str]]:
+    df = split_cohort(c)
+    lv = TK.levels(c.como_long, "comorbidity", max_levels=200)
+    wide = TK.indicators_wide(df, "person_id", "comorbidity", TK.COMORBIDITY_SEP, lv,
+                              prefix="como_", keep=[*DEMO_CATEGORICAL, "age", "audit_c_score", "split"])
+    flags = [f"como_{v}" for v in lv]
+    safe = {f: f.replace(" ", "_") for f in flags}
+    return wide.withColumnsRenamed(safe), list(safe.values())
+
+
+def _baseline(spark, sf_dir, kind: str, **params) -> DataFrame:
+    from cohortkit.operators import models as MD
+    frame, flags = _model_frame(Cohort(spark, sf_dir))
+    train = frame.where(F.col("split") == "train")
+    test = frame.where(F.col("split") == "test")
+    model = MD.fit(kind, train, DEMO_CATEGORICAL, ["age", *flags], label="audit_c_score", **params)
+    pred = MD.predict(model, test).select(F.col("audit_c_score").cast("double").alias("label"), "prediction")
+    return M.triple(pred).select(*[r6(k).alias(k) for k in ("mse", "rmse", "c_index")])
+
+
+@register
+def baseline_rf(spark, sf_dir):
+    return _baseline(spark, sf_dir, "rf")
+
+
+@register
+def baseline_linear(spark, sf_dir):
+    return _baseline(spark, sf_dir, "linear")
+
+
+@register
+def baseline_ridge(spark, sf_dir):
+    return _baseline(spark, sf_dir, "ridge", alpha=100.0)
+
+
+@register
+def baseline_elastic(spark, sf_dir):
+    return _baseline(spark, sf_dir, "elastic", alpha=1.0, l1_ratio=0.5)
+
+
+@register
+def baseline_svr(spark, sf_dir):
+    return _baseline(spark, sf_dir, "svr")
+
+
+@register
+def ridge_grid(spark, sf_dir):
+    from cohortkit.operators import models as MD
+    frame, flags = _model_frame(Cohort(spark, sf_dir))
+    g = MD.grid(frame.where(F.col("split") == "train"), frame.where(F.col("split") == "validation"),
+                DEMO_CATEGORICAL, ["age", *flags])
+    return g.select("alpha", r6("mse").alias("mse"))
+
+
+@register
+def baseline_linear_1f(spark, sf_dir):
+    """B2 with one feature: OLS of the score on age over train (closed form in SQL)."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+    train = split_cohort(Cohort(spark, sf_dir)).where(F.col("split") == "train")
+    x = VectorAssembler(inputCols=["age"], outputCol="features").transform(train) \
+        .select("features", F.col("audit_c_score").cast("double").alias("label"))
+    m = LinearRegression(regParam=0.0, solver="normal").fit(x)
+    return spark.createDataFrame([(float(m.coefficients[0]), float(m.intercept))],
+                                 "slope double, intercept double") \
+        .select(r6("slope").alias("slope"), r6("intercept").alias("intercept"))
