@@ -398,3 +398,40 @@ _q("baseline_linear_1f", """
 select round(regr_slope(cast(audit_c_score as double), age), 6) as slope,
        round(regr_intercept(cast(audit_c_score as double), age), 6) as intercept
 from split_cohort where split = 'train'""")
+
+# ---------------------------------------------------------------- W1 D1 D2 G5 U3
+_q("exposure_sequence", "select person_id, cast(n as int) as n, concept_name, drug_exposure_start_date from ranked")
+_q("dedupe_texts", """
+select doc_id, text_key from (
+  select doc_id, md5(text) as text_key, row_number() over (partition by md5(text) order by doc_id) as rn
+  from documents) where rn = 1""")
+_q("distinct_texts", """
+select md5(text) as text_key, cast(length(text) as int) as n_chars
+from (select distinct text from documents where text is not null)""")
+_q("table_profile", """
+select count(*) as n_rows,
+  count(*) - count(person_id) as null_person_id, count(*) - count(gender) as null_gender,
+  count(*) - count(race) as null_race, count(*) - count(ethnicity) as null_ethnicity,
+  count(*) - count(age) as null_age, count(*) - count(comorbidity) as null_comorbidity,
+  count(*) - count(q1_score) as null_q1_score, count(*) - count(q2_score) as null_q2_score,
+  count(*) - count(q3_score) as null_q3_score, count(*) - count(audit_c_score) as null_audit_c_score,
+  count(*) - count(concept_name_1) as null_concept_name_1, count(*) - count(concept_name_2) as null_concept_name_2,
+  count(*) - count(concept_name_3) as null_concept_name_3,
+  count(*) - count(drug_exposure_start_date_1) as null_drug_exposure_start_date_1,
+  count(*) - count(drug_exposure_start_date_2) as null_drug_exposure_start_date_2,
+  count(*) - count(drug_exposure_start_date_3) as null_drug_exposure_start_date_3
+from three_drug""")
+_q("vocab_setops", """,
+sl as (select d.drug, s.split from drug_long d join split_cohort s on d.person_id = s.person_id),
+tr as (select distinct drug from sl where split = 'train'),
+ho as (select distinct drug from sl where split <> 'train')
+select drug, 'union' as part from (select drug from tr union select drug from ho)
+union all select drug, 'train_only' from (select drug from tr except select drug from ho)
+union all select drug, 'holdout_only' from (select drug from ho except select drug from tr)""")
+_q("knn_graph", """
+select vec_id, nbr_id, cast(rank as int) as rank, round(dist, 6) as dist from (
+  select a.vec_id, b.vec_id as nbr_id, list_distance(cast(a.embedding as double[]), cast(b.embedding as double[])) as dist,
+         row_number() over (partition by a.vec_id
+                            order by list_distance(cast(a.embedding as double[]), cast(b.embedding as double[])), b.vec_id) as rank
+  from embeddings a join embeddings b on a.vec_id <> b.vec_id)
+where rank <= 15""")

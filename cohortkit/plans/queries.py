@@ -506,3 +506,67 @@ def baseline_linear_1f(spark, sf_dir):
     return spark.createDataFrame([(float(m.coefficients[0]), float(m.intercept))],
                                  "slope double, intercept double") \
         .select(r6("slope").alias("slope"), r6("intercept").alias("intercept"))
+
+
+# ------------------------------------------------------------------ W1 D1 D2 G5 U3 A9
+@register
+def exposure_sequence(spark, sf_dir):
+    """Every exposure with its per-person sequence number (newest first)."""
+    c = Cohort(spark, sf_dir)
+    return CO.sequence(c.exposures, "person_id", exposure_order()).select(
+        "person_id", "n", "concept_name", "drug_exposure_start_date")
+
+
+@register
+def dedupe_texts(spark, sf_dir):
+    """One document per distinct text, the lowest doc_id kept."""
+    c = Cohort(spark, sf_dir)
+    keyed = c.texts.select("doc_id", F.md5("text").alias("text_key"))
+    return CO.keep_first(keyed, "text_key", [F.col("doc_id")])
+
+
+@register
+def distinct_texts(spark, sf_dir):
+    """The distinct texts that go to the encoder, with their length."""
+    c = Cohort(spark, sf_dir)
+    d = CO.distinct_values(c.texts, "text")
+    return d.select(F.md5("text").alias("text_key"), F.length("text").alias("n_chars"))
+
+
+@register
+def table_profile(spark, sf_dir):
+    """Rows and null counts of the three-drug cohort in one pass."""
+    return CO.profile(three_drug(Cohort(spark, sf_dir)))
+
+
+@register
+def vocab_setops(spark, sf_dir):
+    """Drug vocabulary of the train split vs the hold-out splits: union,
+    train-only and hold-out-only names, tagged."""
+    c = Cohort(spark, sf_dir)
+    sp = split_cohort(c).select("person_id", "split")
+    long = drug_long(c).join(sp, "person_id")
+    train = long.where(F.col("split") == "train").select("drug").distinct()
+    hold = long.where(F.col("split") != "train").select("drug").distinct()
+    return CO.union_all(
+        CO.set_union(train, hold).withColumn("part", F.lit("union")),
+        CO.set_difference(train, hold).withColumn("part", F.lit("train_only")),
+        CO.set_difference(hold, train).withColumn("part", F.lit("holdout_only")))
+
+
+@register
+def volcano_thresholds(spark, sf_dir):
+    """The two horizontal lines of the volcano plot."""
+    c = Cohort(spark, sf_dir)
+    v = SC.volcano(labeled(c), REFERENCES, ["age"], TOKEN_COLS, group="group")
+    return SC.thresholds(v).select(r6("alpha_line").alias("alpha_line"), r6("fdr_line").alias("fdr_line"))
+
+
+# ------------------------------------------------------------------ V2
+@register
+def knn_graph(spark, sf_dir):
+    """V2: exact 15-nearest-neighbour graph of the embeddings table."""
+    from cohortkit.operators import knn as KN
+    c = Cohort(spark, sf_dir)
+    g = KN.knn_graph(c.vectors, "vec_id", "embedding", k=15, block_rows=256)
+    return g.select("vec_id", "nbr_id", "rank", r6("dist").alias("dist"))
