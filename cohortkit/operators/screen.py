@@ -219,6 +219,9 @@ def volcano(cohort: DataFrame, categorical: Mapping[str, object], continuous: Se
         cols = ["person_id", group, *categorical, *continuous, *[c for c, _ in token_cols.values()]]
         cohort = _mat(cohort.select(*dict.fromkeys(cols)))
     fs = feature_stats(cohort, categorical, continuous, token_cols, group)
+    if materialise:
+        # one row per feature: BH reads it twice (histogram of p, then the join back)
+        fs = _mat(fs)
     out = bh(fs)
     return out.withColumn("neg_log10_q", neg_log10())
 

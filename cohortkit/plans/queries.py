@@ -59,7 +59,10 @@ def three_drug(c: Cohort) -> DataFrame:
 
 
 def split_cohort(c: Cohort) -> DataFrame:
-    return SP.exact_split(three_drug(c), "person_id", FIXTURE_SIZES)
+    """P5 over the written cohort: the hold-out top-k and the join back both read the
+    materialised table instead of re-running the cohort's joins twice."""
+    from cohortkit.session import materialise
+    return SP.exact_split(materialise(three_drug(c)), "person_id", FIXTURE_SIZES)
 
 
 def drug_long(c: Cohort) -> DataFrame:
@@ -290,12 +293,22 @@ def parse_score(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ A1-A10
-def _stats(c: Cohort) -> DataFrame:
-    return SC.feature_stats(labeled(c), REFERENCES, ["age"], TOKEN_COLS, group="group")
+def labeled_narrow(c: Cohort) -> DataFrame:
+    """The screen's person-level input, written once: totals, level lists and the
+    histograms all read it, so its joins run a single time."""
+    from cohortkit.session import materialise
+    cols = ["person_id", "group", *REFERENCES, "age", *[v[0] for v in TOKEN_COLS.values()]]
+    return materialise(labeled(c).select(*cols))
+
+
+def _stats(c: Cohort, token_cols=None) -> DataFrame:
+    tc = TOKEN_COLS if token_cols is None else token_cols
+    return SC.feature_stats(labeled_narrow(c), REFERENCES if token_cols is None else {},
+                            ["age"] if token_cols is None else [], tc, group="group")
 
 
 def _mwu(c: Cohort) -> DataFrame:
-    lab = labeled(c)
+    lab = labeled_narrow(c)
     n1, n0 = SC.group_totals(lab)
     coded = EN.codes(lab, REFERENCES)
     hists = [SC.dense_histogram(coded, list(REFERENCES), "group", "demo")]
@@ -319,7 +332,7 @@ def mwu_u_z(spark, sf_dir):
 
 @register
 def ttest_stat(spark, sf_dir):
-    t = SC.ttest(labeled(Cohort(spark, sf_dir)), ["age"])
+    t = SC.ttest(labeled_narrow(Cohort(spark, sf_dir)), ["age"])
     return t.select("feature", "n1", "n0", r6("t_stat").alias("t_stat"), r6("dof").alias("dof"),
                     r6("log2fc").alias("log2fc"))
 
@@ -352,7 +365,7 @@ def significant_count(spark, sf_dir):
 @register
 def accumulated_effect(spark, sf_dir):
     c = Cohort(spark, sf_dir)
-    fs = _stats(c).where(F.col("feature_group") == "drug")
+    fs = _stats(c, token_cols={"drug": TOKEN_COLS["drug"]})
     acc = SC.accumulate(drug_long(c).withColumnRenamed("drug", "token"), fs)
     return acc.select("person_id", r6("pos_log2fc").alias("pos_log2fc"), r6("neg_log2fc").alias("neg_log2fc"))
 
