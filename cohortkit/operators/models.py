@@ -11,13 +11,14 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import (ElementwiseProduct, MinMaxScaler, OneHotEncoder, StandardScaler,
                                 StringIndexer, VectorAssembler)
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +27,17 @@ from cohortkit.operators.split import SEED
 FEATURES = "features"
 
 
+def _ship_by_value() -> None:
+    # the SVR's per-partition function travels in the task closure
+    import sys
+
+    from pyspark import cloudpickle
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+_ship_by_value()
+
+
 def prepare(train: DataFrame, categorical: Sequence[str], numeric: Sequence[str],
             scaler: str | None = None) -> PipelineModel:
     """F1 + F2 (+ F4 / F5): fitted feature stages.
@@ -101,7 +113,7 @@ def fit(kind: str, train: DataFrame, categorical: Sequence[str], numeric: Sequen
                                  tol=params.get("tol", 1e-9)).fit(x)
     elif kind == "svr":
         model = LinearSVRModel.train(x, c=params.get("c", 1.0), epsilon=params.get("epsilon", 0.1),
-                                     iterations=params.get("iterations", 150))
+                                     rounds=params.get("rounds", 8), epochs=params.get("epochs", 3))
     else:
         raise ValueError(f"unknown model kind {kind}")
     return PipelineModel(stages=[*prep.stages, model])
@@ -124,11 +136,12 @@ class LinearSVRModel:
     """Linear epsilon-insensitive support vector regression (scikit-learn's
     ``SVR(kernel='linear')``: C=1, epsilon=0.1), fitted in the primal.
 
-    Objective (per-sample form): lam/2 |w|^2 + mean(max(0, |y - w.x - b| - eps)) with
-    lam = 1/(C n). Full-batch sub-gradient descent with a 1/sqrt(t) step; every step is
-    one distributed aggregate (``Summarizer`` sums, a tree aggregation) over the cached
-    training rows; the best iterate by objective is kept. An approximate optimum of
-    the same objective libsvm solves in the dual."""
+    Objective (per-sample form): lam/2 |w|^2 + mean(max(0, |y - w.x - b| - eps)),
+    lam = 1/(C n). Iterative parameter mixing: every round, each partition runs a few
+    epochs of averaged SGD from the current (w, b) on its own rows (``mapInPandas``,
+    one small row out per partition) and the driver averages the partition models
+    weighted by their row counts. One job per round; an approximate optimum of the
+    objective libsvm solves in the dual."""
 
     def __init__(self, w, b: float):
         self.w = [float(v) for v in w]
@@ -136,37 +149,24 @@ class LinearSVRModel:
         self.uid = "LinearSVRModel"
 
     @classmethod
-    def train(cls, x: DataFrame, c: float = 1.0, epsilon: float = 0.1, iterations: int = 150,
-              step: float = 1.0) -> LinearSVRModel:
+    def train(cls, x: DataFrame, c: float = 1.0, epsilon: float = 0.1, rounds: int = 8,
+              epochs: int = 3, step: float = 0.05, seed: int = SEED) -> LinearSVRModel:
         from cohortkit.session import materialise
-        # checkpointed (lineage cut, recoverable) and kept in memory for the iterations
-        x = materialise(x.select(FEATURES, "label")).cache()
+        x = materialise(x.select(vector_to_array(F.col(FEATURES)).alias("f"), "label")).cache()
         n = x.count()
-        dim = len(x.first()[FEATURES])
+        dim = len(x.first()["f"])
         lam = 1.0 / (c * n)
-        w, b = [0.0] * dim, float(x.agg(F.percentile_approx("label", 0.5)).first()[0])
-        best = (float("inf"), list(w), b)
-        feats = vector_to_array(F.col(FEATURES))
-        for t in range(1, iterations + 1):
-            pred = sum((feats[j] * F.lit(w[j]) for j in range(dim)), F.lit(b))
-            r = F.col("label") - pred
-            pos = (r > epsilon).cast("double")
-            neg = (r < -epsilon).cast("double")
-            agg = x.select(F.col(FEATURES), pos.alias("p"), neg.alias("q"),
-                           F.greatest(F.abs(r) - epsilon, F.lit(0.0)).alias("l")).agg(
-                Summarizer.sum(F.col(FEATURES), F.col("p")).alias("sp"),
-                Summarizer.sum(F.col(FEATURES), F.col("q")).alias("sq"),
-                F.sum("p").alias("np"), F.sum("q").alias("nq"), F.avg("l").alias("loss")).first()
-            obj = lam / 2 * sum(v * v for v in w) + float(agg["loss"])
-            if obj < best[0]:
-                best = (obj, list(w), b)
-            sp, sq = agg["sp"].toArray(), agg["sq"].toArray()
-            gw = [lam * w[j] - (sp[j] - sq[j]) / n for j in range(dim)]
-            gb = -(float(agg["np"]) - float(agg["nq"])) / n
-            eta = step / math.sqrt(t)
-            w = [w[j] - eta * gw[j] for j in range(dim)]
-            b -= eta * gb
-        return cls(best[1], best[2])
+        w = np.zeros(dim)
+        b = float(x.agg(F.percentile_approx("label", 0.5)).first()[0])
+        for r in range(rounds):
+            local = _svr_local(w.copy(), b, lam, epsilon, epochs, step, seed + r, r * epochs)
+            parts = x.mapInPandas(local, "w array<double>, b double, n long").collect()
+            tot = sum(p["n"] for p in parts)
+            if tot == 0:
+                break
+            w = sum(np.asarray(p["w"]) * p["n"] for p in parts) / tot
+            b = sum(p["b"] * p["n"] for p in parts) / tot
+        return cls(w.tolist(), b)
 
     def transform(self, df: DataFrame) -> DataFrame:
         feats = vector_to_array(F.col(FEATURES))
@@ -174,6 +174,37 @@ class LinearSVRModel:
         return df.withColumn("prediction", pred)
 
 
+def _svr_local(w0, b0, lam, eps, epochs, step, seed, t0):
+    """Per-partition averaged SGD on the epsilon-insensitive objective."""
+    def run(batches):
+        import numpy as _np
+        import pandas as _pd
+        xs, ys = [], []
+        for pdf in batches:
+            if len(pdf):
+                xs.append(_np.stack(pdf["f"].to_numpy()))
+                ys.append(pdf["label"].to_numpy(dtype=float))
+        if not xs:
+            return
+        X, y = _np.vstack(xs), _np.concatenate(ys)
+        rng = _np.random.default_rng(seed)
+        w, b = w0.copy(), float(b0)
+        aw, ab, k, t = _np.zeros_like(w), 0.0, 0, t0 * len(y)
+        for _ in range(epochs):
+            for i in rng.permutation(len(y)):
+                t += 1
+                eta = step / _np.sqrt(t)
+                r = y[i] - X[i] @ w - b
+                s = 1.0 if r > eps else (-1.0 if r < -eps else 0.0)
+                w -= eta * (lam * w - s * X[i])
+                b += eta * s
+                aw += w
+                ab += b
+                k += 1
+        yield _pd.DataFrame({"w": [(aw / k).tolist()], "b": [ab / k], "n": [len(y)]})
+    return run
+
+
 def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
     """Apply fitted stages in order (works with the primal SVR stage too)."""
     for st in model.stages:
