@@ -435,3 +435,24 @@ select vec_id, nbr_id, cast(rank as int) as rank, round(dist, 6) as dist from (
                             order by list_distance(cast(a.embedding as double[]), cast(b.embedding as double[])), b.vec_id) as rank
   from embeddings a join embeddings b on a.vec_id <> b.vec_id)
 where rank <= 15""")
+_q("completion_eval", """,
+completions as (
+  select person_id, case person_id % 10 when 1 then '... ### AUDIT-C Score: text' when 2 then ''
+                     when 3 then '... ### AUDIT-C Score: 99'
+                     else concat('... ### AUDIT-C Score: ', cast(q1_score as varchar)) end as completion
+  from scored),
+tails as (select person_id, regexp_replace(string_split(completion, '### AUDIT-C Score:')[-1], '^\\s+|\\s+$', '', 'g') as tl
+          from completions),
+parsed as (select t.person_id, s.audit_c_score,
+                  coalesce(regexp_full_match(t.tl, '[+-]?[0-9]+') and try_cast(t.tl as bigint) between 0 and 12, false) as ok,
+                  try_cast(t.tl as bigint) as v
+           from tails t join scored s on t.person_id = s.person_id),
+good as (select cast(audit_c_score as double) as label, cast(v as double) as prediction from parsed where ok),
+pairs as (select sum(case when a.prediction < b.prediction then 1.0 when a.prediction = b.prediction then 0.5 else 0.0 end)
+                 / count(*) as c from good a join good b on a.label < b.label)
+select round(avg((prediction - label) * (prediction - label)), 6) as mse,
+       round(sqrt(avg((prediction - label) * (prediction - label))), 6) as rmse,
+       round((select c from pairs), 6) as c_index,
+       (select count(*) from parsed where ok) as n_accepted,
+       (select count(*) from parsed where not ok) as n_rejected
+from good""")

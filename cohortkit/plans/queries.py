@@ -583,3 +583,17 @@ def knn_graph(spark, sf_dir):
     c = Cohort(spark, sf_dir)
     g = KN.knn_graph(c.vectors, "vec_id", "embedding", k=15, block_rows=256)
     return g.select("vec_id", "nbr_id", "rank", r6("dist").alias("dist"))
+
+
+# ------------------------------------------------------------------ end-to-end evaluation
+@register
+def completion_eval(spark, sf_dir):
+    """T7 + M1-M3: parse generated answers, score the accepted ones against the truth."""
+    from cohortkit.plans import jobs
+    c = Cohort(spark, sf_dir)
+    df = c.completions.join(c.scored.select("person_id", "audit_c_score"), "person_id")
+    metrics, counts = jobs.evaluate_completions(df)
+    row = counts.first()
+    return metrics.select(*[r6(k).alias(k) for k in ("mse", "rmse", "c_index")],
+                          F.lit(int(row["n_accepted"] or 0)).cast("long").alias("n_accepted"),
+                          F.lit(int(row["n_rejected"] or 0)).cast("long").alias("n_rejected"))
