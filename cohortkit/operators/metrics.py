@@ -81,10 +81,12 @@ def fine_grained(df: DataFrame, labels: str = "labels", preds: str = "prediction
     add = lambda acc, x: acc + x
     tot = df.select(F.aggregate(F.col(labels).cast("array<double>"), F.lit(0.0), add).alias("label"),
                     F.aggregate(F.col(preds).cast("array<double>"), F.lit(0.0), add).alias("prediction"))
-    ind = triple(flat).withColumnsRenamed({"mse": "individual_mse", "rmse": "individual_rmse",
-                                           "c_index": "individual_c_index"})
-    ov = triple(tot)
-    return _one_row_join(ind, ov)
+    # both views in one pass, tagged; then the two result rows become one
+    both = flat.withColumn("_view", F.lit("individual")).unionByName(tot.withColumn("_view", F.lit("overall")))
+    t = triple(both, by=["_view"])
+    pick = lambda view, k: F.first(F.when(F.col("_view") == view, F.col(k)), ignorenulls=True)
+    return t.agg(*[pick("individual", k).alias(f"individual_{k}") for k in ("mse", "rmse", "c_index")],
+                 *[pick("overall", k).alias(k) for k in ("mse", "rmse", "c_index")])
 
 
 def binary(df: DataFrame, y: str = "label", score: str = "score", threshold: float = THRESHOLD,

@@ -249,7 +249,8 @@ def accumulate(long: DataFrame, feature_stats_df: DataFrame, key: str = "person_
     """A10: per person, the sum of positive and of negative log2 fold changes over the
     person's tokens. The stats side is one row per feature; it is broadcast only after
     its row count is checked, otherwise the join shuffles."""
-    st = feature_stats_df.select(F.col("feature").alias(token), "log2fc")
+    from cohortkit.session import materialise as _mat
+    st = _mat(feature_stats_df.select(F.col("feature").alias(token), "log2fc"))
     n = st.count()
     if n <= max_broadcast_rows:
         st = F.broadcast(st)
