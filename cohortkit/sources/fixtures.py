@@ -36,10 +36,14 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
+        self._scans: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES:
-            return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            # one scan object per table: file listing and footer reads happen once
+            if name not in self._scans:
+                self._scans[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            return self._scans[name]
         raise AttributeError(name)
 
 
