@@ -62,16 +62,38 @@ def lookup(df: DataFrame, table: DataFrame, on: str, max_broadcast_rows: int | N
 
 
 # ---------------------------------------------------------------- sequence and pivot
-def sequence(df: DataFrame, by: str, order: Sequence[Column], out: str = "n") -> DataFrame:
-    """1-based sequence number per ``by`` in a total order (break every tie)."""
-    return df.withColumn(out, F.row_number().over(Window.partitionBy(by).orderBy(*order)))
+def sequence(df: DataFrame, by: str, order: Sequence[Column], out: str = "n",
+             skew_safe: bool = True, partitions: int | None = None) -> DataFrame:
+    """1-based sequence number per ``by`` in a total order (break every tie).
+
+    ``skew_safe`` (default): rows are range-partitioned on (by, order...), so one key
+    holding a third of all rows is spread over several sorted partitions instead of
+    one window task. Each row gets a consecutive id in its sorted partition; a small
+    table with one row per (partition, key) gives each key's offset from the earlier
+    partitions (a window over at most ``partitions`` rows per key). The ranged data is
+    written once so partition ids and ids are stable."""
+    if not skew_safe:
+        return df.withColumn(out, F.row_number().over(Window.partitionBy(by).orderBy(*order)))
+    from cohortkit.session import materialise
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    ranged = materialise(df.repartitionByRange(n, F.col(by), *order)
+                         .sortWithinPartitions(F.col(by), *order)
+                         .withColumn("_pid", F.spark_partition_id())
+                         .withColumn("_mono", F.monotonically_increasing_id()))
+    wb = Window.partitionBy(by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = (ranged.groupBy("_pid", by).agg(F.min("_mono").alias("_first"), F.count(F.lit(1)).alias("_cnt"))
+              .withColumn("_off", F.coalesce(F.sum("_cnt").over(wb), F.lit(0))))
+    return (ranged.join(blocks, ["_pid", by])
+                  .withColumn(out, (F.col("_mono") - F.col("_first") + 1 + F.col("_off")).cast("int"))
+                  .drop("_pid", "_mono", "_first", "_cnt", "_off"))
 
 
 def top_n(df: DataFrame, by: str, order: Sequence[Column], n: int = 3, out: str = "n") -> DataFrame:
     """First ``n`` rows per ``by``. ``row_number() <= n`` lets Spark insert a partial
     window-group limit before the shuffle, so a person with millions of rows sends at
     most ``n`` rows per map task."""
-    return sequence(df, by, order, out).where(F.col(out) <= n)
+    w = Window.partitionBy(by).orderBy(*order)
+    return df.withColumn(out, F.row_number().over(w)).where(F.col(out) <= n)
 
 
 def top_n_wide(df: DataFrame, by: str, order: Sequence[Column], values: Sequence[str],
