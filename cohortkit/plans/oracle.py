@@ -126,7 +126,7 @@ mw as (
 mw2 as (select *, r1 - n1 * (n1 + 1) / 2.0 as u1, cast(n1 as double) * n0 as nn, cast(n1 + n0 as double) as n from mw),
 mw3 as (select *, greatest(u1, nn - u1) as u, nn / 12.0 * ((n + 1) - ties / (n * (n - 1))) as var from mw2),
 mwu as (
-  select feature_group, feature, n1, n0, u,
+  select feature_group, feature, n1, n0, u, var,
          case when n1 = 0 or n0 = 0 or var <= 0 then null else (u - nn / 2.0 - 0.5) / sqrt(var) end as z,
          case when n1 = 0 or n0 = 0 then null
               else log2((sv1 / n1) / ((sv0 / n0) + 1e-12) + 1e-12) end as log2fc
@@ -456,3 +456,59 @@ select round(avg((prediction - label) * (prediction - label)), 6) as mse,
        (select count(*) from parsed where ok) as n_accepted,
        (select count(*) from parsed where not ok) as n_rejected
 from good""")
+
+# ---------------------------------------------------------------- volcano with independent p-values
+# Two-sided normal p = erfc(z / sqrt 2) and Student-t p by composite Simpson integration of the
+# densities (DuckDB has neither erfc nor the incomplete beta): 1 - integral over [0, x] when x is
+# small, the tail integral itself when x >= 1 so tiny p keep their relative accuracy.
+VOLCANO_CTES = """,
+grid as (select range as k from range(0, 20001)),
+zt as (select feature_group, feature, z / sqrt(2.0) as x from mwu where z is not null),
+zn as (select feature_group, feature, x,
+              case when x < 1 then 0.0 else x end as lo, case when x < 1 then x else x + 12.0 end as hi
+       from zt),
+zs as (select feature_group, feature, x, (hi - lo) / 20000.0 / 3.0 *
+              sum((case when k = 0 or k = 20000 then 1 when k % 2 = 1 then 4 else 2 end)
+                  * exp(-power(lo + k * (hi - lo) / 20000.0, 2))) as integral
+       from zn cross join grid group by feature_group, feature, x, lo, hi),
+zp as (select feature_group, feature,
+              least(1.0, case when x < 1 then 1.0 - 2.0 / sqrt(pi()) * integral
+                              else 2.0 / sqrt(pi()) * integral end) as p from zs),
+tgrid as (select range as k from range(0, 200001)),
+tn as (select log2fc, dof as nu, abs(t_stat) as abs_t,
+              case when abs(t_stat) < 1 then 0.0 else abs(t_stat) end as lo,
+              case when abs(t_stat) < 1 then abs(t_stat) else abs(t_stat) + 60.0 end as hi
+       from ttest where t_stat is not null),
+ts as (select log2fc, nu, abs_t, (hi - lo) / 200000.0 / 3.0 *
+              sum((case when k = 0 or k = 200000 then 1 when k % 2 = 1 then 4 else 2 end)
+                  * exp(lgamma((nu + 1) / 2.0) - lgamma(nu / 2.0) - 0.5 * ln(nu * pi())
+                        - (nu + 1) / 2.0 * ln(1 + power(lo + k * (hi - lo) / 200000.0, 2) / nu))) as integral
+       from tn cross join tgrid group by log2fc, nu, abs_t, lo, hi),
+allp as (
+  select m.feature_group, m.feature, m.log2fc,
+         case when m.n1 = 0 or m.n0 = 0 then null when m.var <= 0 then 1.0 else zp.p end as p_value
+  from mwu m left join zp on m.feature_group = zp.feature_group and m.feature = zp.feature
+  union all
+  select 'demo', 'age', log2fc, least(1.0, case when abs_t < 1 then 1.0 - 2.0 * integral else 2.0 * integral end) from ts),
+rk as (select feature_group, feature, p_value,
+              count(*) over (partition by feature_group order by p_value range between unbounded preceding and current row) as rnk,
+              count(*) over (partition by feature_group) as m
+       from allp where p_value is not null),
+qq as (select feature_group, feature,
+              least(1.0, min(p_value * m / rnk) over (partition by feature_group order by p_value desc
+                                                      range between unbounded preceding and current row)) as q
+       from rk),
+vol as (select a.feature_group, a.feature, a.log2fc, a.p_value, qq.q as p_value_corrected
+        from allp a left join qq on a.feature_group = qq.feature_group and a.feature = qq.feature)
+"""
+_q("volcano", VOLCANO_CTES + """
+select feature_group, feature, round(log2fc, 6) as log2fc, round(p_value, 6) as p_value,
+       round(p_value_corrected, 6) as p_value_corrected, round(-log10(p_value_corrected + 1e-12), 6) as neg_log10_q
+from vol""", screen=True)
+_q("significant_count", VOLCANO_CTES + """
+select feature_group, count(*) as n_features,
+       cast(sum(case when p_value_corrected < 0.05 then 1 else 0 end) as bigint) as n_significant
+from vol group by feature_group""", screen=True)
+_q("volcano_thresholds", VOLCANO_CTES + """
+select round(-log10(0.05), 6) as alpha_line, round(min(-log10(p_value_corrected)), 6) as fdr_line from vol""",
+   screen=True)
