@@ -24,6 +24,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+def _ship_by_value() -> None:
+    # encoder helpers travel in the task closure (no install needed on executors)
+    import sys
+
+    from pyspark import cloudpickle
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+_ship_by_value()
+
+
+def text_stats_model():
+    """A tiny deterministic text model for batch inference (I4): per text, the number of
+    characters, of letters 'e' and of ASCII digits, as float32. ``predict_batch_udf``
+    calls this once per Python worker and then feeds it Arrow batches."""
+    import re
+
+    import numpy as np
+    digits = re.compile(r"[0-9]")
+
+    def predict(texts):
+        return np.array([[len(t), t.count("e"), len(digits.findall(t))] for t in texts], dtype=np.float32)
+    return predict
+
+
 CACHE_SCHEMA = T.StructType([
     T.StructField("model", T.StringType(), False),
     T.StructField("text_key", T.StringType(), False),

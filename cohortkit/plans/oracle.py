@@ -512,3 +512,8 @@ from vol group by feature_group""", screen=True)
 _q("volcano_thresholds", VOLCANO_CTES + """
 select round(-log10(0.05), 6) as alpha_line, round(min(-log10(p_value_corrected)), 6) as fdr_line from vol""",
    screen=True)
+_q("batch_predict", """
+select doc_id, cast(length(coalesce(text, '')) as double) as f0,
+       cast(length(coalesce(text, '')) - length(replace(coalesce(text, ''), 'e', '')) as double) as f1,
+       cast(length(regexp_replace(coalesce(text, ''), '[^0-9]', '', 'g')) as double) as f2
+from documents""")

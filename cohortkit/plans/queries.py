@@ -597,3 +597,14 @@ def completion_eval(spark, sf_dir):
     return metrics.select(*[r6(k).alias(k) for k in ("mse", "rmse", "c_index")],
                           F.lit(int(row["n_accepted"] or 0)).cast("long").alias("n_accepted"),
                           F.lit(int(row["n_rejected"] or 0)).cast("long").alias("n_rejected"))
+
+
+@register
+def batch_predict(spark, sf_dir):
+    """I4: Arrow-batched model inference over every document (predict_batch_udf, model
+    loaded once per worker)."""
+    from cohortkit.operators import embed as EM
+    c = Cohort(spark, sf_dir)
+    enc = EM.BatchEncoder(EM.text_stats_model, dim=3, name="text-stats", batch_size=64)
+    out = enc.encode(c.texts, "text", "pred")
+    return out.select("doc_id", *[F.col("pred")[i].cast("double").alias(f"f{i}") for i in range(3)])
