@@ -19,6 +19,22 @@ DEFAULT_CONF = {
 }
 
 
+def cluster_conf(total_cores: int, input_bytes: int, target_partition_bytes: int = 256 << 20) -> dict:
+    """Sizing for a large cluster: shuffle partitions so each reduce task handles about
+    ``target_partition_bytes`` of the input (never fewer than 3 waves of the cores),
+    the same split size for scans, AQE coalescing toward it, and skew-join splitting
+    for partitions 5x over the median. Pass the result as ``get_spark(extra=...)``."""
+    parts = max(3 * total_cores, -(-input_bytes // target_partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(target_partition_bytes),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+    }
+
+
 def get_spark(master: str | None = None, app: str = "cohortkit",
               shuffle_partitions: int | None = None, extra: dict | None = None) -> SparkSession:
     """Build (or reuse) a session with the defaults above.
