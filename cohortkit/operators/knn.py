@@ -111,8 +111,11 @@ def knn_graph(df: DataFrame, id_col: str, vec_col: str, k: int = 15, block_rows:
     x = x.withColumn("_s", F.col("v")[axis])
     qs = x.approxQuantile("_s", [i / nb for i in range(1, nb)], 1.0 / (4 * nb)) if nb > 1 else []
     splits = [float("-inf")] + sorted(set(qs)) + [float("inf")]
-    x = materialise(Bucketizer(splits=splits, inputCol="_s", outputCol="_bd").transform(x)
-                    .withColumn("_t", F.col("_bd").cast("int")).drop("_bd"))
+    if len(splits) < 3:  # one block
+        x = materialise(x.withColumn("_t", F.lit(0)))
+    else:
+        x = materialise(Bucketizer(splits=splits, inputCol="_s", outputCol="_bd").transform(x)
+                        .withColumn("_t", F.col("_bd").cast("int")).drop("_bd"))
     nblocks = len(splits) - 1
 
     # 1. in-block candidates and the radius they give

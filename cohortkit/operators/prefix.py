@@ -52,6 +52,8 @@ def _bucketize(df: DataFrame, order_col: str, buckets: int) -> DataFrame:
     probs = [i / buckets for i in range(1, buckets)]
     qs = df.approxQuantile(_V, probs, 1.0 / (4 * buckets)) if probs else []
     splits = [float("-inf")] + sorted({q for q in qs if q is not None}) + [float("inf")]
+    if len(splits) < 3:  # empty or single-valued input: one bucket
+        return df.drop(_V).withColumn(_B, F.lit(0.0))
     b = Bucketizer(splits=splits, inputCol=_V, outputCol=_B, handleInvalid="keep")
     return b.transform(df).drop(_V)
 
