@@ -140,7 +140,7 @@ tt as (
 ttest as (
   select 'age' as feature, n1, n0,
          (m1 - m0) / sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2.0) * (1.0 / n1 + 1.0 / n0)) as t_stat,
-         n1 + n0 - 2.0 as dof, log2(m1 / (m0 + 1e-12)) as log2fc
+         cast(n1 + n0 - 2 as double) as dof, log2(m1 / (m0 + 1e-12)) as log2fc
   from tt)
 """
 
