@@ -53,8 +53,9 @@ def prepare(train: DataFrame, categorical: Sequence[str], numeric: Sequence[str]
         stages.append(StringIndexer(inputCols=list(categorical), outputCols=idx_cols,
                                     handleInvalid="keep", stringOrderType="alphabetAsc").fit(train))
         x = stages[-1].transform(train)
+        # the indexer's kept bucket is the last category; dropLast removes exactly it
         stages.append(OneHotEncoder(inputCols=idx_cols, outputCols=ohe_cols, dropLast=True,
-                                    handleInvalid="keep").fit(x))
+                                    handleInvalid="error").fit(x))
     assembler = VectorAssembler(inputCols=ohe_cols + list(numeric),
                                 outputCol=FEATURES if scaler is None else "_raw",
                                 handleInvalid="keep")
@@ -150,14 +151,18 @@ class LinearSVRModel:
 
     @classmethod
     def train(cls, x: DataFrame, c: float = 1.0, epsilon: float = 0.1, rounds: int = 8,
-              epochs: int = 3, step: float = 0.05, seed: int = SEED) -> LinearSVRModel:
+              epochs: int = 3, step: float | None = None, seed: int = SEED) -> LinearSVRModel:
         from cohortkit.session import materialise
         x = materialise(x.select(vector_to_array(F.col(FEATURES)).alias("f"), "label")).cache()
         n = x.count()
         dim = len(x.first()["f"])
         lam = 1.0 / (c * n)
         w = np.zeros(dim)
-        b = float(x.agg(F.percentile_approx("label", 0.5)).first()[0])
+        st = x.agg(F.percentile_approx("label", 0.5).alias("med"), F.min("label").alias("lo"),
+                   F.max("label").alias("hi")).first()
+        b = float(st["med"])
+        # features are min-max scaled to [0, 1], so weights live on the label's scale
+        step = step if step is not None else max(1e-3, 0.5 * (float(st["hi"]) - float(st["lo"])))
         for r in range(rounds):
             local = _svr_local(w.copy(), b, lam, epsilon, epochs, step, seed + r, r * epochs)
             parts = x.mapInPandas(local, "w array<double>, b double, n long").collect()
