@@ -142,7 +142,8 @@ def ttest(df: DataFrame, cols: Sequence[str], group: str = "group",
 
 # ---------------------------------------------------------------- A5 + A6
 def bh(df: DataFrame, p: str = "p_value", by: Sequence[str] = ("feature_group",),
-       out: str = "p_value_corrected", buckets: int | None = None) -> DataFrame:
+       out: str = "p_value_corrected", buckets: int | None = None,
+       rows_hint: int | None = None) -> DataFrame:
     """A5: Benjamini-Hochberg step-up within ``by`` groups.
 
     rank = #(p' <= p), q = min(1, min_{p' >= p} p' m / rank(p')). Ties share rank and q.
@@ -152,6 +153,8 @@ def bh(df: DataFrame, p: str = "p_value", by: Sequence[str] = ("feature_group",)
     by = list(by)
     valid = df.where(F.col(p).isNotNull())
     hist = valid.groupBy(*by, F.col(p).alias("_p")).agg(F.count(F.lit(1)).alias("_cnt"))
+    if buckets is None and rows_hint is not None and rows_hint <= prefix.SINGLE_LEVEL_MAX_ROWS:
+        buckets = 1  # the caller measured the input: the p histogram is no larger
     if buckets is None:
         hist, buckets = prefix.plan_buckets(hist)
     m = hist.groupBy(*by).agg(F.sum("_cnt").alias("_m"))
@@ -219,10 +222,12 @@ def volcano(cohort: DataFrame, categorical: Mapping[str, object], continuous: Se
         cols = ["person_id", group, *categorical, *continuous, *[c for c, _ in token_cols.values()]]
         cohort = _mat(cohort.select(*dict.fromkeys(cols)))
     fs = feature_stats(cohort, categorical, continuous, token_cols, group)
+    rows = None
     if materialise:
         # one row per feature: BH reads it twice (histogram of p, then the join back)
         fs = _mat(fs)
-    out = bh(fs)
+        rows = fs.count()
+    out = bh(fs, rows_hint=rows)
     return out.withColumn("neg_log10_q", neg_log10())
 
 
