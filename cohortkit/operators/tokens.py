@@ -93,7 +93,7 @@ def indicators_wide(df: DataFrame, key: str, col: str, sep: str, level_list: Seq
 
 def substring_long(long: DataFrame, key: str = "person_id", token: str = "token",
                    vocab: DataFrame | None = None, vocab_col: str = "token",
-                   out: str = "match") -> DataFrame:
+                   out: str = "match", sep_char: str = "|") -> DataFrame:
     """Substring indicators in long form -- (key, name) for every vocabulary name
     that occurs *anywhere* in the key's packed string.
 
@@ -106,6 +106,12 @@ def substring_long(long: DataFrame, key: str = "person_id", token: str = "token"
     toks = long.select(token).distinct()
     voc = (vocab if vocab is not None else toks.withColumnRenamed(token, vocab_col)) \
         .select(F.col(vocab_col).alias("_name")).where(F.length("_name") > 0).distinct()
+    # exactness precondition: names/tokens are trimmed and free of the separator
+    # character, so no match can straddle a separator (one aggregate over the vocabulary)
+    bad = (voc.where(F.col("_name").contains(sep_char) | (F.trim("_name") != F.col("_name")))
+              .limit(1).count())
+    if bad:
+        raise ValueError("substring indicators need trimmed names without the separator character")
     # distinct name lengths: bounded by the longest name, a short literal list
     lens = sorted(r[0] for r in voc.select(F.length("_name")).distinct().collect())
     if not lens:

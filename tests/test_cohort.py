@@ -94,3 +94,10 @@ def test_insurance_type(spark):
     df = spark.createDataFrame([(1, 1, 0), (2, 1, 1), (3, 0, 0)], "person_id long, empl_merge int, non_empl_merge int")
     out = {r["person_id"]: r["empl_insurance_or_not"] for r in LB.insurance_type(df).collect()}
     assert out == {1: 0, 2: 1}
+
+
+def test_substring_rejects_separator_in_names(spark):
+    df = spark.createDataFrame([(1, "a|b | c")], "person_id long, drugs string")
+    long = TK.to_long(df, "person_id", "drugs", " | ")
+    with pytest.raises(ValueError):
+        TK.substring_long(long, "person_id", out="m")
