@@ -27,15 +27,15 @@ def regression(df: DataFrame, y: str = "label", p: str = "prediction",
 
 
 def c_index(df: DataFrame, y: str = "label", p: str = "prediction", by: Sequence[str] = (),
-            max_levels: int = 10000, buckets: int | None = None) -> DataFrame:
+            max_levels: int = 64, buckets: int | None = None) -> DataFrame:
     """M2: concordance index without censoring. Pairs with equal truth are excluded;
     equal predictions count 1/2. Null when there are no admissible pairs.
 
     For each truth level ``lo``: nlo(p) people at y=lo, nhi(p) people at y>lo,
     pre(p) = sum of nlo below p, tot = sum of nlo.
     C = sum nhi (pre + nlo/2) / sum nhi tot. Work: distinct (level, prediction) pairs.
-    Truth must be discrete (scores, severities); its level list is capped by
-    ``max_levels``.
+    With up to ``max_levels`` truth levels this level expansion is used; beyond it the
+    exact block / Fenwick algorithm of ``concordance.py`` takes over (continuous truth).
     """
     by = list(by)
     hist = (df.where(F.col(y).isNotNull() & F.col(p).isNotNull())
@@ -43,7 +43,23 @@ def c_index(df: DataFrame, y: str = "label", p: str = "prediction", by: Sequence
               .agg(F.count(F.lit(1)).alias("_n")))
     lv = [r[0] for r in hist.select("_y").distinct().orderBy("_y").limit(max_levels + 1).collect()]
     if len(lv) > max_levels:
-        raise ValueError(f"truth has more than {max_levels} levels; c_index expects a discrete truth")
+        # many truth levels: the exact block / Fenwick path (no level list)
+        from cohortkit.operators.concordance import c_index_continuous
+        from cohortkit.session import materialise
+        spark = df.sparkSession
+        if not by:
+            v = c_index_continuous(materialise(hist.select("_y", "_p", "_n")))
+            return spark.createDataFrame([(v,)], "c_index double")
+        keys = [tuple(r) for r in hist.select(*by).distinct().limit(max_levels + 1).collect()]
+        if len(keys) > max_levels:
+            raise ValueError("continuous truth with more than max_levels groups: split the input")
+        rows = []
+        for k in keys:
+            cond = F.lit(True)
+            for c, v in zip(by, k):
+                cond = cond & (F.col(c) == F.lit(v))
+            rows.append((*k, c_index_continuous(materialise(hist.where(cond).select("_y", "_p", "_n")))))
+        return spark.createDataFrame(rows, df.select(*by).schema.add("c_index", "double"))
     # each histogram row is the 'lo' side of its own level and a 'hi' side of every lower level
     los = F.filter(F.array(*[F.lit(float(v)) for v in lv]) if lv else F.array().cast("array<double>"),
                    lambda x: x <= F.col("_y"))

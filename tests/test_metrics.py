@@ -3,6 +3,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from cohortkit.operators import metrics as M
 from cohortkit.operators import prefix
@@ -84,3 +85,23 @@ def test_two_level_prefix_equals_cumsum(spark):
 def test_best_runs_top_k(spark):
     runs = spark.createDataFrame([("r1", 0.5), ("r2", 0.1), ("r3", 0.3), ("r4", 0.1)], "run_id string, loss double")
     assert [r["run_id"] for r in M.best_runs(runs).collect()] == ["r2", "r4", "r3"]
+
+
+@pytest.mark.parametrize("block_rows", [10_000, 25, 6])
+def test_c_index_continuous_truth(spark, block_rows):
+    from cohortkit.operators.concordance import c_index_continuous
+    rnd = random.Random(13)
+    y = [round(rnd.random() * 50, 1) for _ in range(240)] + [7.0] * 60       # a hot truth value
+    p = [round(rnd.random() * 5, 1) for _ in range(240)] + [rnd.choice([1.0, 2.0]) for _ in range(60)]
+    df = spark.createDataFrame(list(zip(y, p)), "label double, prediction double")
+    hist = df.groupBy(F.col("label").alias("_y"), F.col("prediction").alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    got = c_index_continuous(hist, block_rows=block_rows)
+    assert got == pytest.approx(brute_c(y, p), abs=1e-12)
+
+
+def test_c_index_switches_to_exact_continuous_path(spark):
+    rnd = random.Random(21)
+    y = [rnd.random() for _ in range(150)]
+    p = [round(v + rnd.random() * 0.3, 2) for v in y]
+    df = spark.createDataFrame(list(zip(y, p)), "label double, prediction double")
+    assert M.c_index(df).collect()[0]["c_index"] == pytest.approx(brute_c(y, p), abs=1e-12)
