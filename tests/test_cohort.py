@@ -101,3 +101,11 @@ def test_substring_rejects_separator_in_names(spark):
     long = TK.to_long(df, "person_id", "drugs", " | ")
     with pytest.raises(ValueError):
         TK.substring_long(long, "person_id", out="m")
+
+
+def test_ranked_split_equals_topk_split(spark):
+    df = spark.range(3000).withColumnRenamed("id", "person_id")
+    sizes = {"validation": 200, "test": 500}
+    a = {r["person_id"]: r["split"] for r in SP.exact_split(df, "person_id", sizes).collect()}
+    b = {r["person_id"]: r["split"] for r in SP.exact_split(df, "person_id", sizes, max_topk=10).collect()}
+    assert a == b
