@@ -21,9 +21,7 @@ PIPE = " | "
 COMMA = ", "
 NO_DRUG = "no_drug"
 DEMOGRAPHICS = ("gender", "race", "ethnicity", "age")
-# columns the narratives never print
-SEMICOLON_SKIP = ("q1_score", "q2_score", "q3_score", "anxiety", "fatigue",
-                  "empl_insurance_or_not", "audit_c_score", "person_id", "split")
+# columns the comma narrative never prints
 COMMA_SKIP = ("q1_score", "q2_score", "q3_score", "audit_c_score", "person_id", "split")
 
 

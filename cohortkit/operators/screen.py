@@ -21,9 +21,6 @@ from cohortkit.operators import encode, prefix, tokens
 # Fixed values of the screen.
 EPS = 1e-12
 ALPHA = 0.05
-FEATURE_GROUPS = ("demo", "drug", "comorbidity")
-
-HIST_COLS = ["feature_group", "feature", "value", "a", "b"]
 
 
 def _sum_if(cond: Column) -> Column:

@@ -124,8 +124,3 @@ def substring_long(long: DataFrame, key: str = "person_id", token: str = "token"
             .select(token, F.expr(f"substring(`{token}`, _start, _len)").alias("_name")))
     token_map = cand.join(voc, "_name").select(token, F.col("_name").alias(out)).distinct()
     return long.join(token_map, token).select(key, out).distinct()
-
-
-def indicator_counts(long: DataFrame, token: str = "token") -> DataFrame:
-    """Tokens and how many rows carry them (used for vocabulary assertions)."""
-    return long.groupBy(token).count()

@@ -76,12 +76,6 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or local
 
 
-def stage_path(spark: SparkSession, name: str) -> str:
-    """A path for a materialised stage table under the shared checkpoint folder."""
-    base = checkpoint_dir(spark).rstrip("/")
-    return f"{base}/stage/{name}"
-
-
 def materialise(df):
     """Write ``df`` once to the shared checkpoint folder and continue from the files
     (reliable checkpoint: survives executor loss and cuts the lineage). Used for
