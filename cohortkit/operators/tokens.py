@@ -103,7 +103,9 @@ def substring_long(long: DataFrame, key: str = "person_id", token: str = "token"
     is a vocabulary-name length; an equi-join against the vocabulary keeps the real
     names. Work is O(distinct tokens x length^2), independent of the person count.
     """
-    toks = long.select(token).distinct()
+    from cohortkit.session import materialise
+    # the distinct tokens (vocabulary-sized) are read by three jobs: write them once
+    toks = materialise(long.select(token).distinct())
     voc = (vocab if vocab is not None else toks.withColumnRenamed(token, vocab_col)) \
         .select(F.col(vocab_col).alias("_name")).where(F.length("_name") > 0).distinct()
     # exactness precondition: names/tokens are trimmed and free of the separator
