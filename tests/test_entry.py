@@ -31,3 +31,15 @@ def test_plan_has_no_cartesian_or_row_udf(spark, name):
     plan = df._jdf.queryExecution().executedPlan().toString()
     for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"):
         assert bad not in plan, f"{name}: {bad} in plan"
+
+
+PERSON_LEVEL = ["top3_exposures", "three_drug_pivot", "exposure_sequence", "drug_rollup_6m", "token_vocab",
+                "matched_inner", "left_exposures", "narrative_comma", "indicator_substring", "accumulated_effect",
+                "dedupe_texts", "vocab_setops"]
+
+
+@pytest.mark.parametrize("name", PERSON_LEVEL)
+def test_person_level_plans_never_single_partition(spark, name):
+    """No window or exchange funnels person-sized data into one partition."""
+    plan = E.queries()[name](spark, SF0001)._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan, name
