@@ -517,3 +517,27 @@ select doc_id, cast(length(coalesce(text, '')) as double) as f0,
        cast(length(coalesce(text, '')) - length(replace(coalesce(text, ''), 'e', '')) as double) as f1,
        cast(length(regexp_replace(coalesce(text, ''), '[^0-9]', '', 'g')) as double) as f2
 from documents""")
+_FLAG2 = ("cast(coalesce(list_contains(list_transform(string_split(s.comorbidity, ','), lambda x: trim(x)), '{v}'), false)"
+          " as int) as \"como_{n}\"")
+_q("tabular_input", """,
+tc_g as (select v, case when v = 'Man' then 0 else row_number() over (partition by v = 'Man' order by v) end as code
+         from (select distinct gender as v from split_cohort where gender is not null)),
+tc_r as (select v, case when v = 'BUILDING' then 0 else row_number() over (partition by v = 'BUILDING' order by v) end as code
+         from (select distinct race as v from split_cohort where race is not null)),
+tc_e as (select v, case when v = 'AFRICA' then 0 else row_number() over (partition by v = 'AFRICA' order by v) end as code
+         from (select distinct ethnicity as v from split_cohort where ethnicity is not null)),
+ag as (select avg(age) as m, stddev_samp(age) as sd from split_cohort where split = 'train'),
+acc as (select d.person_id,
+               sum(case when m.log2fc > 0 then m.log2fc end) as pos, sum(case when m.log2fc < 0 then m.log2fc end) as neg
+        from drug_long d join (select feature, log2fc from mwu where feature_group = 'drug') m on d.drug = m.feature
+        group by d.person_id)
+select s.person_id, s.split,
+       cast(coalesce(g.code, -1) as int) as gender_code, cast(coalesce(r.code, -1) as int) as race_code,
+       cast(coalesce(e.code, -1) as int) as ethnicity_code, s.audit_c_score,
+       """ + ",\n       ".join(_FLAG2.format(v=v, n=v.replace(" ", "_"))
+                             for v in ("HIGH", "LOW", "MEDIUM", "NOT SPECIFIED", "URGENT")) + """,
+       round((s.age - ag.m) / ag.sd, 6) as age_z,
+       round(coalesce(acc.pos, 0.0), 6) as pos_log2fc, round(coalesce(acc.neg, 0.0), 6) as neg_log2fc
+from split_cohort s cross join ag
+left join tc_g g on s.gender = g.v left join tc_r r on s.race = r.v left join tc_e e on s.ethnicity = e.v
+left join acc on s.person_id = acc.person_id""", screen=True)

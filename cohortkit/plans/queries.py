@@ -608,3 +608,25 @@ def batch_predict(spark, sf_dir):
     enc = EM.BatchEncoder(EM.text_stats_model, dim=3, name="text-stats", batch_size=64)
     out = enc.encode(c.texts, "text", "pred")
     return out.select("doc_id", *[F.col("pred")[i].cast("double").alias(f"f{i}") for i in range(3)])
+
+
+@register
+def tabular_input(spark, sf_dir):
+    """A6-style model input: split cohort + reference codes + train z-scored age +
+    comorbidity flags + accumulated drug log2 fold changes (persons without a scored
+    drug get 0)."""
+    c = Cohort(spark, sf_dir)
+    sc = split_cohort(c)
+    coded = EN.codes(sc, REFERENCES, suffix="_code")
+    st = EN.train_stats(coded, ["age"]).first()
+    z = EN.zscore(coded, st, ["age"])
+    lv = TK.levels(c.como_long, "comorbidity", max_levels=200)
+    keep = ["split", "gender_code", "race_code", "ethnicity_code", "age_z", "audit_c_score"]
+    wide = TK.indicators_wide(z, "person_id", "comorbidity", TK.COMORBIDITY_SEP, lv, prefix="como_", keep=keep)
+    wide = wide.withColumnsRenamed({f"como_{v}": f"como_{v}".replace(" ", "_") for v in lv})
+    fs = _stats(c, token_cols={"drug": TOKEN_COLS["drug"]})
+    acc = SC.accumulate(drug_long(c).withColumnRenamed("drug", "token"), fs)
+    out = wide.join(acc, "person_id", "left")
+    return out.select(*[c_ for c_ in wide.columns if c_ != "age_z"], r6("age_z").alias("age_z"),
+                      r6(F.coalesce("pos_log2fc", F.lit(0.0))).alias("pos_log2fc"),
+                      r6(F.coalesce("neg_log2fc", F.lit(0.0))).alias("neg_log2fc"))
