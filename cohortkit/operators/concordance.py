@@ -111,7 +111,7 @@ def _within_fn(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"conc": [acc]})
 
 
-def c_index_continuous(hist: DataFrame, block_rows: int = 200_000, max_buckets: int = 1000) -> float | None:
+def c_index_continuous(hist: DataFrame, block_rows: int = 200_000, max_buckets: int = 400) -> float | None:
     """Exact C-index from a materialised (_y, _p, _n) histogram (no grouping columns)."""
     rows = hist.count()
     if rows == 0:

@@ -247,7 +247,7 @@ def thresholds(volcano_df: DataFrame, alpha: float = ALPHA) -> DataFrame:
 
 # ---------------------------------------------------------------- A10
 def accumulate(long: DataFrame, feature_stats_df: DataFrame, key: str = "person_id",
-               token: str = "token", max_broadcast_rows: int = 5_000_000) -> DataFrame:
+               token: str = "token", max_broadcast_rows: int = 1_000_000) -> DataFrame:
     """A10: per person, the sum of positive and of negative log2 fold changes over the
     person's tokens. The stats side is one row per feature; it is broadcast only after
     its row count is checked, otherwise the join shuffles."""
