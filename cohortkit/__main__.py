@@ -50,10 +50,12 @@ def _args(argv=None):
     e.add_argument("--out", required=True)
     e.add_argument("--dim", type=int, default=64)
     e.add_argument("--k", type=int, default=16)
+    e.add_argument("--placeholder", default="no_drug", help="text used for a missing value")
     v = sub.add_parser("evaluate")
     v.add_argument("--input", required=True)
     v.add_argument("--completion-col", default="completion")
     v.add_argument("--truth-col", default="audit_c_score")
+    v.add_argument("--run-col", default=None, help="metrics per run / checkpoint")
     v.add_argument("--out", required=True)
     return p.parse_args(argv)
 
@@ -78,14 +80,17 @@ def main(argv=None) -> None:
         io.write_json(out, a.out)
     elif a.cmd == "embed":
         from cohortkit.operators import embed as EM
+        from cohortkit.functions.narrative import text_or_placeholder
         df = spark.read.parquet(a.input)
+        df = df.withColumn(a.text_col, text_or_placeholder(a.text_col, a.placeholder))
         vec, n_new = EM.embed_with_cache(spark, df, a.text_col, a.key_col, a.cache, EM.HashingEncoder(a.dim))
         red = EM.pca(vec.where(F.col("vector").isNotNull()), "vector", a.k)
         io.write_table(EM.to_columns(red, "reduced", a.k, keep=[a.key_col]), a.out, partition_by=None)
         print(f"embedded {n_new} new texts")
     elif a.cmd == "evaluate":
-        metrics, counts = jobs.evaluate_completions(spark.read.parquet(a.input), a.completion_col, a.truth_col)
-        io.write_json(metrics, a.out + "/metrics")
+        by = [a.run_col] if a.run_col else []
+        _, counts = jobs.evaluate_completions(spark.read.parquet(a.input), a.completion_col, a.truth_col,
+                                              out_path=a.out, by=by)
         io.write_json(counts, a.out + "/counts")
 
 

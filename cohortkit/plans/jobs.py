@@ -83,16 +83,19 @@ def baselines(split_table: DataFrame, categorical: Sequence[str] = ("gender", "r
 
 
 def evaluate_completions(df: DataFrame, completion: str = "completion", truth: str = "audit_c_score",
-                         out_path: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """T7 + M1-M3: parse each answer; metrics over the accepted rows; rejects counted
-    instead of aborting. Optionally writes the metric row as JSON (S5)."""
+                         out_path: str | None = None, by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """T7 + M1-M3 (+ M5 per run with ``by``): parse each answer; metrics over the accepted
+    rows; rejects counted instead of aborting. With ``out_path`` the metric rows and the
+    per-row predictions are written as JSON lines (S5; predictions as rows, not arrays)."""
     score, ok = N.parse_score(completion)
     parsed = df.select("*", score.alias("predicted_score"), ok.alias("accepted"))
-    good = parsed.where("accepted").select(F.col(truth).cast("double").alias("label"),
+    good = parsed.where("accepted").select(*by, F.col(truth).cast("double").alias("label"),
                                            F.col("predicted_score").cast("double").alias("prediction"))
-    metrics = M.triple(good)
-    counts = parsed.agg(F.sum(F.col("accepted").cast("long")).alias("n_accepted"),
-                        F.sum((~F.col("accepted")).cast("long")).alias("n_rejected"))
+    metrics = M.triple(good, by=list(by))
+    g = parsed.groupBy(*by) if by else parsed.groupBy()
+    counts = g.agg(F.sum(F.col("accepted").cast("long")).alias("n_accepted"),
+                   F.sum((~F.col("accepted")).cast("long")).alias("n_rejected"))
     if out_path:
-        io.write_json(metrics, out_path)
+        io.write_json(metrics, out_path + "/metrics")
+        io.write_json(parsed.select(*[c for c in parsed.columns if c != completion]), out_path + "/predictions")
     return metrics, counts
