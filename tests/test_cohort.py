@@ -109,3 +109,17 @@ def test_ranked_split_equals_topk_split(spark):
     a = {r["person_id"]: r["split"] for r in SP.exact_split(df, "person_id", sizes).collect()}
     b = {r["person_id"]: r["split"] for r in SP.exact_split(df, "person_id", sizes, max_topk=10).collect()}
     assert a == b
+
+
+def test_null_semantics_table(spark):
+    """SURVEY §1.3: the pandas null rules the operators keep."""
+    df = spark.createDataFrame([(1, 5, None), (2, None, "a | b"), (3, 0, "c")],
+                               "person_id long, audit_c_score int, drugs string")
+    assert [r[0] for r in LB.drop_zero_scores(df).select("person_id").collect()] == [1]   # null score dropped
+    long = TK.to_long(df, "person_id", "drugs", " | ")
+    assert sorted(r[0] for r in long.select("person_id").distinct().collect()) == [2, 3]   # null list: no tokens
+    wide = {r[0]: r[1] for r in TK.indicators_wide(df, "person_id", "drugs", " | ", ["a"]).collect()}
+    assert wide == {1: 0, 2: 1, 3: 0}                                                     # null list -> 0
+    from cohortkit.functions import narrative as N
+    assert df.select(N.format_drug("drugs")).first()[0] is None                            # prefix + null
+    assert df.select(N.text("audit_c_score")).collect()[1][0] == "None"                   # f-string on null
