@@ -1,6 +1,7 @@
 """Command-line jobs (``spark-submit -m cohortkit ...`` or ``python -m cohortkit ...``).
 
     build-cohort  --persons P.csv --exposures E.csv --out DIR [--validation 2000 --test 5000]
+    split         --persons P.csv --out DIR [--validation 2000 --test 5000]
     screen        --cohort DIR --drugs D.csv --out DIR
     baselines     --cohort DIR --out DIR [--models rf,linear,ridge,elastic,svr]
     embed         --input DIR --text-col C --key-col K --cache DIR --out DIR [--dim 64 --k 16]
@@ -34,6 +35,11 @@ def _args(argv=None):
     b.add_argument("--out", required=True)
     b.add_argument("--validation", type=int, default=2000)
     b.add_argument("--test", type=int, default=5000)
+    sp = sub.add_parser("split")
+    sp.add_argument("--persons", required=True)
+    sp.add_argument("--out", required=True)
+    sp.add_argument("--validation", type=int, default=2000)
+    sp.add_argument("--test", type=int, default=5000)
     s = sub.add_parser("screen")
     s.add_argument("--cohort", required=True)
     s.add_argument("--drugs", required=True)
@@ -69,6 +75,9 @@ def main(argv=None) -> None:
         persons = io.read_table(spark, a.persons, PERSON_SCHEMA, fmt="csv")
         expo = io.read_table(spark, a.exposures, EXPOSURE_SCHEMA, fmt="csv")
         jobs.build_three_drug_cohort(persons, expo, a.out, {"validation": a.validation, "test": a.test})
+    elif a.cmd == "split":
+        persons = io.read_table(spark, a.persons, PERSON_SCHEMA, fmt="csv")
+        jobs.split_persons(persons, a.out, {"validation": a.validation, "test": a.test})
     elif a.cmd == "screen":
         cohort = spark.read.parquet(a.cohort)
         drugs = io.read_table(spark, a.drugs, DRUG_SCHEMA, fmt="csv")

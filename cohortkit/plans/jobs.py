@@ -2,6 +2,7 @@
 
 * ``build_three_drug_cohort`` -- person table + exposure table -> top-3 pivot, inner
   join, exact seeded split, written ``partitionBy('split')``;
+* ``split_persons`` -- person table alone -> exact seeded split, written the same way;
 * ``screen`` -- cohort + packed half-year drugs -> volcano table (+ significant counts);
 * ``baselines`` -- train/test split table -> one metrics row per baseline model;
 * ``evaluate_completions`` -- generated answers -> parsed scores, metric row, reject count.
@@ -45,6 +46,16 @@ def build_three_drug_cohort(persons: DataFrame, exposures: DataFrame, out_path:
     return out
 
 
+def split_persons(persons: DataFrame, out_path: str | None = None, sizes: Mapping[str, int] | None = None,
+                  seed: int = SP.SEED, key: str = "person_id") -> DataFrame:
+    """Person table -> exact seeded split, written ``partitionBy('split')`` (the
+    demographics + comorbidity dataset without drugs)."""
+    out = SP.exact_split(materialise(persons), key, sizes, seed=seed)
+    if out_path:
+        io.write_table(out, out_path)
+    return out
+
+
 def screen(cohort: DataFrame, person_drugs: DataFrame, drug_key: str = "person_id",
            drug_col: str = "standard_concept_name", references: Mapping[str, object] = STUDY_REFERENCES,
            ignore: Sequence[str] = ("split",)) -> tuple[DataFrame, DataFrame]:

@@ -28,6 +28,9 @@ def test_cli_build_screen_embed_evaluate(spark):
     main(["build-cohort", "--persons", f"{d}/persons", "--exposures", f"{d}/exposures", "--out", f"{d}/cohort",
           "--validation", "5", "--test", "10"])
     assert spark.read.parquet(f"{d}/cohort").where("split = 'test'").count() == 10
+    main(["split", "--persons", f"{d}/persons", "--out", f"{d}/split", "--validation", "7", "--test", "3"])
+    sp = spark.read.parquet(f"{d}/split")
+    assert sp.where("split = 'validation'").count() == 7 and sp.count() == c.demo_como.count()
     main(["screen", "--cohort", f"{d}/cohort", "--drugs", f"{d}/drugs", "--out", f"{d}/screen"])
     assert spark.read.parquet(f"{d}/screen/volcano").count() > 0
     c.texts.write.parquet(f"{d}/texts")
