@@ -30,7 +30,8 @@ def map_codes(col: str, mapping: Mapping, missing: int = -1) -> Column:
         pairs += [F.lit(k), F.lit(int(v))]
     if not pairs:
         return F.lit(missing).cast("int")
-    return F.coalesce(F.create_map(*pairs)[F.col(col)], F.lit(missing)).cast("int")
+    key = F.col(col).cast("string") if all(isinstance(k, str) for k in mapping) else F.col(col)
+    return F.coalesce(F.create_map(*pairs)[key], F.lit(missing)).cast("int")
 
 
 def codes(df: DataFrame, cols: Mapping[str, object], suffix: str = "",
@@ -41,7 +42,8 @@ def codes(df: DataFrame, cols: Mapping[str, object], suffix: str = "",
     lv = levels_many(src, list(cols), max_levels)
     exprs = {}
     for c, ref in cols.items():
-        exprs[c + suffix] = map_codes(c, code_map(lv[c], ref))
+        # level lists come back as strings; compare the reference the same way
+        exprs[c + suffix] = map_codes(c, code_map(lv[c], None if ref is None else str(ref)))
     return df.withColumns(exprs)
 
 

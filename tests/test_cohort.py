@@ -123,3 +123,9 @@ def test_null_semantics_table(spark):
     from cohortkit.functions import narrative as N
     assert df.select(N.format_drug("drugs")).first()[0] is None                            # prefix + null
     assert df.select(N.text("audit_c_score")).collect()[1][0] == "None"                   # f-string on null
+
+
+def test_codes_on_numeric_column(spark):
+    df = spark.createDataFrame([(3,), (1,), (None,), (3,)], "grade int")
+    out = [r[0] for r in EN.codes(df, {"grade": 3}, suffix="_c").select("grade_c").collect()]
+    assert out == [0, 1, -1, 0]
