@@ -63,3 +63,19 @@ def test_zscore_uses_train_stats(spark):
     z = [r[0] for r in EN.zscore(df, st, ["age"]).select("age_z").collect()]
     s = 2 ** 0.5
     assert z == pytest.approx([-1 / s, 1 / s, 8 / s])
+
+
+def test_bucketed_tables_join_without_shuffle(spark):
+    base = tempfile.mkdtemp(prefix="ck-bucket-")
+    persons = spark.range(500).select(F.col("id").alias("person_id"), (F.col("id") % 3).alias("g"))
+    drugs = spark.range(2000).select((F.col("id") % 500).alias("person_id"), F.col("id").alias("d"))
+    a = io.write_bucketed(persons, "ck_persons_b", "person_id", 8, os.path.join(base, "p"))
+    b = io.write_bucketed(drugs, "ck_drugs_b", "person_id", 8, os.path.join(base, "d"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        j = a.join(b, "person_id")
+        plan = j._jdf.queryExecution().executedPlan().toString()
+        assert j.count() == 2000
+        assert "Exchange" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
