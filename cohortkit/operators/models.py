@@ -94,9 +94,12 @@ def fit(kind: str, train: DataFrame, categorical: Sequence[str], numeric: Sequen
     prep = prepare(train, categorical, numeric, scaler)
     x = prep.transform(train).select(FEATURES, F.col(label).cast("double").alias("label"))
     if kind == "rf":
+        # node ids cached and large node batches: far fewer passes over the data per level
         est = RandomForestRegressor(numTrees=params.get("num_trees", 100), featureSubsetStrategy="all",
                                     maxDepth=params.get("max_depth", 20), maxBins=params.get("max_bins", 64),
-                                    minInstancesPerNode=1, bootstrap=True, seed=seed)
+                                    minInstancesPerNode=1, bootstrap=True, seed=seed,
+                                    maxMemoryInMB=params.get("max_memory_mb", 1024), cacheNodeIds=True,
+                                    checkpointInterval=10)
         model = est.fit(x)
     elif kind == "linear":
         model = LinearRegression(regParam=0.0, solver="normal", standardization=False).fit(x)
