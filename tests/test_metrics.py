@@ -105,3 +105,17 @@ def test_c_index_switches_to_exact_continuous_path(spark):
     p = [round(v + rnd.random() * 0.3, 2) for v in y]
     df = spark.createDataFrame(list(zip(y, p)), "label double, prediction double")
     assert M.c_index(df).collect()[0]["c_index"] == pytest.approx(brute_c(y, p), abs=1e-12)
+
+
+def test_two_level_running_min_descending(spark):
+    rnd = random.Random(8)
+    rows = [(g, float(v), float(rnd.randint(0, 1000))) for g in ("a", "b") for v in rnd.sample(range(500), 120)]
+    df = spark.createDataFrame(rows, "g string, v double, x double")
+    got = {(r["g"], r["v"]): r["x_m"] for r in
+           prefix.running(df, "v", ["x"], by=["g"], how="min", inclusive=True, descending=True,
+                          buckets=6, suffix="_m").collect()}
+    for g in ("a", "b"):
+        best = float("inf")
+        for _, v, x in sorted((x for x in rows if x[0] == g), key=lambda t: -t[1]):
+            best = min(best, x)
+            assert got[(g, v)] == best

@@ -35,7 +35,7 @@ def hist_df(spark, feats):
     return spark.createDataFrame(rows, "feature_group string, feature string, value double, a long, b long")
 
 
-@pytest.mark.parametrize("buckets", [1, None])
+@pytest.mark.parametrize("buckets", [1, None, 4])
 def test_mwu_matches_brute_force(spark, buckets):
     rnd = random.Random(7)
     feats = {
@@ -76,7 +76,7 @@ def brute_bh(ps):
     return q
 
 
-@pytest.mark.parametrize("buckets", [1, None])
+@pytest.mark.parametrize("buckets", [1, None, 2, 7])
 def test_bh_matches_step_up(spark, buckets):
     rnd = random.Random(3)
     ps = [round(rnd.random(), 2) for _ in range(150)] + [1.0, None, 0.0, 0.0]
