@@ -48,3 +48,13 @@ def test_pca_matches_numpy(spark):
         if comps[np.abs(comps[:, j]).argmax(), j] < 0:
             comps[:, j] *= -1
     assert np.allclose(got, xc @ comps, atol=1e-6)
+
+
+def test_batch_encoder_runs_model_in_arrow_batches(spark):
+    texts = ["hello there", "", "e 1 2 3 e", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    enc = EM.BatchEncoder(EM.text_stats_model, dim=3, name="text-stats", batch_size=2)
+    got = {r["doc_id"]: list(r["pred"]) for r in enc.encode(df, "text", "pred").collect()}
+    want = {i: [float(len(t or "")), float((t or "").count("e")), float(sum(c.isdigit() for c in (t or "")))]
+            for i, t in enumerate(texts)}
+    assert got == want

@@ -119,3 +119,12 @@ def test_two_level_running_min_descending(spark):
         for _, v, x in sorted((x for x in rows if x[0] == g), key=lambda t: -t[1]):
             best = min(best, x)
             assert got[(g, v)] == best
+
+
+def test_first_part_mse_per_run(spark):
+    """M5: plain MSE on the first column of array predictions, one row per run."""
+    df = spark.createDataFrame([("r1", [1.0, 9.0], [2.0, 0.0]), ("r1", [3.0, 9.0], [3.0, 0.0]),
+                                ("r2", [0.0, 1.0], [2.0, 5.0])], "run_id string, labels array<double>, preds array<double>")
+    x = df.select("run_id", M.first_part("labels").alias("label"), M.first_part("preds").alias("prediction"))
+    got = {r["run_id"]: r["mse"] for r in M.regression(x, by=["run_id"]).collect()}
+    assert got == pytest.approx({"r1": 0.5, "r2": 4.0})
