@@ -77,3 +77,20 @@ def test_elastic_net_matches_coordinate_descent(spark):
     w, b = _enet_cd(z, y, 1.0, 0.5)
     m = MD.fit("elastic", df, [], ["a", "b", "c"], label="y", alpha=1.0, l1_ratio=0.5)
     assert _coef(m, df, x) == pytest.approx(z @ w + b, abs=1e-4)
+
+
+def test_ridge_grid_matches_closed_form_validation_mse(spark):
+    x, y, df = _data(spark, n=240, seed=5)
+    tr, va = slice(0, 180), slice(180, 240)
+    rows = [(float(a), float(b), float(c), float(t)) for (a, b, c), t in zip(x, y)]
+    train = spark.createDataFrame(rows[tr], "a double, b double, c double, y double")
+    valid = spark.createDataFrame(rows[va], "a double, b double, c double, y double")
+    got = {r["alpha"]: r["mse"] for r in MD.grid(train, valid, [], ["a", "b", "c"], label="y",
+                                                 alphas=(0.1, 10.0, 1000.0)).collect()}
+    mu, sd = x[tr].mean(0), x[tr].std(0)
+    zt, zv = (x[tr] - mu) / sd, (x[va] - mu) / sd
+    for alpha, mse in got.items():
+        zc, yc = zt - zt.mean(0), y[tr] - y[tr].mean()
+        w = np.linalg.solve(zc.T @ zc + alpha * np.eye(3), zc.T @ yc)
+        pred = zv @ w + (y[tr].mean() - zt.mean(0) @ w)
+        assert mse == pytest.approx(np.mean((pred - y[va]) ** 2), rel=1e-6)
