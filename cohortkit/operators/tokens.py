@@ -35,9 +35,14 @@ def to_long(df: DataFrame, key: str | Sequence[str], col: str, sep: str,
               .distinct())
 
 
-def vocabulary(long: DataFrame, token: str = "token", key: str = "person_id") -> DataFrame:
-    """G1: distinct tokens with the number of keys holding each (partial aggregation,
-    so a token held by a third of all keys is combined map-side)."""
+def vocabulary(long: DataFrame, token: str = "token", key: str = "person_id",
+               approx_rsd: float | None = None) -> DataFrame:
+    """G1: distinct tokens with the number of keys holding each. Exact by default (the
+    distinct is planned on (token, key), so a token held by a third of all keys is
+    spread over many tasks); ``approx_rsd`` switches to HyperLogLog sketches
+    (``approx_count_distinct``), one small mergeable state per token and map task."""
+    if approx_rsd is not None:
+        return long.groupBy(token).agg(F.approx_count_distinct(key, approx_rsd).alias("n_keys"))
     return long.groupBy(token).agg(F.countDistinct(key).alias("n_keys"))
 
 

@@ -129,3 +129,12 @@ def test_codes_on_numeric_column(spark):
     df = spark.createDataFrame([(3,), (1,), (None,), (3,)], "grade int")
     out = [r[0] for r in EN.codes(df, {"grade": 3}, suffix="_c").select("grade_c").collect()]
     assert out == [0, 1, -1, 0]
+
+
+def test_vocabulary_exact_and_sketch(spark):
+    rows = [(p, f"t{p % 7}") for p in range(700)] + [(p, "hot") for p in range(700)]
+    long = spark.createDataFrame(rows, "person_id long, token string")
+    exact = {r["token"]: r["n_keys"] for r in TK.vocabulary(long).collect()}
+    assert exact["hot"] == 700 and exact["t3"] == 100
+    approx = {r["token"]: r["n_keys"] for r in TK.vocabulary(long, approx_rsd=0.02).collect()}
+    assert abs(approx["hot"] - 700) <= 700 * 0.08
