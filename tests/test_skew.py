@@ -47,3 +47,23 @@ def test_token_summary_with_hot_token(spark, skewed):
         held.setdefault(d, set()).add(p)
     for d, ps in held.items():
         assert got[d] == (sum(1 for p in ps if p % 2 == 1), sum(1 for p in ps if p % 2 == 0))
+
+
+def test_rollup_and_dedupe_with_hot_person(spark, skewed):
+    import datetime as dt
+    rows, df = skewed
+    got = {r["person_id"]: r["standard_concept_name"] for r in CO.recent_tokens(df, months=6).collect()}
+    base = dt.date(1970, 1, 1)
+    by_person = {}
+    for p, name, day, _ in rows:
+        by_person.setdefault(p, []).append((base + dt.timedelta(days=day), name))
+    for p, ex in by_person.items():
+        idx = max(d for d, _ in ex)
+        m, y = idx.month - 6, idx.year
+        if m <= 0:
+            m, y = m + 12, y - 1
+        import calendar
+        lo = dt.date(y, m, min(idx.day, calendar.monthrange(y, m)[1]))
+        assert got[p] == " | ".join(sorted({n for d, n in ex if d >= lo}))
+    first = {r["person_id"]: r["k"] for r in CO.keep_first(df, "person_id", [F.col("k")]).collect()}
+    assert first[0] == 0 and len(first) == len(by_person)
