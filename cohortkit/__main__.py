@@ -4,8 +4,8 @@
     split         --persons P.csv --out DIR [--validation 2000 --test 5000]
     screen        --cohort DIR --drugs D.csv --out DIR
     baselines     --cohort DIR --out DIR [--models rf,linear,ridge,elastic,svr]
-    embed         --input DIR --text-col C --key-col K --cache DIR --out DIR [--dim 64 --k 16]
-    evaluate      --input DIR --completion-col C --truth-col T --out DIR
+    embed         --input DIR --text-col C --key-col K --cache DIR --out DIR [--dim 64 --k 16 --placeholder no_drug]
+    evaluate      --input DIR --completion-col C --truth-col T --out DIR [--run-col R]
 
 CSV inputs are read with explicit schemas; dotted source names (``audit.c.score``) are
 normalised to underscores. Outputs are Parquet (tables) or JSON (metric rows).
