@@ -41,7 +41,14 @@ def c_index(df: DataFrame, y: str = "label", p: str = "prediction", by: Sequence
     hist = (df.where(F.col(y).isNotNull() & F.col(p).isNotNull())
               .groupBy(*by, F.col(y).cast("double").alias("_y"), F.col(p).cast("double").alias("_p"))
               .agg(F.count(F.lit(1)).alias("_n")))
-    lv = [r[0] for r in hist.select("_y").distinct().orderBy("_y").limit(max_levels + 1).collect()]
+    # levels and their histogram row counts in one small job (bounded by max_levels + 1)
+    lvc = [(r[0], r[1]) for r in hist.groupBy("_y").count().orderBy("_y").limit(max_levels + 1).collect()]
+    lv = [y for y, _ in lvc]
+    if buckets is None and len(lv) <= max_levels:
+        # each histogram row is expanded once per level <= its own: an exact upper bound
+        expanded = sum(cnt * (i + 1) for i, (_, cnt) in enumerate(lvc))
+        if expanded <= prefix.SINGLE_LEVEL_MAX_ROWS:
+            buckets = 1
     if len(lv) > max_levels:
         # many truth levels: the exact block / Fenwick path (no level list)
         from cohortkit.operators.concordance import c_index_continuous
