@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortkit.llm import bpe as BP
 from cohortkit.llm import chat as CH
 from cohortkit.llm import decontam as DC
 from cohortkit.llm import exact_dedup as ED
@@ -116,3 +117,20 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(
        coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
 """
+
+
+def vocab_path() -> str:
+    """Where the public vocabulary file lies."""
+    import public_tokenizers
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@register
+def op7_bpe(spark, sf_dir):
+    """The decoded text comes from the ids alone."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    ids = BP.encode(docs, vocab_path()).select(
+        "doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"))
+    return BP.decode(ids, vocab_path()).select(
+        "doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
