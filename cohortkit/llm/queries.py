@@ -11,6 +11,7 @@ from cohortkit.llm import bpe as BP
 from cohortkit.llm import chat as CH
 from cohortkit.llm import decontam as DC
 from cohortkit.llm import exact_dedup as ED
+from cohortkit.llm import langid as LI
 from cohortkit.llm.common import held_out, read_table, text_or_empty
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -134,3 +135,11 @@ def op7_bpe(spark, sf_dir):
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"))
     return BP.decode(ids, vocab_path()).select(
         "doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@register
+def op3_language_id(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    model = LI.fit(docs.where(~held_out()))
+    out = LI.predict(docs.select("doc_id", held_out().alias("held_out"), "text"), model)
+    return out.select("doc_id", "held_out", "lang_pred", "score")
