@@ -12,6 +12,7 @@ from cohortkit.llm import chat as CH
 from cohortkit.llm import decontam as DC
 from cohortkit.llm import exact_dedup as ED
 from cohortkit.llm import langid as LI
+from cohortkit.llm import toxicity as TX
 from cohortkit.llm.common import held_out, read_table, text_or_empty
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -143,3 +144,13 @@ def op3_language_id(spark, sf_dir):
     model = LI.fit(docs.where(~held_out()))
     out = LI.predict(docs.select("doc_id", held_out().alias("held_out"), "text"), model)
     return out.select("doc_id", "held_out", "lang_pred", "score")
+
+
+TOXIC_FROM = 0.3
+
+
+@register
+def op10_toxicity(spark, sf_dir):
+    out = TX.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), ~held_out())
+    return out.select("doc_id", held_out().alias("held_out"), "score",
+                      (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
