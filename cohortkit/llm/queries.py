@@ -11,6 +11,7 @@ from cohortkit.llm import bpe as BP
 from cohortkit.llm import chat as CH
 from cohortkit.llm import decontam as DC
 from cohortkit.llm import exact_dedup as ED
+from cohortkit.llm import jaccard as JA
 from cohortkit.llm import langid as LI
 from cohortkit.llm import toxicity as TX
 from cohortkit.llm.common import held_out, read_table, text_or_empty
@@ -154,3 +155,9 @@ def op10_toxicity(spark, sf_dir):
     out = TX.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), ~held_out())
     return out.select("doc_id", held_out().alias("held_out"), "score",
                       (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
+
+
+@register
+def op6_jaccard_join(spark, sf_dir):
+    out = JA.jaccard_components(read_table(spark, sf_dir, "documents"), n=4, num=85, den=100)
+    return out.select("doc_id", "n_shingles", "component_id")
