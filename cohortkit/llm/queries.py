@@ -13,6 +13,7 @@ from cohortkit.llm import decontam as DC
 from cohortkit.llm import exact_dedup as ED
 from cohortkit.llm import jaccard as JA
 from cohortkit.llm import langid as LI
+from cohortkit.llm import suffix as SU
 from cohortkit.llm import toxicity as TX
 from cohortkit.llm.common import held_out, read_table, text_or_empty
 
@@ -161,3 +162,10 @@ def op10_toxicity(spark, sf_dir):
 def op6_jaccard_join(spark, sf_dir):
     out = JA.jaccard_components(read_table(spark, sf_dir, "documents"), n=4, num=85, den=100)
     return out.select("doc_id", "n_shingles", "component_id")
+
+
+@register
+def op8_suffix_dedup(spark, sf_dir):
+    out = SU.remove_repeats(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+                      F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
