@@ -13,6 +13,7 @@ from cohortkit.llm import decontam as DC
 from cohortkit.llm import exact_dedup as ED
 from cohortkit.llm import jaccard as JA
 from cohortkit.llm import langid as LI
+from cohortkit.llm import pii as PI
 from cohortkit.llm import suffix as SU
 from cohortkit.llm import toxicity as TX
 from cohortkit.llm.common import held_out, read_table, text_or_empty
@@ -169,3 +170,13 @@ def op8_suffix_dedup(spark, sf_dir):
     out = SU.remove_repeats(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
                       F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@register
+def op2_personal_data(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = PI.personal_data(docs, kinds=PI.KINDS[:4])
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    return out.select("doc_id", *[count(k) for k in PI.KINDS[:4]],
+                      F.sha2(PI.span_text(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+                      PI.span_text(F.array_distinct(F.concat("base", "added"))).alias("spans"))
