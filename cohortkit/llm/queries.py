@@ -11,6 +11,7 @@ from cohortkit.llm import bpe as BP
 from cohortkit.llm import chat as CH
 from cohortkit.llm import decontam as DC
 from cohortkit.llm import exact_dedup as ED
+from cohortkit.llm import htmltext as HT
 from cohortkit.llm import jaccard as JA
 from cohortkit.llm import langid as LI
 from cohortkit.llm import pii as PI
@@ -180,3 +181,10 @@ def op2_personal_data(spark, sf_dir):
     return out.select("doc_id", *[count(k) for k in PI.KINDS[:4]],
                       F.sha2(PI.span_text(F.col("base")).cast("binary"), 256).alias("base_sha256"),
                       PI.span_text(F.array_distinct(F.concat("base", "added"))).alias("spans"))
+
+
+@register
+def op9_html_text(spark, sf_dir):
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    out = HT.extract(pages, HT.fit_extractor(pages))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
