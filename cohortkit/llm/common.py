@@ -42,3 +42,23 @@ def fitting_broadcast(df: DataFrame, rows: int, row_bytes: int, limit: int = 64
     """Hint a broadcast only where the counted rows times the row width stay under
     ``limit`` bytes; otherwise the join is left to shuffle."""
     return F.broadcast(df) if rows * row_bytes <= limit else df
+
+
+def text_key(text: str | Column = "text") -> Column:
+    """Stands for a row's text beside its id."""
+    return F.xxhash64(text_or_empty(text)).alias("tk")
+
+
+def without_rows(docs: DataFrame, keys: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows whose id and text key are in ``keys`` (doc_id, tk)."""
+    return _by_keys(docs, keys, id_col, text_col, "left_anti")
+
+
+def only_rows(docs: DataFrame, keys: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    return _by_keys(docs, keys, id_col, text_col, "left_semi")
+
+
+def _by_keys(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str, how: str) -> DataFrame:
+    keys = staged(keys.select(F.col("doc_id").alias("__id"), F.col("tk").alias("__tk")).distinct(), "keys")
+    same = docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(text_or_empty(docs[text_col])) == F.col("__tk"))
+    return docs.join(fitting_broadcast(keys, keys.count(), 40), same, how)

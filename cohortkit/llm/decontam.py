@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortkit.llm.common import fitting_broadcast, staged, text_or_empty
+from cohortkit.llm.common import fitting_broadcast, staged, text_key, text_or_empty, without_rows
 
 WINDOW = 10
 SHINGLE = 3
@@ -38,7 +38,7 @@ def _shingle(k: Column, at: Column) -> Column:
 
 def _key() -> list[Column]:
     """Rows with one id and one text are judged once; a hash stands for the text."""
-    return [F.col("doc_id"), F.xxhash64(text_or_empty("text")).alias("tk")]
+    return [F.col("doc_id"), text_key()]
 
 
 def windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -128,3 +128,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     return (base.join(found, F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("tk") == F.col("h_tk")), "left")
             .select("doc_id", "tk", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
                     F.coalesce("item_ids", none).alias("item_ids")))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``docs`` without the rows in which an item's window occurs."""
+    return without_rows(docs, decontaminate(docs, benchmark, window).where("n_hit > 0"))

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortkit.llm.common import staged, text_or_empty
+from cohortkit.llm.common import only_rows, staged, text_key, text_or_empty, without_rows
 
 SHARD_ROWS = 1 << 16          # digests per shard, on average
 GAMMA = 2.0                   # bits per remaining key at each level
@@ -96,8 +96,8 @@ def find_slots(digests: bytes, sizes: list[int], bits: list[np.ndarray]) -> np.n
 
 # ---------------------------------------------------------------- Spark side
 def digest_rows(docs: DataFrame, id_col: str = "doc_id", text: str | Column = "text") -> DataFrame:
-    """id, digest and a row number that stays fixed because the table is written."""
-    return staged(docs.select(F.col(id_col).cast("long").alias("doc_id"),
+    """id, text key, digest and a row number that stays fixed because the table is written."""
+    return staged(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(text),
                               F.unhex(F.sha2(text_or_empty(text).cast("binary"), 256)).alias("digest"),
                               F.monotonically_increasing_id().alias("row")), "digests")
 
@@ -176,7 +176,7 @@ def lookup(index: DataFrame, incoming_groups: DataFrame) -> DataFrame:
 
 def exact_dedup(docs: DataFrame, historical: Column, id_col: str = "doc_id",
                 text: str | Column = "text", shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """doc_id, digest, keep_id, group_size, kept, historical for every row of ``docs``.
+    """doc_id, tk, digest, keep_id, group_size, kept, historical for every row of ``docs``.
 
     ``historical`` marks the rows whose digests make up the index (it may use the id
     column only, as ``doc_id``); the other rows are looked up in it. Either way a group's
@@ -190,5 +190,15 @@ def exact_dedup(docs: DataFrame, historical: Column, id_col: str = "doc_id",
     index = build_index(digest_groups(rows.where(marked), shards))
     groups = staged(lookup(index, digest_groups(rows.where(~marked), shards)), "groups")
     return (rows.join(groups, "digest")
-            .select("doc_id", "digest", "keep_id", "group_size",
+            .select("doc_id", "tk", "digest", "keep_id", "group_size",
                     (F.col("row") == F.col("keep_row")).alias("kept"), "historical"))
+
+
+def drop_copies(docs: DataFrame, historical: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of equal texts; of rows that share id and text
+    any one stays."""
+    per = staged(exact_dedup(docs, historical, id_col, text_col).groupBy("doc_id", "tk").agg(
+        F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")), "verdicts")
+    twice = per.where("kept and n > 1")
+    once = without_rows(docs, per.where("not kept or n > 1"), id_col, text_col)
+    return once.unionByName(only_rows(docs, twice, id_col, text_col).dropDuplicates([id_col, text_col]))

@@ -35,9 +35,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SAMPLE_PAGES = 300
+SAMPLE_PAGES = 200
 SAMPLE_CHARS = 100_000
-TREES, DEPTH, RATE, BINS = 40, 4, 0.25, 32
+TREES, DEPTH, RATE, BINS = 30, 4, 0.3, 32
 ATTR_BUCKETS = 16
 
 # Elements.

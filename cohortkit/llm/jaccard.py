@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from cohortkit.llm.common import fitting_broadcast, staged, text_or_empty
+from cohortkit.llm.common import fitting_broadcast, staged, text_key, text_or_empty, without_rows
 from cohortkit.llm.components import components
 
 CHUNK_BYTES = 4 << 20
@@ -129,17 +129,18 @@ def _chunks(texts: pa.StringArray) -> Iterator[tuple[int, int, np.ndarray, np.nd
 
 
 def set_rows(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, set_id, n_shingles of every row."""
+    """doc_id, tk, set_id, n_shingles of every row (doc_id, tk, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, rows, data, ends in _chunks(batch.column(1)):
+            for a, rows, data, ends in _chunks(batch.column(2)):
                 grams, sizes = ngram_sets(data, ends, n)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, rows), pa.array(set_ids(grams, sizes)), pa.array(sizes)],
-                    ["doc_id", "set_id", "n_shingles"])
+                    [batch.column(0).slice(a, rows), batch.column(1).slice(a, rows),
+                     pa.array(set_ids(grams, sizes)), pa.array(sizes)],
+                    ["doc_id", "tk", "set_id", "n_shingles"])
 
-    return docs.mapInArrow(run, "doc_id long, set_id long, n_shingles long")
+    return docs.mapInArrow(run, "doc_id long, tk long, set_id long, n_shingles long")
 
 
 # ---------------------------------------------------------------- signatures
@@ -217,12 +218,12 @@ def _empty_pairs(sets: np.ndarray, groups: np.ndarray, keys: np.ndarray) -> tupl
 
 
 def signature_rows(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """sig, set_id; a task hands on each set once."""
+    """sig, set_id of rows (text); a task hands on each set once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(0, np.int64)
         for batch in batches:
-            for _, _, data, ends in _chunks(batch.column(1)):
+            for _, _, data, ends in _chunks(batch.column(0)):
                 grams, sizes = ngram_sets(data, ends, n)
                 ids = set_ids(grams, sizes)
                 fresh = np.zeros(len(ids), bool)
@@ -275,48 +276,62 @@ def verified(pairs: DataFrame, contents: DataFrame, num: int, den: int) -> DataF
 
 def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
                        id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, set_id, component_id (smallest id reachable over links)."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    """doc_id, tk, n_shingles, set_id, component_id (smallest id reachable over links), and
+    ``first``: whether the row is the component's first one by id and text key."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(text_col),
+                       text_or_empty(text_col).alias("text"))
     sets = staged(set_rows(rows, n), "sets")
     classes = staged(sets.where("n_shingles > 0").groupBy("set_id")
-                     .agg(F.min("doc_id").alias("first_id")), "classes")
+                     .agg(F.min(F.struct("doc_id", "tk")).alias("first_row")), "classes")
 
     # buckets that two different sets share; the hub is the smallest set of the bucket
     by_sig = W.partitionBy("sig")
-    shared = (signature_rows(rows, n, num, den)
+    shared = (signature_rows(rows.select("text"), n, num, den)
               .select("sig", "set_id", F.min("set_id").over(by_sig).alias("hub"),
                       F.max("set_id").over(by_sig).alias("last"))
               .where("hub <> last").select("sig", "set_id", "hub").distinct())
     shared = staged(shared, "shared")
-    members = staged(shared.select("set_id").distinct().join(classes, "set_id"), "members")
-    chosen = fitting_broadcast(members.select("set_id", F.col("first_id").alias("doc_id")), members.count(), 48)
+    members = staged(shared.select("set_id").distinct().join(classes, "set_id")
+                     .select("set_id", "first_row.*"), "members")
+    chosen = fitting_broadcast(members, members.count(), 56)
     contents = staged(set_contents(
-        rows.join(chosen, "doc_id").select("set_id", "text"), n).dropDuplicates(["set_id"]), "contents")
+        rows.join(chosen, rows["doc_id"].eqNullSafe(chosen["doc_id"]) & (rows["tk"] == chosen["tk"]))
+        .select("set_id", "text"), n).dropDuplicates(["set_id"]), "contents")
 
     # each set against one hub, then sets of a bucket that are in different components
     hubs = (shared.where("set_id <> hub").groupBy("set_id", "hub").agg(F.count(F.lit(1)).alias("n"))
             .groupBy("set_id").agg(F.max_by("hub", F.struct("n", "hub")).alias("hub")))
     stars = staged(hubs.select(F.col("hub").alias("a"), F.col("set_id").alias("b")), "stars")
     links = staged(verified(stars, contents, num, den), "star_links")
-    part = components(links)
-    placed = (shared.join(part, shared["set_id"] == part["node"], "left")
-              .select("sig", "set_id", F.coalesce("component", "set_id").alias("component")))
-    open_sigs = placed.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")) \
-        .where("lo <> hi").select("sig")
-    rest = staged(placed.join(open_sigs, "sig"), "rest")
-    a, b = rest.select("sig", F.col("set_id").alias("a"), F.col("component").alias("ca")), \
-        rest.select("sig", F.col("set_id").alias("b"), F.col("component").alias("cb"))
-    crossed = (a.join(b, "sig").where("a < b and ca <> cb").select("a", "b").distinct()
-               .join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")),
-                     ["a", "b"], "left_anti"))
-    more = staged(verified(staged(crossed, "crossed"), contents, num, den), "cross_links")
+    crossed = staged(_crossed(shared, stars, components(links)), "crossed")
+    more = staged(verified(crossed, contents, num, den), "cross_links")
     joined = components(links.union(more))
     least = (joined.join(classes, joined["node"] == classes["set_id"])
-             .groupBy("component").agg(F.min("first_id").alias("least")))
+             .groupBy("component").agg(F.min("first_row").alias("least")))
     final = staged(classes.join(joined, classes["set_id"] == joined["node"], "left")
                    .join(least, "component", "left")
-                   .select("set_id", F.coalesce("least", "first_id").alias("component_id")), "final")
+                   .select("set_id", F.coalesce("least", "first_row").alias("least")), "final")
+    some = F.col("n_shingles") > 0
     return (sets.join(final, "set_id", "left")
-            .select("doc_id", "n_shingles", "set_id",
-                    F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-                    .alias("component_id")))
+            .select("doc_id", "tk", "n_shingles", "set_id",
+                    F.when(some, F.col("least.doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
+                    (~some | F.struct("doc_id", "tk").eqNullSafe(F.col("least"))).alias("first")))
+
+
+def _crossed(shared: DataFrame, done: DataFrame, part: DataFrame) -> DataFrame:
+    """Pairs of sets that share a bucket, are in different components and not in ``done``."""
+    placed = (shared.join(part, shared["set_id"] == part["node"], "left")
+              .select("sig", "set_id", F.coalesce("component", "set_id").alias("component")))
+    open_sigs = (placed.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+                 .where("lo <> hi").select("sig"))
+    rest = staged(placed.join(open_sigs, "sig"), "rest")
+    a = rest.select("sig", F.col("set_id").alias("a"), F.col("component").alias("ca"))
+    b = rest.select("sig", F.col("set_id").alias("b"), F.col("component").alias("cb"))
+    tried = done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return (a.join(b, "sig").where("a < b and ca <> cb").select("a", "b").distinct()
+            .join(tried, ["a", "b"], "left_anti"))
+
+
+def drop_near_copies(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """``docs`` with the first row of each component (repeated rows stay repeated)."""
+    return without_rows(docs, jaccard_components(docs, n, num, den).where(~F.col("first")))

@@ -276,3 +276,9 @@ def predict(df: DataFrame, model: Model, text_col: str = "text", penalty: float
                                T.StructField("start", T.LongType()), T.StructField("end", T.LongType()),
                                T.StructField("lang", T.StringType())])))])
     return df.select(*names, text_col).mapInArrow(run, schema)
+
+
+def drop_unknown(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows in which no language is found."""
+    found = predict(docs.withColumn("__text", F.col(text_col)), model, "__text")
+    return found.where(F.col("lang_pred") != UND).select(*docs.columns)
