@@ -33,6 +33,8 @@ def components(links: DataFrame) -> DataFrame:
     """node, component (its smallest node) of all nodes of ``links`` (a, b)."""
     now = staged(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
                  .where("u <> v").distinct(), "links")
+    if now.isEmpty():
+        return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     seen = None
     for _ in range(MAX_ROUNDS):
         now = staged(_stars(_stars(now, True), False), "stars")

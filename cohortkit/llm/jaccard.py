@@ -1,21 +1,30 @@
 """Exact Jaccard join of word n-gram sets by PartEnum signatures.
 
-Sets are put into size bands so wide that two sets with the wanted similarity lie in one
-band or in neighbouring ones; a set takes part in the band of its own size and in the next
-one. In a band the similarity bounds the sets' symmetric difference by ``k``. The feature
-domain is hashed into ``groups`` groups of three parts. As a group with at most one
-difference leaves two of its three parts equal, and ``groups`` is chosen so that at least
-two groups have at most one, similar sets agree on a pair of parts in two groups or more.
-A signature is such a pair's content. Pairs of parts that are empty would be shared by
-many sets; they are only used two by two, from different groups (two agreeing groups are
-both empty, or one of them is not), which keeps the join whole and these keys rare.
-
-Sets that are equal form a class and take part once. In a bucket (sets with one signature)
-no pairs are enumerated at first: each set is compared with one hub, the bucket minimum it
-shares most buckets with, and components are formed from the verified links. Only sets of
-one bucket that are still in different components are compared with each other. So a large
-group of near copies costs comparisons in proportion to its size, and no link that joins
-two components is lost.
+Sets that are equal form a class and take part once. An n-gram that only one class has is
+in no intersection: a set whose ``u`` such n-grams leave ``size - u`` below the wanted share
+of its size can be linked with nothing. This is tested first with the n-grams of a quarter
+of the hash domain (a lower bound of ``u``), then, among the sets that are left, with all of
+them; unique n-grams are found by a map-side combined minimum and maximum of the classes.
+What is left of a set without its unique n-grams goes on.
+
+Signatures. Sets are put into size bands so wide that two sets with the wanted similarity
+lie in one band or in neighbouring ones; a set takes part in the band of its own size and
+in the next one. In a band the similarity bounds the sets' symmetric difference by ``k``.
+The feature domain is hashed into ``groups`` groups of three parts. As a group with at most
+one difference leaves two of its three parts equal, and ``groups`` is chosen so that at
+least two groups have at most one, similar sets agree on a pair of parts in two groups or
+more. A signature is such a pair's content. Pairs of parts that are empty would be shared
+by many sets; they are only used two by two, from different groups (two agreeing groups
+are both empty, or one of them is not), which keeps the join whole and these keys rare.
+
+Comparison. In a bucket (sets with one signature) no pairs are enumerated at first: each
+set is compared with one hub, the bucket minimum it shares most buckets with, and
+components are formed from the verified links. Buckets that still hold several components
+are joined to clusters; a cluster's sets are dealt into blocks of bounded size and compared
+block by block inside the tasks, which hand on links only. So a large group of near copies
+costs one comparison a set where they are linked, and where they are just below the
+similarity it costs block products but no rows for pairs. No link that joins two
+components is lost.
 
 Edge cases: texts with fewer words than the n-gram are one n-gram; null texts and texts
 without words have an empty set and are linked with nothing; a null id stays null; repeated
@@ -27,6 +36,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +48,9 @@ from cohortkit.llm.components import components
 CHUNK_BYTES = 4 << 20
 PARTS = 3                      # parts of a group; two of them make a signature
 AGREE = 2                      # groups on which similar sets agree at least
+SAMPLED = 4                    # the first test of unique n-grams takes one hash in so many
+BLOCK_SETS, BLOCK_BYTES = 1024, 4 << 20
+COLUMNS = 4096                 # n-grams of a block product at once
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _rng = np.random.default_rng(20240229)
 BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
@@ -154,14 +167,16 @@ def bands(most: int, num: int, den: int) -> np.ndarray:
     return np.array(last, np.int64)
 
 
-def signatures(grams: np.ndarray, sizes: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """(number of the set, signature) of all signatures of the sets."""
-    if not len(grams):
+def signatures(grams: np.ndarray, held: np.ndarray, sizes: np.ndarray, num: int,
+               den: int) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the set, signature) of all signatures. ``held``: n-grams of each set in
+    ``grams``; ``sizes``: with those that no other set has."""
+    if not len(sizes):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     ends = bands(int(sizes.max()), num, den)
     ends = np.append(ends, (ends[-1] + 1) * den // num)
     own = np.searchsorted(ends, sizes)
-    sets = np.repeat(np.arange(len(sizes)), sizes)
+    sets = np.repeat(np.arange(len(sizes)), held)
     parted = mix(grams ^ WORD_AT[41])
     value = mix(grams ^ WORD_AT[42])
     out_set, out_sig = [], []
@@ -217,8 +232,25 @@ def _empty_pairs(sets: np.ndarray, groups: np.ndarray, keys: np.ndarray) -> tupl
     return np.concatenate(out_set), np.concatenate(out_sig)
 
 
-def signature_rows(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """sig, set_id of rows (text); a task hands on each set once."""
+def signature_rows(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """sig, set_id of rows (set_id, size, grams)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column(1).to_numpy()
+            for a, rows, data, ends in _chunks(batch.column(2)):
+                held = np.diff(np.append(0, ends)) // 8
+                who, sig = signatures(np.frombuffer(data.tobytes(), np.uint64), held, sizes[a:a + rows], num, den)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(sig.view(np.int64)), batch.column(0).slice(a, rows).take(pa.array(who))],
+                    ["sig", "set_id"])
+
+    return sets.mapInArrow(run, "sig long, set_id long")
+
+
+# ---------------------------------------------------------------- unique n-grams
+def sampled_grams(rows: DataFrame, n: int) -> DataFrame:
+    """gram, set_id of one n-gram hash in SAMPLED, of rows (text); a task hands on each set once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(0, np.int64)
@@ -230,17 +262,43 @@ def signature_rows(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
                 fresh[np.unique(ids, return_index=True)[1]] = True
                 fresh &= ~np.isin(ids, seen)
                 seen = np.union1d(seen, ids)
-                grams, sizes, ids = grams[np.repeat(fresh, sizes)], sizes[fresh], ids[fresh]
-                who, sig = signatures(grams, sizes, num, den)
-                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(ids[who])],
-                                                 ["sig", "set_id"])
+                pick = np.repeat(fresh, sizes) & (grams % np.uint64(SAMPLED) == 0)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(grams[pick].view(np.int64)), pa.array(np.repeat(ids, sizes)[pick])],
+                    ["gram", "set_id"])
+
+    return rows.mapInArrow(run, "gram long, set_id long")
+
+
+def all_grams(contents: DataFrame) -> DataFrame:
+    """gram, set_id of rows (set_id, grams)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, rows, data, ends in _chunks(batch.column(1)):
+                held = np.diff(np.append(0, ends)) // 8
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.frombuffer(data.tobytes(), np.int64)),
+                     batch.column(0).slice(a, rows).take(pa.array(np.repeat(np.arange(rows), held)))],
+                    ["gram", "set_id"])
+
+    return contents.select("set_id", "grams").mapInArrow(run, "gram long, set_id long")
+
 
-    return docs.mapInArrow(run, "sig long, set_id long")
+def unique_grams(grams: DataFrame) -> DataFrame:
+    """gram, set_id of the n-grams that one set only has."""
+    return (grams.groupBy("gram").agg(F.min("set_id").alias("set_id"), F.max("set_id").alias("last"))
+            .where("set_id = last").select("gram", "set_id"))
 
 
-# ---------------------------------------------------------------- verification
+def may_link(size, unique, num: int, den: int):
+    """The set's other n-grams can still be the wanted share of a union."""
+    return F.lit(den) * (size - unique) >= F.lit(num) * size
+
+
+# ---------------------------------------------------------------- comparison
 def set_contents(docs: DataFrame, n: int) -> DataFrame:
-    """set_id, grams (sorted 64-bit hashes) of rows (set_id, text)."""
+    """set_id, size, grams (sorted 64-bit hashes) of rows (set_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -248,30 +306,102 @@ def set_contents(docs: DataFrame, n: int) -> DataFrame:
                 grams, sizes = ngram_sets(data, ends, n)
                 parts = np.split(grams, np.cumsum(sizes)[:-1])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, rows), pa.array([p.tobytes() for p in parts], pa.binary())],
-                    ["set_id", "grams"])
+                    [batch.column(0).slice(a, rows), pa.array(sizes),
+                     pa.array([p.tobytes() for p in parts], pa.binary())], ["set_id", "size", "grams"])
+
+    return docs.mapInArrow(run, "set_id long, size long, grams binary")
 
-    return docs.mapInArrow(run, "set_id long, grams binary")
 
+def reduced_sets(contents: DataFrame, num: int, den: int) -> DataFrame:
+    """set_id, size, grams without unique ones, of the sets that may link with others."""
+    unique = (unique_grams(all_grams(contents)).groupBy("set_id")
+              .agg(F.count(F.lit(1)).alias("u"), F.collect_list("gram").alias("unique")))
+    left = (contents.join(unique, "set_id", "left")
+            .where(may_link(F.col("size"), F.coalesce("u", F.lit(0)), num, den))
+            .select("set_id", "size", "grams", "unique"))
 
-def verified(pairs: DataFrame, contents: DataFrame, num: int, den: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for i, raw in enumerate(batch.column(2).to_pylist()):
+                grams, drop = np.frombuffer(raw, np.uint64), batch.column(3)[i].values
+                if drop is not None and len(drop):
+                    grams = np.setdiff1d(grams, drop.to_numpy().view(np.uint64), assume_unique=True)
+                out.append(grams.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())],
+                                             ["set_id", "size", "grams"])
+
+    return left.mapInArrow(run, "set_id long, size long, grams binary")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose sets have den * intersection >= num * union."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            left, right, sizes = batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_numpy()
             ok = np.zeros(len(left), bool)
             for i, (x, y) in enumerate(zip(left, right)):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.concatenate((x, y))
+                both = np.concatenate((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)))
                 both.sort()
                 shared = int((both[1:] == both[:-1]).sum())
-                ok[i] = den * shared >= num * (len(both) - shared)
+                ok[i] = den * shared >= num * (sizes[i] - shared)
             yield batch.select(["a", "b"]).filter(pa.array(ok))
 
-    side = lambda c: contents.select(F.col("set_id").alias(c), F.col("grams").alias(f"g_{c}"))
-    return (pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "g_a", "g_b")
-            .mapInArrow(run, "a long, b long"))
+    side = lambda c: sets.select(F.col("set_id").alias(c), F.col("grams").alias(f"g_{c}"),
+                                 F.col("size").alias(f"n_{c}"))
+    return (pairs.join(side("a"), "a").join(side("b"), "b")
+            .select("a", "b", "g_a", "g_b", (F.col("n_a") + F.col("n_b")).alias("n")).mapInArrow(run, "a long, b long"))
+
+
+def _compare_blocks(num: int, den: int):
+    """Links between different components of one block or of two."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = [np.frombuffer(g, np.uint64) for g in pdf["grams"]]
+        row = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+        _, column = np.unique(np.concatenate(parts), return_inverse=True)
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        shared = np.zeros((len(parts), len(parts)), np.float32)
+        for first in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+            a, b = np.searchsorted(column, (first, first + COLUMNS))
+            part = np.zeros((len(parts), COLUMNS), np.float32)
+            part[row[a:b], column[a:b] - first] = 1
+            shared += part @ part.T
+        size, block = pdf["size"].to_numpy(), pdf["block"].to_numpy()
+        shared = shared.astype(np.int64)
+        ok = den * shared >= num * (size[:, None] + size[None, :] - shared)
+        comp = pdf["component"].to_numpy()
+        ok &= np.triu(comp[:, None] != comp[None, :], 1)
+        if pdf["p"].iloc[0] != pdf["q"].iloc[0]:
+            ok &= block[:, None] != block[None, :]     # each block's own pairs have their own task
+        i, j = np.nonzero(ok)
+        ids = pdf["set_id"].to_numpy()
+        return pd.DataFrame({"a": ids[i], "b": ids[j]})
+
+    return run
+
+
+def _cluster_links(shared: DataFrame, part: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links between sets that share a bucket and are in different components."""
+    placed = staged(shared.join(part, shared["set_id"] == part["node"], "left")
+                    .select("sig", "set_id", "hub", F.coalesce("component", "set_id").alias("component")), "placed")
+    open_sigs = (placed.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+                 .where("lo <> hi").select("sig"))
+    rest = staged(placed.join(open_sigs, "sig").select("set_id", "hub", "component").distinct(), "rest")
+    cluster = staged(components(rest.select(F.col("hub").alias("a"), F.col("set_id").alias("b"))), "clusters")
+    members = staged(cluster.select(F.col("node").alias("set_id"), F.col("component").alias("cluster"))
+                     .join(rest.groupBy("set_id").agg(F.min("component").alias("component")), "set_id")
+                     .join(sets, "set_id"), "cluster_sets")
+    size = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum(F.octet_length("grams")) / BLOCK_BYTES))
+    blocks = members.groupBy("cluster").agg(size.cast("int").alias("blocks"))
+    dealt = (members.join(blocks, "cluster")
+             .withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+             .select("cluster", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"),
+                     "block", "set_id", "component", "size", "grams"))
+    return dealt.groupBy("cluster", "p", "q").applyInPandas(_compare_blocks(num, den), "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
@@ -281,30 +411,33 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(text_col),
                        text_or_empty(text_col).alias("text"))
     sets = staged(set_rows(rows, n), "sets")
-    classes = staged(sets.where("n_shingles > 0").groupBy("set_id")
-                     .agg(F.min(F.struct("doc_id", "tk")).alias("first_row")), "classes")
+    classes = staged(sets.where("n_shingles > 0").groupBy("set_id").agg(
+        F.min(F.struct("doc_id", "tk")).alias("first_row"), F.max("n_shingles").alias("size")), "classes")
+
+    # sets that their unique n-grams keep from any link go, the others are read again
+    some_unique = unique_grams(sampled_grams(rows.select("text"), n)).groupBy("set_id").agg(F.count(F.lit(1)).alias("u"))
+    chosen = staged(classes.join(some_unique, "set_id", "left")
+                    .where(may_link(F.col("size"), F.coalesce("u", F.lit(0)), num, den))
+                    .select("set_id", "first_row.*"), "chosen")
+    small = fitting_broadcast(chosen, chosen.count(), 56)
+    contents = staged(set_contents(
+        rows.join(small, rows["doc_id"].eqNullSafe(small["doc_id"]) & (rows["tk"] == small["tk"]))
+        .select("set_id", "text"), n).dropDuplicates(["set_id"]), "contents")
+    reduced = staged(reduced_sets(contents, num, den), "reduced")
 
     # buckets that two different sets share; the hub is the smallest set of the bucket
     by_sig = W.partitionBy("sig")
-    shared = (signature_rows(rows.select("text"), n, num, den)
-              .select("sig", "set_id", F.min("set_id").over(by_sig).alias("hub"),
-                      F.max("set_id").over(by_sig).alias("last"))
-              .where("hub <> last").select("sig", "set_id", "hub").distinct())
-    shared = staged(shared, "shared")
-    members = staged(shared.select("set_id").distinct().join(classes, "set_id")
-                     .select("set_id", "first_row.*"), "members")
-    chosen = fitting_broadcast(members, members.count(), 56)
-    contents = staged(set_contents(
-        rows.join(chosen, rows["doc_id"].eqNullSafe(chosen["doc_id"]) & (rows["tk"] == chosen["tk"]))
-        .select("set_id", "text"), n).dropDuplicates(["set_id"]), "contents")
+    shared = staged(signature_rows(reduced, num, den)
+                    .select("sig", "set_id", F.min("set_id").over(by_sig).alias("hub"),
+                            F.max("set_id").over(by_sig).alias("last"))
+                    .where("hub <> last").select("sig", "set_id", "hub"), "shared")
 
-    # each set against one hub, then sets of a bucket that are in different components
+    # each set against one hub, then what is still apart in a bucket, block by block
     hubs = (shared.where("set_id <> hub").groupBy("set_id", "hub").agg(F.count(F.lit(1)).alias("n"))
             .groupBy("set_id").agg(F.max_by("hub", F.struct("n", "hub")).alias("hub")))
-    stars = staged(hubs.select(F.col("hub").alias("a"), F.col("set_id").alias("b")), "stars")
-    links = staged(verified(stars, contents, num, den), "star_links")
-    crossed = staged(_crossed(shared, stars, components(links)), "crossed")
-    more = staged(verified(crossed, contents, num, den), "cross_links")
+    stars = hubs.select(F.col("hub").alias("a"), F.col("set_id").alias("b"))
+    links = staged(verified(stars, reduced, num, den), "star_links")
+    more = staged(_cluster_links(shared, components(links), reduced, num, den), "cluster_links")
     joined = components(links.union(more))
     least = (joined.join(classes, joined["node"] == classes["set_id"])
              .groupBy("component").agg(F.min("first_row").alias("least")))
@@ -318,20 +451,6 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
                     (~some | F.struct("doc_id", "tk").eqNullSafe(F.col("least"))).alias("first")))
 
 
-def _crossed(shared: DataFrame, done: DataFrame, part: DataFrame) -> DataFrame:
-    """Pairs of sets that share a bucket, are in different components and not in ``done``."""
-    placed = (shared.join(part, shared["set_id"] == part["node"], "left")
-              .select("sig", "set_id", F.coalesce("component", "set_id").alias("component")))
-    open_sigs = (placed.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-                 .where("lo <> hi").select("sig"))
-    rest = staged(placed.join(open_sigs, "sig"), "rest")
-    a = rest.select("sig", F.col("set_id").alias("a"), F.col("component").alias("ca"))
-    b = rest.select("sig", F.col("set_id").alias("b"), F.col("component").alias("cb"))
-    tried = done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return (a.join(b, "sig").where("a < b and ca <> cb").select("a", "b").distinct()
-            .join(tried, ["a", "b"], "left_anti"))
-
-
 def drop_near_copies(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``docs`` with the first row of each component (repeated rows stay repeated)."""
     return without_rows(docs, jaccard_components(docs, n, num, den).where(~F.col("first")))
