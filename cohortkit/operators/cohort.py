@@ -124,7 +124,8 @@ def recent_tokens(exposures: DataFrame, by: str = "person_id", name: str = "conc
     The index date is a per-person max (partial aggregation, one row per person) joined
     back -- a person with a third of all rows is split by the skew-join, never buffered
     whole in one window. The packed list is bounded by the vocabulary (``collect_set``
-    combines map-side).
+    combines map-side). ``exposures`` is read twice: pass a materialised frame if it is
+    the result of joins.
     """
     if index_date is None:
         index_date = exposures.groupBy(by).agg(F.max(date).alias("_idx"))
@@ -134,7 +135,7 @@ def recent_tokens(exposures: DataFrame, by: str = "person_id", name: str = "conc
     x = x.where(F.col(date) >= F.add_months(F.col("_idx"), -months))
     return x.groupBy(by).agg(
         F.array_join(F.array_sort(F.collect_set(name)), sep).alias(out),
-        F.countDistinct(name).alias("n_names"))
+        F.size(F.collect_set(name)).cast("long").alias("n_names"))
 
 
 # ---------------------------------------------------------------- set ops, dedupe, profile
@@ -153,7 +154,7 @@ def set_union(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def set_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows of a not in b (EXCEPT DISTINCT)."""
-    return a.exceptAll(b).distinct()
+    return a.select(*b.columns).subtract(b)
 
 
 def keep_first(df: DataFrame, key: str | Sequence[str], order: Sequence[Column]) -> DataFrame:

@@ -143,7 +143,7 @@ def embed_with_cache(spark: SparkSession, df: DataFrame, text_col: str, key: str
     n_new = new.count()
     if n_new:
         append_cache(new, cache_path)
-    cache = read_cache(spark, cache_path, encoder.name).select("text_key", "vector")
+    cache = read_cache(spark, cache_path, encoder.name).select("text_key", "vector").dropDuplicates(["text_key"])
     keyed = df.withColumn("text_key", text_key(text_col))
     from cohortkit.operators.cohort import lookup
     return lookup(keyed, cache, "text_key", max_broadcast_rows=max_broadcast_rows), n_new

@@ -87,9 +87,10 @@ def train_stats(df: DataFrame, cols: Sequence[str], split_col: str | None = "spl
 
 
 def zscore(df: DataFrame, stats_row, cols: Sequence[str], suffix: str = "_z") -> DataFrame:
-    """(x - mean) / std with train statistics (a collected one-row aggregate)."""
-    return df.withColumns({c + suffix: (F.col(c) - F.lit(stats_row[f"{c}_mean"]))
-                           / F.lit(stats_row[f"{c}_std"]) for c in cols})
+    """(x - mean) / std with train statistics (a collected one-row aggregate). A
+    constant column has no scale: its z-score is null."""
+    return df.withColumns({c + suffix: F.try_divide(F.col(c) - F.lit(stats_row[f"{c}_mean"]),
+                                                    F.lit(stats_row[f"{c}_std"])) for c in cols})
 
 
 def row_norm(cols: Sequence[str], eps: float = 1e-5) -> list[Column]:

@@ -52,11 +52,13 @@ def _topk(q: np.ndarray, qid: np.ndarray, d: np.ndarray, did: np.ndarray, k: int
         for s in range(0, len(q), step):
             qb, ib = q[s:s + step], qid[s:s + step]
             d2 = (qb * qb).sum(1)[:, None] + dn[None, :] - 2.0 * qb @ d.T
-            m = min(len(d), k + 8)
-            cand = (np.argpartition(d2, m - 1, axis=1)[:, :m] if m < len(d)
-                    else np.tile(np.arange(len(d)), (len(qb), 1)))
+            # every point up to the k-th distance (self may be one more), with a margin for
+            # rounding: all of a tie must reach the exact ordering by distance and id
+            m = min(len(d), k + 1)
+            bound = np.partition(d2, m - 1, axis=1)[:, m - 1]
+            bound = bound + 1e-9 * ((qb * qb).sum(1) + dn.max() + 1.0)
             for r in range(len(qb)):
-                c = cand[r]
+                c = np.flatnonzero(d2[r] <= bound[r])
                 c = c[did[c] != ib[r]]
                 exact = np.sqrt(((d[c] - qb[r]) ** 2).sum(1))
                 order = np.lexsort((did[c], exact))[:k]

@@ -147,6 +147,8 @@ def bh(df: DataFrame, p: str = "p_value", by: Sequence[str] = ("feature_group",)
     Null p stays out of m and gets a null q. Both scans are two-level prefix scans, so
     a group with millions of features is not one task.
     """
+    from cohortkit.session import materialise
+    df = materialise(df)  # read twice and joined on p: both must see the same doubles
     by = list(by)
     valid = df.where(F.col(p).isNotNull())
     hist = valid.groupBy(*by, F.col(p).alias("_p")).agg(F.count(F.lit(1)).alias("_cnt"))
@@ -176,8 +178,9 @@ def neg_log10(col: str = "p_value_corrected") -> Column:
 # ---------------------------------------------------------------- A7
 def feature_stats(cohort: DataFrame, categorical: Mapping[str, object], continuous: Sequence[str],
                   token_cols: Mapping[str, tuple[str, str]], group: str = "group",
-                  level_source: DataFrame | None = None) -> DataFrame:
-    """A1-A4 for every feature: (feature_group, feature, log2fc, p_value).
+                  level_source: DataFrame | None = None, unique_key: bool = True) -> DataFrame:
+    """A1-A4 for every feature: (feature_group, feature, log2fc, p_value). The cohort has
+    one row per person (``unique_key=False`` where it may not).
 
     ``categorical``: {column: reference level} -> ordinal codes (the source screens the
     codes), ``continuous``: t-test columns, ``token_cols``: {feature_group: (packed column,
@@ -189,7 +192,7 @@ def feature_stats(cohort: DataFrame, categorical: Mapping[str, object], continuo
     if categorical:
         hists.append(dense_histogram(coded, list(categorical), group, "demo"))
     for fg, (col, sep) in token_cols.items():
-        long = tokens.to_long(cohort, "person_id", col, sep, out="token", keep=[group])
+        long = tokens.to_long(cohort, "person_id", col, sep, out="token", keep=[group], unique_key=unique_key)
         hists.append(sparse_histogram(token_summary(long, "token", group), n1, n0, fg))
     parts = []
     if hists:

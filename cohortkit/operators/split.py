@@ -24,7 +24,8 @@ MAX_TOPK = 200_000
 def exact_split(df: DataFrame, key: str = "person_id", sizes: Mapping[str, int] | None = None,
                 rest: str = "train", seed: int = SEED, out: str = "split",
                 max_topk: int = MAX_TOPK) -> DataFrame:
-    """P5: exactly ``sizes[s]`` rows per hold-out split, the rest ``rest``.
+    """P5: exactly ``sizes[s]`` keys per hold-out split, the rest ``rest``. All rows of a
+    repeated key go to one split, so a person is never in two.
 
     Rows are ranked by the seeded hash (key breaks ties). Only the first
     ``sum(sizes)`` keys are needed: ``orderBy().limit()`` runs as a per-partition top-k
@@ -38,7 +39,7 @@ def exact_split(df: DataFrame, key: str = "person_id", sizes: Mapping[str, int]
     h = split_hash(key, seed)
     if k > max_topk:
         return _ranked_split(df, key, sizes, rest, h, out)
-    picked = (df.select(key, h.alias("_h")).orderBy("_h", key).limit(k)
+    picked = (df.select(key, h.alias("_h")).distinct().orderBy("_h", key).limit(k)
                 .withColumn("_r", F.row_number().over(Window.orderBy("_h", key))))
     label = None
     hi = 0
@@ -67,7 +68,7 @@ def _ranked_split(df: DataFrame, key: str, sizes: Mapping[str, int], rest: str,
     are ranked by the full hash and the key inside their tiny group)."""
     from cohortkit.operators import prefix
     from cohortkit.session import materialise
-    keyed = materialise(df.select(key, h.alias("_h"))
+    keyed = materialise(df.select(key, h.alias("_h")).distinct()
                         .withColumn("_h60", F.conv(F.substring("_h", 1, 15), 16, 10).cast("long")))
     hist = keyed.groupBy("_h60").agg(F.count(F.lit(1)).alias("_c"))
     hist = prefix.running(hist, "_h60", ["_c"], buckets=None)

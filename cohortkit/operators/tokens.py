@@ -24,15 +24,16 @@ def split_packed(col: str, sep: str):
 
 
 def to_long(df: DataFrame, key: str | Sequence[str], col: str, sep: str,
-            out: str = "token", keep: Sequence[str] = ()) -> DataFrame:
+            out: str = "token", keep: Sequence[str] = (), unique_key: bool = False) -> DataFrame:
     """(key, packed) -> distinct (key, token). Null packed values contribute no rows;
-    tokens are trimmed and empty tokens skipped."""
+    tokens are trimmed and empty tokens skipped. Where the caller knows that each key has
+    one row (``unique_key``), repeats are removed inside the row and nothing is shuffled."""
     keys = [key] if isinstance(key, str) else list(key)
-    return (df.filter(F.col(col).isNotNull())
-              .select(*keys, *keep, F.explode(split_packed(col, sep)).alias(out))
-              .withColumn(out, F.trim(F.col(out)))
-              .filter(F.col(out) != "")
-              .distinct())
+    parts = F.array_distinct(F.transform(split_packed(col, sep), F.trim))
+    long = (df.filter(F.col(col).isNotNull())
+              .select(*keys, *keep, F.explode(parts).alias(out))
+              .filter(F.col(out) != ""))
+    return long if unique_key else long.distinct()
 
 
 def vocabulary(long: DataFrame, token: str = "token", key: str = "person_id",

@@ -23,10 +23,10 @@ exposures as (
   select o.o_custkey as person_id, concat(p.p_name, ' ', p.p_type) as concept_name,
          cast(l.l_shipdate as date) as drug_exposure_start_date, l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey, l.l_extendedprice
   from lineitem l join orders o on l.l_orderkey = o.o_orderkey join part p on l.l_partkey = p.p_partkey
-  where l.l_returnflag = 'R' and l.l_linestatus = 'F' and l.l_quantity > 40 and o.o_custkey % 7 <> 0),
+  where o.o_custkey % 7 <> 0),
 como_long as (
   select distinct o_custkey as person_id, substr(o_orderpriority, 3) as comorbidity
-  from orders where o_orderstatus = 'F' and o_totalprice > 200000),
+  from orders where o_custkey % 5 <> 0),
 packed_como as (
   select person_id, array_to_string(list_sort(list(comorbidity)), ',') as comorbidity
   from como_long group by person_id),

@@ -66,7 +66,7 @@ def split_cohort(c: Cohort) -> DataFrame:
 
 
 def drug_long(c: Cohort) -> DataFrame:
-    return TK.to_long(c.packed_drugs, "person_id", "standard_concept_name", TK.DRUG_SEP, out="drug")
+    return TK.to_long(c.packed_drugs, "person_id", "standard_concept_name", TK.DRUG_SEP, out="drug", unique_key=True)
 
 
 # ------------------------------------------------------------------ E1-E3 G1 T9
@@ -108,7 +108,9 @@ def three_drug_pivot(spark, sf_dir):
 
 @register
 def drug_rollup_6m(spark, sf_dir):
-    return CO.recent_tokens(Cohort(spark, sf_dir).exposures, months=6)
+    from cohortkit.session import materialise
+    x = Cohort(spark, sf_dir).exposures.select("person_id", "concept_name", "drug_exposure_start_date")
+    return CO.recent_tokens(materialise(x), months=6)
 
 
 # ------------------------------------------------------------------ J1-J7
@@ -313,7 +315,7 @@ def _mwu(c: Cohort) -> DataFrame:
     coded = EN.codes(lab, REFERENCES)
     hists = [SC.dense_histogram(coded, list(REFERENCES), "group", "demo")]
     for fg, (col, sep) in TOKEN_COLS.items():
-        long = TK.to_long(lab, "person_id", col, sep, keep=["group"])
+        long = TK.to_long(lab, "person_id", col, sep, keep=["group"], unique_key=True)
         hists.append(SC.sparse_histogram(SC.token_summary(long), n1, n0, fg))
     return SC.mwu(CO.union_all(*hists))
 

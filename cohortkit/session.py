@@ -63,6 +63,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     The cluster's setting always wins. Only when it is unset (local tests) a fresh
     scratch folder is created and registered, so ``DataFrame.checkpoint()`` and
     stage tables written by the operators land somewhere every executor can read.
+    Executors of a cluster cannot read each other's disks, so there an unset folder raises.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
@@ -70,6 +71,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return sc.getCheckpointDir() or current
+    if not (sc.master or "").startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     local = tempfile.mkdtemp(prefix="cohortkit-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(local)
     spark.conf.set("spark.checkpoint.dir", local)
