@@ -77,10 +77,19 @@ def count_words(df: DataFrame, bits: np.ndarray | None = None) -> DataFrame:
             if word not in memo:
                 if len(memo) > WORDS_AT_ONCE:
                     memo.clear()
-                memo[word] = [f for f in features(word)
-                              if chosen is None or chosen[zlib.crc32(f.encode()) % BITS]]
+                memo[word] = features(word) if chosen is None else chosen_features(word)
             return memo[word]
 
+        def chosen_features(word: str) -> list[str]:
+            """A stem is in all texts that its longer forms are in, so the first stem that
+            cannot enter the lexicon ends the search."""
+            out = []
+            for f in [*features(word)[1:], word]:
+                if not chosen[zlib.crc32(f.encode()) % BITS]:
+                    break
+                out.append(f)
+            return out
+
         def flush() -> Iterator[pa.RecordBatch]:
             names = list(set().union(*counts))
             per = [np.fromiter((c[w] for w in names), np.int64, len(names)) for c in counts]
@@ -178,12 +187,14 @@ def score_segments(df: DataFrame, lexicon: dict[str, float], drift: float = DRIF
     arrow = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
     memo: dict[str, float] = {}
+    heads = {f[:STEMS[0]] for f in lexicon}
 
     def score_of(word: str) -> float:
         if word not in memo:
             if len(memo) > WORDS_AT_ONCE:
                 memo.clear()
-            memo[word] = max(shared.value.get(f, 0.0) for f in features(word))
+            memo[word] = (max(shared.value.get(f, 0.0) for f in features(word))
+                          if word[:STEMS[0]] in heads else 0.0)
         return memo[word]
 
     def one(text: str) -> tuple[int, list[dict]]:
