@@ -42,8 +42,8 @@ def _splits(h: DataFrame, col: str, nb: int, block_rows: int) -> list[float]:
     """Quantile boundaries; every value holding more than ``block_rows`` histogram rows
     becomes a singleton bucket [v, nextafter(v))."""
     qs = h.approxQuantile(col, [i / nb for i in range(1, nb)], 1.0 / (4 * nb)) if nb > 1 else []
-    hot = [r[0] for r in h.groupBy(col).count().where(F.col("count") > block_rows)
-           .select(col).limit(4 * nb + 16).collect()]
+    # at most rows / block_rows values are that frequent
+    hot = [r[0] for r in h.groupBy(col).count().where(F.col("count") > block_rows).select(col).collect()]
     pts = set(qs) | set(hot) | {float(np.nextafter(v, np.inf)) for v in hot}
     return [float("-inf")] + sorted(pts) + [float("inf")]
 
@@ -143,3 +143,41 @@ def c_index_continuous(hist: DataFrame, block_rows: int = 200_000, max_buckets:
     within = (h.groupBy("_b").applyInPandas(_within_fn, "conc double")
                .agg(F.sum("conc")).first()[0]) or 0.0
     return (cross + within + 0.5 * float(ties)) / den
+
+
+def _whole_group_fn(by: list[str]):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        n = pdf["_n"].to_numpy(dtype=float)
+        square = lambda col: float((pd.Series(n).groupby(pdf[col].to_numpy()).sum() ** 2).sum())
+        pairs = (n.sum() ** 2 - square("_y")) / 2.0
+        ties = (square("_p") - float((n * n).sum())) / 2.0
+        out = pdf[by].head(1).reset_index(drop=True)
+        out["c_index"] = (_within_fn(pdf)["conc"][0] + 0.5 * ties) / pairs if pairs > 0 else None
+        out["c_index"] = out["c_index"].astype("float64")
+        return out
+    return run
+
+
+def c_index_groups(hist: DataFrame, by: list[str], block_rows: int = 200_000) -> DataFrame:
+    """``by`` columns and c_index of every group of a materialised (by, _y, _p, _n) histogram.
+
+    Groups of up to ``block_rows`` histogram rows are one block each and run side by side;
+    a larger group (there are at most rows / block_rows of them) is cut into blocks. The
+    value is exact either way. A null key is a group of its own."""
+    schema = hist.select(*by).schema.add("c_index", "double")
+    large = hist.groupBy(*by).count().where(F.col("count") > block_rows).select(*by).collect()
+
+    def of(row):
+        cond = F.lit(True)
+        for c in by:
+            cond = cond & F.col(c).eqNullSafe(F.lit(row[c]))
+        return cond
+
+    rest = hist
+    for row in large:
+        rest = rest.where(~of(row))
+    out = rest.groupBy(*by).applyInPandas(_whole_group_fn(list(by)), schema)
+    if not large:
+        return out
+    values = [(*row, c_index_continuous(hist.where(of(row)).select("_y", "_p", "_n"), block_rows)) for row in large]
+    return out.unionByName(hist.sparkSession.createDataFrame(values, schema))

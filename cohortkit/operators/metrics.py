@@ -51,22 +51,12 @@ def c_index(df: DataFrame, y: str = "label", p: str = "prediction", by: Sequence
             buckets = 1
     if len(lv) > max_levels:
         # many truth levels: the exact block / Fenwick path (no level list)
-        from cohortkit.operators.concordance import c_index_continuous
+        from cohortkit.operators.concordance import c_index_continuous, c_index_groups
         from cohortkit.session import materialise
-        spark = df.sparkSession
-        if not by:
-            v = c_index_continuous(materialise(hist.select("_y", "_p", "_n")))
-            return spark.createDataFrame([(v,)], "c_index double")
-        keys = [tuple(r) for r in hist.select(*by).distinct().limit(max_levels + 1).collect()]
-        if len(keys) > max_levels:
-            raise ValueError("continuous truth with more than max_levels groups: split the input")
-        rows = []
-        for k in keys:
-            cond = F.lit(True)
-            for c, v in zip(by, k):
-                cond = cond & (F.col(c) == F.lit(v))
-            rows.append((*k, c_index_continuous(materialise(hist.where(cond).select("_y", "_p", "_n")))))
-        return spark.createDataFrame(rows, df.select(*by).schema.add("c_index", "double"))
+        if by:
+            return c_index_groups(materialise(hist), by)
+        v = c_index_continuous(materialise(hist.select("_y", "_p", "_n")))
+        return df.sparkSession.createDataFrame([(v,)], "c_index double")
     # each histogram row is the 'lo' side of its own level and a 'hi' side of every lower level
     los = F.filter(F.array(*[F.lit(float(v)) for v in lv]) if lv else F.array().cast("array<double>"),
                    lambda x: x <= F.col("_y"))

@@ -28,7 +28,7 @@ FEATURES = "features"
 
 
 def _ship_by_value() -> None:
-    # the SVR's per-partition function travels in the task closure
+    # the SVR's per-batch functions travel in the task closure
     import sys
 
     from pyspark import cloudpickle
@@ -116,8 +116,7 @@ def fit(kind: str, train: DataFrame, categorical: Sequence[str], numeric: Sequen
                                  standardization=False, maxIter=params.get("max_iter", 1000),
                                  tol=params.get("tol", 1e-9)).fit(x)
     elif kind == "svr":
-        model = LinearSVRModel.train(x, c=params.get("c", 1.0), epsilon=params.get("epsilon", 0.1),
-                                     rounds=params.get("rounds", 8), epochs=params.get("epochs", 3))
+        model = LinearSVRModel.train(x, c=params.get("c", 1.0), epsilon=params.get("epsilon", 0.1))
     else:
         raise ValueError(f"unknown model kind {kind}")
     return PipelineModel(stages=[*prep.stages, model])
@@ -125,27 +124,32 @@ def fit(kind: str, train: DataFrame, categorical: Sequence[str], numeric: Sequen
 
 def grid(train: DataFrame, valid: DataFrame, categorical: Sequence[str], numeric: Sequence[str],
          label: str = "audit_c_score", alphas: Sequence[float] = (1e-2, 1e-1, 1, 10, 100, 1e3, 1e4)) -> DataFrame:
-    """Ridge penalty search on the validation split -> (alpha, mse) rows."""
-    spark = train.sparkSession
-    rows = []
-    for a in alphas:
-        m = fit("ridge", train, categorical, numeric, label, alpha=a)
-        p = m.transform(valid)
-        mse = p.agg(F.avg((F.col("prediction") - F.col(label)) ** 2)).first()[0]
-        rows.append((float(a), float(mse)))
-    return spark.createDataFrame(rows, "alpha double, mse double")
+    """Ridge penalty search on the validation split -> (alpha, mse) rows. The features
+    are fitted and written once for all penalties, and one pass over the validation rows
+    gives every error."""
+    from cohortkit.session import materialise
+    prep = prepare(train, categorical, numeric, "standard")
+    x = materialise(prep.transform(train).select(FEATURES, F.col(label).cast("double").alias("label")))
+    sigma, n = _label_std(x, "label", population=True)
+    est = LinearRegression(elasticNetParam=0.0, solver="normal", standardization=False)
+    fitted = est.fit(x, [{est.regParam: a * sigma / n} for a in alphas])
+    v = prep.transform(valid).select(FEATURES, F.col(label).cast("double").alias("label"))
+    for i, model in enumerate(fitted):
+        v = model.setPredictionCol(f"p{i}").transform(v)
+    errors = v.agg(*[F.avg((F.col(f"p{i}") - F.col("label")) ** 2) for i in range(len(fitted))]).first()
+    return train.sparkSession.createDataFrame([(float(a), e) for a, e in zip(alphas, errors)],
+                                              "alpha double, mse double")
 
 
 class LinearSVRModel:
     """Linear epsilon-insensitive support vector regression (scikit-learn's
     ``SVR(kernel='linear')``: C=1, epsilon=0.1), fitted in the primal.
 
-    Objective (per-sample form): lam/2 |w|^2 + mean(max(0, |y - w.x - b| - eps)),
-    lam = 1/(C n). Iterative parameter mixing: every round, each partition runs a few
-    epochs of averaged SGD from the current (w, b) on its own rows (``mapInPandas``,
-    one small row out per partition) and the driver averages the partition models
-    weighted by their row counts. One job per round; an approximate optimum of the
-    objective libsvm solves in the dual."""
+    Objective: |w|^2 / 2 + C sum max(0, |y - w.x - b| - eps). The hinge is joined by a
+    quadratic piece whose width shrinks in ``widths``; for each width, Newton steps run
+    until they are below ``tol``. A step is two jobs: gradient and curvature are summed per
+    batch, then over all rows on the executors, so that what reaches the driver depends on
+    the number of features only, and the result does not depend on the partitioning."""
 
     def __init__(self, w, b: float):
         self.w = [float(v) for v in w]
@@ -153,28 +157,32 @@ class LinearSVRModel:
         self.uid = "LinearSVRModel"
 
     @classmethod
-    def train(cls, x: DataFrame, c: float = 1.0, epsilon: float = 0.1, rounds: int = 8,
-              epochs: int = 3, step: float | None = None, seed: int = SEED) -> LinearSVRModel:
+    def train(cls, x: DataFrame, c: float = 1.0, epsilon: float = 0.1, tol: float = 1e-8,
+              widths: Sequence[float] = (1.0, 0.1, 0.01), max_steps: int = 100) -> LinearSVRModel:
         from cohortkit.session import materialise
-        x = materialise(x.select(vector_to_array(F.col(FEATURES)).alias("f"), "label")).cache()
-        n = x.count()
-        dim = len(x.first()["f"])
-        lam = 1.0 / (c * n)
-        w = np.zeros(dim)
-        st = x.agg(F.percentile_approx("label", 0.5).alias("med"), F.min("label").alias("lo"),
-                   F.max("label").alias("hi")).first()
-        b = float(st["med"])
-        # features are min-max scaled to [0, 1], so weights live on the label's scale
-        step = step if step is not None else max(1e-3, 0.5 * (float(st["hi"]) - float(st["lo"])))
-        for r in range(rounds):
-            local = _svr_local(w.copy(), b, lam, epsilon, epochs, step, seed + r, r * epochs)
-            parts = x.mapInPandas(local, "w array<double>, b double, n long").collect()
-            tot = sum(p["n"] for p in parts)
-            if tot == 0:
-                break
-            w = sum(np.asarray(p["w"]) * p["n"] for p in parts) / tot
-            b = sum(p["b"] * p["n"] for p in parts) / tot
-        return cls(w.tolist(), b)
+        x = materialise(x.select(vector_to_array(F.col(FEATURES)).alias("f"), "label"))
+        first = x.first()
+        if first is None:
+            return cls([], 0.0)
+        dim = len(first["f"])
+        w = np.zeros(dim + 1)
+        w[-1] = x.agg(F.percentile_approx("label", 0.5)).first()[0]
+        penalty = np.append(np.ones(dim), 0.0)
+        lengths = np.append(0.0, 0.5 ** np.arange(6))
+        for width in widths:
+            damping = 1.0                # added curvature, raised whenever no length of a step helps
+            for _ in range(max_steps):
+                sums = _summed(x, _svr_slopes(w, epsilon, width), dim + 1 + (dim + 1) ** 2)
+                slope = penalty * w + c * sums[:dim + 1]
+                curve = np.diag(penalty + damping) + c * sums[dim + 1:].reshape(dim + 1, dim + 1)
+                step = np.linalg.solve(curve, slope)
+                tried = w - lengths[:, None] * step
+                loss = c * _summed(x, _svr_losses(tried, epsilon, width), len(lengths))
+                best = int(((penalty * tried ** 2).sum(axis=1) / 2 + loss).argmin())
+                w, damping = tried[best], damping * (0.1 if best else 10.0)
+                if np.abs(step).max() < tol:
+                    break
+        return cls(w[:-1].tolist(), w[-1])
 
     def transform(self, df: DataFrame) -> DataFrame:
         feats = vector_to_array(F.col(FEATURES))
@@ -182,34 +190,38 @@ class LinearSVRModel:
         return df.withColumn("prediction", pred)
 
 
-def _svr_local(w0, b0, lam, eps, epochs, step, seed, t0):
-    """Per-partition averaged SGD on the epsilon-insensitive objective."""
+def _summed(x: DataFrame, per_batch, size: int) -> np.ndarray:
+    """Element sums of the arrays that ``per_batch`` makes of (features, labels)."""
     def run(batches):
         import numpy as _np
         import pandas as _pd
-        xs, ys = [], []
         for pdf in batches:
             if len(pdf):
-                xs.append(_np.stack(pdf["f"].to_numpy()))
-                ys.append(pdf["label"].to_numpy(dtype=float))
-        if not xs:
-            return
-        X, y = _np.vstack(xs), _np.concatenate(ys)
-        rng = _np.random.default_rng(seed)
-        w, b = w0.copy(), float(b0)
-        aw, ab, k, t = _np.zeros_like(w), 0.0, 0, t0 * len(y)
-        for _ in range(epochs):
-            for i in rng.permutation(len(y)):
-                t += 1
-                eta = step / _np.sqrt(t)
-                r = y[i] - X[i] @ w - b
-                s = 1.0 if r > eps else (-1.0 if r < -eps else 0.0)
-                w -= eta * (lam * w - s * X[i])
-                b += eta * s
-                aw += w
-                ab += b
-                k += 1
-        yield _pd.DataFrame({"w": [(aw / k).tolist()], "b": [ab / k], "n": [len(y)]})
+                design = _np.column_stack([_np.stack(pdf["f"].to_numpy()), _np.ones(len(pdf))])
+                yield _pd.DataFrame({"s": [per_batch(design, pdf["label"].to_numpy(dtype=float)).tolist()]})
+
+    rows = (x.mapInPandas(run, "s array<double>").select(F.posexplode("s").alias("i", "v"))
+            .groupBy("i").agg(F.sum("v").alias("v")).collect())
+    out = np.zeros(size)
+    for r in rows:
+        out[r["i"]] = r["v"]
+    return out
+
+
+def _svr_slopes(w, eps, width):
+    def run(design, y):
+        r = y - design @ w
+        over = (np.abs(r) - eps) / width
+        slope = -design.T @ (np.sign(r) * np.clip(over, 0, 1))
+        joint = design[(over > 0) & (over < 1)]
+        return np.concatenate([slope, (joint.T @ joint / width).ravel()])
+    return run
+
+
+def _svr_losses(tried, eps, width):
+    def run(design, y):
+        over = np.maximum(np.abs(y[:, None] - design @ tried.T) - eps, 0)
+        return np.where(over < width, over ** 2 / (2 * width), over - width / 2).sum(axis=0)
     return run
 
 

@@ -128,3 +128,24 @@ def test_first_part_mse_per_run(spark):
     x = df.select("run_id", M.first_part("labels").alias("label"), M.first_part("preds").alias("prediction"))
     got = {r["run_id"]: r["mse"] for r in M.regression(x, by=["run_id"]).collect()}
     assert got == pytest.approx({"r1": 0.5, "r2": 4.0})
+
+
+@pytest.mark.parametrize("block_rows", [200_000, 25])
+def test_c_index_by_run_continuous_has_no_run_limit(spark, block_rows):
+    """70 runs and a null one, continuous truth; small blocks send large runs another way."""
+    from cohortkit.operators.concordance import c_index_groups
+    rnd = random.Random(3)
+    rows = [(None if g == 70 else f"r{g:02}", round(rnd.random() * 9, 2), round(rnd.random() * 2, 1))
+            for g in range(71) for _ in range(40 if g < 2 else 12)] + [("same", 1.0, 0.5), ("same", 1.0, 0.6)]
+    df = spark.createDataFrame(rows, "run_id string, label double, prediction double")
+    if block_rows == 25:
+        hist = df.groupBy("run_id", F.col("label").alias("_y"), F.col("prediction").alias("_p")).agg(
+            F.count(F.lit(1)).alias("_n"))
+        out = c_index_groups(hist, ["run_id"], block_rows)
+    else:
+        out = M.c_index(df, by=["run_id"])
+    got = {r["run_id"]: r["c_index"] for r in out.collect()}
+    assert len(got) == 72 and got["same"] is None
+    for run in got:
+        y, p = [r[1] for r in rows if r[0] == run], [r[2] for r in rows if r[0] == run]
+        assert got[run] == pytest.approx(brute_c(y, p), abs=1e-12)

@@ -58,6 +58,27 @@ def test_svr_fits_linear_signal(spark):
         np.c_[x, np.ones(len(x))], y, rcond=None)[0])) + 0.5
 
 
+def test_svr_does_not_depend_on_partitions(spark):
+    _, _, df = _data(spark, n=200, seed=4)
+    fits = [MD.fit("svr", df.repartition(k), [], ["a", "b", "c"], label="y").stages[-1] for k in (1, 40)]
+    assert fits[0].w == pytest.approx(fits[1].w, abs=1e-6) and fits[0].b == pytest.approx(fits[1].b, abs=1e-6)
+
+
+def test_svr_is_a_minimum_of_its_objective(spark):
+    x, y, df = _data(spark, n=200, seed=6)
+    m = MD.fit("svr", df, [], ["a", "b", "c"], label="y").stages[-1]
+    z = (x - x.min(0)) / (x.max(0) - x.min(0))
+
+    def objective(w, b):
+        return (w ** 2).sum() / 2 + np.maximum(np.abs(y - z @ w - b) - 0.1, 0).sum()
+
+    at = objective(np.array(m.w), m.b)
+    rng = np.random.default_rng(0)
+    for size in (1.0, 0.1, 0.02):
+        for _ in range(200):
+            assert objective(np.array(m.w) + rng.normal(size=3) * size, m.b + rng.normal() * size) > at - 0.05
+
+
 def _enet_cd(z, y, alpha, l1, iters=5000):
     """scikit-learn's ElasticNet objective by coordinate descent (centred, unpenalised intercept)."""
     n, d = z.shape
