@@ -3,7 +3,7 @@
 1. Log-odds with a Dirichlet prior: for each word and word stem, the document frequencies
    among labelled toxic and clean texts are compared under a prior proportional to the
    frequency in all documents; those whose log-odds stand ``z_least`` deviations above 0
-   form the lexicon. A token scores the highest log-odds of its word and stems, every other
+   form the lexicon (all documents are counted only for words that can get there). A token scores the highest log-odds of its word and stems, every other
    token ``-drift``.
 2. Segments: all maximal-scoring segments of a text (found by a linear scan with linked
    candidates; tokens without a lexicon score are handled as one gap).
@@ -25,6 +25,7 @@ columns pass through.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter
@@ -48,12 +49,38 @@ LEAST_TOXIC = 3                # toxic texts a lexicon entry is in
 STEMS = range(4, 9)            # lengths of the stems that count as features
 BITS = 1 << 23
 WORDS_AT_ONCE = 500_000        # distinct words a task counts before it hands them on
+TOKEN_KEPT = 64                # characters of a token whose reading is kept for the next time
+PRIOR_STEP = 1.25              # ratio of neighbouring priors at which the reachable z is bounded
 BINS = 400                     # histogram of the evidence for the logistic fit
 BIN_WIDTH = 0.05
 
 
+def lowered(text: str) -> str:
+    """Lower case of the same length, so that places in it are places in the text."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
 def words_of(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    return WORD.findall(lowered(text))
+
+
+def remembered(read):
+    """``read`` of a white-space token, kept for tokens that come again; no word crosses
+    white space, so a text's words are those of its tokens. Long tokens are not kept."""
+    memo: dict = {}
+
+    def get(token: str):
+        found = memo.get(token)
+        if found is None:
+            found = read(token)
+            if len(token) <= TOKEN_KEPT:
+                if len(memo) >= WORDS_AT_ONCE:
+                    memo.clear()
+                memo[token] = found
+        return found
+
+    return get
 
 
 def features(word: str) -> list[str]:
@@ -70,25 +97,19 @@ def count_words(df: DataFrame, bits: np.ndarray | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = (Counter(), Counter(), Counter())   # toxic, clean, unlabelled
-        chosen = None if shared.value is None else np.unpackbits(shared.value).astype(bool)
-        memo: dict[str, list[str]] = {}
+        chosen = None if shared.value is None else np.unpackbits(shared.value).tobytes()
 
-        def wanted(word: str) -> list[str]:
-            if word not in memo:
-                if len(memo) > WORDS_AT_ONCE:
-                    memo.clear()
-                memo[word] = features(word) if chosen is None else chosen_features(word)
-            return memo[word]
-
-        def chosen_features(word: str) -> list[str]:
-            """A stem is in all texts that its longer forms are in, so the first stem that
-            cannot enter the lexicon ends the search."""
-            out = []
-            for f in [*features(word)[1:], word]:
-                if not chosen[zlib.crc32(f.encode()) % BITS]:
-                    break
-                out.append(f)
-            return out
+        def is_set(key: str) -> int:
+            return chosen[zlib.crc32(key.encode()) % BITS]
+
+        def read(token: str) -> tuple[str, ...]:
+            words = WORD.findall(token)
+            if chosen is None:
+                return tuple({f for word in words for f in features(word)})
+            return tuple({f for word in words if is_set("^" + word[:STEMS[0]])
+                          for f in features(word) if is_set(f)})
+
+        wanted = remembered(read)
 
         def flush() -> Iterator[pa.RecordBatch]:
             names = list(set().union(*counts))
@@ -101,7 +122,7 @@ def count_words(df: DataFrame, bits: np.ndarray | None = None) -> DataFrame:
 
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = {f for word in set(words_of(text)) for f in wanted(word)}
+                found = set().union(*map(wanted, set(lowered(text).split())))
                 counts[2 if toxic is None else 1 - toxic].update(found)
                 if sum(map(len, counts)) > WORDS_AT_ONCE:
                     yield from flush()
@@ -113,8 +134,11 @@ def count_words(df: DataFrame, bits: np.ndarray | None = None) -> DataFrame:
 
 
 def bit_set(words: DataFrame) -> np.ndarray:
-    """At most BITS numbers reach the driver, however many words there are."""
-    at = words.select((F.crc32(F.col("word").cast("binary")) % BITS).cast("int").alias("b")).distinct().toPandas()
+    """Bits of the words, and of their first letters marked by a caret. At most BITS numbers
+    reach the driver, however many words there are."""
+    head = F.concat(F.lit("^"), F.substring("word", 1, STEMS[0]))
+    keys = words.select(F.explode(F.array("word", head)).alias("key"))
+    at = keys.select((F.crc32(F.col("key").cast("binary")) % BITS).cast("int").alias("b")).distinct().toPandas()
     bits = np.zeros(BITS, bool)
     bits[at["b"].to_numpy()] = True
     return bits
@@ -133,20 +157,32 @@ def fit_lexicon(docs: DataFrame, labelled: DataFrame, prior_docs: float = PRIOR_
         return {}
     maybe = staged(count_words(once.where("toxic = 1")).where(F.col("toxic") >= LEAST_TOXIC)
                    .select("word", "toxic"), "maybe")
-    bits = bit_set(maybe)
-    unlabelled = docs.select("text", F.lit(None).cast("int").alias("toxic"))
-    clean = count_words(once.where("toxic = 0"), bits).select("word", "clean")
-    every = count_words(unlabelled, bits).select("word", "docs")
+    clean = count_words(once.where("toxic = 0"), bit_set(maybe)).select("word", "clean")
+    y, x = F.col("toxic"), F.col("clean")
+
+    def log_odds(count, prior, n):
+        """Of a word in ``count`` of n texts; the floor keeps a word of all texts finite."""
+        return F.log((count + prior) / F.greatest(n + prior_docs - count - prior, F.lit(0.5)))
+
+    def z(above, below):
+        """z under a prior; for priors between the two, no more than this."""
+        score = log_odds(y, above, n_toxic) - log_odds(x, below, n_clean)
+        return score / F.sqrt(1 / (y + above) + 1 / (x + above))
+
+    # A word is in y + x documents or more, so its prior is known to within a range; words
+    # whose z stays under z_least all over it need no count over all documents.
+    steps = max(1, math.ceil(math.log(n_docs + 1, PRIOR_STEP)))
+    above = lambda k: F.lit(prior_docs) * F.pow(F.lit(PRIOR_STEP), -k)                        # noqa: E731
+    reached = F.exists(F.sequence(F.lit(0), F.lit(steps)), lambda k:
+                       (above(k) * 1.001 >= (y + x) * (prior_docs / n_docs))
+                       & (z(above(k), above(k) / PRIOR_STEP) >= z_least * 0.999))
+    maybe = staged(maybe.join(clean, "word", "left").select("word", "toxic", F.coalesce("clean", F.lit(0)).alias("clean"))
+                   .where(reached), "reachable")
+    every = count_words(docs.select("text", F.lit(None).cast("int").alias("toxic")), bit_set(maybe)).select("word", "docs")
     prior = F.col("docs") * (prior_docs / n_docs)
-
-    def side(y, n):
-        return F.log((y + prior) / (n + prior_docs - y - prior))
-
-    y, x = F.col("toxic"), F.coalesce("clean", F.lit(0))
-    scored = (maybe.join(every, "word").join(clean, "word", "left")
-              .withColumn("score", side(y, n_toxic) - side(x, n_clean))
-              .withColumn("z", F.col("score") / F.sqrt(1 / (y + prior) + 1 / (x + prior)))
-              .where(F.col("z") >= z_least))
+    scored = (maybe.join(every, "word")
+              .withColumn("score", log_odds(y, prior, n_toxic) - log_odds(x, prior, n_clean))
+              .withColumn("z", z(prior, prior)).where(F.col("z") >= z_least))
     best = scored.orderBy(F.desc("z"), "word").limit(lexicon_size).select("word", "score").toPandas()
     return dict(zip(best["word"], best["score"].astype(float)))
 
@@ -186,28 +222,32 @@ def score_segments(df: DataFrame, lexicon: dict[str, float], drift: float = DRIF
                                      T.StructField("score", T.DoubleType())]))
     arrow = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
-    memo: dict[str, float] = {}
-    heads = {f[:STEMS[0]] for f in lexicon}
-
-    def score_of(word: str) -> float:
-        if word not in memo:
-            if len(memo) > WORDS_AT_ONCE:
-                memo.clear()
-            memo[word] = (max(shared.value.get(f, 0.0) for f in features(word))
-                          if word[:STEMS[0]] in heads else 0.0)
-        return memo[word]
-
-    def one(text: str) -> tuple[int, list[dict]]:
-        words = words_of(text)
-        hits = [(i, s) for i, s in enumerate(map(score_of, words)) if s]
-        if not hits:
-            return len(words), []
-        low = text.lower()
-        spans = [m.span() for m in WORD.finditer(low)]
-        return len(words), [{"start": spans[a][0], "end": spans[b][1], "score": s}
-                            for a, b, s in maximal_segments(hits, drift)]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores = shared.value
+        heads = {f[:STEMS[0]] for f in scores}
+
+        def score_of(word: str) -> float:
+            return max(scores.get(f, 0.0) for f in features(word)) if word[:STEMS[0]] in heads else 0.0
+
+        def read(token: str) -> tuple[int, list[tuple[int, float]]]:
+            """Number of words, and place and score of those that have one."""
+            found = [score_of(w) for w in WORD.findall(token)]
+            return len(found), [(i, s) for i, s in enumerate(found) if s]
+
+        token_scores = remembered(read)
+
+        def one(text: str) -> tuple[int, list[dict]]:
+            low, n, hits = lowered(text), 0, []
+            for count, scored in map(token_scores, low.split()):
+                if scored:
+                    hits += [(n + i, s) for i, s in scored]
+                n += count
+            if not hits:
+                return n, []
+            spans = [m.span() for m in WORD.finditer(low)]
+            return n, [{"start": spans[a][0], "end": spans[b][1], "score": s}
+                       for a, b, s in maximal_segments(hits, drift)]
+
         for batch in batches:
             found = [one(t or "") for t in batch.column(len(names)).to_pylist()]
             yield pa.RecordBatch.from_arrays(

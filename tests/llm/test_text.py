@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import math
 import random
 import re
 
@@ -265,6 +266,31 @@ def test_maximal_segments_brute_force():
         assert np.allclose([s for _, _, s in got], [s for _, _, s in want])
 
 
+def test_lexicon_equals_brute_force(spark):
+    """Words that are ruled out before the count over all documents are none of the lexicon's."""
+    rnd = random.Random(11)
+    calm, harsh = [f"calm{i}word" for i in range(60)], [f"harsh{i % 5}ly" for i in range(12)]
+    texts = []
+    for i in range(400):
+        words = rnd.choices(calm, k=12) + ["everywhere", "İdea,harsh"]
+        if i % 4 == 0:
+            words += rnd.choices(harsh, k=3)
+        texts.append((" ".join(words) + f" nr{i}", 1 if i % 4 == 0 else 0 if i % 4 < 3 else None))
+    frame = spark.createDataFrame(texts, "text string, toxic int")
+    got = toxicity.fit_lexicon(frame, frame.where("toxic is not null"))
+    sets = [({f for w in toxicity.words_of(t) for f in toxicity.features(w)}, y) for t, y in texts]
+    want = {}
+    n1, n0, n = sum(y == 1 for _, y in sets), sum(y == 0 for _, y in sets), len(sets)
+    for f in set().union(*(s for s, _ in sets)):
+        y, x = (sum(f in s and v == k for s, v in sets) for k in (1, 0))
+        p = sum(f in s for s, _ in sets) * toxicity.PRIOR_DOCS / n
+        odds = lambda c, m: math.log((c + p) / max(m + toxicity.PRIOR_DOCS - c - p, 0.5))
+        score = odds(y, n1) - odds(x, n0)
+        if y >= toxicity.LEAST_TOXIC and score / math.sqrt(1 / (y + p) + 1 / (x + p)) >= toxicity.Z_LEAST:
+            want[f] = score
+    assert want and got == pytest.approx(want)
+
+
 def test_toxicity_edge_cases(spark):
     rng = random.Random(3)
     line = lambda bad: " ".join((["idiot", "scum"] if bad else []) + [f"w{rng.randint(0, 40)}" for _ in range(20)])
