@@ -23,6 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,9 +33,10 @@ BUCKETS = 1 << 16
 SWITCH_PENALTY = 12.0
 SMOOTHING = 0.1
 SCRIPT_SHARE = 0.01            # a language uses a script that has this share of its letters
-CHUNK_CELLS = 16 << 20         # characters times languages held at once
+CHUNK_CELLS = 4 << 20         # characters times languages held at once
 LANGS_AT_ONCE = 64
 BLOCK = 128
+ROWS_AT_ONCE = 1000            # rows of a batch that are Python strings at a time
 
 # Code-point ranges of scripts.
 SCRIPT_RANGES = (
@@ -279,6 +281,20 @@ def predict(df: DataFrame, model: Model, text_col: str = "text", penalty: float
 
 
 def drop_unknown(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows in which no language is found."""
-    found = predict(docs.withColumn("__text", F.col(text_col)), model, "__text")
-    return found.where(F.col("lang_pred") != UND).select(*docs.columns)
+    """``docs`` without the rows in which no language is found. A row's text enters the task
+    once and leaves it only if it is kept."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches:
+            column, at = batch.column(place), 0
+            while at < len(column):
+                texts = [t or "" for t in column.slice(at, ROWS_AT_ONCE).to_pylist()]
+                for part in _parts(texts, CHUNK_CELLS // max(4, len(m.langs))):
+                    found = label_texts(m, [texts[i] for i in part], SWITCH_PENALTY).field("lang_pred")
+                    yield batch.slice(at + part[0], len(part)).filter(pc.not_equal(found, UND))
+                at += len(texts)
+
+    return docs.mapInArrow(run, docs.schema)
