@@ -4,7 +4,8 @@ Texts are cut into pieces by the vocabulary's split pattern; merges never cross
 a task encodes each distinct piece of a chunk once. The symbols of all those pieces lie in
 one array. An index maps each pair that some rank can merge to all its positions. The
 active ranks are taken in ascending order; a rank merges all its positions at once, and
-only the pairs beside a merged position change, so only their lists are updated.
+only the pairs beside a merged position change, so only their lists are updated. A worker
+keeps the ids of the pieces it has met, up to a bound, for the chunks that follow.
 
 The vocabulary (a fixed file, some MB) is read by the driver and broadcast. There is no
 shuffle; a chunk bounds what a task holds beside the Arrow batch.
@@ -19,7 +20,7 @@ from __future__ import annotations
 import heapq
 import json
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from itertools import islice
 
@@ -29,8 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from tokenizers.pre_tokenizers import ByteLevel
 
-CHUNK_CHARS = 16 << 20
+CHUNK_CHARS = 4 << 20
 PIECES_AT_ONCE = 1 << 18
+MET_PIECES, MET_CHARS = 400_000, 8 << 20   # a worker forgets its pieces beyond either
+ROWS_AT_ONCE = 1000                        # rows of a batch that are Python strings at a time
+IDS_AT_ONCE = 1 << 18                      # ids whose bytes are looked up together
 # The split pattern of byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SMALL = 0x3000                # texts below this code point use a bitmap pattern
@@ -74,6 +78,7 @@ class Vocabulary:
             self.tokens[i] = bytes(back[c] for c in token)
         for token, i in self.added.items():
             self.tokens[i] = token.encode()
+        self.met = MetPieces()
 
 
 # ---------------------------------------------------------------- splitting
@@ -192,52 +197,121 @@ class Codes(dict):
         return code
 
 
+class MetPieces:
+    """Ids of the pieces met so far; a piece's code tells where its ids lie."""
+
+    def __init__(self):
+        self.codes = Codes()
+        self.chars = 0
+        self.ids = np.zeros(0, np.int32)
+        self.counts = np.zeros(0, np.int64)
+
+    def learn(self, vocab: Vocabulary, specials: dict[int, int]) -> None:
+        """Encode the pieces that got a code since the last call; ``specials``: codes that
+        stand for an added token, with its id."""
+        fresh = list(islice(self.codes, len(self.counts), None))
+        if not fresh:
+            return
+        first = len(self.counts)
+        raw = [b"" if first + i in specials else key.encode() for i, key in enumerate(fresh)]
+        ids, counts = PairIndex(vocab, raw).merge_all()
+        for code in sorted(c for c in specials if c >= first):
+            at = code - first
+            ids = np.insert(ids, int(counts[:at].sum()), specials[code])
+            counts[at] = 1
+        self.chars += sum(map(len, fresh))
+        self.ids = np.concatenate((self.ids, ids.astype(np.int32)))
+        self.counts = np.concatenate((self.counts, counts))
+
+    @property
+    def full(self) -> bool:
+        return len(self.codes) > MET_PIECES or self.chars > MET_CHARS
+
+
 def encode_texts(vocab: Vocabulary, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts, number of ids of each text)."""
     added = (re.compile("(" + "|".join(map(re.escape, sorted(vocab.added, key=len, reverse=True))) + ")")
              if vocab.added else None)
-    codes = Codes()
+    met = vocab.met
+    code_of = met.codes.__getitem__
     runs: list[np.ndarray] = []
     per_text = np.zeros(len(texts), np.int64)
     specials: dict[int, int] = {}
     for i, text in enumerate(texts):
         for j, part in enumerate(added.split(text) if added and added.search(text) else [text]):
             if j % 2:
-                code = codes["\0added" + part]
+                code = code_of("\0added" + part)
                 specials[code] = vocab.added[part]
                 runs.append(np.array([code], np.int32))
                 per_text[i] += 1
                 continue
             for pieces in split_pieces(part):
-                run = np.fromiter(map(codes.__getitem__, pieces), np.int32, len(pieces))
+                run = np.fromiter(map(code_of, pieces), np.int32, len(pieces))
                 runs.append(run)
                 per_text[i] += len(run)
-    keys = list(codes)
-    raw = [b"" if c in specials else k.encode() for c, k in enumerate(keys)] if specials \
-        else [k.encode() for k in keys]
-    ids, counts = PairIndex(vocab, raw).merge_all()
+    met.learn(vocab, specials)
+    ids, counts = met.ids, met.counts
     starts = np.cumsum(counts) - counts
-    if specials:
-        at = np.fromiter(specials, np.int64, len(specials))
-        starts[at], counts[at] = len(ids) + np.arange(len(at)), 1
-        ids = np.concatenate((ids, np.fromiter(specials.values(), np.int32, len(at))))
+    if met.full:
+        vocab.met = MetPieces()
     flat = np.concatenate(runs) if runs else np.zeros(0, np.int32)
     sizes = counts[flat]
     ends = np.cumsum(sizes)
     total = int(ends[-1]) if len(ends) else 0
-    take = np.repeat((starts[flat] - (ends - sizes)).astype(np.int64), sizes) + np.arange(total)
+    take = np.repeat(starts[flat] - (ends - sizes), sizes) + np.arange(total)
     bounds = np.concatenate(([0], ends))
     text_ends = np.cumsum(per_text)
-    return ids[take].astype(np.int32), bounds[text_ends] - bounds[text_ends - per_text]
+    return ids[take], bounds[text_ends] - bounds[text_ends - per_text]
+
+
+class TokenBytes:
+    """The bytes of all tokens one after the other; a last empty token stands for ids without one."""
+
+    def __init__(self, tokens: list[bytes]):
+        self.size = np.fromiter(map(len, [*tokens, b""]), np.int64, len(tokens) + 1)
+        self.start = np.cumsum(self.size) - self.size
+        self.data = np.frombuffer(b"".join(tokens), np.uint8)
+
+    def join(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes of all ids, where each id's bytes begin, and the end)."""
+        last = len(self.size) - 1
+        ids = np.where((ids >= 0) & (ids < last), ids, last)
+        bounds = np.concatenate(([0], np.cumsum(self.size[ids])))
+        out = np.empty(int(bounds[-1]), np.uint8)
+        for a in range(0, len(ids), IDS_AT_ONCE):
+            part = ids[a:a + IDS_AT_ONCE]
+            first, size = int(bounds[a]), self.size[part]
+            total = int(size.sum())
+            place = np.repeat(self.start[part] - (bounds[a:a + len(part)] - first), size) + np.arange(total)
+            out[first:first + total] = self.data[place]
+        return out, bounds
+
+
+def decode_texts(tokens: TokenBytes, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The texts whose ids lie between neighbouring ``ends``."""
+    data, bounds = tokens.join(ids[ends[0]:ends[-1]])
+    at = bounds[ends - ends[0]]
+    texts = pa.Array.from_buffers(pa.string(), len(at) - 1,
+                                  [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data)])
+    try:
+        texts.validate(full=True)
+        return texts
+    except pa.ArrowInvalid:      # some text is no UTF-8
+        raw = data.tobytes()
+        return pa.array([raw[a:b].decode("utf-8", "replace") for a, b in zip(at[:-1], at[1:])], pa.string())
 
 
 def decode_ids(vocab: Vocabulary, ids: list[int]) -> str:
-    size = len(vocab.tokens)
-    return b"".join(vocab.tokens[i] for i in ids if 0 <= i < size).decode("utf-8", "replace")
+    return decode_texts(TokenBytes(vocab.tokens), np.array(ids, np.int64), np.array([0, len(ids)]))[0].as_py()
 
 
 # ---------------------------------------------------------------- Spark side
-def _chunks(texts: list[str | None], most: int = CHUNK_CHARS) -> Iterator[list[str]]:
+def _strings(column: pa.Array) -> Iterator[str | None]:
+    for a in range(0, len(column), ROWS_AT_ONCE):
+        yield from column.slice(a, ROWS_AT_ONCE).to_pylist()
+
+
+def _chunks(texts: Iterable[str | None], most: int = CHUNK_CHARS) -> Iterator[list[str]]:
     part, held = [], 0
     for t in texts:
         if part and held + len(t or "") > most:
@@ -261,7 +335,7 @@ def encode(df: DataFrame, vocab_path: str, text_col: str = "text", out: str = "i
             at = 0
             column = batch.column(batch.schema.get_field_index(text_col))
             rest = batch.select(names)
-            for texts in _chunks(column.to_pylist()):
+            for texts in _chunks(_strings(column)):
                 ids, counts = encode_texts(vocab.value, texts)
                 offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
                 arrays = rest.slice(at, len(texts)).columns
@@ -273,20 +347,31 @@ def encode(df: DataFrame, vocab_path: str, text_col: str = "text", out: str = "i
     return df.select(*names, text_col).mapInArrow(run, schema)
 
 
-def decode(df: DataFrame, vocab_path: str, ids_col: str = "ids", out: str = "text") -> DataFrame:
-    """``df`` without the ids column and with the decoded text (null ids: empty text)."""
-    vocab = df.sparkSession.sparkContext.broadcast(Vocabulary(vocab_path))
-    keep = [f for f in df.schema.fields if f.name not in (ids_col, out)]
+def _runs(ends: np.ndarray, most: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
+    """Runs of rows (first, one past the last) of about ``most`` ids, one row at least."""
+    a = 0
+    while a < len(ends) - 1:
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] + most, side="right")) - 1)
+        yield a, min(b, len(ends) - 1)
+        a = b
+
+
+def decode(df: DataFrame, vocab_path: str, ids_col: str = "ids", out: str = "text",
+           keep_ids: bool = False) -> DataFrame:
+    """``df`` with the decoded text (null ids: empty text); the ids stay only with ``keep_ids``."""
+    tokens = df.sparkSession.sparkContext.broadcast(TokenBytes(Vocabulary(vocab_path).tokens))
+    keep = [f for f in df.schema.fields if f.name != out and (keep_ids or f.name != ids_col)]
     names = [f.name for f in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(ids_col))
-            values = column.values
-            ends = column.offsets.to_pylist()
-            texts = [decode_ids(vocab.value, values.slice(a, b - a).to_pylist()) for a, b in zip(ends, ends[1:])]
-            yield pa.RecordBatch.from_arrays([*batch.select(names).columns, pa.array(texts, pa.string())],
-                                             [*names, out])
+            ids = column.values.fill_null(-1).to_numpy()
+            ends = column.offsets.to_numpy().astype(np.int64)
+            rest = batch.select(names)
+            for a, b in _runs(ends):
+                texts = decode_texts(tokens.value, ids, ends[a:b + 1])
+                yield pa.RecordBatch.from_arrays([*rest.slice(a, b - a).columns, texts], [*names, out])
 
     schema = T.StructType([*keep, T.StructField(out, T.StringType())])
-    return df.select(*names, ids_col).mapInArrow(run, schema)
+    return df.select(*dict.fromkeys([*names, ids_col])).mapInArrow(run, schema)

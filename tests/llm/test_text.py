@@ -156,6 +156,30 @@ def test_bpe_on_frames(spark, library):
     assert sorted((str(r["doc_id"]), r["text"]) for r in dec) == sorted((str(i), t or "") for i, t in rows)
     assert all(r["kept"] == library.encode(r["text"], add_special_tokens=False).ids for r in dec)
     assert bpe.encode(df.limit(0), vocab_path()).count() == 0
+    both = bpe.decode(enc, vocab_path(), keep_ids=True)
+    assert both.columns == [*enc.columns, "text"]
+    assert sorted(r["text"] for r in both.collect()) == sorted(r["text"] for r in dec)
+
+
+def test_bpe_forgets_its_pieces(library, monkeypatch):
+    """Ids are the same whether a worker knows a chunk's pieces, some of them or none."""
+    texts = ["one two two", "two <|endoftext|> three", "", "four<|endoftext|>", "one \u00e9 \u6f22 four"]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    for most in (0, 3, 10**6):
+        monkeypatch.setattr(bpe, "MET_PIECES", most)
+        vocab = bpe.Vocabulary(vocab_path())
+        for _ in range(2):
+            for text, ids in zip(texts, want):
+                assert bpe.encode_texts(vocab, [text])[0].tolist() == ids
+
+
+def test_bpe_decodes_what_is_no_utf8(library):
+    tokens = bpe.TokenBytes(bpe.Vocabulary(vocab_path()).tokens)
+    ids = library.encode("a\u6f22b", add_special_tokens=False).ids
+    cut = [ids[:2], ids[2:], [], ids]
+    ends = np.cumsum([0, *map(len, cut)])
+    got = bpe.decode_texts(tokens, np.concatenate([np.array(c, np.int64) for c in cut]), ends).to_pylist()
+    assert got == [library.decode(c, skip_special_tokens=False) for c in cut]
 
 
 # ---------------------------------------------------------------- language ID
