@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from tokenizers.pre_tokenizers import ByteLevel
 
+from cohortkit.llm.common import small_batches
+
 CHUNK_CHARS = 4 << 20
 PIECES_AT_ONCE = 1 << 18
 MET_PIECES, MET_CHARS = 400_000, 8 << 20   # a worker forgets its pieces beyond either
@@ -326,6 +328,7 @@ def _chunks(texts: Iterable[str | None], most: int = CHUNK_CHARS) -> Iterator[li
 def encode(df: DataFrame, vocab_path: str, text_col: str = "text", out: str = "ids") -> DataFrame:
     """``df`` without the text column and with an array<int> column of ids."""
     spark = df.sparkSession
+    small_batches(spark)
     vocab = spark.sparkContext.broadcast(Vocabulary(vocab_path))
     keep = [f for f in df.schema.fields if f.name not in (text_col, out)]
     names = [f.name for f in keep]

@@ -10,7 +10,19 @@ from pyspark.sql import functions as F
 from cohortkit.session import checkpoint_dir
 
 
+ARROW_ROWS = 1000              # rows of whole texts that enter a task together
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the rows of the session's Arrow batches: Spark's 10,000 whole texts lie in the
+    JVM's and the worker's memory several times. A smaller setting of the session stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
+        spark.conf.set(key, ARROW_ROWS)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -21,6 +33,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     columns. They are removed when the driver's JVM ends.
     """
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{checkpoint_dir(spark)}/llm-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     jvm = spark.sparkContext._jvm

@@ -45,7 +45,7 @@ from pyspark.sql import Window as W
 from cohortkit.llm.common import fitting_broadcast, staged, text_key, text_or_empty, without_rows
 from cohortkit.llm.components import components
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 PARTS = 3                      # parts of a group; two of them make a signature
 AGREE = 2                      # groups on which similar sets agree at least
 SAMPLED = 4                    # the first test of unique n-grams takes one hash in so many

@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohortkit.llm.common import small_batches
+
 UND = "und"
 BUCKETS = 1 << 16
 SWITCH_PENALTY = 12.0
@@ -106,6 +108,7 @@ def find_words(texts: list[str]) -> Words:
 def learn_counts(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """lang, bucket, n over all rows with a label; buckets from BUCKETS on count scripts."""
     width = BUCKETS + len(SCRIPTS)
+    small_batches(df.sparkSession)
 
     def flush(counts: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         for lang, n in counts.items():
