@@ -26,6 +26,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -190,6 +191,7 @@ def features(nodes: list[Node], blocks: list[tuple[int, str]]) -> np.ndarray:
         for i in range(n - 1, 0, -1):
             total[nodes[i].parent] += total[i]
     above = [set() for _ in range(n)]
+    tags: list[Counter] = []           # of a node's children
     a, b = len(BLOCKS), len(BLOCKS) + ATTR_BUCKETS
     c, d = b + N_PURPOSES, b + 2 * N_PURPOSES
     for i, node in enumerate(nodes):
@@ -204,7 +206,8 @@ def features(nodes: list[Node], blocks: list[tuple[int, str]]) -> np.ndarray:
         for p in above[i]:
             x[i, c + p] = 1
         kin = nodes[node.parent].children if node.parent >= 0 else [i]
-        alike = sum(nodes[k].tag == node.tag for k in kin) if len(kin) < 200 else len(kin)
+        alike = tags[node.parent][node.tag] if node.parent >= 0 else 1
+        tags.append(Counter(nodes[k].tag for k in node.children))
         x[i, d:d + 6] = (node.depth, len(kin), alike / len(kin), i - kin[0], len(node.children), len(node.tokens))
     page = max(own[0], 1)
     x[:, d + 6] = np.log1p(own)

@@ -349,6 +349,16 @@ def test_main_text(spark):
     assert htmltext.extract(df.limit(0), htmltext.fit_extractor(df.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("n", [199, 200, 201, 2000])
+def test_sibling_share_does_not_depend_on_the_number_of_siblings(n):
+    kinds = ["p", "p", "p", "h2", "ul"]
+    page = "".join(f"<{kinds[i % 5]}>text {i}.</{kinds[i % 5]}>" for i in range(n))
+    nodes, blocks = htmltext.parse(f"<body>{page}</body>")
+    share = htmltext.features(nodes, blocks)[1:, htmltext.N_FEATURES - 15 + 2]
+    tags = [kinds[i % 5] for i in range(n)]
+    assert share.tolist() == pytest.approx([tags.count(t) / n for t in tags])
+
+
 def test_decoding_is_the_likeliest_consistent_labelling():
     rng = np.random.default_rng(1)
     for _ in range(100):
