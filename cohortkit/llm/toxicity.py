@@ -14,8 +14,10 @@
 
 Counts are summed map-side, word counts of all documents only for words that can enter
 the lexicon (a bit set of fixed size selects them in the tasks; a join makes it exact).
-The lexicon has at most ``lexicon_size`` words, so it may be broadcast. The logistic fit
-reads a histogram of fixed width.
+The lexicon is a table of any size: its ``broadcast_words`` words of most documents are
+broadcast; where there are more, the others are joined with the words of the texts (a word
+beyond that many more frequent ones is no hot key). The logistic fit reads a histogram of
+fixed width.
 
 Edge cases: null and empty texts have no segment and the base score; rows without a label
 teach nothing; equal labelled texts teach once; several labels of one id count as toxic if
@@ -43,7 +45,7 @@ from cohortkit.llm.common import staged, text_or_empty
 WORD = re.compile(r"[^\W\d_]+")
 PRIOR_DOCS = 50.0              # weight of the prior, in documents
 Z_LEAST = 3.5
-LEXICON_SIZE = 200_000
+BROADCAST_WORDS = 200_000      # lexicon entries that are broadcast; the others are joined
 DRIFT = 0.05
 LEAST_TOXIC = 3                # toxic texts a lexicon entry is in
 STEMS = range(4, 9)            # lengths of the stems that count as features
@@ -144,9 +146,10 @@ def bit_set(words: DataFrame) -> np.ndarray:
     return bits
 
 
-def fit_lexicon(docs: DataFrame, labelled: DataFrame, prior_docs: float = PRIOR_DOCS, z_least: float = Z_LEAST,
-                lexicon_size: int = LEXICON_SIZE) -> dict[str, float]:
-    """``docs``: text of all documents; ``labelled``: text and toxic of the training rows."""
+def lexicon_table(docs: DataFrame, labelled: DataFrame, prior_docs: float = PRIOR_DOCS,
+                  z_least: float = Z_LEAST) -> DataFrame | None:
+    """(word, score, docs) of the whole lexicon, None without toxic or clean training rows.
+    ``docs``: text of all documents; ``labelled``: text and toxic of the training rows."""
     once = (labelled.select(text_or_empty().alias("text"), "toxic")
             .groupBy(F.xxhash64("text").alias("h"), F.length("text").alias("n"))
             .agg(F.max("toxic").alias("toxic"), F.first("text").alias("text")).select("text", "toxic"))
@@ -154,7 +157,7 @@ def fit_lexicon(docs: DataFrame, labelled: DataFrame, prior_docs: float = PRIOR_
     totals = once.agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")).first()
     n_toxic, n_clean, n_docs = totals["t"] or 0, totals["c"] or 0, docs.count()
     if not n_toxic or not n_clean:
-        return {}
+        return None
     maybe = staged(count_words(once.where("toxic = 1")).where(F.col("toxic") >= LEAST_TOXIC)
                    .select("word", "toxic"), "maybe")
     clean = count_words(once.where("toxic = 0"), bit_set(maybe)).select("word", "clean")
@@ -183,8 +186,29 @@ def fit_lexicon(docs: DataFrame, labelled: DataFrame, prior_docs: float = PRIOR_
     scored = (maybe.join(every, "word")
               .withColumn("score", log_odds(y, prior, n_toxic) - log_odds(x, prior, n_clean))
               .withColumn("z", z(prior, prior)).where(F.col("z") >= z_least))
-    best = scored.orderBy(F.desc("z"), "word").limit(lexicon_size).select("word", "score").toPandas()
-    return dict(zip(best["word"], best["score"].astype(float)))
+    return staged(scored.select("word", "score", "docs"), "lexicon")
+
+
+def split_lexicon(table: DataFrame | None, broadcast_words: int = BROADCAST_WORDS) \
+        -> tuple[dict[str, float], DataFrame | None]:
+    """The words of most documents, to be broadcast, and the table of all others, if any."""
+    if table is None:
+        return {}, None
+    most = table.orderBy(F.desc("docs"), "word").limit(broadcast_words).toPandas()
+    scores = dict(zip(most["word"], most["score"].astype(float)))
+    if len(most) < broadcast_words:
+        return scores, None
+    last = most.iloc[-1]
+    n, word = F.lit(int(last["docs"])), F.lit(last["word"])
+    rest = table.where((F.col("docs") < n) | ((F.col("docs") == n) & (F.col("word") > word)))
+    return scores, None if rest.isEmpty() else rest.select("word", "score")
+
+
+def fit_lexicon(docs: DataFrame, labelled: DataFrame, prior_docs: float = PRIOR_DOCS,
+                z_least: float = Z_LEAST) -> dict[str, float]:
+    """The whole lexicon on the driver, for tables that are known to be small."""
+    table = lexicon_table(docs, labelled, prior_docs, z_least)
+    return {} if table is None else {r["word"]: r["score"] for r in table.collect()}
 
 
 # ---------------------------------------------------------------- segments
@@ -212,12 +236,53 @@ def maximal_segments(hits: list[tuple[int, float]], drift: float) -> list[tuple[
     return [(a, b, r - l) for a, b, l, r, _ in kept]
 
 
+def joined_scores(df: DataFrame, table: DataFrame, text_col: str) -> DataFrame:
+    """``df`` with ``__more``: word and score of the entries of ``table`` (word, score) that
+    are in the row's text. Texts are known by a hash: where two share one, each also gets
+    entries of the other, which it has no word for."""
+    shared = df.sparkSession.sparkContext.broadcast(np.packbits(bit_set(table)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chosen = np.unpackbits(shared.value).tobytes()
+
+        def is_set(key: str) -> int:
+            return chosen[zlib.crc32(key.encode()) % BITS]
+
+        wanted = remembered(lambda token: tuple({f for word in WORD.findall(token) if is_set("^" + word[:STEMS[0]])
+                                                 for f in features(word) if is_set(f)}))
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(words, pa.string())],
+                                             ["__text", "word"])
+            keys.clear()
+            words.clear()
+
+        keys, words = [], []
+        for batch in batches:
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = set().union(*map(wanted, set(lowered(text).split())))
+                keys += [key] * len(found)
+                words += found
+                if len(words) > WORDS_AT_ONCE:
+                    yield from flush()
+        yield from flush()
+
+    key = F.xxhash64(text_or_empty(text_col))
+    more = (df.select(key.alias("__text"), text_or_empty(text_col).alias("text"))
+            .mapInArrow(run, "__text long, word string").distinct().join(table, "word")
+            .groupBy("__text").agg(F.collect_list(F.struct("word", "score")).alias("__more")))
+    return df.withColumn("__text", key).join(more, "__text", "left").drop("__text")
+
+
 def score_segments(df: DataFrame, lexicon: dict[str, float], drift: float = DRIFT,
-                   text_col: str = "text") -> DataFrame:
-    """``df`` without the text, with n_words and segments (code points start, end; score)."""
+                   text_col: str = "text", rest: DataFrame | None = None) -> DataFrame:
+    """``df`` without the text, with n_words and segments (code points start, end; score).
+    ``rest``: the entries (word, score) of a lexicon that are not in ``lexicon``."""
     shared = df.sparkSession.sparkContext.broadcast(lexicon)
     keep = [f for f in df.schema.fields if f.name not in (text_col, "n_words", "segments")]
     names = [f.name for f in keep]
+    none = F.lit(None).cast("array<struct<word:string,score:double>>")
+    df = df.withColumn("__more", none) if rest is None else joined_scores(df, rest, text_col)
     kind = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()),
                                      T.StructField("score", T.DoubleType())]))
     arrow = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
@@ -236,9 +301,20 @@ def score_segments(df: DataFrame, lexicon: dict[str, float], drift: float = DRIF
 
         token_scores = remembered(read)
 
-        def one(text: str) -> tuple[int, list[dict]]:
+        def raised(token: str, scored: list[tuple[int, float]], more: dict[str, float]) -> list[tuple[int, float]]:
+            best = dict(scored)
+            for i, word in enumerate(WORD.findall(token)):
+                s = max((more[f] for f in features(word) if f in more), default=0.0)
+                if s > best.get(i, 0.0):
+                    best[i] = s
+            return sorted(best.items())
+
+        def one(text: str, more: dict[str, float]) -> tuple[int, list[dict]]:
             low, n, hits = lowered(text), 0, []
-            for count, scored in map(token_scores, low.split()):
+            found = map(token_scores, low.split())
+            if more:
+                found = ((c, raised(t, s, more)) for t, (c, s) in zip(low.split(), found))
+            for count, scored in found:
                 if scored:
                     hits += [(n + i, s) for i, s in scored]
                 n += count
@@ -249,13 +325,14 @@ def score_segments(df: DataFrame, lexicon: dict[str, float], drift: float = DRIF
                        for a, b, s in maximal_segments(hits, drift)]
 
         for batch in batches:
-            found = [one(t or "") for t in batch.column(len(names)).to_pylist()]
+            found = [one(t or "", {e["word"]: e["score"] for e in more or ()})
+                     for t, more in zip(*(batch.column(len(names) + k).to_pylist() for k in (0, 1)))]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array([n for n, _ in found], pa.int64()),
+                [*batch.columns[:-2], pa.array([n for n, _ in found], pa.int64()),
                  pa.array([s for _, s in found], arrow)], [*names, "n_words", "segments"])
 
     schema = T.StructType([*keep, T.StructField("n_words", T.LongType()), T.StructField("segments", kind)])
-    return df.select(*names, text_col).mapInArrow(run, schema)
+    return df.select(*names, text_col, "__more").mapInArrow(run, schema)
 
 
 # ---------------------------------------------------------------- calibration
@@ -306,14 +383,15 @@ def calibrate(segments: DataFrame) -> Calibration:
     return Calibration(rate, density, a, max(b, 0.0))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, train, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, train, id_col: str = "doc_id", text_col: str = "text",
+             broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
     """doc_id, n_words, segments, evidence, score of every row of ``docs``; ``labels`` has
     id and toxic (1 or 0); ``train`` is a condition on the id column."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     marked = (labels.select(F.col(id_col).alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
               .where("toxic in (0, 1)").where(train).groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
-    lexicon = fit_lexicon(rows, rows.join(marked, "doc_id"))
-    found = staged(score_segments(rows, lexicon), "segments")
+    lexicon, rest = split_lexicon(lexicon_table(rows, rows.join(marked, "doc_id")), broadcast_words)
+    found = staged(score_segments(rows, lexicon, rest=rest), "segments")
     cal = calibrate(found.join(marked, "doc_id"))
     x = evidence(cal.rate, cal.density)
     return found.select("doc_id", "n_words", "segments", x.alias("evidence"),

@@ -331,6 +331,21 @@ def test_toxicity_edge_cases(spark):
     assert toxicity.toxicity(docs(spark, []), labels, F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("words", [1, 3])
+def test_words_beyond_the_broadcast_ones_score_alike(spark, words):
+    rng = random.Random(5)
+    harsh = [f"vile{i % 7}{c}ness" for i, c in enumerate("abcdefghijklmn")]
+    rows = [(i, " ".join((rng.sample(harsh, 3) if i % 3 == 0 else []) + [f"w{rng.randint(0, 60)}" for _ in range(15)]))
+            for i in range(300)] + [(400, None), (401, ""), (None, harsh[0]), (401, "")]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(240)], "doc_id long, toxic int")
+    frame = docs(spark, rows)
+    assert len(toxicity.fit_lexicon(frame, frame.join(labels, "doc_id"))) > 3
+    key = lambda r: (str(r["doc_id"]), r["n_words"], r["segments"], r["score"])
+    want, got = ([key(r) for r in toxicity.toxicity(frame, labels, F.lit(True), **k).collect()]
+                 for k in ({}, {"broadcast_words": words}))
+    assert sorted(got, key=str) == sorted(want, key=str) and len(got) == len(rows)
+
+
 # ---------------------------------------------------------------- HTML
 PAGE = ('<html><head><title>t</title><script>x="</p>"</script></head><body><nav><ul><li><a href="/">Home</a></li></ul></nav>'
         '<div class="ad">Buy this now.</div><article><h1>Title &amp; more</h1><p><b>First  text.<br><p>Second\n paragraph of '
