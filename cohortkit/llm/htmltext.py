@@ -10,10 +10,13 @@ it, so an ancestor and its descendants never contradict each other.
 
 There are no labelled pages, so the trees learn from weak labels: blocks inside an
 ``article`` or ``main`` element, outside elements whose tag or tokens name another purpose.
-The sample is bounded (``sample_pages`` pages of at most ``sample_chars`` characters,
-lowest id hashes first). Each sampled page also appears rewritten: semantic tags become
-plain ones with typical class tokens, and side bars, notices, forms and reader comments
-made of other pages' text are put in. Everything else reads all pages, whole, in one map.
+The sample is bounded (``sample_pages`` pages, lowest id hashes first): pages of at most
+``sample_chars`` characters if all those drawn have a weak label, else pages with one of
+any length, of longer ones ``SAMPLE_NODES`` nodes. Each sampled page also appears rewritten:
+semantic tags become plain ones with typical class tokens, and side bars, notices, forms and
+reader comments made of other pages' text (of a longer page: its own) are put in. Where no
+page has a weak label, fixed weights on the densities take the place of the trees.
+Everything else reads all pages, whole, in one map.
 
 Edge cases: a null or empty page, or one without main text, gives an empty text; missing
 end tags are implied; markup that is cut off ends with the page; repeated rows and extra
@@ -38,6 +41,7 @@ from pyspark.sql import types as T
 
 SAMPLE_PAGES = 200
 SAMPLE_CHARS = 100_000
+SAMPLE_NODES = 500             # nodes of a longer page that are sampled
 TREES, DEPTH, RATE, BINS = 30, 4, 0.3, 32
 ATTR_BUCKETS = 16
 
@@ -335,17 +339,48 @@ def rewritten(page: str, others: list[str], rng: np.random.Generator) -> str:
     return page
 
 
-def fit_pages(pages: list[str], seed: int = 7) -> Trees | None:
+@dataclass(frozen=True)
+class Densities:
+    """Fixed weights for tables without a weak label: links, length and sentence marks of
+    the text, and purposes other than main text (a form may hold a whole page)."""
+
+    def log_odds(self, x: np.ndarray) -> np.ndarray:
+        b = len(BLOCKS) + ATTR_BUCKETS
+        d = b + 2 * N_PURPOSES
+        other = [i for i, p in enumerate(PURPOSES) if p not in ("content", "form")]
+        barred = x[:, [b + i for i in other] + [b + N_PURPOSES + i for i in other]].any(axis=1)
+        return (1.5 + 0.4 * (x[:, d + 6].astype(float) - 4) - 6 * x[:, d + 8] + 0.5 * np.minimum(x[:, d + 11], 2)
+                - 5 * barred)
+
+
+def training_rows(page: str, nodes: list[Node], blocks: list[tuple[int, str]], others: list[str],
+                  rng: np.random.Generator) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Features and weak labels of the page's nodes, as it is and rewritten."""
+    for n, b in ((nodes, blocks), parse(rewritten(page, others, rng))):
+        y = weak_labels(n, b)
+        if y is not None:
+            yield features(n, b), y
+
+
+def some_rows(page: str, nodes: list[Node], blocks: list[tuple[int, str]]) -> tuple[np.ndarray, np.ndarray]:
+    """At most ``SAMPLE_NODES`` training rows of a page."""
+    rng = np.random.default_rng(zlib.crc32(page.encode("utf-8", "replace")))
+    rows = list(training_rows(page, nodes, blocks, [" ".join(t for _, t in blocks)], rng))
+    x, y = (np.concatenate(part) for part in zip(*rows))
+    at = rng.permutation(len(y))[:SAMPLE_NODES]
+    return x[at], y[at]
+
+
+def fit_pages(pages: list[str], seed: int = 7, more: list[tuple[np.ndarray, np.ndarray]] = ()) -> Trees | None:
+    """``more``: features and labels of nodes of further pages."""
     rng = np.random.default_rng(seed)
     parsed = [parse(p) for p in pages]
     others = [" ".join(t for _, t in b) for _, b in parsed if b] or ["text"]
-    xs, ys = [], []
+    xs, ys = [x for x, _ in more], [y for _, y in more]
     for page, (nodes, blocks) in zip(pages, parsed):
-        for n, b in ((nodes, blocks), parse(rewritten(page, others, rng))):
-            y = weak_labels(n, b)
-            if y is not None:
-                xs.append(features(n, b))
-                ys.append(y)
+        for x, y in training_rows(page, nodes, blocks, others, rng):
+            xs.append(x)
+            ys.append(y)
     if not xs:
         return None
     return fit_trees(np.concatenate(xs), np.concatenate(ys))
@@ -366,9 +401,9 @@ def decode(nodes: list[Node], log_odds: np.ndarray) -> np.ndarray:
     return chosen
 
 
-def main_texts(trees: Trees | None, pages: list[str]) -> list[str]:
-    if trees is None or not pages:
-        return [""] * len(pages)
+def main_texts(trees: Trees | Densities, pages: list[str]) -> list[str]:
+    if not pages:
+        return []
     parsed = [parse(p) for p in pages]
     xs = [features(n, b) for n, b in parsed]
     odds = trees.log_odds(np.concatenate(xs))
@@ -392,15 +427,42 @@ def _groups(pages: list[str], most: int = 4 << 20) -> Iterator[list[str]]:
         yield part
 
 
-def fit_extractor(pages: DataFrame, id_col: str = "page_id", html_col: str = "html",
-                  sample_pages: int = SAMPLE_PAGES, sample_chars: int = SAMPLE_CHARS) -> Trees | None:
-    """Trees fitted on a bounded sample of the pages (see the module text)."""
-    some = (pages.where(F.length(html_col) <= sample_chars)
-            .orderBy(F.xxhash64(id_col), F.xxhash64(html_col)).limit(sample_pages))
-    return fit_pages([r[0] for r in some.select(html_col).collect()])
+def labelled_pages(pages: DataFrame, html_col: str, sample_chars: int) -> DataFrame:
+    """The pages with a weak label: the html, or features and labels of some nodes of pages
+    of more than ``sample_chars`` characters."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, page in enumerate(batch.column(2).to_pylist()):
+                nodes, blocks = parse(page)
+                if weak_labels(nodes, blocks) is not None:
+                    row = (page, None, None)
+                    if len(page) > sample_chars:
+                        x, y = some_rows(page, nodes, blocks)
+                        row = (None, x.tobytes(), y.tobytes())
+                    yield pa.RecordBatch.from_arrays(
+                        [*batch.slice(i, 1).columns[:2], *(pa.array([v], t) for v, t in zip(
+                            row, (pa.string(), pa.binary(), pa.binary())))], ["a", "b", "html", "x", "y"])
+
+    return (pages.where(F.col(html_col).isNotNull()).select("a", "b", html_col)
+            .mapInArrow(run, "a long, b long, html string, x binary, y binary"))
 
 
-def extract(pages: DataFrame, trees: Trees | None, html_col: str = "html", out: str = "text") -> DataFrame:
+def fit_extractor(pages: DataFrame, id_col: str = "page_id", html_col: str = "html",
+                  sample_pages: int = SAMPLE_PAGES, sample_chars: int = SAMPLE_CHARS) -> Trees | Densities:
+    """Trees fitted on a bounded sample of the pages (see the module text)."""
+    keyed = pages.select(html_col, F.xxhash64(id_col).alias("a"), F.xxhash64(html_col).alias("b"))
+    some = keyed.where(F.length(html_col) <= sample_chars).orderBy("a", "b").limit(sample_pages)
+    texts, more = [r[0] for r in some.select(html_col).collect()], []
+    if len(texts) < sample_pages or any(weak_labels(*parse(t)) is None for t in texts):
+        rows = labelled_pages(keyed, html_col, sample_chars).orderBy("a", "b").limit(sample_pages).collect()
+        texts = [r["html"] for r in rows if r["html"] is not None]
+        more = [(np.frombuffer(r["x"], np.float32).reshape(-1, N_FEATURES), np.frombuffer(r["y"], float))
+                for r in rows if r["html"] is None]
+    return fit_pages(texts, more=more) or Densities()
+
+
+def extract(pages: DataFrame, trees: Trees | Densities, html_col: str = "html", out: str = "text") -> DataFrame:
     """``pages`` without the html, with the main text."""
     shared = pages.sparkSession.sparkContext.broadcast(trees)
     keep = [f for f in pages.schema.fields if f.name not in (html_col, out)]

@@ -374,6 +374,20 @@ def test_sibling_share_does_not_depend_on_the_number_of_siblings(n):
     assert share.tolist() == pytest.approx([tags.count(t) / n for t in tags])
 
 
+def test_pages_without_weak_label_in_the_first_draw(spark):
+    want = lambda i: f"Title & more\nFirst text.\nSecond paragraph of the page, {i}."
+    frame = lambda pages: spark.createDataFrame(list(enumerate(pages)), "page_id long, html string")
+    read = lambda df, **k: [r["text"] for r in htmltext.extract(
+        df, htmltext.fit_extractor(df, **k)).orderBy("page_id").collect()]
+    pages = [PAGE.format(i=i) for i in range(40)]
+    assert read(frame(pages), sample_chars=50) == [want(i) for i in range(40)]       # all longer
+    plain = ["<div>no mark</div>"] * 60
+    assert read(frame(plain + pages), sample_pages=3)[60:] == [want(i) for i in range(40)]
+    divs = [p.replace("<article>", "<div>").replace("</article>", "</div>") for p in pages]
+    assert read(frame(divs)) == [want(i) for i in range(40)]                         # none has one
+    assert read(frame(["", "<p"])) == ["", ""]
+
+
 def test_decoding_is_the_likeliest_consistent_labelling():
     rng = np.random.default_rng(1)
     for _ in range(100):
