@@ -7,7 +7,8 @@ each candidate (for, against or not at all): the strict pattern, a check of digi
 shape, a gazetteer, the words around it, and its edges. Expectation-maximisation (one
 two-class model per kind) estimates the labelers' reliabilities and each vote pattern's
 probability; these soft labels train the final span classifier, a logistic model over
-votes, kind and length. Candidates it accepts, and that lie in no base span, are added.
+votes, kind and length. The base spans are candidates too: their votes count for EM and the
+fit. Candidates the classifier accepts, and that lie in no base span, are added.
 
 The texts are read once, by a map without shuffle. Voting patterns are counted map-side;
 there are at most ``kinds * 3**labelers * lengths`` of them, so EM and the fit run on a
@@ -194,33 +195,36 @@ def read_code(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def find_spans(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """``df`` without the text, with base (kind, start, end) and candidates (also code)."""
-    keep = [f for f in df.schema.fields if f.name not in (text_col, "base", "candidates")]
+    """``df`` without the text, with base (kind, start, end), candidates outside the base
+    spans (also code) and ``known``, the codes of the base spans."""
+    keep = [f for f in df.schema.fields if f.name not in (text_col, "base", "candidates", "known")]
     names = [f.name for f in keep]
     span = [("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]
     base_type, cand_type = pa.list_(pa.struct(span)), pa.list_(pa.struct([*span, ("code", pa.int32())]))
 
-    def one(text: str) -> tuple[list[dict], list[dict]]:
+    def one(text: str) -> tuple[list[dict], list[dict], list[int]]:
         base = base_spans(text)
+        code = lambda kind, a, b: pattern_code(kind, votes(kind, a, b, text, base), b - a)
         found = []
         for kind, a, b in candidates(text):
             if not any(x <= a and b <= y for _, x, y in base):
-                code = pattern_code(kind, votes(kind, a, b, text, base), b - a)
-                found.append({"kind": kind, "start": a, "end": b, "code": code})
-        return [{"kind": k, "start": a, "end": b} for k, a, b in base], found
+                found.append({"kind": kind, "start": a, "end": b, "code": code(kind, a, b)})
+        return [{"kind": k, "start": a, "end": b} for k, a, b in base], found, [code(*s) for s in base]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [one(t or "") for t in batch.column(len(names)).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array([b for b, _ in made], base_type),
-                 pa.array([c for _, c in made], cand_type)], [*names, "base", "candidates"])
+                [*batch.columns[:-1], pa.array([b for b, _, _ in made], base_type),
+                 pa.array([c for _, c, _ in made], cand_type),
+                 pa.array([k for _, _, k in made], pa.list_(pa.int32()))], [*names, "base", "candidates", "known"])
 
     fields = [T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()),
               T.StructField("end", T.LongType())]
     schema = T.StructType([*keep, T.StructField("base", T.ArrayType(T.StructType(fields))),
                            T.StructField("candidates", T.ArrayType(T.StructType(
-                               [*fields, T.StructField("code", T.IntegerType())])))])
+                               [*fields, T.StructField("code", T.IntegerType())]))),
+                           T.StructField("known", T.ArrayType(T.IntegerType()))])
     return df.select(*names, text_col).mapInArrow(run, schema)
 
 
@@ -263,7 +267,7 @@ def fit_classifier(x: np.ndarray, soft: np.ndarray, n: np.ndarray, ridge: float
 
 
 def accepted_codes(found: DataFrame, kinds: tuple[str, ...] = KINDS) -> list[int]:
-    counts = (found.select(F.explode("candidates.code").alias("code")).groupBy("code")
+    counts = (found.select(F.explode(F.concat("candidates.code", "known")).alias("code")).groupBy("code")
               .agg(F.count(F.lit(1)).alias("n")).toPandas())
     if not len(counts):
         return []
@@ -283,7 +287,7 @@ def personal_data(docs: DataFrame, text_col: str = "text", kinds: tuple[str, ...
     codes = F.array(*[F.lit(c) for c in accepted_codes(found, kinds)]).cast("array<int>")
     chosen = F.filter("candidates", lambda c: F.array_contains(codes, c["code"]))
     added = F.array_distinct(F.transform(chosen, lambda c: F.struct(c["kind"], c["start"], c["end"])))
-    return found.withColumn("added", added).drop("candidates")
+    return found.withColumn("added", added).drop("candidates", "known")
 
 
 def span_text(spans: Column) -> Column:

@@ -265,6 +265,16 @@ def test_added_spans_and_edge_cases(spark):
     assert pii.KINDS[kind[0]] == "phone" and given[0].tolist() == [1, -1, 0, 0, 1] and length[0] == 1
 
 
+def test_base_spans_teach_but_are_not_added(spark):
+    rows = [(i, f"mail me at user{i % 10}@mail.example.com or call +1 (171) 555-20{i % 10}8 now") for i in range(40)]
+    found = pii.find_spans(docs(spark, rows))
+    assert not any(r["candidates"] for r in found.collect())
+    kind, given, _ = pii.read_code(np.array(pii.accepted_codes(found)))
+    assert {pii.KINDS[k] for k in kind} == {"email", "phone"} and (given[:, 0] == 1).all()
+    out = pii.personal_data(docs(spark, rows)).collect()
+    assert all(len(r["base"]) == 2 and not r["added"] for r in out) and "known" not in out[0]
+
+
 # ---------------------------------------------------------------- toxicity
 def test_maximal_segments_brute_force():
     rng = np.random.default_rng(2)
