@@ -12,6 +12,10 @@ Encoders are pluggable:
   ``HashingTF``), so it is safe to use on any cluster without Python model files.
 * ``BatchEncoder`` -- any Python model: ``make_predict_fn`` is called once per Python
   worker and then fed Arrow batches of ``batch_size`` texts (``predict_batch_udf``).
+
+I5: ``max_tokens`` keeps the first tokens of a text (word tokens; for a ``BatchEncoder``
+what white space parts). It is off by default and part of the model name, so the cache
+never mixes truncated and whole texts.
 """
 
 from __future__ import annotations
@@ -67,17 +71,26 @@ def text_key(col: str) -> F.Column:
     return F.md5(F.col(col).cast("string"))
 
 
+def model_name(name: str, max_tokens: int | None) -> str:
+    if max_tokens is not None and max_tokens < 1:
+        raise ValueError("max_tokens must be 1 or more")
+    return name if max_tokens is None else f"{name}-max{max_tokens}"
+
+
 class HashingEncoder:
     """JVM-side bag-of-words encoder with masked mean pooling."""
 
-    def __init__(self, dim: int = 64, name: str | None = None):
-        self.dim = dim
-        self.name = name or f"hashing-{dim}"
+    def __init__(self, dim: int = 64, name: str | None = None, max_tokens: int | None = None):
+        self.dim, self.max_tokens = dim, max_tokens
+        self.name = model_name(name or f"hashing-{dim}", max_tokens)
 
     def encode(self, df: DataFrame, text_col: str, out: str = "vector") -> DataFrame:
         tok = RegexTokenizer(inputCol=text_col, outputCol="_tok", pattern="\\W+", toLowercase=True)
         tf = HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=self.dim)
-        x = tf.transform(tok.transform(df.withColumn(text_col, F.coalesce(F.col(text_col), F.lit("")))))
+        words = tok.transform(df.withColumn(text_col, F.coalesce(F.col(text_col), F.lit(""))))
+        if self.max_tokens is not None:
+            words = words.withColumn("_tok", F.slice("_tok", 1, self.max_tokens))
+        x = tf.transform(words)
         n = F.size("_tok").cast("float")
         arr = vector_to_array("_tf", "float32")
         pooled = F.when(n > 0, F.transform(arr, lambda v: (v / n).cast("float"))).otherwise(arr)
@@ -87,13 +100,20 @@ class HashingEncoder:
 class BatchEncoder:
     """Python model behind ``predict_batch_udf``: loaded once per worker, batched input."""
 
-    def __init__(self, make_predict_fn: Callable, dim: int, name: str, batch_size: int = 32):
-        self.dim, self.name, self.batch_size = dim, name, batch_size
+    def __init__(self, make_predict_fn: Callable, dim: int, name: str, batch_size: int = 32,
+                 max_tokens: int | None = None):
+        self.dim, self.name, self.batch_size = dim, model_name(name, max_tokens), batch_size
+        self.max_tokens = max_tokens
         self._udf = predict_batch_udf(make_predict_fn, return_type=T.ArrayType(T.FloatType()),
                                       batch_size=batch_size)
 
     def encode(self, df: DataFrame, text_col: str, out: str = "vector") -> DataFrame:
-        return df.withColumn(out, self._udf(F.coalesce(F.col(text_col), F.lit(""))))
+        text = F.coalesce(F.col(text_col), F.lit(""))
+        if self.max_tokens is not None:
+            words = F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " ")
+            text = F.when(F.size(words) > self.max_tokens,
+                          F.array_join(F.slice(words, 1, self.max_tokens), " ")).otherwise(text)
+        return df.withColumn(out, self._udf(text))
 
 
 def read_cache(spark: SparkSession, path: str, model: str | None = None) -> DataFrame:

@@ -30,6 +30,19 @@ def test_hashing_encoder_mean_pools(spark):
     assert sum(v[0]) == pytest.approx(1.0) and sum(v[1]) == 0.0
 
 
+def test_encoders_truncate_to_max_tokens(spark):
+    df = spark.createDataFrame([(0, "a b  c\td e"), (1, "a  b"), (2, None), (3, "a b c")], "i int, text string")
+    read = lambda enc, d=df: [r["vector"] for r in enc.encode(d, "text").orderBy("i").collect()]
+    cut = df.withColumn("text", F.when(F.col("i") == 0, "a b c").otherwise(F.col("text")))
+    short = EM.HashingEncoder(dim=16, max_tokens=3)
+    assert read(short) == read(EM.HashingEncoder(dim=16), cut) != read(EM.HashingEncoder(dim=16))
+    assert short.name == "hashing-16-max3" and EM.HashingEncoder(dim=16).name == "hashing-16"
+    batch = EM.BatchEncoder(EM.text_stats_model, dim=3, name="stats", max_tokens=3)
+    assert [v[0] for v in read(batch)] == [5, 4, 0, 5] and batch.name == "stats-max3"
+    with pytest.raises(ValueError):
+        EM.HashingEncoder(max_tokens=0)
+
+
 def test_missing_column_raises(spark):
     with pytest.raises(ValueError):
         EM.check_columns(spark.createDataFrame([(1,)], "x long"), ["text"])
