@@ -21,10 +21,10 @@ Comparison. In a bucket (sets with one signature) no pairs are enumerated at fir
 set is compared with one hub, the bucket minimum it shares most buckets with, and
 components are formed from the verified links. Buckets that still hold several components
 are joined to clusters; a cluster's sets are dealt into blocks of bounded size and compared
-block by block inside the tasks, which hand on links only. So a large group of near copies
+block by block inside the tasks, which hand on a spanning forest of the links found. So a large group of near copies
 costs one comparison a set where they are linked, and where they are just below the
-similarity it costs block products but no rows for pairs. No link that joins two
-components is lost.
+similarity it costs block products but no rows for pairs. No two components that a
+link joins stay apart.
 
 Edge cases: texts with fewer words than the n-gram are one n-gram; null texts and texts
 without words have an empty set and are linked with nothing; a null id stays null; repeated
@@ -354,8 +354,28 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
             .select("a", "b", "g_a", "g_b", (F.col("n_a") + F.col("n_b")).alias("n")).mapInArrow(run, "a long, b long"))
 
 
+def spanning_links(linked: np.ndarray, group: np.ndarray) -> list[tuple[int, int]]:
+    """Of the links of a symmetric matrix, so few that no circle is left, where the rows of
+    one group count as joined already."""
+    names, group = np.unique(group, return_inverse=True)
+    order = np.argsort(group, kind="stable")
+    members = np.split(order, np.searchsorted(group[order], np.arange(1, len(names))))
+    seen, out = np.zeros(len(names), bool), []
+    for start in range(len(names)):
+        todo = [] if seen[start] else [start]
+        seen[start] = True
+        while todo:
+            for u in members[todo.pop()]:
+                new = np.nonzero(linked[u] & ~seen[group])[0]
+                found, first = np.unique(group[new], return_index=True)
+                out += [(int(u), int(v)) for v in new[first]]
+                seen[found] = True
+                todo += found.tolist()
+    return out
+
+
 def _compare_blocks(num: int, den: int):
-    """Links between different components of one block or of two."""
+    """A spanning forest of the links between components of one block or of two."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         parts = [np.frombuffer(g, np.uint64) for g in pdf["grams"]]
@@ -373,12 +393,12 @@ def _compare_blocks(num: int, den: int):
         shared = shared.astype(np.int64)
         ok = den * shared >= num * (size[:, None] + size[None, :] - shared)
         comp = pdf["component"].to_numpy()
-        ok &= np.triu(comp[:, None] != comp[None, :], 1)
+        ok &= comp[:, None] != comp[None, :]
         if pdf["p"].iloc[0] != pdf["q"].iloc[0]:
             ok &= block[:, None] != block[None, :]     # each block's own pairs have their own task
-        i, j = np.nonzero(ok)
+        pairs = np.array(spanning_links(ok, comp), np.int64).reshape(-1, 2)
         ids = pdf["set_id"].to_numpy()
-        return pd.DataFrame({"a": ids[i], "b": ids[j]})
+        return pd.DataFrame({"a": ids[pairs[:, 0]], "b": ids[pairs[:, 1]]})
 
     return run
 

@@ -145,6 +145,33 @@ def test_drop_near_copies_and_empty(spark):
     assert JA.jaccard_components(docs(spark, [])).count() == 0
 
 
+def test_block_comparison_hands_on_a_forest():
+    import pandas as pd
+    common = np.arange(1, 41, dtype=np.uint64)
+    grams = [np.sort(np.append(common, np.uint64(1000 + i))).tobytes() for i in range(30)]
+    grams += [np.arange(5000 + 100 * i, 5041 + 100 * i, dtype=np.uint64).tobytes() for i in range(3)]
+    rows = pd.DataFrame({"p": 0, "q": 0, "block": 0, "set_id": np.arange(33), "size": 41, "grams": grams,
+                         "component": [i // 2 if i < 10 else i + 100 for i in range(33)]})
+    run = JA._compare_blocks(9, 10)
+    for q, block, want in ((0, 0, 24), (1, np.arange(33) % 2, None)):
+        links = run(rows.assign(q=q, block=block))
+        joined = {i: i for i in range(33)}
+
+        def top(i):
+            while joined[i] != i:
+                i = joined[i]
+            return i
+
+        for i in range(1, 10, 2):
+            joined[top(i)] = top(i - 1)
+        for a, b in zip(links["a"], links["b"]):
+            assert q == 0 or a % 2 != b % 2
+            assert top(a) != top(b)                     # no link closes a circle
+            joined[top(a)] = top(b)
+        assert len({top(i) for i in range(30)}) == 1 and len({top(i) for i in range(33)}) == 4
+        assert want is None or len(links) == want
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(30)] + [(100, 102), (102, 101), (200, 200)]
     found = dict(components(spark.createDataFrame(links, "a long, b long")).collect())
