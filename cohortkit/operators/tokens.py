@@ -29,7 +29,7 @@ def to_long(df: DataFrame, key: str | Sequence[str], col: str, sep: str,
     tokens are trimmed and empty tokens skipped. Where the caller knows that each key has
     one row (``unique_key``), repeats are removed inside the row and nothing is shuffled."""
     keys = [key] if isinstance(key, str) else list(key)
-    parts = F.array_distinct(F.transform(split_packed(col, sep), F.trim))
+    parts = F.array_distinct(F.transform(split_packed(col, sep), lambda x: F.trim(x)))
     long = (df.filter(F.col(col).isNotNull())
               .select(*keys, *keep, F.explode(parts).alias(out))
               .filter(F.col(out) != ""))

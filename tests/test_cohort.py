@@ -138,3 +138,22 @@ def test_vocabulary_exact_and_sketch(spark):
     assert exact["hot"] == 700 and exact["t3"] == 100
     approx = {r["token"]: r["n_keys"] for r in TK.vocabulary(long, approx_rsd=0.02).collect()}
     assert abs(approx["hot"] - 700) <= 700 * 0.08
+
+
+def _tokens(spark, packed, **kw):
+    df = spark.createDataFrame([(1, packed)], "person_id long, drugs string")
+    return sorted(r["token"] for r in TK.to_long(df, "person_id", "drugs", " | ", **kw).collect())
+
+
+@pytest.mark.parametrize("unique_key", [False, True])
+def test_tokens_keep_digits_at_both_ends(spark, unique_key):
+    packed = "0.9% saline | 1-2-3 mix | drug9 | vitamin B1 | 3-in-1 oil 4 | 5"
+    assert _tokens(spark, packed, unique_key=unique_key) == sorted(packed.split(" | "))
+
+
+def test_tokens_lose_outer_blanks_only(spark):
+    assert _tokens(spark, "  a b  |  c | d  ") == ["a b", "c", "d"]
+
+
+def test_token_that_equals_its_index_stays(spark):
+    assert _tokens(spark, "0 | 1 | 2 | x") == ["0", "1", "2", "x"]
