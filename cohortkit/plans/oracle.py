@@ -20,13 +20,12 @@ persons as (
   from customer c join nation n on c.c_nationkey = n.n_nationkey join region r on n.n_regionkey = r.r_regionkey),
 scored as (select p.*, q1_score + q2_score + q3_score as audit_c_score from persons p),
 exposures as (
-  select o.o_custkey as person_id, concat(p.p_name, ' ', p.p_type) as concept_name,
+  select o.o_custkey as person_id, concat_ws(' ', p.p_name, p.p_type, p.p_size) as concept_name,
          cast(l.l_shipdate as date) as drug_exposure_start_date, l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey, l.l_extendedprice
-  from lineitem l join orders o on l.l_orderkey = o.o_orderkey join part p on l.l_partkey = p.p_partkey
-  where o.o_custkey % 7 <> 0),
+  from lineitem l join orders o on l.l_orderkey = o.o_orderkey join part p on l.l_partkey = p.p_partkey),
 como_long as (
   select distinct o_custkey as person_id, substr(o_orderpriority, 3) as comorbidity
-  from orders where o_custkey % 5 <> 0),
+  from orders where o_orderstatus = 'F'),
 packed_como as (
   select person_id, array_to_string(list_sort(list(comorbidity)), ',') as comorbidity
   from como_long group by person_id),

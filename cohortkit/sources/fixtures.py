@@ -1,8 +1,8 @@
 """Domain views over the driver tables (persons, exposures, comorbidities, ...).
 
 They map the star-schema test tables onto the cohort model: customers are persons,
-line items are drug exposures, order priorities are
-comorbidities. Each view is a lazy DataFrame; nothing is materialised here.
+line items are drug exposures (part name, type and size, like a name with a dose),
+priorities of finished orders are comorbidities. Each view is a lazy DataFrame; nothing is materialised here.
 """
 
 from __future__ import annotations
@@ -17,8 +17,7 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 
 # Fixed values of the fixture mapping (must equal the oracle SQL).
 GENDER_MOD, OTHER_REMAINDER = 20, 19
-EXPOSURE_KEEP_MOD = 7    # people whose number it divides have no drugs
-COMO_KEEP_MOD = 5    # people whose number it divides have no comorbidity
+DIAGNOSED_STATUS = "F"    # a comorbidity counts once its order is finished
 SEVERITY_LEVELS = {"view": 0, "click": 1, "signup": 2, "purchase": 3}
 SKIP_SENTINEL = "error"
 SCORE_MARKER = "### AUDIT-C Score:"
@@ -85,20 +84,19 @@ class Cohort:
         l = (self.t.lineitem
              .select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
                      "l_extendedprice", "l_shipdate"))
-        o = (self.t.orders.filter(F.col("o_custkey") % EXPOSURE_KEEP_MOD != 0)
-             .select("o_orderkey", "o_custkey"))
-        p = self.t.part.select("p_partkey", "p_name", "p_type")
+        o = self.t.orders.select("o_orderkey", "o_custkey")
+        p = self.t.part.select("p_partkey", "p_name", "p_type", "p_size")
         return (l.join(o, l.l_orderkey == o.o_orderkey)
                  .join(p, l.l_partkey == p.p_partkey)
                  .select(F.col("o_custkey").alias("person_id"),
-                         F.concat(F.col("p_name"), F.lit(" "), F.col("p_type")).alias("concept_name"),
+                         F.concat_ws(" ", "p_name", "p_type", F.col("p_size").cast("string")).alias("concept_name"),
                          F.col("l_shipdate").cast("date").alias("drug_exposure_start_date"),
                          "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
 
     @cached_property
     def como_long(self) -> DataFrame:
         return (self.t.orders
-                .filter(F.col("o_custkey") % COMO_KEEP_MOD != 0)
+                .filter(F.col("o_orderstatus") == DIAGNOSED_STATUS)
                 .select(F.col("o_custkey").alias("person_id"),
                         F.expr("substring(o_orderpriority, 3)").alias("comorbidity"))
                 .distinct())
