@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,6 +22,12 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, ARROW_ROWS)
 
 
+def ship_by_value(module: str) -> None:
+    """Send the module's functions inside the task, so that executors need no install."""
+    from pyspark import cloudpickle
+    cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     small_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

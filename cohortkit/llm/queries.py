@@ -17,6 +17,7 @@ from cohortkit.llm import langid as LI
 from cohortkit.llm import pii as PI
 from cohortkit.llm import suffix as SU
 from cohortkit.llm import toxicity as TX
+from cohortkit.llm import turnrepair as TR
 from cohortkit.llm.common import held_out, read_table, text_or_empty
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -188,3 +189,82 @@ def op9_html_text(spark, sf_dir):
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
     out = HT.extract(pages, HT.fit_extractor(pages))
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """The turns with a fault each by the checksum of their id and number; dropped turns
+    stay as rows marked ``gone``."""
+    spaced = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    fate = F.crc32(F.concat(spaced("conv_id"), F.lit(":"), spaced("turn")).cast("binary")) % 20
+    rows = conversations.select("conv_id", "turn", spaced("role").alias("role"), spaced("text").alias("text"),
+                                fate.alias("fate"))
+    text = F.when(F.col("fate") == 1, "").when(F.col("fate") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    times = F.when(F.col("fate") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return (rows.withColumn("again", F.explode(times))
+            .select("conv_id", "turn", F.when(F.col("fate") == 4, "user").otherwise(F.col("role")).alias("role"),
+                    text.alias("text"), (F.col("fate") == 0).alias("gone")))
+
+
+@register
+def op11_turn_repair(spark, sf_dir):
+    turns = damaged(read_table(spark, sf_dir, "conversations"))
+    out = TR.repair(turns, absent=F.col("gone"))
+    lines = F.array_join(F.transform("repaired", lambda t: F.concat(t["role"], F.lit(":"), t["text"])), "\n")
+    return out.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit",
+                      F.sha2(lines.cast("binary"), 256).alias("repaired_sha256"))
+
+
+# The grammar's states: 0 start, 1 after s, 2 after u, 3 after a (0 and 3 accept).
+ORACLE["op11_turn_repair"] = r"""
+WITH RECURSIVE
+crc_table AS (SELECT list(c ORDER BY b) AS t FROM (
+  SELECT b, list_reduce([b::BIGINT] || range(8), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c
+  FROM (SELECT unnest(range(256)) AS b))),
+raw AS (SELECT row_number() OVER () AS id, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+fated AS (SELECT raw.*, xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(k, ''), lambda x: ascii(x)::BIGINT),
+    lambda c, b: xor(c // 256, t[xor(c, b) % 256 + 1])), 4294967295) % 20 AS fate FROM raw, crc_table),
+dmg AS (SELECT id, conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+    CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, again
+  FROM (SELECT *, unnest(CASE WHEN fate = 3 THEN [0, 1] ELSE [0] END) AS again FROM fated WHERE fate <> 0)),
+ids AS (SELECT conv_id, row_number() OVER () AS c FROM (SELECT DISTINCT conv_id FROM conversations)),
+ordered AS (SELECT c, d.*, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text, id, again) AS i,
+    rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body
+  FROM dmg d JOIN ids ON d.conv_id IS NOT DISTINCT FROM ids.conv_id),
+judged AS (SELECT *, CASE WHEN body = '' THEN 'blank'
+    WHEN row_number() OVER (PARTITION BY c, role, text ORDER BY i) > 1 THEN 'duplicate'
+    WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+    left(role, 1) AS letter, lag(left(role, 1)) OVER (PARTITION BY c ORDER BY i) AS prior FROM ordered),
+counts AS (SELECT c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps,
+    count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+    count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+    count(*) FILTER (WHERE i > 1 AND coalesce(prior || letter, '') NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n
+  FROM judged GROUP BY c),
+edges(st, letter, nx) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+ins(st, nx, cost, audit, made) AS (VALUES (0, 0, 0, '', []::VARCHAR[]), (1, 1, 0, '', []), (2, 2, 0, '', []), (3, 3, 0, '', []),
+  (0, 2, 2, 'I', ['user:']), (0, 3, 4, 'II', ['user:', 'assistant:']), (1, 2, 2, 'I', ['user:']),
+  (1, 3, 4, 'II', ['user:', 'assistant:']), (2, 3, 2, 'I', ['assistant:']), (2, 2, 4, 'II', ['assistant:', 'user:']),
+  (3, 2, 2, 'I', ['user:']), (3, 3, 4, 'II', ['user:', 'assistant:'])),
+walk AS (
+  SELECT c, 0::BIGINT AS i, ins.nx AS st, ins.cost::BIGINT AS cost, ins.audit, ins.made FROM ids, ins WHERE ins.st = 0
+  UNION ALL
+  SELECT c, i, st, cost, audit, made FROM (
+    SELECT c, i, ins.nx AS st, z.cost + ins.cost AS cost, z.audit || ins.audit AS audit, z.made || ins.made AS made,
+      row_number() OVER (PARTITION BY c, ins.nx ORDER BY z.cost + ins.cost, z.audit || ins.audit) AS best
+    FROM (
+      SELECT w.c, j.i, w.st, w.cost + 3 AS cost, w.audit || 'D' AS audit, w.made
+      FROM walk w JOIN judged j ON j.c = w.c AND j.i = w.i + 1
+      UNION ALL
+      SELECT w.c, j.i, e.nx, w.cost + CASE WHEN j.letter = e.letter THEN 0 ELSE 2 END + (j.fault = 'truncated')::INT,
+        w.audit || CASE WHEN j.letter = e.letter THEN 'K' ELSE 'R' END,
+        list_append(w.made, CASE WHEN j.letter = e.letter THEN j.role WHEN e.letter = 'u' THEN 'user' ELSE 'assistant' END || ':' || j.text)
+      FROM walk w JOIN judged j ON j.c = w.c AND j.i = w.i + 1 JOIN edges e ON e.st = w.st
+      WHERE j.fault NOT IN ('blank', 'duplicate') AND (j.letter = e.letter OR e.letter <> 's')) z JOIN ins ON ins.st = z.st)
+  WHERE best = 1),
+ended AS (SELECT w.*, row_number() OVER (PARTITION BY w.c ORDER BY w.cost, w.audit) AS best
+  FROM walk w LEFT JOIN counts USING (c) WHERE w.st IN (0, 3) AND w.i = coalesce(n, 0))
+SELECT ids.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, cost, audit,
+  sha256(array_to_string(made, chr(10))) AS repaired_sha256
+FROM ids JOIN ended ON ended.c = ids.c AND ended.best = 1 LEFT JOIN counts ON counts.c = ids.c
+"""
