@@ -18,6 +18,7 @@ from cohortkit.llm import pii as PI
 from cohortkit.llm import suffix as SU
 from cohortkit.llm import toxicity as TX
 from cohortkit.llm import turnrepair as TR
+from cohortkit.llm import urlrules as UR
 from cohortkit.llm.common import held_out, read_table, text_or_empty
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -268,3 +269,36 @@ SELECT ids.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coal
   sha256(array_to_string(made, chr(10))) AS repaired_sha256
 FROM ids JOIN ended ON ended.c = ids.c AND ended.best = 1 LEFT JOIN counts ON counts.c = ids.c
 """
+
+
+# The four site rules, the longest of which decides (tier 0).
+SITE_RULES = ("||net/", "@@||example.net/en/", "||example.com/de/", "@@||org/fr/")
+# The list that judges the other URLs (tier 1).
+PATTERN_RULES = ("||ads-", "||ad.", "||adult-", "||casino-", "||spam-", "-pills.", "-bets.", "/ads/", "^affid=*^",
+                 "/popup^", "@@/about/ads/")
+
+
+@register
+def op12_url_rules(spark, sf_dir):
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
+    lines = [(0, f"{x}$match-case") for x in SITE_RULES] + [(1, x) for x in PATTERN_RULES]
+    out = UR.judge(pages, spark.createDataFrame(lines, "tier int, line string"))
+    site = F.regexp_replace("rule", r"^(@@)?\|\||\$match-case$", "")
+    return out.select("page_id", "host", "path", F.when(F.col("tier") == 0, site).alias("rule"), "verdict")
+
+
+ORACLE["op12_url_rules"] = r"""
+WITH a AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS u FROM pages),
+b AS (SELECT page_id, u, regexp_extract(u, '^[^/?#]*') AS h FROM a),
+p AS (SELECT page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        substr(u, length(h) + 1) AS rest, regexp_extract(substr(u, length(h) + 1), '^[^?#]*') AS path FROM b),
+rules(h, q, verdict) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'),
+        ('org', '/fr/', 'allow')),
+s AS (SELECT p.*, (SELECT arg_max([h || q, verdict], length(h || q)) FROM rules
+        WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q)) AS r, host || rest AS x FROM p)
+SELECT page_id, host, path, r[1] AS rule, CASE WHEN r IS NOT NULL THEN r[2]
+    WHEN regexp_matches(x, '(?is)/about/ads/') THEN 'allow'
+    WHEN regexp_matches(x, '(?is)^([^/?#]*[.])?(ads-|ad[.]|adult-|casino-|spam-)') OR regexp_matches(x, '(?is)-(pills|bets)[.]|/ads/')
+      OR regexp_matches(x, '(?is)[^A-Za-z0-9_.%-]affid=.*([^A-Za-z0-9_.%-]|$)') OR regexp_matches(x, '(?is)/popup([^A-Za-z0-9_.%-]|$)')
+    THEN 'block' ELSE 'allow' END AS verdict FROM s
+"""
