@@ -14,6 +14,7 @@ from cohortkit.llm import exact_dedup as ED
 from cohortkit.llm import htmltext as HT
 from cohortkit.llm import jaccard as JA
 from cohortkit.llm import langid as LI
+from cohortkit.llm import phrases as PH
 from cohortkit.llm import pii as PI
 from cohortkit.llm import suffix as SU
 from cohortkit.llm import toxicity as TX
@@ -302,3 +303,33 @@ SELECT page_id, host, path, r[1] AS rule, CASE WHEN r IS NOT NULL THEN r[2]
       OR regexp_matches(x, '(?is)[^A-Za-z0-9_.%-]affid=.*([^A-Za-z0-9_.%-]|$)') OR regexp_matches(x, '(?is)/popup([^A-Za-z0-9_.%-]|$)')
     THEN 'block' ELSE 'allow' END AS verdict FROM s
 """
+
+
+@register
+def op13_collocations(spark, sf_dir):
+    found = PH.collocations(read_table(spark, sf_dir, "documents"))
+    return PH.best_phrases(found, 2000).select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+
+
+ORACLE["op13_collocations"] = r"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''),
+       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+      FROM (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d)),
+g AS (SELECT lang, k, array_to_string(w[s : s + k - 1], ' ') AS x
+      FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM p, (SELECT unnest([1, 2, 3]) AS k) WHERE len(w) >= k)),
+f AS (SELECT lang, k, x, count(*) AS n FROM g GROUP BY ALL),
+tot AS (SELECT lang, sum(n)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+cand AS (SELECT lang, k, x, n AS a, string_split(x, ' ') AS w FROM f WHERE k > 1 AND n >= 10),
+cuts AS (SELECT *, array_to_string(w[1 : cut], ' ') AS lx, array_to_string(w[cut + 1 :], ' ') AS rx
+         FROM (SELECT *, unnest(range(1, k)) AS cut FROM cand)),
+rated AS (SELECT c.lang, c.k, c.x, c.a, c.cut, fl.n AS l, fr.n AS r,
+            ((1000000::HUGEINT * c.a * c.a) // (fl.n::HUGEINT * fr.n))::BIGINT AS score
+          FROM cuts c JOIN f fl ON fl.lang = c.lang AND fl.x = c.lx JOIN f fr ON fr.lang = c.lang AND fr.x = c.rx),
+lowest AS (SELECT * FROM rated QUALIFY row_number() OVER (PARTITION BY lang, x ORDER BY score, cut) = 1),
+cover AS (SELECT lang, x, max(a) AS top FROM (SELECT lang, a, array_to_string(w[1:2], ' ') AS x FROM cand WHERE k = 3
+          UNION ALL SELECT lang, a, array_to_string(w[2:3], ' ') FROM cand WHERE k = 3) GROUP BY ALL),
+kept AS (SELECT s.* FROM lowest s LEFT JOIN cover USING (lang, x) WHERE s.k = 3 OR top IS NULL OR 100 * top < 50 * s.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, x) AS rank, x AS phrase, a, l, r, tot.n, score
+FROM kept JOIN tot USING (lang) QUALIFY rank <= 2000
+"""
