@@ -1,20 +1,24 @@
-"""Exact C-index for a continuous truth (M2 without a level list).
+"""Exact C-index for a continuous truth (M2 without a level list), over all rows or by group.
 
 Pairs (i, j) with y_i < y_j count 1 when p_i < p_j and 1/2 when p_i = p_j. On the
 (y, p, n) histogram:
 
-* admissible pairs  = ((sum n)^2 - sum_y n_y^2) / 2          (one aggregate)
-* tied predictions  = sum_p (m_p^2 - sum_y n_{p,y}^2) / 2       (two aggregates)
+* admissible pairs  = ((sum n)^2 - sum_y n_y^2) / 2
+* tied predictions  = sum_p (m_p^2 - sum_y n_{p,y}^2) / 2
 * concordant pairs  = sum_j n_j * #{i : y_i < y_j, p_i < p_j}   (2-D dominance count)
 
-The dominance count is split by contiguous y blocks ``b``:
-``cross_j`` (i in an earlier block) + ``within_j`` (i in the same block, smaller y).
-``cross`` is scanned along p: p is cut into buckets ``q``; a small (q x b) table of
-weights, prefix-summed on the driver, gives each bucket its starting counts, and
-inside each bucket a Fenwick tree over the block index finishes the count.
-``within`` runs per y block with a Fenwick tree over p ranks. A value shared by many
-histogram rows gets a bucket of its own (equal y never pair; equal p never count as
-concordant), so every pandas group stays near ``block_rows`` rows.
+The dominance count is a merge tree. Rows are put in the order (y, p descending), in which
+rows of one y never count for each other, and dealt out by range into blocks of about
+``block_rows`` rows: the leaves. Pairs inside a block are counted there. Above, ``FAN``
+neighbouring nodes are merged at a time: a pair of different blocks meets in the one level
+where its blocks become children of one node, and counts there if the earlier child's p is
+the smaller. A level is one range partitioning by (node, p) and a running sum by child; what
+lies in the ranges before is a table of offsets (node, range, child), joined by range. A
+level has no more than FAN numbers a range, there are log_FAN(rows / block_rows) levels, and
+nothing of the data's size reaches the driver.
+
+Histogram rows are distinct, so neither a value shared by very many rows nor a large group
+makes a large block. Counts are exact integers (decimals of 38 digits between tasks).
 """
 
 from __future__ import annotations
@@ -23,10 +27,14 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortkit.session import materialise
+
+FAN = 64
+_CONC = "_g long, conc decimal(38,0)"
+
 
 def _ship_by_value() -> None:
     import sys
@@ -38,146 +46,125 @@ def _ship_by_value() -> None:
 _ship_by_value()
 
 
-def _splits(h: DataFrame, col: str, nb: int, block_rows: int) -> list[float]:
-    """Quantile boundaries; every value holding more than ``block_rows`` histogram rows
-    becomes a singleton bucket [v, nextafter(v))."""
-    qs = h.approxQuantile(col, [i / nb for i in range(1, nb)], 1.0 / (4 * nb)) if nb > 1 else []
-    # at most rows / block_rows values are that frequent
-    hot = [r[0] for r in h.groupBy(col).count().where(F.col("count") > block_rows).select(col).collect()]
-    pts = set(qs) | set(hot) | {float(np.nextafter(v, np.inf)) for v in hot}
-    return [float("-inf")] + sorted(pts) + [float("inf")]
-
-
-def _bucket(h: DataFrame, col: str, splits: list[float], out: str) -> DataFrame:
-    if len(splits) < 3:
-        return h.withColumn(out, F.lit(0))
-    return (Bucketizer(splits=splits, inputCol=col, outputCol="_bk").transform(h)
-            .withColumn(out, F.col("_bk").cast("int")).drop("_bk"))
-
-
-class _Fenwick:
-    def __init__(self, n: int):
-        self.t = np.zeros(n + 1, dtype=np.float64)
-
-    def add(self, i: int, v: float) -> None:
-        i += 1
-        while i < len(self.t):
-            self.t[i] += v
-            i += i & -i
-
-    def prefix(self, i: int) -> float:  # sum of [0, i)
-        s = 0.0
-        while i > 0:
-            s += self.t[i]
-            i -= i & -i
-        return s
-
-
-def _cross_fn(start: np.ndarray, nblocks: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_p", kind="mergesort")
-        q = int(pdf["_q"].iloc[0])
-        fw = _Fenwick(nblocks)
-        p, b, n = pdf["_p"].to_numpy(), pdf["_b"].to_numpy(), pdf["_n"].to_numpy(dtype=float)
-        acc, i = 0.0, 0
-        while i < len(p):
-            j = i
-            while j < len(p) and p[j] == p[i]:
-                j += 1
-            for k in range(i, j):  # query the whole equal-p group before inserting it
-                acc += n[k] * (start[q, b[k]] + fw.prefix(int(b[k])))
-            for k in range(i, j):
-                fw.add(int(b[k]), n[k])
-            i = j
-        return pd.DataFrame({"conc": [acc]})
-    return run
-
-
-def _within_fn(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("_y", kind="mergesort")
-    y, p, n = pdf["_y"].to_numpy(), pdf["_p"].to_numpy(), pdf["_n"].to_numpy(dtype=float)
-    ranks = np.searchsorted(np.unique(p), p)
-    fw = _Fenwick(int(ranks.max()) + 1 if len(ranks) else 1)
-    acc, i = 0.0, 0
-    while i < len(y):
-        j = i
-        while j < len(y) and y[j] == y[i]:
-            j += 1
-        for k in range(i, j):
-            acc += n[k] * fw.prefix(int(ranks[k]))
-        for k in range(i, j):
-            fw.add(int(ranks[k]), n[k])
-        i = j
-    return pd.DataFrame({"conc": [acc]})
-
-
-def c_index_continuous(hist: DataFrame, block_rows: int = 200_000, max_buckets: int = 400) -> float | None:
-    """Exact C-index from a materialised (_y, _p, _n) histogram (no grouping columns)."""
-    rows = hist.count()
-    if rows == 0:
-        return None
-    nb = min(max_buckets, max(1, math.ceil(rows / block_rows)))
-    h = _bucket(hist, "_y", _splits(hist, "_y", nb, block_rows), "_b")
-    h = _bucket(h, "_p", _splits(hist, "_p", nb, block_rows), "_q")
-    from cohortkit.session import materialise
-    h = materialise(h)
-    # pair totals
-    tot = h.agg(F.sum("_n").alias("n")).first()["n"]
-    sq_y = h.groupBy("_y").agg(F.sum("_n").alias("m")).agg(F.sum(F.col("m") * F.col("m")).alias("s")).first()["s"]
-    pm = h.groupBy("_p").agg(F.sum("_n").alias("m"), F.sum(F.col("_n") * F.col("_n")).alias("s2"))
-    ties = pm.agg(F.sum((F.col("m") * F.col("m") - F.col("s2")) / 2.0).alias("t")).first()["t"] or 0.0
-    den = (float(tot) * float(tot) - float(sq_y)) / 2.0
-    if den <= 0:
-        return None
-    # (q x b) weights -> starting counts per p bucket: sum over earlier q, earlier b
-    cells = h.groupBy("_q", "_b").agg(F.sum("_n").alias("w")).collect()
-    nq = 1 + max(r["_q"] for r in cells)
-    nbk = 1 + max(r["_b"] for r in cells)
-    grid = np.zeros((nq, nbk))
-    for r in cells:
-        grid[r["_q"], r["_b"]] = r["w"]
-    below_b = np.cumsum(grid, axis=1) - grid          # same q, blocks < b
-    start = np.cumsum(below_b, axis=0) - below_b      # buckets < q
-    cross = (h.groupBy("_q").applyInPandas(_cross_fn(start, nbk), "conc double")
-              .agg(F.sum("conc")).first()[0]) or 0.0
-    within = (h.groupBy("_b").applyInPandas(_within_fn, "conc double")
-               .agg(F.sum("conc")).first()[0]) or 0.0
-    return (cross + within + 0.5 * float(ties)) / den
-
-
-def _whole_group_fn(by: list[str]):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        n = pdf["_n"].to_numpy(dtype=float)
-        square = lambda col: float((pd.Series(n).groupby(pdf[col].to_numpy()).sum() ** 2).sum())
-        pairs = (n.sum() ** 2 - square("_y")) / 2.0
-        ties = (square("_p") - float((n * n).sum())) / 2.0
-        out = pdf[by].head(1).reset_index(drop=True)
-        out["c_index"] = (_within_fn(pdf)["conc"][0] + 0.5 * ties) / pairs if pairs > 0 else None
-        out["c_index"] = out["c_index"].astype("float64")
-        return out
-    return run
+def _dot(n: np.ndarray, w: np.ndarray) -> int:
+    """Sum of n * w without leaving 64 bits on the way."""
+    low = (1 << 31) - 1
+    return (int(np.dot(n, w >> 31)) << 31) + int(np.dot(n, w & low))
+
+
+def _inside(p: np.ndarray, n: np.ndarray) -> int:
+    """Concordant weight of rows given in rank order. On each level of a binary tree over
+    the ranks the rows of a node lie by p, and a right row meets the left rows before it."""
+    m = len(p)
+    rank = np.arange(m)
+    order = np.lexsort((-rank, p))             # of equal p the higher rank first: they do not count
+    total = 0
+    for bit in range(max(m - 1, 0).bit_length()):
+        at = order[np.argsort(order >> (bit + 1), kind="stable")]
+        right = (at >> bit) & 1 == 1
+        left = np.where(right, 0, n[at])
+        below = left.cumsum() - left
+        node = at >> (bit + 1)
+        starts = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
+        below = below - np.repeat(below[starts], np.diff(np.append(starts, m)))
+        total += _dot(n[at][right], below[right])
+    return total
+
+
+def _inside_block(pdf: pd.DataFrame) -> pd.DataFrame:
+    from decimal import Decimal
+    pdf = pdf.assign(_m=-pdf["_p"]).sort_values(["_g", "_y", "_m"], kind="mergesort")
+    out = [(g, Decimal(_inside(x["_p"].to_numpy(), x["_n"].to_numpy(dtype="int64")))) for g, x in pdf.groupby("_g")]
+    return pd.DataFrame(out, columns=["_g", "conc"])
+
+
+def _merged(rows: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+    """One range of a level: each row meets the rows of earlier children with smaller p, in
+    this range by running sums, in the ranges before by the offsets."""
+    from decimal import Decimal
+    offsets = {(g, v): dict(zip(x["_child"], x["_before"])) for (g, v), x in before.groupby(["_g", "_node"])}
+    out = []
+    rows = rows.assign(_c=-rows["_child"]).sort_values(["_g", "_node", "_p", "_c"], kind="mergesort")
+    for (g, node), x in rows.groupby(["_g", "_node"], sort=False):
+        child, n = x["_child"].to_numpy(), x["_n"].to_numpy(dtype="int64")
+        earlier, total = offsets.get((g, node), {}), 0
+        for c in sorted(set(earlier) | set(child.tolist())):
+            later = child > c
+            if later.any():
+                w = np.where(child == c, n, 0).cumsum() + int(earlier.get(c, 0))
+                total += _dot(n[later], w[later])
+        out.append((g, Decimal(total)))
+    return pd.DataFrame(out, columns=["_g", "conc"])
+
+
+def _level(rows: DataFrame, width: int, ranges: int) -> DataFrame:
+    """Concordant weight between the children (``width`` blocks each) of each node."""
+    child = F.floor(F.col("_block") / width)
+    x = rows.select("_g", "_p", "_n", F.floor(child / FAN).alias("_node"), (child % FAN).alias("_child"), "_y")
+    # written once, so that rows and offsets agree on the ranges
+    x = materialise(x.repartitionByRange(ranges, "_g", "_node", "_p", F.desc("_child"), "_y")
+                    .withColumn("_range", F.spark_partition_id()))
+    cells = x.groupBy("_g", "_node", "_range", "_child").agg(F.sum("_n").alias("_w"))
+    spans = cells.select("_g", "_node", "_range").distinct()
+    grid = spans.join(cells.select("_g", "_node", "_child").distinct(), ["_g", "_node"])
+    before = Window.partitionBy("_g", "_node", "_child").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (grid.join(cells, ["_g", "_node", "_range", "_child"], "left")
+               .withColumn("_before", F.coalesce(F.sum("_w").over(before), F.lit(0))).drop("_w"))
+    # the offsets of a range are those of the nodes in it: few numbers beside its rows
+    return x.groupBy("_range").cogroup(offsets.groupBy("_range")).applyInPandas(_merged, _CONC)
+
+
+def concordant(hist: DataFrame, block_rows: int = 200_000) -> DataFrame:
+    """(_g, conc) of a materialised histogram of distinct (_g, _y, _p) with weights _n."""
+    blocks = max(1, math.ceil(hist.count() / block_rows))
+    placed = (hist.repartitionByRange(blocks, "_g", "_y", F.desc("_p")) if blocks > 1 else hist.coalesce(1))
+    placed = materialise(placed.withColumn("_block", F.spark_partition_id()))
+    out = placed.groupBy("_block").applyInPandas(lambda pdf: _inside_block(pdf), _CONC)
+    # only groups over several blocks have pairs between blocks
+    spread = (placed.groupBy("_g").agg(F.min("_block").alias("_lo"), F.max("_block").alias("_hi"))
+              .where(F.col("_lo") < F.col("_hi")).select("_g"))
+    wide = placed.join(spread, "_g", "left_semi")
+    width = 1
+    while width < blocks:
+        out = out.unionByName(_level(wide, width, blocks))
+        width *= FAN
+    return out.groupBy("_g").agg(F.sum("conc").alias("conc"))
 
 
 def c_index_groups(hist: DataFrame, by: list[str], block_rows: int = 200_000) -> DataFrame:
     """``by`` columns and c_index of every group of a materialised (by, _y, _p, _n) histogram.
-
-    Groups of up to ``block_rows`` histogram rows are one block each and run side by side;
-    a larger group (there are at most rows / block_rows of them) is cut into blocks. The
-    value is exact either way. A null key is a group of its own."""
-    schema = hist.select(*by).schema.add("c_index", "double")
-    large = hist.groupBy(*by).count().where(F.col("count") > block_rows).select(*by).collect()
-
-    def of(row):
-        cond = F.lit(True)
-        for c in by:
-            cond = cond & F.col(c).eqNullSafe(F.lit(row[c]))
-        return cond
-
-    rest = hist
-    for row in large:
-        rest = rest.where(~of(row))
-    out = rest.groupBy(*by).applyInPandas(_whole_group_fn(list(by)), schema)
-    if not large:
-        return out
-    values = [(*row, c_index_continuous(hist.where(of(row)).select("_y", "_p", "_n"), block_rows)) for row in large]
-    return out.unionByName(hist.sparkSession.createDataFrame(values, schema))
+    A null key is a group of its own; a group without admissible pairs gets null."""
+    h = hist.withColumn("_g", F.lit(0).cast("long"))
+    if by:
+        names = {c: f"_by{i}" for i, c in enumerate(by)}
+        groups = materialise(hist.select(*[F.col(c).alias(n) for c, n in names.items()]).distinct()
+                             .withColumn("_g", F.monotonically_increasing_id()))
+        same = F.lit(True)
+        for c, n in names.items():
+            same = same & F.col(c).eqNullSafe(F.col(n))
+        h = hist.join(groups, same)
+    h = materialise(h.select("_g", "_y", "_p", "_n"))
+
+    def square(col):
+        whole = F.col(col).cast("decimal(19,0)")
+        return F.sum(whole * whole)
+
+    by_y = h.groupBy("_g", "_y").agg(F.sum("_n").alias("m"))
+    by_p = h.groupBy("_g", "_p").agg(F.sum("_n").alias("m"), square("_n").alias("s"))
+    total = by_y.groupBy("_g").agg(square("m").alias("yy"), F.sum("m").alias("n"))
+    ties = by_p.groupBy("_g").agg((square("m") - F.sum("s")).alias("ties"))
+    whole = F.col("n").cast("decimal(19,0)")
+    parts = total.join(ties, "_g").join(concordant(h, block_rows), "_g", "left")
+    # twice the pairs above and below, so that both are whole numbers until the division
+    value = F.try_divide(2 * F.coalesce(F.col("conc"), F.lit(0)).cast("double") + F.col("ties").cast("double") / 2,
+                         (whole * whole - F.col("yy")).cast("double"))
+    scored = parts.select("_g", value.alias("c_index"))
+    if not by:
+        return scored.select("c_index")
+    return scored.join(groups, "_g").select(*[F.col(n).alias(c) for c, n in names.items()], "c_index")
+
+
+def c_index_continuous(hist: DataFrame, block_rows: int = 200_000) -> float | None:
+    """Exact C-index from a materialised (_y, _p, _n) histogram (no grouping columns)."""
+    row = c_index_groups(hist, [], block_rows).first()
+    return row["c_index"] if row else None

@@ -7,44 +7,19 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortkit.operators.tokens import levels, levels_many
+from cohortkit.operators import dictionary
 
 # Spellings treated as a missing categorical value.
 MISSING_TOKENS = ("na", "missing", "nan", "n/a")
 
 
-def code_map(level_list: Sequence, reference=None) -> dict:
-    """Reference level -> 0; the other levels 1.. in the given (alphabetical) order.
-    An absent reference leaves code 0 unused."""
-    others = [v for v in level_list if v != reference]
-    out = {v: i + 1 for i, v in enumerate(others)}
-    if reference is not None:
-        out[reference] = 0
-    return out
-
-
-def map_codes(col: str, mapping: Mapping, missing: int = -1) -> Column:
-    """Literal ``create_map`` lookup; null or unseen -> ``missing`` (pandas' code for NaN)."""
-    pairs = []
-    for k, v in mapping.items():
-        pairs += [F.lit(k), F.lit(int(v))]
-    if not pairs:
-        return F.lit(missing).cast("int")
-    key = F.col(col).cast("string") if all(isinstance(k, str) for k in mapping) else F.col(col)
-    return F.coalesce(F.create_map(*pairs)[key], F.lit(missing)).cast("int")
-
-
 def codes(df: DataFrame, cols: Mapping[str, object], suffix: str = "",
-          level_source: DataFrame | None = None, max_levels: int = 10000) -> DataFrame:
-    """``{column: reference}`` -> ordinal codes. Levels come from ``level_source``
-    (e.g. the train split) or ``df``; only the level list touches the driver."""
-    src = level_source if level_source is not None else df
-    lv = levels_many(src, list(cols), max_levels)
-    exprs = {}
-    for c, ref in cols.items():
-        # level lists come back as strings; compare the reference the same way
-        exprs[c + suffix] = map_codes(c, code_map(lv[c], None if ref is None else str(ref)))
-    return df.withColumns(exprs)
+          level_source: DataFrame | None = None) -> DataFrame:
+    """``{column: reference}`` -> ordinal codes (null or unseen: -1, pandas' code for
+    NaN). Levels come from ``level_source`` (e.g. the train split) or ``df``, as a table of
+    any size (``dictionary.py``)."""
+    known = dictionary.build(level_source if level_source is not None else df, cols)
+    return dictionary.encode(df, known, {c: c + suffix for c in cols})
 
 
 def cardinalities(df: DataFrame, cols: Sequence[str]) -> dict:

@@ -35,7 +35,7 @@ def c_index(df: DataFrame, y: str = "label", p: str = "prediction", by: Sequence
     pre(p) = sum of nlo below p, tot = sum of nlo.
     C = sum nhi (pre + nlo/2) / sum nhi tot. Work: distinct (level, prediction) pairs.
     With up to ``max_levels`` truth levels this level expansion is used; beyond it the
-    exact block / Fenwick algorithm of ``concordance.py`` takes over (continuous truth).
+    exact merge tree of ``concordance.py`` takes over (continuous truth).
     """
     by = list(by)
     hist = (df.where(F.col(y).isNotNull() & F.col(p).isNotNull())
@@ -50,7 +50,7 @@ def c_index(df: DataFrame, y: str = "label", p: str = "prediction", by: Sequence
         if expanded <= prefix.SINGLE_LEVEL_MAX_ROWS:
             buckets = 1
     if len(lv) > max_levels:
-        # many truth levels: the exact block / Fenwick path (no level list)
+        # many truth levels: the exact merge tree (no level list)
         from cohortkit.operators.concordance import c_index_continuous, c_index_groups
         from cohortkit.session import materialise
         if by:

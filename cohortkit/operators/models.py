@@ -1,9 +1,9 @@
 """Baseline regressors as Spark ML pipelines.
 
 Feature preparation: one-hot categorical columns (unknown and null -> all zeros),
-numeric columns passed through, then an optional scaler. The penalised linear models
-are parameterised so that Spark's objective equals the scikit-learn objective the
-study used (Spark scales the penalty by the label's standard deviation internally).
+numeric columns passed through, then an optional scaler. The linear models are solved from
+one table of products (``gram.py``) over features standardised by their population standard
+deviation, with scikit-learn's objectives.
 """
 
 from __future__ import annotations
@@ -15,13 +15,14 @@ import numpy as np
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import (ElementwiseProduct, MinMaxScaler, OneHotEncoder, StandardScaler,
-                                StringIndexer, VectorAssembler)
+                                VectorAssembler)
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.ml.regression import LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortkit.operators import dictionary, gram
 from cohortkit.operators.split import SEED
 
 FEATURES = "features"
@@ -42,20 +43,21 @@ def prepare(train: DataFrame, categorical: Sequence[str], numeric: Sequence[str]
             scaler: str | None = None) -> PipelineModel:
     """F1 + F2 (+ F4 / F5): fitted feature stages.
 
-    ``StringIndexer(handleInvalid='keep')`` puts unseen values and nulls in a last
-    bucket that ``OneHotEncoder(dropLast=True)`` drops, so they encode as all zeros
+    Levels are numbered by a dictionary table, so a vocabulary of any size stays on the
+    executors. Unseen values and nulls get the number after the last level, which
+    ``OneHotEncoder(dropLast=True)`` drops, so they encode as all zeros
     (``handle_unknown='ignore'``). ``scaler``: None, 'standard' (mean 0, *population*
     std, as scikit-learn), or 'minmax'."""
     stages = []
     idx_cols = [f"{c}__idx" for c in categorical]
     ohe_cols = [f"{c}__ohe" for c in categorical]
     if categorical:
-        stages.append(StringIndexer(inputCols=list(categorical), outputCols=idx_cols,
-                                    handleInvalid="keep", stringOrderType="alphabetAsc").fit(train))
-        x = stages[-1].transform(train)
-        # the indexer's kept bucket is the last category; dropLast removes exactly it
-        stages.append(OneHotEncoder(inputCols=idx_cols, outputCols=ohe_cols, dropLast=True,
-                                    handleInvalid="error").fit(x))
+        index = dictionary.OneHotIndex(dictionary.build(train, dict.fromkeys(categorical)), categorical, idx_cols)
+        # fitted on one row that holds each column's last index: only the sizes matter
+        last = train.sparkSession.createDataFrame([tuple(float(index.sizes[c]) for c in categorical)],
+                                                  ", ".join(f"`{c}` double" for c in idx_cols))
+        stages += [index, OneHotEncoder(inputCols=idx_cols, outputCols=ohe_cols, dropLast=True,
+                                        handleInvalid="error").fit(last)]
     assembler = VectorAssembler(inputCols=ohe_cols + list(numeric),
                                 outputCol=FEATURES if scaler is None else "_raw",
                                 handleInvalid="keep")
@@ -79,18 +81,11 @@ def prepare(train: DataFrame, categorical: Sequence[str], numeric: Sequence[str]
     return PipelineModel(stages=stages)
 
 
-def _label_std(train: DataFrame, label: str, population: bool) -> tuple[float, int]:
-    r = train.agg((F.stddev_pop(label) if population else F.stddev_samp(label)).alias("s"),
-                  F.count(F.lit(1)).alias("n")).first()
-    return float(r["s"] or 0.0), int(r["n"])
-
-
 def fit(kind: str, train: DataFrame, categorical: Sequence[str], numeric: Sequence[str],
         label: str = "audit_c_score", alpha: float | None = None, l1_ratio: float = 0.5,
         seed: int = SEED + 534, **params) -> PipelineModel:
     """Fit one baseline; returns a model whose ``transform`` adds ``prediction``."""
-    scaler = {"rf": None, "linear": "standard", "ridge": "standard", "elastic": "standard",
-              "svr": "minmax"}[kind]
+    scaler = "minmax" if kind == "svr" else None
     prep = prepare(train, categorical, numeric, scaler)
     x = prep.transform(train).select(FEATURES, F.col(label).cast("double").alias("label"))
     if kind == "rf":
@@ -101,20 +96,15 @@ def fit(kind: str, train: DataFrame, categorical: Sequence[str], numeric: Sequen
                                     maxMemoryInMB=params.get("max_memory_mb", 1024), cacheNodeIds=True,
                                     checkpointInterval=10)
         model = est.fit(x)
-    elif kind == "linear":
-        model = LinearRegression(regParam=0.0, solver="normal", standardization=False).fit(x)
-    elif kind == "ridge":
-        a = 100.0 if alpha is None else alpha
-        sigma, n = _label_std(x, "label", population=True)
-        model = LinearRegression(regParam=a * sigma / n, elasticNetParam=0.0, solver="normal",
-                                 standardization=False).fit(x)
-    elif kind == "elastic":
-        a = 1.0 if alpha is None else alpha
-        sigma, _ = _label_std(x, "label", population=False)
-        reg = a * l1_ratio + a * (1.0 - l1_ratio) * sigma
-        model = LinearRegression(regParam=reg, elasticNetParam=a * l1_ratio / reg, solver="l-bfgs",
-                                 standardization=False, maxIter=params.get("max_iter", 1000),
-                                 tol=params.get("tol", 1e-9)).fit(x)
+    elif kind in ("linear", "ridge", "elastic"):
+        st = gram.statistics(x).get("")
+        if st is None:
+            raise ValueError("no training row with a label")
+        if kind == "elastic":
+            solved = gram.elastic_net(st, 1.0 if alpha is None else alpha, l1_ratio, **params)
+        else:
+            solved, = gram.ridges(st, [0.0 if kind == "linear" else 100.0 if alpha is None else alpha])
+        model = gram.LinearModel(*solved)
     elif kind == "svr":
         model = LinearSVRModel.train(x, c=params.get("c", 1.0), epsilon=params.get("epsilon", 0.1))
     else:
@@ -124,21 +114,14 @@ def fit(kind: str, train: DataFrame, categorical: Sequence[str], numeric: Sequen
 
 def grid(train: DataFrame, valid: DataFrame, categorical: Sequence[str], numeric: Sequence[str],
          label: str = "audit_c_score", alphas: Sequence[float] = (1e-2, 1e-1, 1, 10, 100, 1e3, 1e4)) -> DataFrame:
-    """Ridge penalty search on the validation split -> (alpha, mse) rows. The features
-    are fitted and written once for all penalties, and one pass over the validation rows
-    gives every error."""
-    from cohortkit.session import materialise
-    prep = prepare(train, categorical, numeric, "standard")
-    x = materialise(prep.transform(train).select(FEATURES, F.col(label).cast("double").alias("label")))
-    sigma, n = _label_std(x, "label", population=True)
-    est = LinearRegression(elasticNetParam=0.0, solver="normal", standardization=False)
-    fitted = est.fit(x, [{est.regParam: a * sigma / n} for a in alphas])
-    v = prep.transform(valid).select(FEATURES, F.col(label).cast("double").alias("label"))
-    for i, model in enumerate(fitted):
-        v = model.setPredictionCol(f"p{i}").transform(v)
-    errors = v.agg(*[F.avg((F.col(f"p{i}") - F.col("label")) ** 2) for i in range(len(fitted))]).first()
-    return train.sparkSession.createDataFrame([(float(a), e) for a, e in zip(alphas, errors)],
-                                              "alpha double, mse double")
+    """Ridge penalty search on the validation split -> (alpha, mse) rows. One job sums
+    the products of both splits; all penalties and their errors follow from them."""
+    prep = prepare(train, categorical, numeric)
+    both = train.withColumn("_part", F.lit("train")).unionByName(valid.withColumn("_part", F.lit("valid")))
+    parts = gram.statistics(prep.transform(both), FEATURES, label, "_part")
+    rows = [(float(a), parts["valid"].squared_error(*m) if "valid" in parts else None)
+            for a, m in zip(alphas, gram.ridges(parts["train"], alphas))]
+    return train.sparkSession.createDataFrame(rows, "alpha double, mse double")
 
 
 class LinearSVRModel:

@@ -10,12 +10,24 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # The two packing separators of the source data.
 DRUG_SEP = " | "
 COMORBIDITY_SEP = ","
+SHARD_NAMES = 200_000          # names of one automaton
+
+
+def _ship_by_value() -> None:
+    import sys
+
+    from pyspark import cloudpickle
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+_ship_by_value()
 
 
 def split_packed(col: str, sep: str):
@@ -57,25 +69,6 @@ def levels(df: DataFrame, col: str, max_levels: int = 10000) -> list:
     return [r[0] for r in rows]
 
 
-def levels_many(df: DataFrame, cols: Sequence[str], max_levels: int = 10000) -> dict:
-    """``levels`` for several columns in one job: the stacked (column, value) pairs are
-    de-duplicated on executors and at most ``len(cols) * (max_levels + 1)`` rows reach the
-    driver; a column over the cap raises."""
-    cols = list(cols)
-    stacked = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v"))
-                                  for c in cols]))
-    rows = (df.select(stacked.alias("s")).select("s.c", "s.v").where(F.col("v").isNotNull())
-              .distinct().limit(len(cols) * (max_levels + 1)).collect())
-    out = {c: [] for c in cols}
-    for r in rows:
-        out[r["c"]].append(r["v"])
-    for c in cols:
-        if len(out[c]) > max_levels:
-            raise ValueError(f"{c} has more than {max_levels} levels; use the long form")
-        out[c].sort()
-    return out
-
-
 def indicators_wide(df: DataFrame, key: str, col: str, sep: str, level_list: Sequence[str],
                     prefix: str = "", underscore_to_space: bool = True,
                     keep: Sequence[str] = (), max_levels: int = 200) -> DataFrame:
@@ -105,30 +98,45 @@ def substring_long(long: DataFrame, key: str = "person_id", token: str = "token"
 
     Exact without ever pairing persons with the vocabulary: a trimmed name without
     the separator cannot straddle a separator, so it occurs in the packed string iff
-    it occurs inside one token. Each distinct token emits its substrings whose length
-    is a vocabulary-name length; an equi-join against the vocabulary keeps the real
-    names. Work is O(distinct tokens x length^2), independent of the person count.
+    it occurs inside one token. The distinct names are dealt into shards of at most about
+    ``SHARD_NAMES``; a shard's names become one automaton (a trie with failure links), and
+    each distinct token is scanned once by each shard. A task holds one shard and as many
+    tokens; work is linear in the tokens' text and independent of the person count.
     """
     from cohortkit.session import materialise
-    # the distinct tokens (vocabulary-sized) are read by three jobs: write them once
-    toks = materialise(long.select(token).distinct())
-    voc = (vocab if vocab is not None else toks.withColumnRenamed(token, vocab_col)) \
-        .select(F.col(vocab_col).alias("_name")).where(F.length("_name") > 0).distinct()
+    # the distinct tokens (vocabulary-sized) are read by several jobs: write them once
+    toks = materialise(long.select(F.col(token).alias("_text")).distinct())
+    names = (vocab.select(F.col(vocab_col).alias("_name")) if vocab is not None else toks.select(F.col("_text").alias("_name")))
+    names = materialise(names.where(F.length("_name") > 0).distinct())
     # exactness precondition: names/tokens are trimmed and free of the separator
     # character, so no match can straddle a separator (one aggregate over the vocabulary)
-    bad = (voc.where(F.col("_name").contains(sep_char) | (F.trim("_name") != F.col("_name")))
-              .limit(1).count())
-    if bad:
+    size = names.agg(F.count(F.lit(1)).alias("n"), F.count_if(
+        F.col("_name").contains(sep_char) | (F.trim("_name") != F.col("_name"))).alias("bad")).first()
+    if size["bad"]:
         raise ValueError("substring indicators need trimmed names without the separator character")
-    # distinct name lengths: bounded by the longest name, a short literal list
-    lens = sorted(r[0] for r in voc.select(F.length("_name")).distinct().collect())
-    if not lens:
-        return long.select(key, F.lit(None).cast("string").alias(out)).limit(0)
-    # emit (token, start, len) for every admissible length; substring then equi-join
-    starts = toks.select(token, F.explode(F.sequence(F.lit(1), F.greatest(F.length(token), F.lit(1))))
-                         .alias("_start"))
-    cand = (starts.select(token, "_start", F.explode(F.array(*[F.lit(n) for n in lens])).alias("_len"))
-            .where(F.col("_start") + F.col("_len") - 1 <= F.length(token))
-            .select(token, F.expr(f"substring(`{token}`, _start, _len)").alias("_name")))
-    token_map = cand.join(voc, "_name").select(token, F.col("_name").alias(out)).distinct()
+    shards, chunks = -(-size["n"] // SHARD_NAMES) or 1, -(-toks.count() // SHARD_NAMES) or 1
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    sharded = names.select("_name", deal("_name", shards).alias("_shard"), every(chunks).alias("_part"))
+    chunked = toks.select("_text", every(shards).alias("_s"), deal("_text", chunks).alias("_c"))
+    token_map = (sharded.groupBy("_shard", "_part").cogroup(chunked.groupBy("_s", "_c"))
+                 .applyInPandas(_names_inside, "text string, name string")
+                 .select(F.col("text").alias(token), F.col("name").alias(out)))
     return long.join(token_map, token).select(key, out).distinct()
+
+
+def _names_inside(names: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
+    """(text, name) of every name inside a text: the automaton reports each occurrence, a
+    name's repeats in one text count once."""
+    import ahocorasick
+    found, held = [], []
+    if len(names) and len(texts):
+        machine = ahocorasick.Automaton()
+        for name in names["_name"]:
+            machine.add_word(name, name)
+        machine.make_automaton()
+        for text in texts["_text"]:
+            inside = {name for _, name in machine.iter(text)}
+            found += inside
+            held += [text] * len(inside)
+    return pd.DataFrame({"text": pd.Series(held, dtype="object"), "name": pd.Series(found, dtype="object")})

@@ -199,31 +199,50 @@ _q("exact_split", "select person_id, split from split_cohort")
 _q("split_counts", "select split, count(*) as n_rows from split_cohort group by split")
 
 # ---------------------------------------------------------------- encodings
-_q("encode_reference", """,
+WITH_DRUGS = """,
+people as (select d.*, pd.standard_concept_name as drug from demo_como d left join packed_drugs pd on d.person_id = pd.person_id)"""
+_q("encode_reference", WITH_DRUGS + """,
 cg as (select v, case when v = 'Man' then 0 else row_number() over (partition by v = 'Man' order by v) end as code
-       from (select distinct gender as v from scored where gender is not null)),
+       from (select distinct gender as v from people where gender is not null)),
 cr as (select v, case when v = 'BUILDING' then 0 else row_number() over (partition by v = 'BUILDING' order by v) end as code
-       from (select distinct race as v from scored where race is not null)),
+       from (select distinct race as v from people where race is not null)),
 ce as (select v, case when v = 'AFRICA' then 0 else row_number() over (partition by v = 'AFRICA' order by v) end as code
-       from (select distinct ethnicity as v from scored where ethnicity is not null))
+       from (select distinct ethnicity as v from people where ethnicity is not null)),
+cd as (select v, row_number() over (order by v) as code from (select distinct drug as v from people where drug is not null))
 select s.person_id, cast(coalesce(cg.code, -1) as int) as gender_code, cast(coalesce(cr.code, -1) as int) as race_code,
-       cast(coalesce(ce.code, -1) as int) as ethnicity_code
-from scored s left join cg on s.gender = cg.v left join cr on s.race = cr.v left join ce on s.ethnicity = ce.v""")
-_q("category_offsets", """,
-cg as (select v, dense_rank() over (order by v) - 1 as code from (select distinct gender as v from scored where gender is not null)),
-cr as (select v, dense_rank() over (order by v) - 1 as code from (select distinct race as v from scored where race is not null)),
-ce as (select v, dense_rank() over (order by v) - 1 as code from (select distinct ethnicity as v from scored where ethnicity is not null)),
-ng as (select count(*) as n from cg), nr as (select count(*) as n from cr)
-select s.person_id, cast(cg.code + 1 as int) as gender_id,
-       cast(cr.code + 1 + (select n from ng) as int) as race_id,
-       cast(ce.code + 1 + (select n from ng) + (select n from nr) as int) as ethnicity_id
-from scored s join cg on s.gender = cg.v join cr on s.race = cr.v join ce on s.ethnicity = ce.v""")
-_q("missing_token", """,
-raw as (select person_id, coalesce(comorbidity, 'NaN') as c from demo_como),
-norm as (select person_id, case when lower(trim(c)) in ('na', 'missing', 'nan', 'n/a') then null else c end as c from raw),
-lv as (select c, row_number() over (order by c) as code from (select distinct c from norm where c is not null))
-select n.person_id, cast(case when n.c is null then 0 else lv.code end as int) as comorbidity_id
-from norm n left join lv on n.c = lv.c""")
+       cast(coalesce(ce.code, -1) as int) as ethnicity_code, cast(coalesce(cd.code, -1) as int) as drug_code
+from people s left join cg on s.gender = cg.v left join cr on s.race = cr.v left join ce on s.ethnicity = ce.v
+  left join cd on s.drug = cd.v""")
+_q("category_offsets", WITH_DRUGS + """,
+cg as (select v, dense_rank() over (order by v) - 1 as code from (select distinct gender as v from people where gender is not null)),
+cr as (select v, dense_rank() over (order by v) - 1 as code from (select distinct race as v from people where race is not null)),
+ce as (select v, dense_rank() over (order by v) - 1 as code from (select distinct ethnicity as v from people where ethnicity is not null)),
+cd as (select v, dense_rank() over (order by v) - 1 as code from (select distinct drug as v from people where drug is not null)),
+o as (select (select count(*) from cg) as ng, (select count(*) from cr) as nr, (select count(*) from ce) as ne)
+select s.person_id, cast(coalesce(cg.code + 1, 0) as int) as gender_id,
+       cast(coalesce(cr.code + 1 + ng, 0) as int) as race_id,
+       cast(coalesce(ce.code + 1 + ng + nr, 0) as int) as ethnicity_id,
+       cast(coalesce(cd.code + 1 + ng + nr + ne, 0) as int) as drug_id
+from people s cross join o left join cg on s.gender = cg.v left join cr on s.race = cr.v left join ce on s.ethnicity = ce.v
+  left join cd on s.drug = cd.v""")
+_q("missing_token", WITH_DRUGS + """,
+norm as (select person_id,
+    case when lower(trim(coalesce(comorbidity, 'NaN'))) in ('na', 'missing', 'nan', 'n/a') then null else comorbidity end as c,
+    case when lower(trim(coalesce(drug, 'NaN'))) in ('na', 'missing', 'nan', 'n/a') then null else drug end as d from people),
+lv as (select c, row_number() over (order by c) as code from (select distinct c from norm where c is not null)),
+ld as (select d, row_number() over (order by d) as code from (select distinct d from norm where d is not null))
+select n.person_id, cast(case when n.c is null then 0 else lv.code end as int) as comorbidity_id,
+       cast(case when n.d is null then 0 else ld.code end as int) as drug_id
+from norm n left join lv on n.c = lv.c left join ld on n.d = ld.d""")
+_q("one_hot", """,
+cells as (
+  select person_id, split, 1 as c, gender as v from split_cohort union all
+  select person_id, split, 2, race from split_cohort union all
+  select person_id, split, 3, ethnicity from split_cohort union all
+  select person_id, split, 4, concept_name_1 from split_cohort),
+ids as (select c, v, row_number() over (order by c, v) - 1 as feature_id
+        from (select distinct c, v from cells where split = 'train' and v is not null))
+select person_id, feature_id from cells join ids using (c, v)""")
 _q("zscore_age", """,
 st as (select avg(age) as m, stddev_samp(age) as s from split_cohort where split = 'train')
 select person_id, split, round((age - st.m) / st.s, 6) as age_z from split_cohort cross join st""")
@@ -540,3 +559,95 @@ select s.person_id, s.split,
 from split_cohort s cross join ag
 left join tc_g g on s.gender = g.v left join tc_r r on s.race = r.v left join tc_e e on s.ethnicity = e.v
 left join acc on s.person_id = acc.person_id""", screen=True)
+
+
+# ---------------------------------------------------------------- B2 B3 B4 B6, M2 continuous
+def _products(keep: str, parts: str = "('train')") -> str:
+    """Design rows and the standardised train products of one-hot levels, age and
+    comorbidity flags: ``g`` (list of rows), ``q``, ``m``, ``s``, ``ybar``, ``n``. ``keep``
+    filters the one-hot levels (r numbers them within a column)."""
+    return f""",
+flags as (select p.person_id, t.comorbidity as v, cast(c.person_id is not null as int) as x
+  from split_cohort p cross join (select distinct comorbidity from como_long) t
+  left join como_long c on c.person_id = p.person_id and c.comorbidity = t.comorbidity),
+cats as (select person_id, split, 1 as c, gender as v from split_cohort union all
+  select person_id, split, 2, race from split_cohort union all select person_id, split, 3, ethnicity from split_cohort),
+levels as (select *, row_number() over (partition by c order by v) as r
+  from (select distinct c, v from cats where split = 'train' and v is not null)),
+cells as (
+  select p.person_id, l.c, l.v, case when k.v = l.v then 1.0 else 0.0 end as x
+  from split_cohort p cross join levels l left join cats k on k.person_id = p.person_id and k.c = l.c where {keep}
+  union all select person_id, 4, '', age from split_cohort
+  union all select person_id, 5, v, cast(x as double) from flags),
+design as (
+  select p.person_id, any_value(p.split) as split, cast(any_value(p.audit_c_score) as double) as y,
+         list(cast(x as double) order by c, v) as xs
+  from split_cohort p join cells using (person_id) group by p.person_id),
+long as (select person_id, split, y, unnest(xs) as x, unnest(range(1, len(xs) + 1)) as j from design),
+moments as (select j, avg(x) as m, stddev_pop(x) as s from long where split = 'train' group by j),
+z as (select l.person_id, l.j, (x - m) / s as z, y - (select avg(y) from design where split = 'train') as yc
+  from long l join moments using (j) where split = 'train'),
+products as (select a.j as i, b.j, sum(a.z * b.z) as g from z a join z b using (person_id) group by a.j, b.j),
+gl as (select list(r order by i) as g from (select i, list(g order by j) as r from products group by i)),
+ql as (select list(q order by j) as q from (select j, sum(z * yc) as q from z group by j)),
+ml as (select list(m order by j) as m, list(s order by j) as s from moments),
+tl as (select avg(y) as ybar, count(*) as n from design where split = 'train')"""
+
+
+# Gauss-Jordan steps on [G + alpha I | q], one row per penalty.
+_SOLVE = """,
+penalties as (select unnest({alphas}) as alpha),
+steps as (
+  select alpha, 0 as k, list_transform(range(1, len(g) + 1), lambda i: list_transform(range(1, len(g) + 2), lambda j:
+      case when j > len(g) then q[i] when i = j then g[i][j] + alpha else g[i][j] end)) as a
+  from penalties, gl, ql
+  union all
+  select alpha, k + 1, list_transform(range(1, len(a) + 1), lambda i: list_transform(range(1, len(a) + 2), lambda j:
+      case when i = k + 1 then a[i][j] / a[k + 1][k + 1] else a[i][j] - a[i][k + 1] * a[k + 1][j] / a[k + 1][k + 1] end))
+  from steps where k < len(a)),
+solved as (select alpha, list_transform(a, lambda r: r[len(r)]) as w from steps where k = len(a))"""
+# Coordinate descent on the products, one coordinate a step.
+_DESCENT = """,
+sizes as (select n * {alpha} * {l1} as l1, n * {alpha} * (1 - {l1}) as l2, len(q) as d from tl, ql),
+steps as (
+  select 0 as t, list_transform(q, lambda v: 0.0::double) as w from ql
+  union all
+  select t + 1, list_transform(range(1, d + 1), lambda i: case when i <> t % d + 1 then w[i] else
+      sign(free) * greatest(abs(free) - l1, 0) / (g[t % d + 1][t % d + 1] + l2) end)
+  from (select t, w, d, l1, l2, g, q[t % d + 1] - list_sum(list_transform(range(1, d + 1), lambda i:
+          case when i = t % d + 1 then 0.0 else g[t % d + 1][i] * w[i] end)) as free
+        from steps, sizes, gl, ql) where t < {sweeps} * d),
+solved as (select 0.0 as alpha, w from steps where t = (select max(t) from steps))"""
+_PREDICTED = """,
+scores as (
+  select alpha, person_id, y, ybar + list_sum(list_transform(range(1, len(w) + 1), lambda j: w[j] * (xs[j] - m[j]) / s[j])) as p
+  from design, solved, ml, tl where split = '{part}')"""
+_TRIPLE = """
+select round(avg((p - y) * (p - y)), 6) as mse, round(sqrt(avg((p - y) * (p - y))), 6) as rmse,
+       (select round(sum(case when a.p < b.p then 1.0 when a.p = b.p then 0.5 else 0.0 end) / count(*), 6)
+        from scores a join scores b on a.y < b.y) as c_index
+from scores"""
+
+
+def _recursive(name: str, body: str) -> None:
+    QUERIES[name] = "with recursive " + BASE + body
+
+
+# One level of each column is left out for least squares: the predictions are the same.
+_recursive("baseline_linear", _products("l.r > 1") + _SOLVE.format(alphas="[0.0]") + _PREDICTED.format(part="test") + _TRIPLE)
+_recursive("baseline_ridge", _products("true") + _SOLVE.format(alphas="[100.0]") + _PREDICTED.format(part="test") + _TRIPLE)
+_recursive("baseline_elastic", _products("true") + _DESCENT.format(alpha="1.0", l1="0.5", sweeps=60)
+           + _PREDICTED.format(part="test") + _TRIPLE)
+_recursive("elastic_small", _products("true") + _DESCENT.format(alpha="0.05", l1="0.5", sweeps=120)
+           + _PREDICTED.format(part="test") + _TRIPLE)
+_recursive("ridge_grid", _products("true") + _SOLVE.format(alphas="[0.01, 0.1, 1.0, 10.0, 100.0, 1000.0, 10000.0]")
+           + _PREDICTED.format(part="validation") + """
+select alpha::double as alpha, round(avg((p - y) * (p - y)), 6) as mse from scores group by alpha""")
+_q("c_index_continuous", """,
+spend as (
+  select c.c_custkey as person_id, n.n_regionkey as run, c.c_acctbal as y, floor(max(o.o_totalprice) / 1000) as p
+  from customer c join nation n on c.c_nationkey = n.n_nationkey join orders o on o.o_custkey = c.c_custkey
+  group by all),
+runs as (select r.r_name as run_id, y, p from spend join region r on r.r_regionkey = spend.run union all select 'all', y, p from spend)
+select a.run_id, round(sum(case when a.p < b.p then 1.0 when a.p = b.p then 0.5 else 0.0 end) / count(*), 6) as c_index
+from runs a join runs b on a.run_id = b.run_id and a.y < b.y group by a.run_id""")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from cohortkit.functions import narrative as N
 from cohortkit.operators import cohort as CO
+from cohortkit.operators import dictionary as DI
 from cohortkit.operators import encode as EN
 from cohortkit.operators import labels as LB
 from cohortkit.operators import metrics as M
@@ -165,34 +166,52 @@ def split_counts(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ E4-E6 G2 F3
+def _with_drugs(c: Cohort) -> DataFrame:
+    """Persons with their packed drugs as one categorical column: about a level a person."""
+    return c.demo_como.join(c.packed_drugs, "person_id", "left")
+
+
 @register
 def encode_reference(spark, sf_dir):
-    c = Cohort(spark, sf_dir)
-    coded = EN.codes(c.scored, REFERENCES, suffix="_code")
-    return coded.select("person_id", "gender_code", "race_code", "ethnicity_code")
+    coded = EN.codes(_with_drugs(Cohort(spark, sf_dir)), {**REFERENCES, "standard_concept_name": None}, suffix="_code")
+    return coded.select("person_id", "gender_code", "race_code", "ethnicity_code",
+                        F.col("standard_concept_name_code").alias("drug_code"))
 
 
 @register
 def category_offsets(spark, sf_dir):
     c = Cohort(spark, sf_dir)
-    cols = ["gender", "race", "ethnicity"]
-    coded = EN.codes(c.scored, {k: None for k in cols}, suffix="_code")
-    off = EN.offsets(EN.cardinalities(c.scored, cols), special=1)
+    cols = ["gender", "race", "ethnicity", "drug"]
+    persons = _with_drugs(c).withColumnRenamed("standard_concept_name", "drug")
+    known = DI.build(persons, dict.fromkeys(cols))
+    coded = DI.encode(persons, known, {k: f"{k}_code" for k in cols}, missing=F.lit(None).cast("int"))
+    off = EN.offsets(DI.sizes(known, cols), special=1)
     # codes are 1-based when no reference level is given; ids are 0-based code + offset
     ids = EN.offset_ids(coded, {f"{k}_code": off[k] - 1 for k in cols}, suffix="_id")
-    return ids.select("person_id", *[F.col(f"{k}_code_id").alias(f"{k}_id") for k in cols])
+    return ids.select("person_id", *[F.coalesce(f"{k}_code_id", F.lit(0)).alias(f"{k}_id") for k in cols])
 
 
 @register
 def missing_token(spark, sf_dir):
-    """A missing comorbidity arrives spelled 'NaN'; it maps to id 0, the levels
-    follow from id 1 on."""
-    c = Cohort(spark, sf_dir)
-    raw = c.demo_como.select("person_id", F.coalesce("comorbidity", F.lit("NaN")).alias("comorbidity"))
-    norm = raw.withColumn("comorbidity", EN.normalise_missing("comorbidity"))
-    codes = EN.codes(norm, {"comorbidity": None}, suffix="_code", max_levels=1000)
-    return codes.select("person_id", F.when(F.col("comorbidity").isNull(), 0)
-                        .otherwise(F.col("comorbidity_code")).alias("comorbidity_id"))
+    """A missing comorbidity or drug list arrives spelled 'NaN'; it maps to id 0, the
+    levels follow from id 1 on."""
+    raw = _with_drugs(Cohort(spark, sf_dir)).select(
+        "person_id", F.coalesce("comorbidity", F.lit("NaN")).alias("comorbidity"),
+        F.coalesce("standard_concept_name", F.lit("NaN")).alias("drug"))
+    norm = raw.withColumns({k: EN.normalise_missing(k) for k in ("comorbidity", "drug")})
+    codes = EN.codes(norm, {"comorbidity": None, "drug": None}, suffix="_code")
+    return codes.select("person_id", *[F.when(F.col(k).isNull(), 0).otherwise(F.col(f"{k}_code")).alias(f"{k}_id")
+                                       for k in ("comorbidity", "drug")])
+
+
+@register
+def one_hot(spark, sf_dir):
+    """the ones of the one-hot matrix over demographics and the newest drug. The levels
+    are those of the train rows; hold-out values not among them have no one."""
+    df = split_cohort(Cohort(spark, sf_dir))
+    cols = [*REFERENCES, "concept_name_1"]
+    known = DI.build(df.where(F.col("split") == "train"), dict.fromkeys(cols))
+    return DI.one_hot_long(df, "person_id", known, cols)
 
 
 @register
@@ -385,6 +404,19 @@ def c_index(spark, sf_dir):
     return m.select(r6("c_index").alias("c_index"))
 
 
+@register
+def c_index_continuous(spark, sf_dir):
+    """M2 with a continuous truth (a person's balance against the largest order, in
+    thousands), over all persons and by region."""
+    t = Cohort(spark, sf_dir).t
+    top = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.floor(F.max("o_totalprice") / 1000).alias("prediction"))
+    df = (t.customer.join(top, "c_custkey").join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
+          .join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
+          .select(F.col("r_name").alias("run_id"), F.col("c_acctbal").alias("label"), "prediction"))
+    both = M.c_index(df).withColumn("run_id", F.lit("all")).unionByName(M.c_index(df, by=["run_id"]))
+    return both.select("run_id", r6("c_index").alias("c_index"))
+
+
 @register
 def metrics_by_run(spark, sf_dir):
     m = M.triple(Cohort(spark, sf_dir).predictions, by=["run_id"])
@@ -495,6 +527,12 @@ def baseline_elastic(spark, sf_dir):
     return _baseline(spark, sf_dir, "elastic", alpha=1.0, l1_ratio=0.5)
 
 
+@register
+def elastic_small(spark, sf_dir):
+    """B4 with a penalty at which some coefficients stay."""
+    return _baseline(spark, sf_dir, "elastic", alpha=0.05, l1_ratio=0.5)
+
+
 @register
 def baseline_svr(spark, sf_dir):
     return _baseline(spark, sf_dir, "svr")

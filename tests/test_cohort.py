@@ -157,3 +157,20 @@ def test_tokens_lose_outer_blanks_only(spark):
 
 def test_token_that_equals_its_index_stays(spark):
     assert _tokens(spark, "0 | 1 | 2 | x") == ["0", "1", "2", "x"]
+
+
+@pytest.mark.parametrize("shard", [200_000, 7])
+def test_substring_equals_plain_search(spark, monkeypatch, shard):
+    import random
+    monkeypatch.setattr(TK, "SHARD_NAMES", shard)
+    rnd = random.Random(shard)
+    names = ["".join(rnd.choice("ab é1") for _ in range(rnd.randint(1, 6))).strip() or "z" for _ in range(60)]
+    rows = [(p, " | ".join(rnd.sample(names, 4))) for p in range(40)] + [(99, None), (98, "")]
+    long = TK.to_long(spark.createDataFrame(rows, "person_id long, drugs string"), "person_id", "drugs", " | ")
+    got = {(r["person_id"], r["match"]) for r in TK.substring_long(long).collect()}
+    known = {t for _, d in rows if d for t in d.split(" | ")}
+    assert got == {(p, n) for p, d in rows if d for n in known if any(n in t for t in d.split(" | "))}
+    other = spark.createDataFrame([("a",), ("é1",), ("",), ("a",)], "token string")
+    sub = {(r["person_id"], r["match"]) for r in TK.substring_long(long, vocab=other).collect()}
+    assert sub == {(p, n) for p, d in rows if d for n in ("a", "é1") if n in d}
+    assert TK.substring_long(long.limit(0)).count() == 0

@@ -87,9 +87,12 @@ def test_best_runs_top_k(spark):
     assert [r["run_id"] for r in M.best_runs(runs).collect()] == ["r2", "r4", "r3"]
 
 
-@pytest.mark.parametrize("block_rows", [10_000, 25, 6])
-def test_c_index_continuous_truth(spark, block_rows):
+@pytest.mark.parametrize("block_rows,fan", [(10_000, 64), (25, 64), (25, 3), (6, 2)])
+def test_c_index_continuous_truth(spark, monkeypatch, block_rows, fan):
+    """One block, one level of merges, and several."""
+    from cohortkit.operators import concordance
     from cohortkit.operators.concordance import c_index_continuous
+    monkeypatch.setattr(concordance, "FAN", fan)
     rnd = random.Random(13)
     y = [round(rnd.random() * 50, 1) for _ in range(240)] + [7.0] * 60       # a hot truth value
     p = [round(rnd.random() * 5, 1) for _ in range(240)] + [rnd.choice([1.0, 2.0]) for _ in range(60)]
@@ -149,3 +152,37 @@ def test_c_index_by_run_continuous_has_no_run_limit(spark, block_rows):
     for run in got:
         y, p = [r[1] for r in rows if r[0] == run], [r[2] for r in rows if r[0] == run]
         assert got[run] == pytest.approx(brute_c(y, p), abs=1e-12)
+
+
+def test_concordant_weights_past_64_bits():
+    """Exact sums where weights are large."""
+    import numpy as np
+    from cohortkit.operators import concordance as CC
+    n = np.array([3_000_000_001, 2_999_999_999, 7], dtype=np.int64)
+    w = np.array([2**40 + 1, 2**41 + 3, 5], dtype=np.int64)
+    assert CC._dot(n, w) == sum(int(a) * int(b) for a, b in zip(n, w))
+    rnd = np.random.default_rng(2)
+    for m in (0, 1, 2, 3, 17, 64, 65):
+        p, k = rnd.integers(0, 9, m).astype(float), rnd.integers(1, 5, m)
+        want = sum(int(k[i] * k[j]) for i in range(m) for j in range(i + 1, m) if p[i] < p[j])
+        assert CC._inside(p, k.astype(np.int64)) == want
+
+
+def test_c_index_plan_has_no_single_partition(spark):
+    """Many blocks: every exchange but the last sum of a few numbers is by range or key."""
+    from cohortkit.operators import concordance as CC
+    hist = spark.range(5000).select(F.lit(0).cast("long").alias("_g"), (F.col("id") * 7919 % 5003).cast("double").alias("_y"),
+                                    (F.col("id") * 104729 % 4999).cast("double").alias("_p"), F.lit(1).cast("long").alias("_n"))
+    from cohortkit.session import materialise
+    h = materialise(hist)
+    rows = [(r["_y"], r["_p"]) for r in h.collect()]
+    got = CC.concordant(h, block_rows=100).first()["conc"]
+    rows.sort()
+    import bisect
+    seen, total = [], 0
+    for _, p in rows:
+        total += bisect.bisect_left(seen, p)
+        bisect.insort(seen, p)
+    assert int(got) == total
+    plan = CC.concordant(h, block_rows=100)._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan
