@@ -40,6 +40,7 @@ SCALE = 1_000_000
 WINDOW, TRIGGER_BITS = 8, 5     # bytes a trigger looks at; one word in 2 ** 5 ends a chunk
 FILTER_BITS = 26               # 8 MB
 BLOCK_BITS = 16                # of the bit set, in one row
+RANK_PARTS = 4
 FLUSH_BYTES = 12 << 20         # chunk text counted together in a task
 ODD = 0x9E3779B97F4A7C15
 CHUNK = pa.schema([("lang", pa.string()), ("chunk", pa.binary()), ("open", pa.bool_()), ("words", pa.int64())])
@@ -270,6 +271,11 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
 
 
 def best_phrases(found: DataFrame, top: int) -> DataFrame:
-    """The first ``top`` phrases of each language with their rank."""
-    order = W.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), "phrase")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    """The first ``top`` phrases of each language with their rank: the first of each of
+    ``RANK_PARTS`` parts of a language, then the first of these, so that the last task of a
+    language reads no more than ``RANK_PARTS * top`` rows."""
+    order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
+    parts = found.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(RANK_PARTS)))
+    inside = F.row_number().over(W.partitionBy("lang", "part").orderBy(*order))
+    first = parts.withColumn("rank", inside).where(F.col("rank") <= top).drop("part", "rank")
+    return first.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
