@@ -4,8 +4,10 @@ An item's windows (``window`` consecutive words; a shorter item is one window) a
 word shingles. A window lies in a document only if each of its shingles does, so one
 shingle is a sufficient prefix; the rarest one is taken, with rarity counted over all
 documents. Shingles of documents that occur in no item are dropped while they are
-generated. Prefix matches give a start position; starts outside the document are dropped
-(length and positional bound) and the words there are compared with the window's.
+generated; a position is its number and a hash, whichever way the join goes. Prefix matches
+give a start position; starts outside the document are dropped (length and positional
+bound). The texts with a start are read again and their words there compared with the
+window's.
 
 Edge cases: a null or empty text has no words; an item without words has no windows;
 a null item id marks words but is not listed; repeated rows are judged alike; empty tables
@@ -21,10 +23,10 @@ from cohortkit.llm.common import fitting_broadcast, staged, text_key, text_or_em
 
 WINDOW = 10
 SHINGLE = 3
+ROWS = 4096                    # numbers that stand for a shingle's hash in a document's own row
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-# The word pattern, after and before A-Z are lower-cased.
+# Fixed value: the word pattern, once A-Z are lower-cased.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words(text: str | Column = "text") -> Column:
@@ -59,28 +61,37 @@ def _positions(df: DataFrame, sizes: list[int]) -> DataFrame:
         "shingle", _shingle(F.col("k"), F.col("at")))
 
 
-def find_windows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """(hits, items): hits are doc_id, tk, start, n, wid of verified window occurrences;
-    items map wid to the item ids that have the window."""
+def _document_positions(docs: DataFrame, sizes: list[int]) -> DataFrame:
+    """doc_id, tk, n_words, at, shingle of every position, and one row at -1 per document
+    whose shingle is below ROWS; the words themselves go no further."""
+    df = docs.select(*_key(), words().alias("w"))
+    df = df.select("*", F.explode(F.sequence(F.lit(-1), F.size("w") - 1)).alias("at"))
+    if len(sizes) > 1:
+        df = df.select("*", F.explode(F.array(*[F.lit(k) for k in sizes])).alias("k")).where("at >= 0 OR k = %d" % sizes[0])
+    else:
+        df = df.withColumn("k", F.lit(sizes[0]))
+    shingle = F.when(F.col("at") < 0, F.pmod("tk", F.lit(ROWS))).otherwise(_shingle(F.col("k"), F.col("at")))
+    return (df.where((F.col("at") < 0) | (F.col("at") + F.col("k") <= F.size("w")))
+            .select("doc_id", "tk", F.size("w").alias("n_words"), "at", shingle.alias("shingle")))
+
+
+def find_windows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, hits, items): rows are doc_id, tk, n_words of every document; hits are doc_id,
+    tk, start, n, wid of verified window occurrences; items map wid to the item ids that
+    have the window."""
     wins = windows(benchmark, window).withColumn("wid", F.md5(F.array_join("w", " ").cast("binary")))
     wins = staged(wins, "windows")
     texts = wins.select("wid", "w").distinct()
-    sizes = sorted(r[0] for r in texts.select(F.least(F.size("w"), F.lit(SHINGLE))).distinct().collect())
-    if not sizes:
-        return None, wins.select("wid", "item_id")
+    sizes = sorted(r[0] for r in texts.select(F.least(F.size("w"), F.lit(SHINGLE))).distinct().collect()) or [SHINGLE]
     own = staged(_positions(texts, sizes).where(F.col("k") == F.least(F.size("w"), F.lit(SHINGLE))), "shingles")
-    vocabulary = own.select("shingle").distinct()
+    own_rows = docs.sparkSession.range(ROWS).select(F.col("id").alias("shingle"))
+    vocabulary = own.select("shingle").union(own_rows).distinct()
     n_own = own.count()
 
-    # One pass over the documents: shingles that some item has, with the words around.
-    source = docs.select(*_key(), words().alias("w"))
-    first = F.greatest(F.col("at") - (window - 1), F.lit(0))
-    seen = (_positions(source, sizes)
-            .join(fitting_broadcast(vocabulary, n_own, 40), "shingle")
-            .select("doc_id", "tk", "shingle", "at", F.size("w").alias("n_words"),
-                    (F.col("at") - first).alias("back"),
-                    F.slice("w", first + 1, F.lit(2 * window - 1)).alias("around")))
-    seen = staged(seen, "seen")
+    # One pass over the documents: positions of shingles that some item has, and the rows.
+    seen = staged(_document_positions(docs, sizes).join(fitting_broadcast(vocabulary, n_own + ROWS, 40), "shingle"), "seen")
+    rows = seen.where("at < 0").select("doc_id", "tk", F.col("n_words").cast("long").alias("n_words"))
+    seen = seen.where("at >= 0")
 
     # Rarity over all documents; a window with a shingle that occurs nowhere cannot occur.
     counted = seen.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
@@ -90,12 +101,23 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
               .where("p.df > 0")
               .select("wid", "w", F.col("p.shingle").alias("shingle"), F.col("p.at").alias("offset")))
     begin = F.col("at") - F.col("offset")
-    length = F.size("w")
-    hits = (seen.join(fitting_broadcast(prefix, n_own, 400), "shingle")
-            .where((begin >= 0) & (begin + length <= F.col("n_words")))
-            .where(F.slice("around", F.col("back") - F.col("offset") + 1, length) == F.col("w"))
-            .select("doc_id", "tk", begin.alias("start"), length.alias("n"), "wid"))
-    return hits, wins.select("wid", "item_id")
+    starts = (seen.join(fitting_broadcast(prefix, n_own, 400), "shingle")
+              .where((begin >= 0) & (begin + F.size("w") <= F.col("n_words")))
+              .groupBy(F.col("doc_id").alias("c_id"), F.col("tk").alias("c_tk"))
+              .agg(F.collect_set(F.struct(begin.alias("start"), "wid", "w")).alias("starts")))
+    starts = staged(starts, "starts")
+
+    # The words of the few documents with a start are taken again and compared there. A
+    # document's starts come as one list, so its words are not repeated by start.
+    size = starts.agg(F.count(F.lit(1)), F.sum(F.size("starts"))).first()
+    starts = fitting_broadcast(starts, (size[0] or 0) + (size[1] or 0), 400)
+    same = F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("tk") == F.col("c_tk"))
+    read = docs.select(*_key(), text_or_empty().alias("text")).join(starts, same)
+    real = F.filter("starts", lambda c: F.slice("w_all", c["start"] + 1, F.size(c["w"])) == c["w"])
+    hits = (read.select("doc_id", "tk", words("text").alias("w_all"), "starts")
+            .select("doc_id", "tk", F.explode(real).alias("c"))
+            .select("doc_id", "tk", "c.start", F.size("c.w").alias("n"), "c.wid"))
+    return rows, hits, wins.select("wid", "item_id")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -103,12 +125,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
     ``tk`` is a hash of the text, so that rows which share an id are told apart.
     """
-    base = docs.select(*_key(), F.regexp_count(text_or_empty("text"), F.lit(WORD_ANY_CASE))
-                       .cast("long").alias("n_words"))
-    hits, items = find_windows(docs, benchmark, window)
+    base, hits, items = find_windows(docs, benchmark, window)
     none = F.array().cast("array<string>")
-    if hits is None:
-        return base.select("*", F.lit(0).cast("long").alias("n_hit"), none.alias("item_ids"))
     # item_id is null-free in the list; the covered words are a union of intervals
     hits = staged(hits.distinct(), "hits")
     state = F.struct(F.lit(0).alias("end"), F.lit(0).alias("hit"))
