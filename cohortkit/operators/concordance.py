@@ -82,7 +82,7 @@ def _merged(rows: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
     """One range of a level: each row meets the rows of earlier children with smaller p, in
     this range by running sums, in the ranges before by the offsets."""
     from decimal import Decimal
-    offsets = {(g, v): dict(zip(x["_child"], x["_before"])) for (g, v), x in before.groupby(["_g", "_node"])}
+    offsets = {key: dict(zip(x["child"], x["before"])) for key, x in before.groupby(["g", "node"])}
     out = []
     rows = rows.assign(_c=-rows["_child"]).sort_values(["_g", "_node", "_p", "_c"], kind="mergesort")
     for (g, node), x in rows.groupby(["_g", "_node"], sort=False):
@@ -104,14 +104,15 @@ def _level(rows: DataFrame, width: int, ranges: int) -> DataFrame:
     # written once, so that rows and offsets agree on the ranges
     x = materialise(x.repartitionByRange(ranges, "_g", "_node", "_p", F.desc("_child"), "_y")
                     .withColumn("_range", F.spark_partition_id()))
-    cells = x.groupBy("_g", "_node", "_range", "_child").agg(F.sum("_n").alias("_w"))
-    spans = cells.select("_g", "_node", "_range").distinct()
-    grid = spans.join(cells.select("_g", "_node", "_child").distinct(), ["_g", "_node"])
-    before = Window.partitionBy("_g", "_node", "_child").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (grid.join(cells, ["_g", "_node", "_range", "_child"], "left")
-               .withColumn("_before", F.coalesce(F.sum("_w").over(before), F.lit(0))).drop("_w"))
+    cells = x.groupBy(F.col("_g").alias("g"), F.col("_node").alias("node"), F.col("_range").alias("at"),
+                      F.col("_child").alias("child")).agg(F.sum("_n").alias("w"))
+    spans = cells.select("g", "node", "at").distinct()
+    grid = spans.join(cells.select("g", "node", "child").distinct(), ["g", "node"])
+    before = Window.partitionBy("g", "node", "child").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (grid.join(cells, ["g", "node", "at", "child"], "left")
+               .withColumn("before", F.coalesce(F.sum("w").over(before), F.lit(0))).drop("w"))
     # the offsets of a range are those of the nodes in it: few numbers beside its rows
-    return x.groupBy("_range").cogroup(offsets.groupBy("_range")).applyInPandas(_merged, _CONC)
+    return x.groupBy("_range").cogroup(offsets.groupBy("at")).applyInPandas(_merged, _CONC)
 
 
 def concordant(hist: DataFrame, block_rows: int = 200_000) -> DataFrame:
