@@ -40,7 +40,6 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from cohortkit.llm.common import fitting_broadcast, staged, text_key, text_or_empty, without_rows
 from cohortkit.llm.components import components
@@ -51,6 +50,8 @@ AGREE = 2                      # groups on which similar sets agree at least
 SAMPLED = 4                    # the first test of unique n-grams takes one hash in so many
 BLOCK_SETS, BLOCK_BYTES = 1024, 4 << 20
 COLUMNS = 4096                 # n-grams of a block product at once
+DENSE, CODES = 64, 1 << 22     # rows above which an n-gram is counted densely; pairs counted at once
+MOST_TASKS = 100_000
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _rng = np.random.default_rng(20240229)
 BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
@@ -374,28 +375,62 @@ def spanning_links(linked: np.ndarray, group: np.ndarray) -> list[tuple[int, int
     return out
 
 
+def shared_counts(parts: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many n-grams rows have in common, for rows of ``left`` with rows of ``right`` at
+    least. N-grams that few rows have are counted by their pairs of rows, the others by
+    products of dense columns; those of one row only take no part."""
+    m = len(parts)
+    row = np.repeat(np.arange(m), [len(p) for p in parts])
+    _, column, held = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+    out = np.zeros(m * m, np.int64)
+    order = np.argsort(column, kind="stable")
+    row, held_at = row[order], held[column[order]]
+    codes, waiting = [], 0
+    for c in range(2, min(DENSE, m) + 1):
+        rows = row[held_at == c].reshape(-1, c)
+        a, b = np.triu_indices(c, 1)
+        step = max(1, CODES // len(a))
+        for at in range(0, len(rows), step):
+            codes.append((rows[at:at + step, a] * m + rows[at:at + step, b]).ravel())
+            waiting += len(codes[-1])
+            if waiting >= CODES:
+                out += np.bincount(np.concatenate(codes), minlength=m * m)
+                codes, waiting = [], 0
+    if codes:
+        out += np.bincount(np.concatenate(codes), minlength=m * m)
+    out = out.reshape(m, m)
+    out += out.T                               # of equal rows of an n-gram there are none
+    heavy = held_at > DENSE
+    if heavy.any():
+        row, column = row[heavy], np.unique(column[order][heavy], return_inverse=True)[1]
+        for first in range(0, int(column[-1]) + 1, COLUMNS):
+            a, b = np.searchsorted(column, (first, first + COLUMNS))
+            part = np.zeros((m, COLUMNS), np.float32)
+            part[row[a:b], column[a:b] - first] = 1
+            out[np.ix_(left, right)] += (part[left] @ part[right].T).astype(np.int64)
+    return out
+
+
 def _compare_blocks(num: int, den: int):
     """A spanning forest of the links between components of one block or of two."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+        comp, block = pdf["component"].to_numpy(), pdf["block"].to_numpy()
+        p, q = pdf["p"].iloc[0], pdf["q"].iloc[0]
+        if (comp == comp[0]).all() or (p != q and (block == block[0]).all()):
+            return none
         parts = [np.frombuffer(g, np.uint64) for g in pdf["grams"]]
-        row = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-        _, column = np.unique(np.concatenate(parts), return_inverse=True)
-        order = np.argsort(column, kind="stable")
-        row, column = row[order], column[order]
-        shared = np.zeros((len(parts), len(parts)), np.float32)
-        for first in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
-            a, b = np.searchsorted(column, (first, first + COLUMNS))
-            part = np.zeros((len(parts), COLUMNS), np.float32)
-            part[row[a:b], column[a:b] - first] = 1
-            shared += part @ part.T
-        size, block = pdf["size"].to_numpy(), pdf["block"].to_numpy()
-        shared = shared.astype(np.int64)
+        left, right = np.flatnonzero(block == p), np.flatnonzero(block == q)
+        if not sum(map(len, parts)):
+            return none
+        shared = shared_counts(parts, left, right)
+        size = pdf["size"].to_numpy()
         ok = den * shared >= num * (size[:, None] + size[None, :] - shared)
-        comp = pdf["component"].to_numpy()
         ok &= comp[:, None] != comp[None, :]
-        if pdf["p"].iloc[0] != pdf["q"].iloc[0]:
+        if p != q:
             ok &= block[:, None] != block[None, :]     # each block's own pairs have their own task
+        ok |= ok.T
         pairs = np.array(spanning_links(ok, comp), np.int64).reshape(-1, 2)
         ids = pdf["set_id"].to_numpy()
         return pd.DataFrame({"a": ids[pairs[:, 0]], "b": ids[pairs[:, 1]]})
@@ -415,12 +450,16 @@ def _cluster_links(shared: DataFrame, part: DataFrame, sets: DataFrame, num: int
                      .join(rest.groupBy("set_id").agg(F.min("component").alias("component")), "set_id")
                      .join(sets, "set_id"), "cluster_sets")
     size = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum(F.octet_length("grams")) / BLOCK_BYTES))
-    blocks = members.groupBy("cluster").agg(size.cast("int").alias("blocks"))
+    blocks = staged(members.groupBy("cluster").agg(size.cast("int").alias("blocks"), F.count(F.lit(1)).alias("sets")), "blocks")
+    # one task for so many pairs of sets as two blocks have, however few bytes they are
+    work = blocks.agg(F.sum(F.col("sets").cast("double") * F.col("sets"))).first()[0] or 0.0
+    tasks = max(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(work / BLOCK_SETS ** 2))
     dealt = (members.join(blocks, "cluster")
              .withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .select("cluster", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"),
                      "block", "set_id", "component", "size", "grams"))
+    dealt = dealt.repartition(min(tasks, MOST_TASKS), "cluster", "p", "q")
     return dealt.groupBy("cluster", "p", "q").applyInPandas(_compare_blocks(num, den), "a long, b long")
 
 
@@ -446,11 +485,10 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     reduced = staged(reduced_sets(contents, num, den), "reduced")
 
     # buckets that two different sets share; the hub is the smallest set of the bucket
-    by_sig = W.partitionBy("sig")
-    shared = staged(signature_rows(reduced, num, den)
-                    .select("sig", "set_id", F.min("set_id").over(by_sig).alias("hub"),
-                            F.max("set_id").over(by_sig).alias("last"))
-                    .where("hub <> last").select("sig", "set_id", "hub"), "shared")
+    sigs = staged(signature_rows(reduced, num, den), "signatures")
+    spans = (sigs.groupBy("sig").agg(F.min("set_id").alias("hub"), F.max("set_id").alias("last"))
+             .where("hub <> last").select("sig", "hub"))
+    shared = staged(sigs.join(spans, "sig").select("sig", "set_id", "hub"), "shared")
 
     # each set against one hub, then what is still apart in a bucket, block by block
     hubs = (shared.where("set_id <> hub").groupBy("set_id", "hub").agg(F.count(F.lit(1)).alias("n"))
