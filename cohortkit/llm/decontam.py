@@ -23,6 +23,7 @@ from cohortkit.llm.common import fitting_broadcast, staged, text_key, text_or_em
 
 WINDOW = 10
 SHINGLE = 3
+KEY_PARTS = 1 << 20            # numbers that name documents with a possible window
 ROWS = 4096                    # numbers that stand for a shingle's hash in a document's own row
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Fixed value: the word pattern, once A-Z are lower-cased.
@@ -107,12 +108,13 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
               .agg(F.collect_set(F.struct(begin.alias("start"), "wid", "w")).alias("starts")))
     starts = staged(starts, "starts")
 
-    # The words of the few documents with a start are taken again and compared there. A
+    # The words of the few documents with a start are taken again and compared there; a
+    # set of KEY_PARTS numbers at most keeps nearly all other texts out of the join. A
     # document's starts come as one list, so its words are not repeated by start.
-    size = starts.agg(F.count(F.lit(1)), F.sum(F.size("starts"))).first()
-    starts = fitting_broadcast(starts, (size[0] or 0) + (size[1] or 0), 400)
-    same = F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("tk") == F.col("c_tk"))
-    read = docs.select(*_key(), text_or_empty().alias("text")).join(starts, same)
+    part = F.pmod("tk", F.lit(KEY_PARTS))
+    parts = F.broadcast(starts.select(F.pmod("c_tk", F.lit(KEY_PARTS)).alias("part")).distinct())
+    read = docs.select(*_key(), text_or_empty().alias("text")).join(parts, part == F.col("part"), "left_semi")
+    read = read.join(starts, F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("tk") == F.col("c_tk")))
     real = F.filter("starts", lambda c: F.slice("w_all", c["start"] + 1, F.size(c["w"])) == c["w"])
     hits = (read.select("doc_id", "tk", words("text").alias("w_all"), "starts")
             .select("doc_id", "tk", F.explode(real).alias("c"))
