@@ -1,33 +1,34 @@
 """Toxic passages as maximum-scoring segments of token log-odds.
 
-1. Log-odds with a Dirichlet prior: for each word and word stem, the document frequencies
-   among labelled toxic and clean texts are compared under a prior proportional to the
-   frequency in all documents; those whose log-odds stand ``z_least`` deviations above 0
-   form the lexicon (all documents are counted only for words that can get there). A token scores the highest log-odds of its word and stems, every other
-   token ``-drift``.
-2. Segments: all maximal-scoring segments of a text (found by a linear scan with linked
-   candidates; tokens without a lexicon score are handled as one gap).
+1. Log-odds with a Dirichlet prior: for each word and word stem, the numbers of toxic and of
+   clean labelled texts that hold it are compared under a prior proportional to the number of
+   all documents that do (a stem's numbers are the sums over the labelled texts' words). An
+   entry's log-odds count, of either sign, where they stand ``z_least`` deviations from 0.
+   A token scores the log-odds of its word, else of its longest stem that has an entry;
+   a token without one scores ``-drift``.
+2. Segments: all maximal-scoring segments of a text (a linear scan with linked candidates).
 3. Extreme values: in clean labelled texts the segments' scores have an exponential tail;
    its rate and density give each segment's E-value at a text's length. A text's evidence
    is the sum of -ln p over its segments, and a logistic fit of the labels on it gives
    the score.
 
-Counts are summed map-side, word counts of all documents only for words that can enter
-the lexicon (a bit set of fixed size selects them in the tasks; a join makes it exact).
-The lexicon is a table of any size: its ``broadcast_words`` words of most documents are
-broadcast; where there are more, the others are joined with the words of the texts (a word
-beyond that many more frequent ones is no hot key). The logistic fit reads a histogram of
-fixed width.
+Words are counted in one pass over all documents and one over the labelled texts, by the
+distinct words of a batch; a task hands on its distinct words only, and stems are made from
+the summed words. The lexicon is a table of any size: its ``broadcast_words`` entries of most
+documents are broadcast; where there are more, the others are joined with the words of the
+texts (an entry beyond that many more frequent ones is no hot key; a bit set of fixed size
+keeps other words out of the join). The logistic fit reads a histogram of fixed width.
 
 Edge cases: null and empty texts have no segment and the base score; rows without a label
 teach nothing; equal labelled texts teach once; several labels of one id count as toxic if
-one is; without toxic or clean training rows the lexicon is empty; repeated rows and extra
-columns pass through.
+one is; without toxic or clean training rows the lexicon is empty; entries of equally many
+documents at the broadcast bound go by the word, and the scores do not depend on where the
+bound lies; segments never overlap, so that equal scores need no rule; repeated rows pass
+through. Columns named n_words and segments are replaced, others pass through.
 """
 
 from __future__ import annotations
 
-import math
 import re
 import zlib
 from collections import Counter
@@ -40,21 +41,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortkit.llm.common import staged, text_or_empty
+from cohortkit.llm.common import ship_by_value, staged, text_or_empty
 
 WORD = re.compile(r"[^\W\d_]+")
 PRIOR_DOCS = 50.0              # weight of the prior, in documents
 Z_LEAST = 3.5
 BROADCAST_WORDS = 200_000      # lexicon entries that are broadcast; the others are joined
 DRIFT = 0.05
-LEAST_TOXIC = 3                # toxic texts a lexicon entry is in
-STEMS = range(4, 9)            # lengths of the stems that count as features
+LEAST_TEXTS = 3                # labelled texts of its side that an entry is in
+STEMS = range(8, 3, -1)        # lengths of the stems that count as features, longest first
 BITS = 1 << 23
 WORDS_AT_ONCE = 500_000        # distinct words a task counts before it hands them on
-TOKEN_KEPT = 64                # characters of a token whose reading is kept for the next time
-PRIOR_STEP = 1.25              # ratio of neighbouring priors at which the reachable z is bounded
 BINS = 400                     # histogram of the evidence for the logistic fit
 BIN_WIDTH = 0.05
+ship_by_value(__name__)
 
 
 def lowered(text: str) -> str:
@@ -67,51 +67,26 @@ def words_of(text: str) -> list[str]:
     return WORD.findall(lowered(text))
 
 
-def remembered(read):
-    """``read`` of a white-space token, kept for tokens that come again; no word crosses
-    white space, so a text's words are those of its tokens. Long tokens are not kept."""
-    memo: dict = {}
-
-    def get(token: str):
-        found = memo.get(token)
-        if found is None:
-            found = read(token)
-            if len(token) <= TOKEN_KEPT:
-                if len(memo) >= WORDS_AT_ONCE:
-                    memo.clear()
-                memo[token] = found
-        return found
-
-    return get
-
-
 def features(word: str) -> list[str]:
-    """What the lexicon may hold of a word: itself and its stems, marked by a hyphen."""
+    """What the lexicon may hold of a word: itself and its stems, marked by a hyphen, from
+    the most special one on."""
     return [word, *(word[:n] + "-" for n in STEMS if n < len(word))]
 
 
+def coded_words(texts: list[str]) -> tuple[list[int], np.ndarray, list[str]]:
+    """Number of words of each text, and all words as numbers of the distinct ones."""
+    found = [words_of(t) for t in texts]
+    flat = pa.array([w for ws in found for w in ws], pa.string()).dictionary_encode()
+    return [len(ws) for ws in found], flat.indices.to_numpy(zero_copy_only=False), flat.dictionary.to_pylist()
+
+
 # ---------------------------------------------------------------- counting
-def count_words(df: DataFrame, bits: np.ndarray | None = None) -> DataFrame:
+def count_words(df: DataFrame) -> DataFrame:
     """(word, toxic, clean, docs): in how many texts a word is, by the label column
-    ``toxic`` (1, 0 or null); with ``bits``, only words whose hash bit is set."""
-    spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(None if bits is None else np.packbits(bits))
+    ``toxic`` (1, 0 or null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = (Counter(), Counter(), Counter())   # toxic, clean, unlabelled
-        chosen = None if shared.value is None else np.unpackbits(shared.value).tobytes()
-
-        def is_set(key: str) -> int:
-            return chosen[zlib.crc32(key.encode()) % BITS]
-
-        def read(token: str) -> tuple[str, ...]:
-            words = WORD.findall(token)
-            if chosen is None:
-                return tuple({f for word in words for f in features(word)})
-            return tuple({f for word in words if is_set("^" + word[:STEMS[0]])
-                          for f in features(word) if is_set(f)})
-
-        wanted = remembered(read)
 
         def flush() -> Iterator[pa.RecordBatch]:
             names = list(set().union(*counts))
@@ -123,11 +98,18 @@ def count_words(df: DataFrame, bits: np.ndarray | None = None) -> DataFrame:
                 c.clear()
 
         for batch in batches:
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = set().union(*map(wanted, set(lowered(text).split())))
-                counts[2 if toxic is None else 1 - toxic].update(found)
-                if sum(map(len, counts)) > WORDS_AT_ONCE:
-                    yield from flush()
+            sizes, codes, words = coded_words(batch.column(0).to_pylist())
+            if not words:
+                continue
+            side = np.array([2 if y is None else 1 - y for y in batch.column(1).to_pylist()], np.int64)
+            pairs = np.unique(np.repeat(np.arange(len(sizes)), sizes) * len(words) + codes)
+            of, word = side[pairs // len(words)], pairs % len(words)
+            for k, c in enumerate(counts):
+                n = np.bincount(word[of == k], minlength=len(words))
+                for i in np.flatnonzero(n).tolist():
+                    c[words[i]] += int(n[i])
+            if sum(map(len, counts)) > WORDS_AT_ONCE:
+                yield from flush()
         yield from flush()
 
     return (df.select(text_or_empty().alias("text"), F.col("toxic").cast("int").alias("toxic"))
@@ -138,7 +120,7 @@ def count_words(df: DataFrame, bits: np.ndarray | None = None) -> DataFrame:
 def bit_set(words: DataFrame) -> np.ndarray:
     """Bits of the words, and of their first letters marked by a caret. At most BITS numbers
     reach the driver, however many words there are."""
-    head = F.concat(F.lit("^"), F.substring("word", 1, STEMS[0]))
+    head = F.concat(F.lit("^"), F.substring("word", 1, STEMS[-1]))
     keys = words.select(F.explode(F.array("word", head)).alias("key"))
     at = keys.select((F.crc32(F.col("key").cast("binary")) % BITS).cast("int").alias("b")).distinct().toPandas()
     bits = np.zeros(BITS, bool)
@@ -153,40 +135,27 @@ def lexicon_table(docs: DataFrame, labelled: DataFrame, prior_docs: float = PRIO
     once = (labelled.select(text_or_empty().alias("text"), "toxic")
             .groupBy(F.xxhash64("text").alias("h"), F.length("text").alias("n"))
             .agg(F.max("toxic").alias("toxic"), F.first("text").alias("text")).select("text", "toxic"))
-    once = staged(once, "labelled")
-    totals = once.agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")).first()
-    n_toxic, n_clean, n_docs = totals["t"] or 0, totals["c"] or 0, docs.count()
-    if not n_toxic or not n_clean:
+    seen = staged(count_words(once).select("word", "toxic", "clean"), "labelled_words")
+    every = count_words(docs.select("text", F.lit(None).cast("int").alias("toxic"))).select("word", "docs")
+    words = staged(seen.join(every, "word"), "words")
+    totals = words.agg(*[F.sum(c).alias(c) for c in ("toxic", "clean", "docs")]).first()
+    n_docs = docs.count()
+    if not totals["toxic"] or not totals["clean"]:
         return None
-    maybe = staged(count_words(once.where("toxic = 1")).where(F.col("toxic") >= LEAST_TOXIC)
-                   .select("word", "toxic"), "maybe")
-    clean = count_words(once.where("toxic = 0"), bit_set(maybe)).select("word", "clean")
-    y, x = F.col("toxic"), F.col("clean")
-
-    def log_odds(count, prior, n):
-        """Of a word in ``count`` of n texts; the floor keeps a word of all texts finite."""
-        return F.log((count + prior) / F.greatest(n + prior_docs - count - prior, F.lit(0.5)))
-
-    def z(above, below):
-        """z under a prior; for priors between the two, no more than this."""
-        score = log_odds(y, above, n_toxic) - log_odds(x, below, n_clean)
-        return score / F.sqrt(1 / (y + above) + 1 / (x + above))
-
-    # A word is in y + x documents or more, so its prior is known to within a range; words
-    # whose z stays under z_least all over it need no count over all documents.
-    steps = max(1, math.ceil(math.log(n_docs + 1, PRIOR_STEP)))
-    above = lambda k: F.lit(prior_docs) * F.pow(F.lit(PRIOR_STEP), -k)                        # noqa: E731
-    reached = F.exists(F.sequence(F.lit(0), F.lit(steps)), lambda k:
-                       (above(k) * 1.001 >= (y + x) * (prior_docs / n_docs))
-                       & (z(above(k), above(k) / PRIOR_STEP) >= z_least * 0.999))
-    maybe = staged(maybe.join(clean, "word", "left").select("word", "toxic", F.coalesce("clean", F.lit(0)).alias("clean"))
-                   .where(reached), "reachable")
-    every = count_words(docs.select("text", F.lit(None).cast("int").alias("toxic")), bit_set(maybe)).select("word", "docs")
-    prior = F.col("docs") * (prior_docs / n_docs)
-    scored = (maybe.join(every, "word")
-              .withColumn("score", log_odds(y, prior, n_toxic) - log_odds(x, prior, n_clean))
-              .withColumn("z", z(prior, prior)).where(F.col("z") >= z_least))
-    return staged(scored.select("word", "score", "docs"), "lexicon")
+    size = F.length("word")
+    own = F.array(F.col("word"), *[F.when(size > n, F.concat(F.substring("word", 1, n), F.lit("-"))) for n in STEMS])
+    table = (words.select(F.explode(F.array_compact(own)).alias("word"), "toxic", "clean", "docs")
+             .groupBy("word").agg(*[F.sum(c).alias(c) for c in ("toxic", "clean", "docs")]))
+    y, x, prior = F.col("toxic"), F.col("clean"), F.col("docs") * (prior_docs / n_docs)
+    whole = totals["docs"] * (prior_docs / n_docs)
+
+    def log_odds(count, total):
+        return F.log((count + prior) / F.greatest(F.lit(total + whole) - count - prior, F.lit(0.5)))
+
+    score = log_odds(y, totals["toxic"]) - log_odds(x, totals["clean"])
+    z = score / F.sqrt(1 / (y + prior) + 1 / (x + prior))
+    sure = ((z >= z_least) & (y >= LEAST_TEXTS)) | ((z <= -z_least) & (x >= LEAST_TEXTS))
+    return staged(table.where(sure).select("word", score.alias("score"), "docs"), "lexicon")
 
 
 def split_lexicon(table: DataFrame | None, broadcast_words: int = BROADCAST_WORDS) \
@@ -212,15 +181,13 @@ def fit_lexicon(docs: DataFrame, labelled: DataFrame, prior_docs: float = PRIOR_
 
 
 # ---------------------------------------------------------------- segments
-def maximal_segments(hits: list[tuple[int, float]], drift: float) -> list[tuple[int, int, float]]:
-    """All maximal-scoring segments (first token, last token, score) of a text whose
-    tokens score ``-drift`` save for the given (token, positive score) pairs."""
+def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
+    """All maximal-scoring segments (first token, last token, score) of a text's tokens."""
+    sums = np.append(0.0, np.cumsum(scores))
     kept: list[list] = []      # first, last, sum before, sum after, link to the candidate left of it
-    total, at = 0.0, 0
-    for token, score in hits:
-        total -= drift * (token - at)
-        item = [token, token, total, total + score, -1]
-        total, at = total + score, token + 1
+    hits = np.flatnonzero(scores > 0)
+    for token, before, after in zip(hits.tolist(), sums[hits].tolist(), sums[hits + 1].tolist()):
+        item = [token, token, before, after, -1]
         j = len(kept) - 1
         while True:
             while j >= 0 and kept[j][2] >= item[2]:
@@ -230,9 +197,9 @@ def maximal_segments(hits: list[tuple[int, float]], drift: float) -> list[tuple[
                 kept.append(item)
                 break
             item[0], item[2] = kept[j][0], kept[j][2]
-            before = kept[j][4]
+            left = kept[j][4]
             del kept[j:]
-            j = before
+            j = left
     return [(a, b, r - l) for a, b, l, r, _ in kept]
 
 
@@ -248,8 +215,8 @@ def joined_scores(df: DataFrame, table: DataFrame, text_col: str) -> DataFrame:
         def is_set(key: str) -> int:
             return chosen[zlib.crc32(key.encode()) % BITS]
 
-        wanted = remembered(lambda token: tuple({f for word in WORD.findall(token) if is_set("^" + word[:STEMS[0]])
-                                                 for f in features(word) if is_set(f)}))
+        def wanted(word: str) -> list[str]:
+            return [f for f in features(word) if is_set(f)] if is_set("^" + word[:STEMS[-1]]) else []
 
         def flush() -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(words, pa.string())],
@@ -260,7 +227,7 @@ def joined_scores(df: DataFrame, table: DataFrame, text_col: str) -> DataFrame:
         keys, words = [], []
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = set().union(*map(wanted, set(lowered(text).split())))
+                found = set().union(*map(wanted, set(words_of(text))))
                 keys += [key] * len(found)
                 words += found
                 if len(words) > WORDS_AT_ONCE:
@@ -288,48 +255,41 @@ def score_segments(df: DataFrame, lexicon: dict[str, float], drift: float = DRIF
     arrow = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores = shared.value
-        heads = {f[:STEMS[0]] for f in scores}
-
-        def score_of(word: str) -> float:
-            return max(scores.get(f, 0.0) for f in features(word)) if word[:STEMS[0]] in heads else 0.0
-
-        def read(token: str) -> tuple[int, list[tuple[int, float]]]:
-            """Number of words, and place and score of those that have one."""
-            found = [score_of(w) for w in WORD.findall(token)]
-            return len(found), [(i, s) for i, s in enumerate(found) if s]
-
-        token_scores = remembered(read)
-
-        def raised(token: str, scored: list[tuple[int, float]], more: dict[str, float]) -> list[tuple[int, float]]:
-            best = dict(scored)
-            for i, word in enumerate(WORD.findall(token)):
-                s = max((more[f] for f in features(word) if f in more), default=0.0)
-                if s > best.get(i, 0.0):
-                    best[i] = s
-            return sorted(best.items())
-
-        def one(text: str, more: dict[str, float]) -> tuple[int, list[dict]]:
-            low, n, hits = lowered(text), 0, []
-            found = map(token_scores, low.split())
-            if more:
-                found = ((c, raised(t, s, more)) for t, (c, s) in zip(low.split(), found))
-            for count, scored in found:
-                if scored:
-                    hits += [(n + i, s) for i, s in scored]
-                n += count
-            if not hits:
-                return n, []
-            spans = [m.span() for m in WORD.finditer(low)]
-            return n, [{"start": spans[a][0], "end": spans[b][1], "score": s}
-                       for a, b, s in maximal_segments(hits, drift)]
+        scores, none, memo = shared.value, {}, {}
+
+        def score_of(word: str, more: dict[str, float]) -> float:
+            for f in features(word):
+                s = scores.get(f, more.get(f))
+                if s is not None:
+                    return s
+            return -drift
+
+        def remembered(word: str) -> float:
+            s = memo.get(word)
+            if s is None:
+                s = memo[word] = score_of(word, none)
+            return s
+
+        def found(text: str, tokens: np.ndarray) -> list[dict]:
+            if not (tokens > 0).any():
+                return []
+            spans = [m.span() for m in WORD.finditer(lowered(text))]
+            return [{"start": spans[a][0], "end": spans[b][1], "score": s} for a, b, s in maximal_segments(tokens)]
 
         for batch in batches:
-            found = [one(t or "", {e["word"]: e["score"] for e in more or ()})
-                     for t, more in zip(*(batch.column(len(names) + k).to_pylist() for k in (0, 1)))]
+            texts = [t or "" for t in batch.column(len(names)).to_pylist()]
+            sizes, codes, words = coded_words(texts)
+            if len(memo) > WORDS_AT_ONCE:
+                memo.clear()
+            per_word = np.array([remembered(w) for w in words], float)
+            tokens = np.split(per_word[codes] if words else np.zeros(0), np.cumsum(sizes)[:-1]) if texts else []
+            for i, entries in enumerate(batch.column(len(names) + 1).to_pylist()):
+                if entries:
+                    more = {e["word"]: e["score"] for e in entries}
+                    tokens[i] = np.array([score_of(w, more) for w in words_of(texts[i])])
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-2], pa.array([n for n, _ in found], pa.int64()),
-                 pa.array([s for _, s in found], arrow)], [*names, "n_words", "segments"])
+                [*batch.columns[:-2], pa.array(sizes, pa.int64()),
+                 pa.array([found(t, k) for t, k in zip(texts, tokens)], arrow)], [*names, "n_words", "segments"])
 
     schema = T.StructType([*keep, T.StructField("n_words", T.LongType()), T.StructField("segments", kind)])
     return df.select(*names, text_col, "__more").mapInArrow(run, schema)

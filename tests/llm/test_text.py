@@ -293,36 +293,64 @@ def test_maximal_segments_brute_force():
 
     for _ in range(200):
         n = int(rng.integers(0, 16))
-        scores = [float(rng.integers(1, 6)) + float(rng.random()) if rng.random() < 0.4 else -0.7 for _ in range(n)]
-        got = toxicity.maximal_segments([(i, s) for i, s in enumerate(scores) if s > 0], 0.7)
+        scores = [float(rng.integers(1, 6)) + float(rng.random()) if rng.random() < 0.4 else -0.7 - float(rng.random())
+                  for _ in range(n)]
+        got = toxicity.maximal_segments(np.array(scores))
         want = brute(scores, 0, n)
         assert [(a, b + 1) for a, b, _ in got] == [(a, b) for a, b, _ in want]
         assert np.allclose([s for _, _, s in got], [s for _, _, s in want])
 
 
 def test_lexicon_equals_brute_force(spark):
-    """Words that are ruled out before the count over all documents are none of the lexicon's."""
+    """Entries of both signs, with stems summed over the labelled texts' words."""
     rnd = random.Random(11)
-    calm, harsh = [f"calm{i}word" for i in range(60)], [f"harsh{i % 5}ly" for i in range(12)]
+    calm, harsh = [f"calm{i % 9}{c}word" for i, c in enumerate("abcdefghijklmnopqrstuvwxyz")], [f"harsh{c}ly" for c in "abcdefg"]
     texts = []
     for i in range(400):
-        words = rnd.choices(calm, k=12) + ["everywhere", "İdea,harsh"]
+        words = rnd.choices(calm, k=12) + ["everywhere", "İdea,harsh"] + ["kindly"] * (i % 4 > 0)
         if i % 4 == 0:
             words += rnd.choices(harsh, k=3)
         texts.append((" ".join(words) + f" nr{i}", 1 if i % 4 == 0 else 0 if i % 4 < 3 else None))
+    texts += [(texts[0][0], 1), (None, None), ("", 0)]                      # an equal text teaches once
     frame = spark.createDataFrame(texts, "text string, toxic int")
     got = toxicity.fit_lexicon(frame, frame.where("toxic is not null"))
-    sets = [({f for w in toxicity.words_of(t) for f in toxicity.features(w)}, y) for t, y in texts]
+    sets = [(set(toxicity.words_of(t or "")), y) for t, y in texts]
+    taught = {t: y for t, y in texts if y is not None}
+    count = {f: [0, 0, 0] for t in taught for w in toxicity.words_of(t) for f in toxicity.features(w)}
+    total, n = [0, 0, 0], len(texts)
+    for w in {w for t in taught for w in toxicity.words_of(t)}:
+        per = [sum(w in toxicity.words_of(t) and y == k for t, y in taught.items()) for k in (1, 0)] + [sum(w in s for s, _ in sets)]
+        total = [a + b for a, b in zip(total, per)]
+        for f in toxicity.features(w):
+            count[f] = [a + b for a, b in zip(count[f], per)]
     want = {}
-    n1, n0, n = sum(y == 1 for _, y in sets), sum(y == 0 for _, y in sets), len(sets)
-    for f in set().union(*(s for s, _ in sets)):
-        y, x = (sum(f in s and v == k for s, v in sets) for k in (1, 0))
-        p = sum(f in s for s, _ in sets) * toxicity.PRIOR_DOCS / n
-        odds = lambda c, m: math.log((c + p) / max(m + toxicity.PRIOR_DOCS - c - p, 0.5))
-        score = odds(y, n1) - odds(x, n0)
-        if y >= toxicity.LEAST_TOXIC and score / math.sqrt(1 / (y + p) + 1 / (x + p)) >= toxicity.Z_LEAST:
+    for f, (y, x, docs_) in count.items():
+        p, whole = docs_ * toxicity.PRIOR_DOCS / n, total[2] * toxicity.PRIOR_DOCS / n
+        odds = lambda c, m: math.log((c + p) / max(m + whole - c - p, 0.5))
+        score = odds(y, total[0]) - odds(x, total[1])
+        z = score / math.sqrt(1 / (y + p) + 1 / (x + p))
+        if z >= toxicity.Z_LEAST and y >= toxicity.LEAST_TEXTS or z <= -toxicity.Z_LEAST and x >= toxicity.LEAST_TEXTS:
             want[f] = score
-    assert want and got == pytest.approx(want)
+    assert min(want.values()) < 0 < max(want.values()) and got == pytest.approx(want)
+
+
+def test_segments_equal_plain_scores(spark):
+    """A token has its word's score, else that of its longest stem, else the drift."""
+    lexicon = {"scum": 2.0, "vile-": 1.5, "vilenes-": -1.0, "kind": -3.0}
+    rng = random.Random(8)
+    vocab = ["scum", "vile", "vilest", "vileness", "kind", "Scum,", "x_1", "été", "vilenes"]
+    texts = [" ".join(rng.choices(vocab, k=rng.randint(0, 30))) for _ in range(60)] + [None, "", "scum " * 50_000]
+    out = toxicity.score_segments(docs(spark, list(enumerate(texts))), lexicon).collect()
+    for r in out:
+        low = texts[r["doc_id"]] or ""
+        words = toxicity.words_of(low)
+        value = lambda w: next((lexicon[f] for f in toxicity.features(w) if f in lexicon), -toxicity.DRIFT)
+        spans = [m.span() for m in toxicity.WORD.finditer(low.lower())]
+        want = toxicity.maximal_segments(np.array([value(w) for w in words]))
+        assert r["n_words"] == len(words) and [(s["start"], s["end"]) for s in r["segments"]] == [
+            (spans[a][0], spans[b][1]) for a, b, _ in want]
+        assert [s["score"] for s in r["segments"]] == pytest.approx([s for _, _, s in want])
+        assert (r["tk"], r["w"]) == ("x", "w")
 
 
 def test_toxicity_edge_cases(spark):
@@ -344,10 +372,10 @@ def test_toxicity_edge_cases(spark):
 @pytest.mark.parametrize("words", [1, 3])
 def test_words_beyond_the_broadcast_ones_score_alike(spark, words):
     rng = random.Random(5)
-    harsh = [f"vile{i % 7}{c}ness" for i, c in enumerate("abcdefghijklmn")]
+    harsh = [f"vile{c}{c}ness" for c in "abcdefghijklmn"]
     rows = [(i, " ".join((rng.sample(harsh, 3) if i % 3 == 0 else []) + [f"w{rng.randint(0, 60)}" for _ in range(15)]))
-            for i in range(300)] + [(400, None), (401, ""), (None, harsh[0]), (401, "")]
-    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(240)], "doc_id long, toxic int")
+            for i in range(900)] + [(1400, None), (1401, ""), (None, harsh[0]), (1401, "")]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(800)], "doc_id long, toxic int")
     frame = docs(spark, rows)
     assert len(toxicity.fit_lexicon(frame, frame.join(labels, "doc_id"))) > 3
     key = lambda r: (str(r["doc_id"]), r["n_words"], r["segments"], r["score"])
