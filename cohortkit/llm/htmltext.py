@@ -8,20 +8,24 @@ that it holds main text. Hierarchical decoding picks the labels of the whole tre
 highest likelihood under the rule that a node without main text has no descendant with
 it, so an ancestor and its descendants never contradict each other.
 
-There are no labelled pages, so the trees learn from weak labels: blocks inside an
-``article`` or ``main`` element, outside elements whose tag or tokens name another purpose.
-The sample is bounded (``sample_pages`` pages, lowest id hashes first): pages of at most
-``sample_chars`` characters if all those drawn have a weak label, else pages with one of
-any length, of longer ones ``SAMPLE_NODES`` nodes. Each sampled page also appears rewritten:
-semantic tags become plain ones with typical class tokens, and side bars, notices, forms and
-reader comments made of other pages' text (of a longer page: its own) are put in. Where no
-page has a weak label, fixed weights on the densities take the place of the trees.
-Everything else reads all pages, whole, in one map.
+There are no labelled pages, so the trees learn from weak labels and from made layouts. Weak
+labels: blocks inside an ``article`` or ``main`` element, outside elements whose tag or tokens
+name another purpose. The sample is bounded (``sample_pages`` pages, lowest id hashes first):
+pages of at most ``sample_chars`` characters if all those drawn have a weak label, else pages
+with one of any length, of longer ones ``SAMPLE_NODES`` nodes. A sampled page also appears
+rewritten (semantic tags become plain ones with typical class tokens, and side bars, notices,
+forms and reader comments made of other pages' text are put in), and once more with the tags
+and tokens of its marked elements hidden behind neutral ones or behind tokens of layouts. Made
+layouts put the pages' own words into bodies with and without wrappers, tables, lists and
+sections of random names, between menus, side bars, comments and footers; as they need no
+weak label, the same trees are fitted whatever the table marks. So density, depth and
+siblings must carry what names do not. Everything else reads all pages, whole, in one map.
 
 Edge cases: a null or empty page, or one without main text, gives an empty text; missing
 end tags are implied; markup that is cut off ends with the page; repeated rows and extra
 columns pass through; an empty table is empty. Head, script, style and similar elements
-hold no rendered text and are never read.
+hold no rendered text and are never read. Where the two labels of a node are equally likely
+it is left out.
 """
 
 from __future__ import annotations
@@ -42,7 +46,9 @@ from pyspark.sql import types as T
 SAMPLE_PAGES = 200
 SAMPLE_CHARS = 100_000
 SAMPLE_NODES = 500             # nodes of a longer page that are sampled
-TREES, DEPTH, RATE, BINS = 30, 4, 0.3, 32
+QUOTED_PAGES = 20              # pages without a label whose words are used in made layouts
+MADE_PAGES = 600
+TREES, DEPTH, RATE, BINS = 40, 5, 0.3, 32
 ATTR_BUCKETS = 16
 
 # Elements.
@@ -71,7 +77,7 @@ PURPOSES = {
 }
 PURPOSE_OF = {w: i for i, words in enumerate(PURPOSES.values()) for w in words.split()}
 N_PURPOSES = len(PURPOSES)
-CONTENT = 0
+CONTENT, COMMENT = 0, list(PURPOSES).index("comment")
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)"
                    r"|<([a-zA-Z][^\s/>]*)((?:[^<>\"']++|\"[^\"<]*+\"|'[^'<]*+')*+)/?(?:>|\Z|(?=<))", re.S)
@@ -101,6 +107,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     nodes = [Node("html", -1, 0, [])]
     blocks: list[tuple[int, str]] = []
     stack, run, link = [0], [], 0
+    endless: set[str] = set()              # tags whose end was looked for in vain
 
     def flush() -> None:
         if run:
@@ -141,7 +148,9 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             tag = start.lower()
             if tag in UNRENDERED:
                 if not m.group().endswith("/>"):
-                    stop = re.compile(f"</{re.escape(tag)}[^>]*(?:>|\\Z)", re.I).search(page, at)
+                    stop = None if tag in endless else re.compile(f"</{re.escape(tag)}[^>]*(?:>|\\Z)", re.I).search(page, at)
+                    if stop is None:
+                        endless.add(tag)
                     at = stop.end() if stop else (size if tag in ("script", "style", "textarea", "title") else at)
             elif tag in BLOCK_ID:
                 flush()
@@ -234,8 +243,9 @@ def weak_labels(nodes: list[Node], blocks: list[tuple[int, str]]) -> np.ndarray
         if node.parent >= 0:
             inside[i], barred[i] = inside[node.parent], barred[node.parent]
         said = purposes(node)
-        inside[i] |= node.tag in ("article", "main") or (CONTENT in said and said == {CONTENT})
-        barred[i] |= bool(said - {CONTENT}) and not node.tag == "article"
+        marked = node.tag in ("article", "main") and COMMENT not in said
+        inside[i] |= marked or said == {CONTENT}
+        barred[i] = (barred[i] or bool(said - {CONTENT})) and not marked
     good = np.zeros(len(nodes), bool)
     for i, _ in blocks:
         good[i] |= inside[i] and not barred[i]
@@ -339,27 +349,125 @@ def rewritten(page: str, others: list[str], rng: np.random.Generator) -> str:
     return page
 
 
-@dataclass(frozen=True)
-class Densities:
-    """Fixed weights for tables without a weak label: links, length and sentence marks of
-    the text, and purposes other than main text (a form may hold a whole page)."""
+PLAIN = ("div", "section", "td", "div", "blockquote", "center")
+NEUTRAL = "wrap inner outer box col row left right top page container block grid cell unit area pane part zone span".split()
+# Layout names that hold a page's main text as often as not.
+LAYOUT = ("sidebar left", "has sidebar", "popular", "with nav", "header spacer", "search result", "tags list", "right rail",
+          "featured more", "form page", "no comments", "top banner")
+
+
+def neutral_tokens(rng: np.random.Generator) -> list[str]:
+    roll = rng.random()
+    if roll < 0.35:
+        return []
+    if roll < 0.55:
+        return str(rng.choice(LAYOUT)).split()
+    if roll < 0.8:
+        return [str(w) for w in rng.choice(NEUTRAL, int(rng.integers(1, 3)))]
+    return ["".join(rng.choice(list("abcdefghiklmnoprstuvwxyz"), int(rng.integers(2, 8))))]
 
-    def log_odds(self, x: np.ndarray) -> np.ndarray:
-        b = len(BLOCKS) + ATTR_BUCKETS
-        d = b + 2 * N_PURPOSES
-        other = [i for i, p in enumerate(PURPOSES) if p not in ("content", "form")]
-        barred = x[:, [b + i for i in other] + [b + N_PURPOSES + i for i in other]].any(axis=1)
-        return (1.5 + 0.4 * (x[:, d + 6].astype(float) - 4) - 6 * x[:, d + 8] + 0.5 * np.minimum(x[:, d + 11], 2)
-                - 5 * barred)
+
+def hidden(nodes: list[Node], good: np.ndarray, rng: np.random.Generator) -> list[Node]:
+    """The nodes with the names of marked elements and of those around them taken away."""
+    out = []
+    for i, node in enumerate(nodes):
+        tag, tokens = node.tag, node.tokens
+        if good[i] and (tag in ("article", "main") or purposes(node)):
+            tag = str(rng.choice(PLAIN)) if tag in ("article", "main") else tag
+            tokens = neutral_tokens(rng)
+        out.append(Node(tag, node.parent, node.depth, tokens, node.children, node.own, node.links, node.marks, node.stops))
+    return out
+
+
+def made_page(others: list[str], rng: np.random.Generator) -> str:
+    """A page of the given texts' words in a random layout; elements of the main text have
+    the class token MADE."""
+    def quote(least, most):
+        words = others[int(rng.integers(len(others)))].split() or ["text"]
+        k = int(rng.integers(least, most + 1))
+        at = int(rng.integers(max(1, len(words) - k)))
+        return html.escape(" ".join(words[at:at + k]))
+
+    def named(tag, inner, tokens):
+        return f'<{tag} class="{" ".join(tokens)}">{inner}</{tag}>' if tokens else f"<{tag}>{inner}</{tag}>"
+
+    def purpose(name):
+        words = list(PURPOSES.values())[list(PURPOSES).index(name)].split()
+        return [str(rng.choice(words))] + (neutral_tokens(rng)[:1] if rng.random() < 0.3 else [])
+
+    def links(name, tag):
+        k = int(rng.integers(2, 9))
+        items = [f'<a href="#">{quote(1, 5)}</a>' for _ in range(k)]
+        inner = "<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>" if rng.random() < 0.6 else " | ".join(items)
+        return named(tag if rng.random() < 0.5 else "div", inner, purpose(name) if tag == "div" or rng.random() < 0.7 else [])
+
+    def words(least, most):
+        """A paragraph's words: one in four is short, some carry inline marks."""
+        text = quote(2, 12) if rng.random() < 0.25 else quote(least, most)
+        roll = rng.random()
+        return f"<b>{text}" if roll < 0.1 else f"{text} <i>{quote(1, 3)}</i>." if roll < 0.25 else text
+
+    bare, par = rng.random() < 0.25, "div" if rng.random() < 0.15 else "p"
+    mark = ["MADE"] if bare else []
+    pieces = [named("h1" if par == "p" else par, quote(2, 9), mark)] if rng.random() < 0.85 else []
+    for _ in range(int(rng.integers(1, 9))):
+        roll = rng.random()
+        if roll < 0.7:
+            pieces.append(named(par, words(12, 110), mark))
+        elif roll < 0.78:
+            pieces.append(named("h2", quote(2, 7), mark) + named(par, words(12, 80), mark))
+        elif roll < 0.86:
+            pieces.append(named("ul", "".join(f"<li>{quote(3, 20)}</li>" for _ in range(int(rng.integers(2, 6)))), mark))
+        elif roll < 0.93:
+            pieces.append(named("div", quote(20, 120), mark))
+        else:
+            pieces.append(named("blockquote", named("p", quote(10, 50), []), mark))
+    body = "".join(pieces)
+    if not bare:
+        for step in range(int(rng.integers(1, 4))):
+            tokens = purpose("content") if step == 0 and rng.random() < 0.4 else neutral_tokens(rng)
+            tag = str(rng.choice(PLAIN))
+            body = named(tag, body, tokens + (["MADE"] if step == 0 else []))
+            body = f"<table><tr>{body}</tr></table>" if tag == "td" else body
+    before, after = [], []
+    for name, tag, place in (("menu", "nav", before), ("frame", "header", before), ("notice", "div", before), ("side", "aside", before),
+                             ("side", "aside", after), ("comment", "section", after), ("advert", "div", after), ("advert", "div", before),
+                             ("form", "form", after), ("social", "div", after), ("frame", "footer", after)):
+        if rng.random() < 0.4:
+            if name in ("menu", "side", "social") and rng.random() < 0.8:
+                place.append(links(name, tag))
+            else:
+                inner = "".join(named("p" if rng.random() < 0.7 else "div", quote(3, 50 if name == "comment" else 25), [])
+                                for _ in range(int(rng.integers(1, 5 if name == "comment" else 3))))
+                keep = tag != "div" and name != "comment" and rng.random() < 0.5
+                place.append(named(tag if keep or rng.random() < 0.5 else "div", inner, [] if keep else purpose(name)))
+    page = "".join(before) + body + "".join(after)
+    return f"<html><body>{named('div', page, neutral_tokens(rng)) if rng.random() < 0.4 else page}</body></html>"
+
+
+def made_rows(others: list[str], rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of the nodes of a made page."""
+    nodes, blocks = parse(made_page(others, rng))
+    inside, good = np.zeros(len(nodes), bool), np.zeros(len(nodes), bool)
+    for i, node in enumerate(nodes):
+        inside[i] = "made" in node.tokens or (node.parent >= 0 and inside[node.parent])
+        node.tokens = [w for w in node.tokens if w != "made"]
+    for i, _ in blocks:
+        good[i] |= inside[i]
+    for i in range(len(nodes) - 1, 0, -1):
+        good[nodes[i].parent] |= good[i]
+    return features(nodes, blocks), good.astype(float)
 
 
 def training_rows(page: str, nodes: list[Node], blocks: list[tuple[int, str]], others: list[str],
                   rng: np.random.Generator) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Features and weak labels of the page's nodes, as it is and rewritten."""
+    """Features and weak labels of the page's nodes: as it is, rewritten, and both with
+    the names of what is marked hidden."""
     for n, b in ((nodes, blocks), parse(rewritten(page, others, rng))):
         y = weak_labels(n, b)
         if y is not None:
             yield features(n, b), y
+            yield features(hidden(n, y > 0, rng), b), y
 
 
 def some_rows(page: str, nodes: list[Node], blocks: list[tuple[int, str]]) -> tuple[np.ndarray, np.ndarray]:
@@ -371,19 +479,16 @@ def some_rows(page: str, nodes: list[Node], blocks: list[tuple[int, str]]) -> tu
     return x[at], y[at]
 
 
-def fit_pages(pages: list[str], seed: int = 7, more: list[tuple[np.ndarray, np.ndarray]] = ()) -> Trees | None:
+def fit_pages(pages: list[str], seed: int = 7, more: list[tuple[np.ndarray, np.ndarray]] = ()) -> Trees:
     """``more``: features and labels of nodes of further pages."""
     rng = np.random.default_rng(seed)
     parsed = [parse(p) for p in pages]
-    others = [" ".join(t for _, t in b) for _, b in parsed if b] or ["text"]
-    xs, ys = [x for x, _ in more], [y for _, y in more]
+    others = [" ".join(t for _, t in b) for _, b in parsed if b] or ["Some text."]
+    rows = list(more)
     for page, (nodes, blocks) in zip(pages, parsed):
-        for x, y in training_rows(page, nodes, blocks, others, rng):
-            xs.append(x)
-            ys.append(y)
-    if not xs:
-        return None
-    return fit_trees(np.concatenate(xs), np.concatenate(ys))
+        rows += training_rows(page, nodes, blocks, others, rng)
+    rows += [made_rows(others, rng) for _ in range(MADE_PAGES)]
+    return fit_trees(*(np.concatenate(part) for part in zip(*rows)))
 
 
 # ---------------------------------------------------------------- decoding
@@ -401,7 +506,7 @@ def decode(nodes: list[Node], log_odds: np.ndarray) -> np.ndarray:
     return chosen
 
 
-def main_texts(trees: Trees | Densities, pages: list[str]) -> list[str]:
+def main_texts(trees: Trees, pages: list[str]) -> list[str]:
     if not pages:
         return []
     parsed = [parse(p) for p in pages]
@@ -449,7 +554,7 @@ def labelled_pages(pages: DataFrame, html_col: str, sample_chars: int) -> DataFr
 
 
 def fit_extractor(pages: DataFrame, id_col: str = "page_id", html_col: str = "html",
-                  sample_pages: int = SAMPLE_PAGES, sample_chars: int = SAMPLE_CHARS) -> Trees | Densities:
+                  sample_pages: int = SAMPLE_PAGES, sample_chars: int = SAMPLE_CHARS) -> Trees:
     """Trees fitted on a bounded sample of the pages (see the module text)."""
     keyed = pages.select(html_col, F.xxhash64(id_col).alias("a"), F.xxhash64(html_col).alias("b"))
     some = keyed.where(F.length(html_col) <= sample_chars).orderBy("a", "b").limit(sample_pages)
@@ -459,10 +564,13 @@ def fit_extractor(pages: DataFrame, id_col: str = "page_id", html_col: str = "ht
         texts = [r["html"] for r in rows if r["html"] is not None]
         more = [(np.frombuffer(r["x"], np.float32).reshape(-1, N_FEATURES), np.frombuffer(r["y"], float))
                 for r in rows if r["html"] is None]
-    return fit_pages(texts, more=more) or Densities()
+        # pages without a label still lend their words to the made layouts
+        words = keyed.select(F.substring(html_col, 1, sample_chars).alias("h"), "a", "b").orderBy("a", "b").limit(QUOTED_PAGES)
+        texts += [r["h"] for r in words.collect() if r["h"] and weak_labels(*parse(r["h"])) is None]
+    return fit_pages(texts, more=more)
 
 
-def extract(pages: DataFrame, trees: Trees | Densities, html_col: str = "html", out: str = "text") -> DataFrame:
+def extract(pages: DataFrame, trees: Trees, html_col: str = "html", out: str = "text") -> DataFrame:
     """``pages`` without the html, with the main text."""
     shared = pages.sparkSession.sparkContext.broadcast(trees)
     keep = [f for f in pages.schema.fields if f.name not in (html_col, out)]
