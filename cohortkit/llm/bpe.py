@@ -28,7 +28,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
-from tokenizers.pre_tokenizers import ByteLevel
 
 from cohortkit.llm.common import small_batches
 
@@ -85,11 +84,12 @@ class Vocabulary:
 
 # ---------------------------------------------------------------- splitting
 @lru_cache(maxsize=1)
-def _splitters() -> tuple[re.Pattern, re.Pattern, ByteLevel]:
+def _splitters() -> tuple:
     """(finds code points from SMALL on, pattern for texts without them, general splitter).
 
     Which code points are letters or numbers depends on the Unicode version, so the
     pattern's classes are asked of the public splitter; it also cuts the other texts."""
+    from tokenizers.pre_tokenizers import ByteLevel
     general = ByteLevel(add_prefix_space=False, use_regex=True)
 
     def joins(c: str, with_: str) -> bool:

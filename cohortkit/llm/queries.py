@@ -179,7 +179,7 @@ def op8_suffix_dedup(spark, sf_dir):
 @register
 def op2_personal_data(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = PI.personal_data(docs, kinds=PI.KINDS[:4])
+    out = PI.personal_data(docs)
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     return out.select("doc_id", *[count(k) for k in PI.KINDS[:4]],
                       F.sha2(PI.span_text(F.col("base")).cast("binary"), 256).alias("base_sha256"),

@@ -275,6 +275,39 @@ def test_base_spans_teach_but_are_not_added(spark):
     assert all(len(r["base"]) == 2 and not r["added"] for r in out) and "known" not in out[0]
 
 
+def test_span_lookup_equals_plain_search():
+    rng = random.Random(4)
+    for _ in range(300):
+        base = []
+        for kind in ("email", "ip", "card"):
+            at = 0
+            while (at := at + rng.randint(0, 9)) < 40:
+                end = at + rng.randint(1, 6)
+                base.append((kind, at, end))
+                at = end
+        spans = pii.Spans(base)
+        a = rng.randint(0, 40)
+        b = a + rng.randint(1, 8)
+        assert spans.contains(a, b) == any(x <= a and b <= y for _, x, y in base)
+        for kind in ("email", "phone"):
+            assert spans.overlaps(kind, a, b) == any(k == kind and x < b and a < y for k, x, y in base)
+
+
+def test_text_of_very_many_spans(spark):
+    import time
+    text = " ".join(f"mail{i}@example.com or (030) 555-{i % 10}{i % 7}12 12" for i in range(50_000))
+    started = time.time()
+    row = pii.personal_data(docs(spark, [(1, text)])).first()
+    assert len(row["base"]) == 50_000 and time.time() - started < 60
+
+
+def test_secrets_are_returned(spark):
+    secret = "api_key = sk_live4f9A8b7C6d5E4f3A2b1C"
+    rows = [(i, f"Some words, {secret}{i:04d} and more." if i % 2 else "Only words here.") for i in range(80)]
+    out = {r["doc_id"]: [s["kind"] for s in r["added"]] for r in pii.personal_data(docs(spark, rows)).collect()}
+    assert all(("secret" in out[i]) == bool(i % 2) for i in out)
+
+
 # ---------------------------------------------------------------- toxicity
 def test_maximal_segments_brute_force():
     rng = np.random.default_rng(2)
