@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortkit.llm.common import ship_by_value, staged, text_or_empty
+from cohortkit.llm.common import fitting_broadcast, ship_by_value, staged, text_or_empty
 
 WORD = re.compile(r"[^\W\d_]+")
 PRIOR_DOCS = 50.0              # weight of the prior, in documents
@@ -52,6 +52,7 @@ LEAST_TEXTS = 3                # labelled texts of its side that an entry is in
 STEMS = range(8, 3, -1)        # lengths of the stems that count as features, longest first
 BITS = 1 << 23
 WORDS_AT_ONCE = 500_000        # distinct words a task counts before it hands them on
+LABEL_BYTES = 128 << 20        # labels that are broadcast; more are joined by a shuffle of the texts
 BINS = 400                     # histogram of the evidence for the logistic fit
 BIN_WIDTH = 0.05
 ship_by_value(__name__)
@@ -350,6 +351,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, train, id_col: str = "doc_id",
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     marked = (labels.select(F.col(id_col).alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
               .where("toxic in (0, 1)").where(train).groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
+    marked = staged(marked, "marked")      # up to some five million labels the texts need no shuffle
+    marked = fitting_broadcast(marked, marked.count(), 24, LABEL_BYTES)
     lexicon, rest = split_lexicon(lexicon_table(rows, rows.join(marked, "doc_id")), broadcast_words)
     found = staged(score_segments(rows, lexicon, rest=rest), "segments")
     cal = calibrate(found.join(marked, "doc_id"))
