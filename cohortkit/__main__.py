@@ -44,6 +44,7 @@ def _args(argv=None):
     s.add_argument("--cohort", required=True)
     s.add_argument("--drugs", required=True)
     s.add_argument("--out", required=True)
+    s.add_argument("--ignore", action="append", default=[], help="feature to leave out (a column, comorbidity or drug)")
     m = sub.add_parser("baselines")
     m.add_argument("--cohort", required=True)
     m.add_argument("--out", required=True)
@@ -81,7 +82,8 @@ def main(argv=None) -> None:
     elif a.cmd == "screen":
         cohort = spark.read.parquet(a.cohort)
         drugs = io.read_table(spark, a.drugs, DRUG_SCHEMA, fmt="csv")
-        volcano, counts = jobs.screen(cohort, drugs, drug_key="PERSON_ID", drug_col="STANDARD_CONCEPT_NAME")
+        volcano, counts = jobs.screen(cohort, drugs, drug_key="PERSON_ID", drug_col="STANDARD_CONCEPT_NAME",
+                                      ignore=a.ignore)
         io.write_table(volcano, a.out + "/volcano", partition_by=None)
         io.write_json(counts, a.out + "/significant")
     elif a.cmd == "baselines":

@@ -12,6 +12,8 @@ Encoders are pluggable:
   ``HashingTF``), so it is safe to use on any cluster without Python model files.
 * ``BatchEncoder`` -- any Python model: ``make_predict_fn`` is called once per Python
   worker and then fed Arrow batches of ``batch_size`` texts (``predict_batch_udf``).
+* ``TokenEncoder`` -- a Python model of token vectors; first-token or masked mean pooling
+  is a column expression over them.
 
 I5: ``max_tokens`` keeps the first tokens of a text (word tokens; for a ``BatchEncoder``
 what white space parts). It is off by default and part of the model name, so the cache
@@ -20,8 +22,10 @@ never mixes truncated and whole texts.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.feature import PCA, HashingTF, RegexTokenizer, StandardScaler
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -116,6 +120,71 @@ class BatchEncoder:
         return df.withColumn(out, self._udf(text))
 
 
+POOLINGS = ("first", "mean")
+
+
+def pool(tokens: F.Column, pooling: str, dim: int) -> F.Column:
+    """One vector of a text's token vectors, as a column expression: the first token's,
+    or the mean over the tokens that the text has (padding never enters). Without tokens a
+    zero vector."""
+    if pooling not in POOLINGS:
+        raise ValueError(f"pooling must be one of {POOLINGS}")
+    zero = F.array_repeat(F.lit(0.0), dim)
+    if pooling == "first":
+        vector = F.coalesce(F.get(tokens, 0).cast("array<double>"), zero)
+    else:
+        total = F.aggregate(tokens, zero, lambda s, t: F.zip_with(s, t, lambda a, b: a + b.cast("double")))
+        vector = F.transform(total, lambda v: v / F.greatest(F.size(tokens), F.lit(1)))
+    return vector.cast("array<float>")
+
+
+class TokenEncoder:
+    """A Python model that gives a vector for every token of a text, pooled by ``pool``.
+
+    ``make_token_fn`` is called once per task and returns a function from a list of texts to
+    a list of (tokens x ``dim``) arrays; ``batch_size`` texts are given to it at a time, and
+    each text keeps its first ``max_tokens`` tokens."""
+
+    def __init__(self, make_token_fn: Callable, dim: int, name: str, pooling: str = "mean",
+                 batch_size: int = 32, max_tokens: int | None = None):
+        if pooling not in POOLINGS:
+            raise ValueError(f"pooling must be one of {POOLINGS}")
+        self.dim, self.pooling, self.max_tokens = dim, pooling, max_tokens
+        self.name = model_name(f"{name}-{pooling}", max_tokens)
+        self.make, self.batch_size = make_token_fn, batch_size
+
+    def token_vectors(self, text: F.Column) -> F.Column:
+        make, size, most = self.make, self.batch_size, self.max_tokens
+
+        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            model = make()
+            for texts in batches:
+                out = []
+                for at in range(0, len(texts), size):
+                    out += [np.asarray(v, dtype=np.float32)[:most].tolist() for v in model(texts.iloc[at:at + size].tolist())]
+                yield pd.Series(out, dtype="object")
+
+        return F.pandas_udf(run, "array<array<float>>")(F.coalesce(text, F.lit("")))
+
+    def encode(self, df: DataFrame, text_col: str, out: str = "vector") -> DataFrame:
+        made = df.withColumn("_tokens", self.token_vectors(F.col(text_col)))
+        return made.withColumn(out, pool(F.col("_tokens"), self.pooling, self.dim)).drop("_tokens")
+
+
+def token_stats_model():
+    """A tiny deterministic token model: per token (what spaces, tabs and line ends part) its
+    length, its letters 'e' and its ASCII digits."""
+    import re
+
+    import numpy as np
+    token, digit = re.compile("[^ \t\n\x0b\x0c\r]+"), re.compile("[0-9]")
+
+    def model(texts):
+        return [np.array([[len(t), t.count("e"), len(digit.findall(t))] for t in token.findall(x)],
+                         dtype=np.float32).reshape(-1, 3) for x in texts]
+    return model
+
+
 def read_cache(spark: SparkSession, path: str, model: str | None = None) -> DataFrame:
     """The cache table, or an empty frame when it does not exist yet."""
     if _exists(spark, path):

@@ -106,7 +106,7 @@ def fit(kind: str, train: DataFrame, categorical: Sequence[str], numeric: Sequen
             solved, = gram.ridges(st, [0.0 if kind == "linear" else 100.0 if alpha is None else alpha])
         model = gram.LinearModel(*solved)
     elif kind == "svr":
-        model = LinearSVRModel.train(x, c=params.get("c", 1.0), epsilon=params.get("epsilon", 0.1))
+        model = LinearSVRModel.train(x, **params)
     else:
         raise ValueError(f"unknown model kind {kind}")
     return PipelineModel(stages=[*prep.stages, model])
@@ -126,22 +126,28 @@ def grid(train: DataFrame, valid: DataFrame, categorical: Sequence[str], numeric
 
 class LinearSVRModel:
     """Linear epsilon-insensitive support vector regression (scikit-learn's
-    ``SVR(kernel='linear')``: C=1, epsilon=0.1), fitted in the primal.
+    ``SVR(kernel='linear')``: C=1, epsilon=0.1).
 
     Objective: |w|^2 / 2 + C sum max(0, |y - w.x - b| - eps). The hinge is joined by a
-    quadratic piece whose width shrinks in ``widths``; for each width, Newton steps run
-    until they are below ``tol``. A step is two jobs: gradient and curvature are summed per
-    batch, then over all rows on the executors, so that what reaches the driver depends on
-    the number of features only, and the result does not depend on the partitioning."""
-
-    def __init__(self, w, b: float):
+    quadratic piece whose width shrinks tenfold at a time; for each width, Newton steps run
+    until they settle. The slopes there are the dual variables of the problem: they name a
+    point of the dual and with it the duality gap, the most by which the objective can still
+    be above the optimum. Fitting ends when the gap is below ``gap`` times the objective;
+    ``gap_`` holds what was reached. A width at which the steps do not settle, or a width
+    below ``least_width``, raises ``gram.NotConverged``.
+
+    A step is two jobs: gradient and curvature are summed per batch, then over all rows on
+    the executors, so that what reaches the driver depends on the number of features only,
+    and the result does not depend on the partitioning."""
+
+    def __init__(self, w, b: float, gap: float = 0.0):
         self.w = [float(v) for v in w]
-        self.b = float(b)
+        self.b, self.gap_ = float(b), float(gap)
         self.uid = "LinearSVRModel"
 
     @classmethod
-    def train(cls, x: DataFrame, c: float = 1.0, epsilon: float = 0.1, tol: float = 1e-8,
-              widths: Sequence[float] = (1.0, 0.1, 0.01), max_steps: int = 100) -> LinearSVRModel:
+    def train(cls, x: DataFrame, c: float = 1.0, epsilon: float = 0.1, gap: float = 1e-6,
+              max_steps: int = 200, least_width: float = 1e-10) -> LinearSVRModel:
         from cohortkit.session import materialise
         x = materialise(x.select(vector_to_array(F.col(FEATURES)).alias("f"), "label"))
         first = x.first()
@@ -151,8 +157,9 @@ class LinearSVRModel:
         w = np.zeros(dim + 1)
         w[-1] = x.agg(F.percentile_approx("label", 0.5)).first()[0]
         penalty = np.append(np.ones(dim), 0.0)
-        lengths = np.append(0.0, 0.5 ** np.arange(6))
-        for width in widths:
+        lengths = np.append(0.0, 0.5 ** np.arange(10))
+        width, reached = 1.0, np.inf
+        while width >= least_width:
             damping = 1.0                # added curvature, raised whenever no length of a step helps
             for _ in range(max_steps):
                 sums = _summed(x, _svr_slopes(w, epsilon, width), dim + 1 + (dim + 1) ** 2)
@@ -163,9 +170,16 @@ class LinearSVRModel:
                 loss = c * _summed(x, _svr_losses(tried, epsilon, width), len(lengths))
                 best = int(((penalty * tried ** 2).sum(axis=1) / 2 + loss).argmin())
                 w, damping = tried[best], damping * (0.1 if best else 10.0)
-                if np.abs(step).max() < tol:
+                if np.abs(slope).max() <= 1e-9 * (1 + np.abs(w).max()) or np.abs(step).max() < 1e-11:
                     break
-        return cls(w[:-1].tolist(), w[-1])
+            else:
+                raise gram.NotConverged(f"SVR: steps at width {width} did not settle")
+            primal, bound = _svr_gap(x, w, c, epsilon, width, dim)
+            reached = (primal - bound) / max(primal, 1e-300)
+            if reached <= gap:
+                return cls(w[:-1].tolist(), w[-1], reached)
+            width /= 10
+        raise gram.NotConverged(f"SVR: duality gap {reached} of {gap}")
 
     def transform(self, df: DataFrame) -> DataFrame:
         feats = vector_to_array(F.col(FEATURES))
@@ -201,6 +215,21 @@ def _svr_slopes(w, eps, width):
     return run
 
 
+def _svr_gap(x: DataFrame, w: np.ndarray, c: float, eps: float, width: float, dim: int) -> tuple[float, float]:
+    """The objective at ``w`` and the dual value of the slopes there. The intercept makes the
+    dual variables add up to zero; what rounding leaves of that sum is charged to the bound."""
+    def run(design, y):
+        r = y - design @ w
+        over = np.maximum(np.abs(r) - eps, 0)
+        beta = np.sign(r) * np.clip(over / width, 0, 1)
+        return np.concatenate([[over.sum(), beta @ y - eps * np.abs(beta).sum(), np.abs(y).max()], design.T @ beta])
+
+    s = c * _summed(x, run, 3 + dim + 1)
+    primal = float(w[:-1] @ w[:-1] / 2 + s[0])
+    bound = float(s[1] - s[3:-1] @ s[3:-1] / 2 - abs(s[-1]) * s[2] / c)
+    return primal, bound
+
+
 def _svr_losses(tried, eps, width):
     def run(design, y):
         over = np.maximum(np.abs(y[:, None] - design @ tried.T) - eps, 0)

@@ -178,14 +178,19 @@ def neg_log10(col: str = "p_value_corrected") -> Column:
 # ---------------------------------------------------------------- A7
 def feature_stats(cohort: DataFrame, categorical: Mapping[str, object], continuous: Sequence[str],
                   token_cols: Mapping[str, tuple[str, str]], group: str = "group",
-                  level_source: DataFrame | None = None, unique_key: bool = True) -> DataFrame:
+                  level_source: DataFrame | None = None, unique_key: bool = True,
+                  ignore: Sequence[str] = ()) -> DataFrame:
     """A1-A4 for every feature: (feature_group, feature, log2fc, p_value). The cohort has
     one row per person (``unique_key=False`` where it may not).
 
     ``categorical``: {column: reference level} -> ordinal codes (the source screens the
     codes), ``continuous``: t-test columns, ``token_cols``: {feature_group: (packed column,
-    separator)} -> sparse indicators.
+    separator)} -> sparse indicators. Features named in ``ignore`` (columns or single
+    tokens) are left out before anything is computed, so that they do not count in the
+    corrections either.
     """
+    categorical = {c: r for c, r in categorical.items() if c not in ignore}
+    continuous = [c for c in continuous if c not in ignore]
     n1, n0 = group_totals(cohort, group)
     coded = encode.codes(cohort, categorical, level_source=level_source) if categorical else cohort
     hists = []
@@ -193,8 +198,12 @@ def feature_stats(cohort: DataFrame, categorical: Mapping[str, object], continuo
         hists.append(dense_histogram(coded, list(categorical), group, "demo"))
     for fg, (col, sep) in token_cols.items():
         long = tokens.to_long(cohort, "person_id", col, sep, out="token", keep=[group], unique_key=unique_key)
+        if ignore:
+            long = long.where(~F.col("token").isin(*ignore))
         hists.append(sparse_histogram(token_summary(long, "token", group), n1, n0, fg))
     parts = []
+    if not hists and not continuous:
+        raise ValueError("every feature is ignored")
     if hists:
         h = hists[0]
         for x in hists[1:]:
@@ -211,9 +220,9 @@ def feature_stats(cohort: DataFrame, categorical: Mapping[str, object], continuo
 
 def volcano(cohort: DataFrame, categorical: Mapping[str, object], continuous: Sequence[str],
             token_cols: Mapping[str, tuple[str, str]], group: str = "group",
-            materialise: bool = True) -> DataFrame:
+            materialise: bool = True, ignore: Sequence[str] = ()) -> DataFrame:
     """The volcano table: feature_group, feature, log2fc, p_value, p_value_corrected,
-    neg_log10_q. The per-feature table is vocabulary-sized; it is checkpointed (shared
+    neg_log10_q, without the features named in ``ignore``. The per-feature table is vocabulary-sized; it is checkpointed (shared
     checkpoint folder, lineage cut) before the BH scans read it twice."""
     if materialise:
         # the person-level input is read by several jobs (totals, levels, histograms):
@@ -221,7 +230,7 @@ def volcano(cohort: DataFrame, categorical: Mapping[str, object], continuous: Se
         from cohortkit.session import materialise as _mat
         cols = ["person_id", group, *categorical, *continuous, *[c for c, _ in token_cols.values()]]
         cohort = _mat(cohort.select(*dict.fromkeys(cols)))
-    fs = feature_stats(cohort, categorical, continuous, token_cols, group)
+    fs = feature_stats(cohort, categorical, continuous, token_cols, group, ignore=ignore)
     rows = None
     if materialise:
         # one row per feature: BH reads it twice (histogram of p, then the join back)

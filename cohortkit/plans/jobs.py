@@ -58,13 +58,14 @@ def split_persons(persons: DataFrame, out_path: str | None = None, sizes: Mappin
 
 def screen(cohort: DataFrame, person_drugs: DataFrame, drug_key: str = "person_id",
            drug_col: str = "standard_concept_name", references: Mapping[str, object] = STUDY_REFERENCES,
-           ignore: Sequence[str] = ("split",)) -> tuple[DataFrame, DataFrame]:
+           ignore: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """Match persons to their packed drug list (J3), label them (L1) and screen every
-    demographic, comorbidity and drug feature (A1-A8). Returns (volcano, counts)."""
+    demographic, comorbidity and drug feature (A1-A8) but those named in ``ignore``: a
+    demographic column, one comorbidity or one drug. Returns (volcano, counts)."""
     matched = CO.match_and_merge(cohort, person_drugs, right_key=drug_key, right_cols=[drug_col])
     lab = LB.with_binary_label(matched, out="group")
     tok = {"drug": (drug_col.lower(), TK.DRUG_SEP), "comorbidity": ("comorbidity", TK.COMORBIDITY_SEP)}
-    v = SC.volcano(lab.drop(*[c for c in ignore if c in lab.columns]), references, ["age"], tok)
+    v = SC.volcano(lab, references, ["age"], tok, ignore=ignore)
     return v, SC.significant_count(v)
 
 

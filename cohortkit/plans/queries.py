@@ -30,6 +30,7 @@ REGISTRY: dict[str, Query] = {}
 REFERENCES = {"gender": "Man", "race": "BUILDING", "ethnicity": "AFRICA"}
 # Hold-out sizes used on the fixture cohort (the study used 2,000 / 5,000 on 180k).
 FIXTURE_SIZES = {"validation": 100, "test": 200}
+IGNORED = ("race", "LOW")
 TOKEN_COLS = {"drug": ("standard_concept_name", TK.DRUG_SEP),
               "comorbidity": ("comorbidity", TK.COMORBIDITY_SEP)}
 
@@ -376,6 +377,14 @@ def volcano(spark, sf_dir):
                     ("log2fc", "p_value", "p_value_corrected", "neg_log10_q")])
 
 
+@register
+def volcano_ignore(spark, sf_dir):
+    """A7 without a demographic column and one comorbidity: the corrections count the rest."""
+    c = Cohort(spark, sf_dir)
+    v = SC.volcano(labeled(c), REFERENCES, ["age"], TOKEN_COLS, group="group", ignore=IGNORED)
+    return v.select("feature_group", "feature", *[r6(k).alias(k) for k in ("log2fc", "p_value", "p_value_corrected")])
+
+
 @register
 def significant_count(spark, sf_dir):
     c = Cohort(spark, sf_dir)
@@ -470,7 +479,29 @@ def embed_cache_delta(spark, sf_dir):
     empty = spark.createDataFrame([], EM.CACHE_SCHEMA)
     cache = EM.embed_new(c.texts.where(F.col("doc_id") % 3 != 0), "text", empty, enc)
     delta = EM.embed_new(c.texts, "text", cache, enc)
-    return delta.select("text_key", F.size("vector").alias("n_dims"))
+    # hashed words are counted over all words: the buckets add up to one
+    return delta.select("text_key", F.size("vector").alias("n_dims"),
+                        F.round(F.aggregate("vector", F.lit(0.0), lambda s, v: s + v.cast("double")), 3).alias("mass"),
+                        F.size(F.filter("vector", lambda v: v < 0)).alias("n_negative"))
+
+
+def _pooled(spark, sf_dir, pooling: str, max_tokens: int | None = None) -> DataFrame:
+    from cohortkit.operators import embed as EM
+    enc = EM.TokenEncoder(EM.token_stats_model, dim=3, name="token-stats", pooling=pooling, max_tokens=max_tokens)
+    out = enc.encode(Cohort(spark, sf_dir).texts, "text", "v")
+    return out.select("doc_id", *[F.round(F.col("v")[i].cast("double"), 4).alias(f"v{i}") for i in range(3)])
+
+
+@register
+def embed_first_token(spark, sf_dir):
+    """The first token's vector of every document."""
+    return _pooled(spark, sf_dir, "first")
+
+
+@register
+def embed_mean_tokens(spark, sf_dir):
+    """I1 + I5: the mean vector of every document's first 160 tokens."""
+    return _pooled(spark, sf_dir, "mean", max_tokens=160)
 
 
 @register
@@ -670,3 +701,140 @@ def tabular_input(spark, sf_dir):
     return out.select(*[c_ for c_ in wide.columns if c_ != "age_z"], r6("age_z").alias("age_z"),
                       r6(F.coalesce("pos_log2fc", F.lit(0.0))).alias("pos_log2fc"),
                       r6(F.coalesce("neg_log2fc", F.lit(0.0))).alias("neg_log2fc"))
+
+
+# ------------------------------------------------------------------ S1 S2 S4-S6 U2
+def _folder(spark, name: str) -> str:
+    """A fresh folder beside the checkpoints, removed with the driver's JVM."""
+    import uuid
+
+    from cohortkit.session import checkpoint_dir
+    path = f"{checkpoint_dir(spark)}/tables-{uuid.uuid4().hex}/{name}"
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(path).getParent()
+    top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(top)
+    return path
+
+
+@register
+def csv_scan(spark, sf_dir):
+    """S1 + S2: the scored persons written as CSV survey files with dotted column names,
+    read again by glob with a schema."""
+    from cohortkit.sources import io
+    at = _folder(spark, "survey")
+    persons = Cohort(spark, sf_dir).demo_como.select("person_id", "gender", "age", "comorbidity", "q1_score", "audit_c_score")
+    for part, rows in (("a", F.col("q1_score") < 2), ("b", F.col("q1_score") >= 2)):
+        io.to_sink_names(persons.where(rows), {"q1_score": "q1.score", "audit_c_score": "audit.c.score"}) \
+            .write.option("header", True).csv(f"{at}/survey_{part}_1.csv")
+    return io.read_table(spark, f"{at}/survey_*_1.csv", "person_id long, gender string, age double, comorbidity string, "
+                         "`q1.score` int, `audit.c.score` int", fmt="csv")
+
+
+@register
+def split_load(spark, sf_dir):
+    """The cohort written by split; the hold-out splits are read from their own folders."""
+    from cohortkit.sources import io
+    at = _folder(spark, "cohort")
+    io.write_table(split_cohort(Cohort(spark, sf_dir)), at)
+    return CO.union_all(*[io.load_split(spark, at, k).select("person_id", "split", "concept_name_1")
+                          for k in ("validation", "test")])
+
+
+@register
+def json_sink(spark, sf_dir):
+    """Metric rows per run written as JSON lines and read again."""
+    from cohortkit.sources import io
+    at = _folder(spark, "metrics")
+    m = M.regression(Cohort(spark, sf_dir).predictions, by=["run_id"])
+    io.write_json(m.select("run_id", r6("mse").alias("mse"), r6("rmse").alias("rmse")), at)
+    return io.read_table(spark, at, "run_id string, mse double, rmse double", fmt="json")
+
+
+@register
+def enrich_persons(spark, sf_dir):
+    """Insurance flags of finished orders appended to all persons; null without one."""
+    from cohortkit.sources import io
+    c = Cohort(spark, sf_dir)
+    done = (c.t.orders.where(F.col("o_orderstatus") == "F").groupBy(F.col("o_custkey").alias("person_id"))
+            .agg(F.count(F.lit(1)).alias("n_done"), F.max("o_totalprice").alias("top_price")))
+    return io.enrich(c.persons.select("person_id", "gender"), done)
+
+
+@register
+def cache_append(spark, sf_dir):
+    """U2 + I3: vectors of a part of the texts, then of all, appended to one cache, whose
+    rows are each text once; every document gets its vector by a lookup (J7)."""
+    from cohortkit.operators import embed as EM
+    at, texts, enc = _folder(spark, "cache"), Cohort(spark, sf_dir).texts, _encoder()
+    EM.embed_with_cache(spark, texts.where(F.length("text") > 500), "text", "doc_id", at, enc)
+    out, n_new = EM.embed_with_cache(spark, texts, "text", "doc_id", at, enc)
+    held = EM.read_cache(spark, at, enc.name).groupBy("text_key").agg(F.count(F.lit(1)).alias("n_rows"))
+    return out.join(held, "text_key", "left").select("doc_id", F.size("vector").alias("n_dims"), "n_rows",
+                                                     F.lit(n_new).cast("long").alias("n_new"))
+
+
+@register
+def cache_buckets(spark, sf_dir):
+    """J5 + I3 with the bucketed cache: it holds the longer texts, the others are missing;
+    both are encoded once and each document gets its vector."""
+    from uuid import uuid4
+
+    from cohortkit.operators.cache import BucketedCache
+    texts, enc = Cohort(spark, sf_dir).texts, _encoder()
+    cache = BucketedCache(spark, f"cache_{uuid4().hex}", _folder(spark, "buckets"), buckets=16)
+    cache.update(texts.where(F.length("text") > 500), "text", enc)
+    missing = cache.missing(texts, "text", enc.name).count()
+    cache.update(texts, "text", enc)
+    return cache.attach(texts, "text", enc.name).select("doc_id", F.size("vector").alias("n_dims"),
+                                                        F.lit(missing).cast("long").alias("n_new"))
+
+
+# ------------------------------------------------------------------ F4-F6 V1 V3
+@register
+def row_norm(spark, sf_dir):
+    """layer norm over age and the three part scores of each person."""
+    cols = ["age", "q1_score", "q2_score", "q3_score"]
+    p = Cohort(spark, sf_dir).scored.select("person_id", *[F.col(k).cast("double").alias(k) for k in cols])
+    return p.select("person_id", *[r6(x).alias(k) for x, k in zip(EN.row_norm(cols), cols)])
+
+
+@register
+def scaled_features(spark, sf_dir):
+    """F2 + F4 + F5: one-hot gender, age and score behind the standard scaler and behind
+    min-max, both fitted on the train rows."""
+    from pyspark.ml.functions import vector_to_array
+
+    from cohortkit.operators import models as MD
+    df = split_cohort(Cohort(spark, sf_dir)).select("person_id", "split", "gender", "age", "audit_c_score")
+    train, out = df.where(F.col("split") == "train"), df.select("person_id")
+    for kind in ("standard", "minmax"):
+        prep = MD.prepare(train, ["gender"], ["age", "audit_c_score"], kind)
+        f = vector_to_array("features")
+        out = out.join(prep.transform(df).select("person_id", *[r6(f[i]).alias(f"{kind}_{i}") for i in range(5)]), "person_id")
+    return out
+
+
+@register
+def pca_invariants(spark, sf_dir):
+    """V1 on all components: they keep the total variance, are centred, and are
+    uncorrelated, largest first."""
+    from cohortkit.operators import embed as EM
+    x = Cohort(spark, sf_dir).vectors
+    k = len(x.first()["embedding"])
+    r = EM.to_columns(EM.pca(x, "embedding", k=k), "reduced", k)
+    pairs = [(i, j) for i in range(k) for j in range(i + 1, k)]
+    variances = [F.var_pop(f"embed_{i}").alias(f"v{i}") for i in range(k)]
+    means, cross = [F.abs(F.avg(f"embed_{i}")) for i in range(k)], [F.abs(F.covar_pop(f"embed_{i}", f"embed_{j}")) for i, j in pairs[:200]]
+    row = r.agg(*variances, F.greatest(*means).alias("mean"), F.greatest(*cross).alias("cross"))
+    v = F.array(*[F.col(f"v{i}") for i in range(k)])
+    return row.select(F.lit(k).alias("n_components"), r6(F.aggregate(v, F.lit(0.0), lambda a, b: a + b)).alias("total_variance"),
+                      r6("mean").alias("largest_mean"), r6("cross").alias("largest_covariance"),
+                      (v == F.reverse(F.array_sort(v))).alias("in_order"))
+
+
+@register
+def vector_columns(spark, sf_dir):
+    """V3: the vectors' first components as keyed columns."""
+    from cohortkit.operators import embed as EM
+    x = Cohort(spark, sf_dir).vectors.withColumn("embedding", F.col("embedding").cast("array<double>"))
+    return EM.to_columns(x, "embedding", 4, keep=["vec_id"])

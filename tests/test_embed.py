@@ -71,3 +71,23 @@ def test_batch_encoder_runs_model_in_arrow_batches(spark):
     want = {i: [float(len(t or "")), float((t or "").count("e")), float(sum(c.isdigit() for c in (t or "")))]
             for i, t in enumerate(texts)}
     assert got == want
+
+
+def test_token_pooling_first_and_mean(spark):
+    texts = ["ee 12 abc", "", None, "  one\ttwo\n", "a" * 10_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    stats = [[[len(t), t.count("e"), sum(c.isdigit() for c in t)] for t in (x or "").split()] for x in texts]
+
+    def read(**k):
+        enc = EM.TokenEncoder(EM.token_stats_model, dim=3, name="s", batch_size=2, **k)
+        return enc.name, [r["v"] for r in enc.encode(df, "text", "v").orderBy("i").collect()]
+
+    name, first = read(pooling="first")
+    assert name == "s-first" and first == [s[0] if s else [0, 0, 0] for s in stats]
+    _, mean = read(pooling="mean")
+    for got, s in zip(mean, stats):
+        assert got == pytest.approx(np.mean(s, axis=0) if s else [0, 0, 0], rel=1e-6)
+    name, short = read(pooling="mean", max_tokens=2)
+    assert name == "s-mean-max2" and short[0] == pytest.approx([2.0, 1.0, 1.0])
+    with pytest.raises(ValueError):
+        EM.TokenEncoder(EM.token_stats_model, 3, "s", pooling="last")

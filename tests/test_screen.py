@@ -142,3 +142,24 @@ def test_sparse_tokens_equal_dense_indicators(spark):
     assert s.keys() == d.keys()
     for k in s:
         assert s[k] == pytest.approx(d[k])
+
+
+def test_ignored_features_do_not_count_in_the_corrections(spark):
+    import random
+    from cohortkit.operators import screen as SC
+    rnd = random.Random(6)
+    rows = [(i, rnd.randint(0, 1), rnd.choice("MW"), rnd.choice("xyz"), float(rnd.randint(20, 60)),
+             " | ".join(sorted(rnd.sample(["a 1", "b", "c", "d 2"], rnd.randint(1, 3))))) for i in range(120)]
+    df = spark.createDataFrame(rows, "person_id long, group int, gender string, race string, age double, drugs string")
+    read = lambda **k: {(r["feature_group"], r["feature"]): r for r in SC.volcano(
+        df, {"gender": "M", "race": "x"}, ["age"], {"drug": ("drugs", " | ")}, **k).collect()}
+    every, some = read(), read(ignore=("race", "d 2"))
+    assert set(every) - set(some) == {("demo", "race"), ("drug", "d 2")}
+    for group in ("demo", "drug"):
+        p = sorted((r["p_value"], f) for (g, f), r in some.items() if g == group)
+        for f, r in ((f, r) for (g, f), r in some.items() if g == group):
+            want = min(q * len(p) / (i + 1) for i, (q, _) in enumerate(p) if q >= r["p_value"])
+            assert r["p_value_corrected"] == pytest.approx(min(1.0, want), abs=1e-9)
+            assert r["p_value"] == pytest.approx(every[(group, f)]["p_value"], abs=1e-12)
+    with pytest.raises(ValueError):
+        SC.volcano(df, {"race": "x"}, [], {}, ignore=["race"]).collect()
