@@ -5,7 +5,8 @@ import __spark_entry__ as E
 from tests.conftest import SF0001
 
 # queries whose construction fits models (slow); plan checks skip them
-HEAVY = {"baseline_rf", "baseline_linear", "baseline_linear_1f", "baseline_ridge", "baseline_elastic", "baseline_svr", "ridge_grid"}
+HEAVY = {"baseline_rf", "baseline_linear", "baseline_linear_1f", "baseline_ridge", "baseline_elastic", "elastic_small", "scaled_features",
+         "baseline_svr", "ridge_grid"}
 
 
 def test_entry_returns_volcano(spark):
