@@ -23,8 +23,8 @@ components are formed from the verified links. Buckets that still hold several c
 are joined to clusters; a cluster's sets are dealt into blocks of bounded size and compared
 block by block inside the tasks, which hand on a spanning forest of the links found. So a large group of near copies
 costs one comparison a set where they are linked, and where they are just below the
-similarity it costs block products but no rows for pairs. No two components that a
-link joins stay apart.
+similarity it costs block products but no rows for pairs. The sets of a cluster's largest
+component are compared with the others only. No two components that a link joins stay apart.
 
 Edge cases: texts with fewer words than the n-gram are one n-gram; null texts and texts
 without words have an empty set and are linked with nothing; a null id stays null; repeated
@@ -48,7 +48,7 @@ CHUNK_BYTES = 1 << 20
 PARTS = 3                      # parts of a group; two of them make a signature
 AGREE = 2                      # groups on which similar sets agree at least
 SAMPLED = 4                    # the first test of unique n-grams takes one hash in so many
-BLOCK_SETS, BLOCK_BYTES = 512, 2 << 20
+BLOCK_SETS, BLOCK_BYTES = 1024, 4 << 20
 COLUMNS = 4096                 # n-grams of a block product at once
 DENSE, CODES = 64, 1 << 20     # rows above which an n-gram is counted densely; pairs counted at once
 MOST_TASKS = 100_000
@@ -376,38 +376,42 @@ def spanning_links(linked: np.ndarray, group: np.ndarray) -> list[tuple[int, int
 
 
 def shared_counts(parts: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """How many n-grams rows have in common, for rows of ``left`` with rows of ``right`` at
-    least. N-grams that few rows have are counted by their pairs of rows, the others by
-    products of dense columns; those of one row only take no part."""
-    m = len(parts)
+    """How many n-grams each row of ``left`` has in common with each row of ``right`` (two
+    blocks, or one block twice). N-grams that few rows have are counted by their pairs of
+    rows, the others by products of dense columns; those of one row only take no part."""
+    m, wide = len(parts), len(right)
     row = np.repeat(np.arange(m), [len(p) for p in parts])
     _, column, held = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
-    out = np.zeros(m * m, np.int64)
     order = np.argsort(column, kind="stable")
-    row, held_at = row[order], held[column[order]]
-    codes, waiting = [], 0
+    row, column = row[order], column[order]
+    held_at = held[column]
+    at_left, at_right = np.full(m, -1), np.full(m, -1)
+    at_left[left], at_right[right] = np.arange(len(left)), np.arange(wide)
+    out = np.zeros(len(left) * wide, np.int64)
+
+    def count(a: np.ndarray, b: np.ndarray) -> None:
+        code = at_left[a] * wide + at_right[b]
+        code = code[(at_left[a] >= 0) & (at_right[b] >= 0)]
+        if len(code):
+            np.add(out, np.bincount(code, minlength=len(out)), out=out)
+
     for c in range(2, min(DENSE, m) + 1):
         rows = row[held_at == c].reshape(-1, c)
         a, b = np.triu_indices(c, 1)
         step = max(1, CODES // len(a))
         for at in range(0, len(rows), step):
-            codes.append((rows[at:at + step, a] * m + rows[at:at + step, b]).ravel())
-            waiting += len(codes[-1])
-            if waiting >= CODES:
-                out += np.bincount(np.concatenate(codes), minlength=m * m)
-                codes, waiting = [], 0
-    if codes:
-        out += np.bincount(np.concatenate(codes), minlength=m * m)
-    out = out.reshape(m, m)
-    out += out.T                               # of equal rows of an n-gram there are none
+            x, y = rows[at:at + step, a].ravel(), rows[at:at + step, b].ravel()
+            count(x, y)
+            count(y, x)
+    out = out.reshape(len(left), wide)
     heavy = held_at > DENSE
     if heavy.any():
-        row, column = row[heavy], np.unique(column[order][heavy], return_inverse=True)[1]
+        row, column = row[heavy], np.unique(column[heavy], return_inverse=True)[1]
         for first in range(0, int(column[-1]) + 1, COLUMNS):
             a, b = np.searchsorted(column, (first, first + COLUMNS))
             part = np.zeros((m, COLUMNS), np.float32)
             part[row[a:b], column[a:b] - first] = 1
-            out[np.ix_(left, right)] += (part[left] @ part[right].T).astype(np.int64)
+            out += (part[left] @ part[right].T).astype(np.int64)
     return out
 
 
@@ -426,10 +430,10 @@ def _compare_blocks(num: int, den: int):
             return none
         shared = shared_counts(parts, left, right)
         size = pdf["size"].to_numpy()
-        ok = den * shared >= num * (size[:, None] + size[None, :] - shared)
-        ok &= comp[:, None] != comp[None, :]
-        if p != q:
-            ok &= block[:, None] != block[None, :]     # each block's own pairs have their own task
+        linked = den * shared >= num * (size[left][:, None] + size[right][None, :] - shared)
+        linked &= comp[left][:, None] != comp[right][None, :]
+        ok = np.zeros((len(parts), len(parts)), bool)
+        ok[np.ix_(left, right)] = linked
         ok |= ok.T
         pairs = np.array(spanning_links(ok, comp), np.int64).reshape(-1, 2)
         ids = pdf["set_id"].to_numpy()
@@ -449,14 +453,24 @@ def _cluster_links(shared: DataFrame, part: DataFrame, sets: DataFrame, num: int
     members = staged(cluster.select(F.col("node").alias("set_id"), F.col("component").alias("cluster"))
                      .join(rest.groupBy("set_id").agg(F.min("component").alias("component")), "set_id")
                      .join(sets, "set_id"), "cluster_sets")
-    size = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum(F.octet_length("grams")) / BLOCK_BYTES))
-    blocks = staged(members.groupBy("cluster").agg(size.cast("int").alias("blocks"), F.count(F.lit(1)).alias("sets")), "blocks")
+    # the sets of a cluster's largest component need no comparison with one another: they are
+    # dealt into blocks 0, 1, ... of their own, and the other sets into the blocks after them
+    sizes = (members.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("grams")).alias("bytes")))
+    largest = sizes.groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
+    main = F.col("component") == F.col("largest")
+    blocks = lambda c: F.greatest(F.ceil(F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)) / BLOCK_SETS),
+                                  F.ceil(F.coalesce(F.sum(F.when(c, F.col("bytes"))), F.lit(0)) / BLOCK_BYTES)).cast("int")
+    plan = staged(sizes.join(largest, "cluster").groupBy("cluster", "largest")
+                  .agg(blocks(main).alias("same"), blocks(~main).alias("apart")), "blocks")
     # one task for so many pairs of sets as two blocks have, however few bytes they are
-    work = blocks.agg(F.sum(F.col("sets").cast("double") * F.col("sets"))).first()[0] or 0.0
-    tasks = max(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(work / BLOCK_SETS ** 2))
-    dealt = (members.join(blocks, "cluster")
-             .withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
-             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    work = plan.agg(F.sum(F.col("apart").cast("double") * (F.col("same") + F.col("apart")))).first()[0] or 0.0
+    tasks = max(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(work))
+    slot = F.xxhash64("set_id")
+    block = F.when(main, F.pmod(slot, F.col("same"))).otherwise(F.col("same") + F.pmod(slot, F.col("apart"))).cast("int")
+    others = F.sequence(F.col("same"), F.col("same") + F.col("apart") - 1)
+    every = F.sequence(F.lit(0), F.col("same") + F.col("apart") - 1)
+    dealt = (members.join(plan, "cluster").where("apart > 0")
+             .withColumn("block", block).withColumn("other", F.explode(F.when(main, others).otherwise(every)))
              .select("cluster", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"),
                      "block", "set_id", "component", "size", "grams"))
     dealt = dealt.repartition(min(tasks, MOST_TASKS), "cluster", "p", "q")
@@ -485,7 +499,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     reduced = staged(reduced_sets(contents, num, den), "reduced")
 
     # buckets that two different sets share; the hub is the smallest set of the bucket
-    sigs = staged(signature_rows(reduced, num, den), "signatures")
+    sigs = signature_rows(reduced, num, den)       # quick to make, so made twice rather than written
     spans = (sigs.groupBy("sig").agg(F.min("set_id").alias("hub"), F.max("set_id").alias("last"))
              .where("hub <> last").select("sig", "hub"))
     shared = staged(sigs.join(spans, "sig").select("sig", "set_id", "hub"), "shared")

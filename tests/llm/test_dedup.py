@@ -238,3 +238,18 @@ def test_remove_repeats_brute_force(spark, hot):
 
 def test_remove_repeats_empty(spark):
     assert SU.remove_repeats(docs(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("dense", [64, 3, 1])
+def test_shared_counts_of_blocks(monkeypatch, dense):
+    monkeypatch.setattr(JA, "DENSE", dense)
+    monkeypatch.setattr(JA, "COLUMNS", 16)
+    monkeypatch.setattr(JA, "CODES", 40)
+    rng = np.random.default_rng(dense)
+    parts = [np.unique(rng.integers(0, 60, rng.integers(0, 40)).astype(np.uint64)) for _ in range(30)]
+    want = np.array([[len(np.intersect1d(a, b)) for b in parts] for a in parts])
+    every, left = np.arange(30), np.flatnonzero(rng.random(30) < 0.4)
+    right = np.setdiff1d(every, left)
+    got = JA.shared_counts(parts, every, every)
+    assert (got[~np.eye(30, dtype=bool)] == want[~np.eye(30, dtype=bool)]).all()
+    assert (JA.shared_counts(parts, left, right) == want[np.ix_(left, right)]).all()
