@@ -49,8 +49,8 @@ PARTS = 3                      # parts of a group; two of them make a signature
 AGREE = 2                      # groups on which similar sets agree at least
 SAMPLED = 4                    # the first test of unique n-grams takes one hash in so many
 BLOCK_SETS, BLOCK_BYTES = 1024, 4 << 20
-COLUMNS = 4096                 # n-grams of a block product at once
-DENSE, CODES = 64, 1 << 20     # rows above which an n-gram is counted densely; pairs counted at once
+COLUMNS = 2048                 # n-grams of a block product at once
+DENSE, CODES = 64, 1 << 18     # rows above which an n-gram is counted densely; pairs counted at once
 MOST_TASKS = 100_000
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _rng = np.random.default_rng(20240229)
