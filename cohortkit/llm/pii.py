@@ -235,7 +235,7 @@ def find_spans(df: DataFrame, text_col: str = "text") -> DataFrame:
         held = Spans(base)
         code = lambda kind, a, b: pattern_code(kind, votes(kind, a, b, text, held), b - a)
         found = []
-        for kind, a, b in candidates(text):
+        for kind, a, b in dict.fromkeys(candidates(text)):
             if not held.contains(a, b):
                 found.append({"kind": kind, "start": a, "end": b, "code": code(kind, a, b)})
         return [{"kind": k, "start": a, "end": b} for k, a, b in base], found, [code(*s) for s in base]
@@ -315,7 +315,7 @@ def personal_data(docs: DataFrame, text_col: str = "text", kinds: tuple[str, ...
     found = staged(find_spans(docs, text_col), "spans")
     codes = F.array(*[F.lit(c) for c in accepted_codes(found, kinds)]).cast("array<int>")
     chosen = F.filter("candidates", lambda c: F.array_contains(codes, c["code"]))
-    added = F.array_distinct(F.transform(chosen, lambda c: F.struct(c["kind"], c["start"], c["end"])))
+    added = F.transform(chosen, lambda c: F.struct(c["kind"], c["start"], c["end"]))
     return found.withColumn("added", added).drop("candidates", "known")
 
 

@@ -183,7 +183,7 @@ def op2_personal_data(spark, sf_dir):
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     return out.select("doc_id", *[count(k) for k in PI.KINDS[:4]],
                       F.sha2(PI.span_text(F.col("base")).cast("binary"), 256).alias("base_sha256"),
-                      PI.span_text(F.array_distinct(F.concat("base", "added"))).alias("spans"))
+                      PI.span_text(F.concat("base", "added")).alias("spans"))
 
 
 @register
