@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 DRUG_SEP = " | "
 COMORBIDITY_SEP = ","
 SHARD_NAMES = 200_000          # names of one automaton
+PAIR_ROWS = 500_000            # (key, name) rows among which one task looks for repeats
 
 
 def _ship_by_value() -> None:
@@ -102,10 +103,12 @@ def substring_long(long: DataFrame, key: str = "person_id", token: str = "token"
     ``SHARD_NAMES``; a shard's names become one automaton (a trie with failure links), and
     each distinct token is scanned once by each shard. A task holds one shard and as many
     tokens; work is linear in the tokens' text and independent of the person count.
+    Repeats of a pair are removed by tasks of about ``PAIR_ROWS`` rows each, whatever the
+    partitions of ``long`` hold.
     """
     from cohortkit.session import materialise
     # the distinct tokens (vocabulary-sized) are read by several jobs: write them once
-    toks = materialise(long.select(F.col(token).alias("_text")).distinct())
+    toks = materialise(long.groupBy(F.col(token).alias("_text")).agg(F.count(F.lit(1)).alias("_rows")))
     names = (vocab.select(F.col(vocab_col).alias("_name")) if vocab is not None else toks.select(F.col("_text").alias("_name")))
     names = materialise(names.where(F.length("_name") > 0).distinct())
     # exactness precondition: names/tokens are trimmed and free of the separator
@@ -119,10 +122,14 @@ def substring_long(long: DataFrame, key: str = "person_id", token: str = "token"
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     sharded = names.select("_name", deal("_name", shards).alias("_shard"), every(chunks).alias("_part"))
     chunked = toks.select("_text", every(shards).alias("_s"), deal("_text", chunks).alias("_c"))
-    token_map = (sharded.groupBy("_shard", "_part").cogroup(chunked.groupBy("_s", "_c"))
-                 .applyInPandas(_names_inside, "text string, name string")
-                 .select(F.col("text").alias(token), F.col("name").alias(out)))
-    return long.join(token_map, token).select(key, out).distinct()
+    token_map = materialise(sharded.groupBy("_shard", "_part").cogroup(chunked.groupBy("_s", "_c"))
+                            .applyInPandas(_names_inside, "text string, name string")
+                            .select(F.col("text").alias(token), F.col("name").alias(out)))
+    rows = token_map.join(toks, F.col(token) == F.col("_text")).agg(F.sum("_rows")).first()[0] or 0
+    pairs = long.join(token_map, token).select(key, out)
+    if rows > PAIR_ROWS:
+        pairs = pairs.repartition(-(-rows // PAIR_ROWS), key, out)
+    return pairs.distinct()
 
 
 def _names_inside(names: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:

@@ -174,3 +174,12 @@ def test_substring_equals_plain_search(spark, monkeypatch, shard):
     sub = {(r["person_id"], r["match"]) for r in TK.substring_long(long, vocab=other).collect()}
     assert sub == {(p, n) for p, d in rows if d for n in ("a", "é1") if n in d}
     assert TK.substring_long(long.limit(0)).count() == 0
+
+
+def test_substring_pairs_are_dealt_out_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(TK, "PAIR_ROWS", 50)
+    rows = [(p, "a | ab | abc") for p in range(100)]  # 600 (person, name) rows with repeats
+    long = TK.to_long(spark.createDataFrame(rows, "person_id long, drugs string"), "person_id", "drugs", " | ")
+    got = TK.substring_long(long.coalesce(1))
+    assert got.rdd.getNumPartitions() == 12
+    assert sorted(map(tuple, got.collect())) == sorted((p, n) for p in range(100) for n in ("a", "ab", "abc"))
