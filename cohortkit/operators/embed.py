@@ -25,7 +25,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import PCA, HashingTF, RegexTokenizer, StandardScaler
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -143,7 +143,8 @@ class TokenEncoder:
 
     ``make_token_fn`` is called once per task and returns a function from a list of texts to
     a list of (tokens x ``dim``) arrays; ``batch_size`` texts are given to it at a time, and
-    each text keeps its first ``max_tokens`` tokens."""
+    each text keeps its first ``max_tokens`` tokens. Token vectors leave the worker as flat
+    numbers after every such batch, so that it never holds more of them than one."""
 
     def __init__(self, make_token_fn: Callable, dim: int, name: str, pooling: str = "mean",
                  batch_size: int = 32, max_tokens: int | None = None):
@@ -156,21 +157,27 @@ class TokenEncoder:
     def token_vectors(self, text: F.Column) -> F.Column:
         make, size, most = self.make, self.batch_size, self.max_tokens
 
-        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             model = make()
             for texts in batches:
-                out = []
                 for at in range(0, len(texts), size):
-                    out += [np.asarray(v, dtype=np.float32)[:most].tolist() for v in model(texts.iloc[at:at + size].tolist())]
-                yield pd.Series(out, dtype="object")
+                    yield _nested([np.asarray(v, dtype=np.float32)[:most] for v in model(texts.slice(at, size).to_pylist())])
 
-        return F.pandas_udf(run, "array<array<float>>")(F.coalesce(text, F.lit("")))
+        return F.arrow_udf(run, "array<array<float>>")(F.coalesce(text, F.lit("")))
 
     def encode(self, df: DataFrame, text_col: str, out: str = "vector") -> DataFrame:
         made = df.withColumn("_tokens", self.token_vectors(F.col(text_col)))
         return made.withColumn(out, pool(F.col("_tokens"), self.pooling, self.dim)).drop("_tokens")
 
 
+def _nested(vectors: list[np.ndarray]) -> pa.Array:
+    """One list of token vectors for every text, over one flat array of numbers."""
+    flat = [v.ravel() for v in vectors]
+    widths = [v.shape[1] if v.size else 0 for v in vectors for _ in range(len(v))]
+    inner = pa.ListArray.from_arrays(np.cumsum([0, *widths], dtype=np.int32), pa.array(np.concatenate(flat), pa.float32()))
+    return pa.ListArray.from_arrays(np.cumsum([0, *map(len, vectors)], dtype=np.int32), inner)
+
+
 def token_stats_model():
     """A tiny deterministic token model: per token (what spaces, tabs and line ends part) its
     length, its letters 'e' and its ASCII digits."""

@@ -91,3 +91,28 @@ def test_token_pooling_first_and_mean(spark):
     assert name == "s-mean-max2" and short[0] == pytest.approx([2.0, 1.0, 1.0])
     with pytest.raises(ValueError):
         EM.TokenEncoder(EM.token_stats_model, 3, "s", pooling="last")
+
+
+def test_token_vectors_leave_the_worker_by_batch(spark):
+    """Many texts in one Arrow batch: vectors are handed on after ``batch_size`` texts."""
+    def model():
+        def run(texts):
+            return [np.full((3, 2), len(texts), dtype=np.float32) if t else np.zeros((0, 2), np.float32) for t in texts]
+        return run
+
+    enc = EM.TokenEncoder(model, dim=2, name="m", batch_size=4)
+    df = spark.range(10).select("id", F.when(F.col("id") % 5 != 0, "x").alias("t")).coalesce(1)
+    got = {r["id"]: r["v"] for r in df.select("id", enc.token_vectors(F.col("t")).alias("v")).collect()}
+    sizes = [4] * 8 + [2] * 2
+    assert got == {i: [[float(sizes[i])] * 2] * 3 if i % 5 else [] for i in range(10)}
+
+
+def test_nested_token_vectors_hold_no_python_floats(spark):
+    import tracemalloc
+    vectors = [np.ones((400, 3), dtype=np.float32)] * 32
+    tracemalloc.start()
+    made = EM._nested(vectors)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert made.to_pylist()[31] == [[1.0, 1.0, 1.0]] * 400
+    assert peak < 2_000_000  # 38,400 numbers: 0.15 MB flat, several MB as nested lists
