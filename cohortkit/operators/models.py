@@ -26,6 +26,7 @@ from cohortkit.operators import dictionary, gram
 from cohortkit.operators.split import SEED
 
 FEATURES = "features"
+FULL_STEP = 1        # its place among the lengths that the SVR tries
 
 
 def _ship_by_value() -> None:
@@ -136,9 +137,10 @@ class LinearSVRModel:
     ``gap_`` holds what was reached. A width at which the steps do not settle, or a width
     below ``least_width``, raises ``gram.NotConverged``.
 
-    A step is two jobs: gradient and curvature are summed per batch, then over all rows on
-    the executors, so that what reaches the driver depends on the number of features only,
-    and the result does not depend on the partitioning."""
+    A step is one job as long as its full length is the best one, else two: the losses of all
+    lengths come with gradient and curvature at the full one. Sums are made per task, then over
+    all of them on the executors, so that what reaches the driver depends on the number of
+    features only, and the result does not depend on the partitioning."""
 
     def __init__(self, w, b: float, gap: float = 0.0):
         self.w = [float(v) for v in w]
@@ -157,19 +159,23 @@ class LinearSVRModel:
         w = np.zeros(dim + 1)
         w[-1] = x.agg(F.percentile_approx("label", 0.5)).first()[0]
         penalty = np.append(np.ones(dim), 0.0)
-        lengths = np.append(0.0, 0.5 ** np.arange(10))
+        lengths = np.append(0.0, 0.5 ** np.arange(10))  # the full step comes at FULL_STEP
         width, reached = 1.0, np.inf
         while width >= least_width:
             damping = 1.0                # added curvature, raised whenever no length of a step helps
+            sums = None                  # slope and curvature at w, where the last job has them already
             for _ in range(max_steps):
-                sums = _summed(x, _svr_slopes(w, epsilon, width), dim + 1 + (dim + 1) ** 2)
+                if sums is None:
+                    sums = _summed(x, _svr_slopes(w, epsilon, width), dim + 1 + (dim + 1) ** 2)
                 slope = penalty * w + c * sums[:dim + 1]
                 curve = np.diag(penalty + damping) + c * sums[dim + 1:].reshape(dim + 1, dim + 1)
                 step = np.linalg.solve(curve, slope)
                 tried = w - lengths[:, None] * step
-                loss = c * _summed(x, _svr_losses(tried, epsilon, width), len(lengths))
+                found = _summed(x, _svr_tried(tried, epsilon, width), len(lengths) + len(sums))
+                loss = c * found[:len(lengths)]
                 best = int(((penalty * tried ** 2).sum(axis=1) / 2 + loss).argmin())
                 w, damping = tried[best], damping * (0.1 if best else 10.0)
+                sums = sums if best == 0 else found[len(lengths):] if best == FULL_STEP else None
                 if np.abs(slope).max() <= 1e-9 * (1 + np.abs(w).max()) or np.abs(step).max() < 1e-11:
                     break
             else:
@@ -191,13 +197,19 @@ def _summed(x: DataFrame, per_batch, size: int) -> np.ndarray:
     """Element sums of the arrays that ``per_batch`` makes of (features, labels)."""
     def run(batches):
         import numpy as _np
-        import pandas as _pd
-        for pdf in batches:
-            if len(pdf):
-                design = _np.column_stack([_np.stack(pdf["f"].to_numpy()), _np.ones(len(pdf))])
-                yield _pd.DataFrame({"s": [per_batch(design, pdf["label"].to_numpy(dtype=float)).tolist()]})
-
-    rows = (x.mapInPandas(run, "s array<double>").select(F.posexplode("s").alias("i", "v"))
+        import pyarrow as _pa
+        total = None
+        for b in batches:
+            if b.num_rows:
+                # the features of a batch lie in one flat array
+                rows = b.column("f").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+                design = _np.column_stack([rows, _np.ones(b.num_rows)])
+                part = per_batch(design, b.column("label").to_numpy(zero_copy_only=False).astype(float))
+                total = part if total is None else total + part
+        if total is not None:
+            yield _pa.record_batch({"s": _pa.array([total], _pa.list_(_pa.float64()))})
+
+    rows = (x.mapInArrow(run, "s array<double>").select(F.posexplode("s").alias("i", "v"))
             .groupBy("i").agg(F.sum("v").alias("v")).collect())
     out = np.zeros(size)
     for r in rows:
@@ -237,6 +249,12 @@ def _svr_losses(tried, eps, width):
     return run
 
 
+def _svr_tried(tried, eps, width):
+    """The losses at all tried points, then slope and curvature at that of the full step."""
+    losses, slopes = _svr_losses(tried, eps, width), _svr_slopes(tried[FULL_STEP], eps, width)
+    return lambda design, y: np.concatenate([losses(design, y), slopes(design, y)])
+
+
 def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
     """Apply fitted stages in order (works with the primal SVR stage too)."""
     for st in model.stages:

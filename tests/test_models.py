@@ -149,3 +149,13 @@ def test_ridge_grid_matches_closed_form_validation_mse(spark):
         w = np.linalg.solve(zc.T @ zc + alpha * np.eye(3), zc.T @ yc)
         pred = zv @ w + (y[tr].mean() - zt.mean(0) @ w)
         assert mse == pytest.approx(np.mean((pred - y[va]) ** 2), rel=1e-6)
+
+
+def test_svr_step_takes_one_pass_when_its_full_length_is_best(spark, monkeypatch):
+    _, _, df = _data(spark, n=200, seed=4)
+    passes, solved = [], []
+    summed, solve = MD._summed, np.linalg.solve
+    monkeypatch.setattr(MD, "_summed", lambda *a: passes.append(1) or summed(*a))
+    monkeypatch.setattr(np.linalg, "solve", lambda *a: solved.append(1) or solve(*a))
+    MD.fit("svr", df, [], ["a", "b", "c"], label="y")
+    assert len(solved) > 10 and len(passes) < 1.7 * len(solved)  # two passes a step before
