@@ -20,3 +20,21 @@ def test_knn_matches_brute_force(spark, block_rows):
         mine = sorted(got[i])
         assert [j for _, j, _ in mine] == [j for _, j in order]
         assert [dist for _, _, dist in mine] == pytest.approx([dd for dd, _ in order], abs=1e-9)
+
+
+def test_knn_of_some_points_searches_all(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 3))
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "id long, v array<double>")
+    groups = []
+    blocked = knn._blocked
+    monkeypatch.setattr(knn, "_blocked", lambda q, d, k, rows: groups.append((q.count(), rows)) or blocked(q, d, k, rows))
+    got = {}
+    for r in knn.knn_graph(df, "id", "v", k=4, block_rows=10, queries=F.col("id") % 20 == 0).collect():
+        got.setdefault(r["id"], []).append((r["rank"], r["nbr_id"]))
+    d = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(-1))
+    assert {i: [j for _, j in sorted(v)] for i, v in got.items()} == {
+        i: [j for _, j in sorted((d[i, j], j) for j in range(400) if j != i)[:4]] for i in range(0, 400, 20)}
+    # 20 queries, and blocks that grow with the root of the points
+    assert groups[0] == (20, 63)
