@@ -44,13 +44,15 @@ from pyspark.sql import functions as F
 from cohortkit.llm.common import fitting_broadcast, staged, text_key, text_or_empty, without_rows
 from cohortkit.llm.components import components
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 PARTS = 3                      # parts of a group; two of them make a signature
 AGREE = 2                      # groups on which similar sets agree at least
 SAMPLED = 4                    # the first test of unique n-grams takes one hash in so many
 BLOCK_SETS, BLOCK_BYTES = 1024, 4 << 20
-COLUMNS = 2048                 # n-grams of a block product at once
+COLUMNS = 512                  # n-grams of a block product at once
 DENSE, CODES = 64, 1 << 18     # rows above which an n-gram is counted densely; pairs counted at once
+ROWS = 128                     # rows of a block whose links are judged at once
+TASK_GROUPS = 256              # pairs of blocks in a task, however small
 MOST_TASKS = 100_000
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _rng = np.random.default_rng(20240229)
@@ -380,22 +382,26 @@ def shared_counts(parts: list[np.ndarray], left: np.ndarray, right: np.ndarray)
     blocks, or one block twice). N-grams that few rows have are counted by their pairs of
     rows, the others by products of dense columns; those of one row only take no part."""
     m, wide = len(parts), len(right)
-    row = np.repeat(np.arange(m), [len(p) for p in parts])
-    _, column, held = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    held_at = held[column]
+    grams = np.concatenate(parts)
+    order = np.argsort(grams, kind="stable")
+    grams = grams[order]
+    new = np.append(True, grams[1:] != grams[:-1])[:len(grams)]
+    del grams
+    row = np.repeat(np.arange(m, dtype=np.int32), [len(p) for p in parts])[order]
+    del order
+    held = np.diff(np.append(np.flatnonzero(new), len(new))).astype(np.int32)
+    held_at = np.repeat(held, held)
     at_left, at_right = np.full(m, -1), np.full(m, -1)
     at_left[left], at_right[right] = np.arange(len(left)), np.arange(wide)
-    out = np.zeros(len(left) * wide, np.int64)
+    out = np.zeros(len(left) * wide, np.int32)
 
     def count(a: np.ndarray, b: np.ndarray) -> None:
         code = at_left[a] * wide + at_right[b]
         code = code[(at_left[a] >= 0) & (at_right[b] >= 0)]
         if len(code):
-            np.add(out, np.bincount(code, minlength=len(out)), out=out)
+            np.add(out, np.bincount(code, minlength=len(out)), out=out, casting="unsafe")
 
-    for c in range(2, min(DENSE, m) + 1):
+    for c in np.unique(held[(held > 1) & (held <= DENSE)]).tolist():
         rows = row[held_at == c].reshape(-1, c)
         a, b = np.triu_indices(c, 1)
         step = max(1, CODES // len(a))
@@ -404,14 +410,14 @@ def shared_counts(parts: list[np.ndarray], left: np.ndarray, right: np.ndarray)
             count(x, y)
             count(y, x)
     out = out.reshape(len(left), wide)
-    heavy = held_at > DENSE
-    if heavy.any():
-        row, column = row[heavy], np.unique(column[heavy], return_inverse=True)[1]
+    heavy = np.flatnonzero(held_at > DENSE)
+    if len(heavy):
+        row, column = row[heavy], np.cumsum(new[heavy]) - 1
         for first in range(0, int(column[-1]) + 1, COLUMNS):
             a, b = np.searchsorted(column, (first, first + COLUMNS))
             part = np.zeros((m, COLUMNS), np.float32)
             part[row[a:b], column[a:b] - first] = 1
-            out += (part[left] @ part[right].T).astype(np.int64)
+            np.add(out, part[left] @ part[right].T, out=out, casting="unsafe")
     return out
 
 
@@ -430,10 +436,11 @@ def _compare_blocks(num: int, den: int):
             return none
         shared = shared_counts(parts, left, right)
         size = pdf["size"].to_numpy()
-        linked = den * shared >= num * (size[left][:, None] + size[right][None, :] - shared)
-        linked &= comp[left][:, None] != comp[right][None, :]
         ok = np.zeros((len(parts), len(parts)), bool)
-        ok[np.ix_(left, right)] = linked
+        for at in range(0, len(left), ROWS):
+            some, both = left[at:at + ROWS], shared[at:at + ROWS].astype(np.int64)
+            linked = den * both >= num * (size[some][:, None] + size[right][None, :] - both)
+            ok[np.ix_(some, right)] = linked & (comp[some][:, None] != comp[right][None, :])
         ok |= ok.T
         pairs = np.array(spanning_links(ok, comp), np.int64).reshape(-1, 2)
         ids = pdf["set_id"].to_numpy()
@@ -442,6 +449,34 @@ def _compare_blocks(num: int, den: int):
     return run
 
 
+def block_plan(members: DataFrame) -> DataFrame:
+    """cluster, its largest component, its blocks (same, apart) and their pairs as multiples of
+    a pair of full blocks (work), of rows (cluster, component, set_id, grams).
+
+    The sets of a cluster's largest component need no comparison with one another: they are
+    dealt into blocks 0, 1, ... of their own, and the other sets into the blocks after them. A
+    cluster that fits one block is one."""
+    sizes = (members.groupBy("cluster", "component")
+             .agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("grams")).alias("bytes")))
+    largest = sizes.groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
+    main = F.col("component") == F.col("largest")
+    of = lambda c, v: F.coalesce(F.sum(F.when(c, F.col(v))), F.lit(0))
+    full = lambda c: F.greatest(of(c, "n") / BLOCK_SETS, of(c, "bytes") / BLOCK_BYTES)
+    one = F.col("f_all") <= 1
+    return (sizes.join(largest, "cluster").groupBy("cluster", "largest")
+            .agg(full(main).alias("f_same"), full(~main).alias("f_apart"), full(F.lit(True)).alias("f_all"))
+            .select("cluster", "largest", F.when(one, 0).otherwise(F.ceil("f_same")).cast("int").alias("same"),
+                    F.when(one & (F.col("f_apart") > 0), 1).otherwise(F.ceil("f_apart")).cast("int").alias("apart"),
+                    (F.col("f_apart") * (F.col("f_same") + F.col("f_apart"))).alias("work")))
+
+
+def compare_tasks(plan: DataFrame, least: int) -> int:
+    """One task for as much as two full blocks are, or for TASK_GROUPS pairs of small ones."""
+    pairs = F.col("apart").cast("double") * (F.col("same") + F.col("apart"))
+    work, groups = plan.agg(F.sum("work"), F.sum(pairs)).first()
+    return min(max(least, int(work or 0), int((groups or 0) / TASK_GROUPS)), MOST_TASKS)
+
+
 def _cluster_links(shared: DataFrame, part: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Links between sets that share a bucket and are in different components."""
     placed = staged(shared.join(part, shared["set_id"] == part["node"], "left")
@@ -453,27 +488,18 @@ def _cluster_links(shared: DataFrame, part: DataFrame, sets: DataFrame, num: int
     members = staged(cluster.select(F.col("node").alias("set_id"), F.col("component").alias("cluster"))
                      .join(rest.groupBy("set_id").agg(F.min("component").alias("component")), "set_id")
                      .join(sets, "set_id"), "cluster_sets")
-    # the sets of a cluster's largest component need no comparison with one another: they are
-    # dealt into blocks 0, 1, ... of their own, and the other sets into the blocks after them
-    sizes = (members.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("grams")).alias("bytes")))
-    largest = sizes.groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
+    plan = staged(block_plan(members), "blocks")
     main = F.col("component") == F.col("largest")
-    blocks = lambda c: F.greatest(F.ceil(F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)) / BLOCK_SETS),
-                                  F.ceil(F.coalesce(F.sum(F.when(c, F.col("bytes"))), F.lit(0)) / BLOCK_BYTES)).cast("int")
-    plan = staged(sizes.join(largest, "cluster").groupBy("cluster", "largest")
-                  .agg(blocks(main).alias("same"), blocks(~main).alias("apart")), "blocks")
-    # one task for so many pairs of sets as two blocks have, however few bytes they are
-    work = plan.agg(F.sum(F.col("apart").cast("double") * (F.col("same") + F.col("apart")))).first()[0] or 0.0
-    tasks = max(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(work))
+    tasks = compare_tasks(plan, int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     slot = F.xxhash64("set_id")
-    block = F.when(main, F.pmod(slot, F.col("same"))).otherwise(F.col("same") + F.pmod(slot, F.col("apart"))).cast("int")
+    block = F.when(main & (F.col("same") > 0), F.pmod(slot, F.col("same"))).otherwise(F.col("same") + F.pmod(slot, F.col("apart"))).cast("int")
     others = F.sequence(F.col("same"), F.col("same") + F.col("apart") - 1)
     every = F.sequence(F.lit(0), F.col("same") + F.col("apart") - 1)
     dealt = (members.join(plan, "cluster").where("apart > 0")
-             .withColumn("block", block).withColumn("other", F.explode(F.when(main, others).otherwise(every)))
+             .withColumn("block", block).withColumn("other", F.explode(F.when(main & (F.col("same") > 0), others).otherwise(every)))
              .select("cluster", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"),
                      "block", "set_id", "component", "size", "grams"))
-    dealt = dealt.repartition(min(tasks, MOST_TASKS), "cluster", "p", "q")
+    dealt = dealt.repartition(tasks, "cluster", "p", "q")
     return dealt.groupBy("cluster", "p", "q").applyInPandas(_compare_blocks(num, den), "a long, b long")
 
 

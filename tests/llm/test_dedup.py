@@ -253,3 +253,34 @@ def test_shared_counts_of_blocks(monkeypatch, dense):
     got = JA.shared_counts(parts, every, every)
     assert (got[~np.eye(30, dtype=bool)] == want[~np.eye(30, dtype=bool)]).all()
     assert (JA.shared_counts(parts, left, right) == want[np.ix_(left, right)]).all()
+
+
+def test_small_clusters_share_tasks(spark):
+    """Tasks follow the pairs of sets to compare, not the number of clusters."""
+    rows = [(c, s % 2, 10 * c + s, bytes(80)) for c in range(300) for s in range(4)]
+    rows += [(-1, s if s < 700 else -1, 10_000 + s, bytes(8)) for s in range(2500)]
+    members = spark.createDataFrame(rows, "cluster long, component long, set_id long, grams binary")
+    plan = JA.block_plan(members)
+    got = {r["cluster"]: (r["same"], r["apart"]) for r in plan.collect()}
+    assert got.pop(-1) == (2, 1) and set(got.values()) == {(0, 1)}
+    assert JA.compare_tasks(plan, 8) == 8
+    assert JA.compare_tasks(plan.withColumn("work", F.lit(50.0)), 8) == 301 * 50
+
+
+def test_block_comparison_is_bounded_in_memory():
+    """Two full blocks take little beside their own bytes."""
+    import tracemalloc
+
+    import pandas as pd
+    rng = np.random.default_rng(3)
+    common = rng.integers(1, 2**63, 3000, dtype=np.uint64)
+    grams = [np.unique(rng.choice(common, 400, replace=False)).tobytes() for _ in range(2 * JA.BLOCK_SETS)]
+    rows = pd.DataFrame({"p": 0, "q": 1, "block": np.arange(len(grams)) // JA.BLOCK_SETS, "set_id": np.arange(len(grams)),
+                         "size": 400, "component": np.arange(len(grams)), "grams": grams})
+    run = JA._compare_blocks(80, 100)
+    tracemalloc.start()
+    try:
+        run(rows)
+        assert tracemalloc.get_traced_memory()[1] < 56 << 20
+    finally:
+        tracemalloc.stop()
