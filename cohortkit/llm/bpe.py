@@ -26,12 +26,13 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from cohortkit.llm.common import small_batches
 
-CHUNK_CHARS = 4 << 20
+CHUNK_CHARS = 1 << 20
 PIECES_AT_ONCE = 1 << 18
 MET_PIECES, MET_CHARS = 400_000, 8 << 20   # a worker forgets its pieces beyond either
 ROWS_AT_ONCE = 1000                        # rows of a batch that are Python strings at a time
@@ -325,14 +326,12 @@ def _chunks(texts: Iterable[str | None], most: int = CHUNK_CHARS) -> Iterator[li
         yield part
 
 
-def encode(df: DataFrame, vocab_path: str, text_col: str = "text", out: str = "ids") -> DataFrame:
-    """``df`` without the text column and with an array<int> column of ids."""
-    spark = df.sparkSession
-    small_batches(spark)
-    vocab = spark.sparkContext.broadcast(Vocabulary(vocab_path))
-    keep = [f for f in df.schema.fields if f.name not in (text_col, out)]
-    names = [f.name for f in keep]
+def _kept(df: DataFrame, *dropped: str) -> list[T.StructField]:
+    return [f for f in df.schema.fields if f.name not in dropped]
 
+
+def _encoder(vocab: Broadcast, names: list[str], text_col: str, out: str):
+    """Batches with ``names`` and the text -> batches with ``names`` and the ids."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
@@ -345,9 +344,18 @@ def encode(df: DataFrame, vocab_path: str, text_col: str = "text", out: str = "i
                 at += len(texts)
                 yield pa.RecordBatch.from_arrays(
                     [*arrays, pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))], [*names, out])
+    return run
+
 
+def encode(df: DataFrame, vocab_path: str, text_col: str = "text", out: str = "ids") -> DataFrame:
+    """``df`` without the text column and with an array<int> column of ids."""
+    spark = df.sparkSession
+    small_batches(spark)
+    vocab = spark.sparkContext.broadcast(Vocabulary(vocab_path))
+    keep = _kept(df, text_col, out)
+    names = [f.name for f in keep]
     schema = T.StructType([*keep, T.StructField(out, T.ArrayType(T.IntegerType()))])
-    return df.select(*names, text_col).mapInArrow(run, schema)
+    return df.select(*names, text_col).mapInArrow(_encoder(vocab, names, text_col, out), schema)
 
 
 def _runs(ends: np.ndarray, most: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
@@ -359,13 +367,8 @@ def _runs(ends: np.ndarray, most: int = CHUNK_CHARS) -> Iterator[tuple[int, int]
         a = b
 
 
-def decode(df: DataFrame, vocab_path: str, ids_col: str = "ids", out: str = "text",
-           keep_ids: bool = False) -> DataFrame:
-    """``df`` with the decoded text (null ids: empty text); the ids stay only with ``keep_ids``."""
-    tokens = df.sparkSession.sparkContext.broadcast(TokenBytes(Vocabulary(vocab_path).tokens))
-    keep = [f for f in df.schema.fields if f.name != out and (keep_ids or f.name != ids_col)]
-    names = [f.name for f in keep]
-
+def _decoder(tokens: Broadcast, names: list[str], ids_col: str, out: str):
+    """Batches with ``names`` and the ids -> batches with ``names`` and the text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(ids_col))
@@ -375,6 +378,32 @@ def decode(df: DataFrame, vocab_path: str, ids_col: str = "ids", out: str = "tex
             for a, b in _runs(ends):
                 texts = decode_texts(tokens.value, ids, ends[a:b + 1])
                 yield pa.RecordBatch.from_arrays([*rest.slice(a, b - a).columns, texts], [*names, out])
+    return run
 
+
+def decode(df: DataFrame, vocab_path: str, ids_col: str = "ids", out: str = "text",
+           keep_ids: bool = False) -> DataFrame:
+    """``df`` with the decoded text (null ids: empty text); the ids stay only with ``keep_ids``."""
+    tokens = df.sparkSession.sparkContext.broadcast(TokenBytes(Vocabulary(vocab_path).tokens))
+    keep = _kept(df, out, *([] if keep_ids else [ids_col]))
+    names = [f.name for f in keep]
     schema = T.StructType([*keep, T.StructField(out, T.StringType())])
-    return df.select(*dict.fromkeys([*names, ids_col])).mapInArrow(run, schema)
+    return df.select(*dict.fromkeys([*names, ids_col])).mapInArrow(_decoder(tokens, names, ids_col, out), schema)
+
+
+def encode_decode(df: DataFrame, vocab_path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+    """What ``decode`` makes of ``encode``'s rows, ids kept: the text column is the text decoded
+    from the ids. Both run in one Python worker, chunk by chunk; as two steps of one stage every
+    task has two workers, and the ids pass through the JVM between them."""
+    spark = df.sparkSession
+    small_batches(spark)
+    vocabulary = Vocabulary(vocab_path)
+    vocab = spark.sparkContext.broadcast(vocabulary)
+    tokens = spark.sparkContext.broadcast(TokenBytes(vocabulary.tokens))
+    keep = _kept(df, text_col, ids_col)
+    names = [f.name for f in keep]
+    to_ids = _encoder(vocab, names, text_col, ids_col)
+    to_text = _decoder(tokens, [*names, ids_col], ids_col, text_col)
+    schema = T.StructType([*keep, T.StructField(ids_col, T.ArrayType(T.IntegerType())),
+                           T.StructField(text_col, T.StringType())])
+    return df.select(*names, text_col).mapInArrow(lambda batches: to_text(to_ids(batches)), schema)

@@ -35,7 +35,7 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids, and whether the ids decode to the text."""
     rows = docs.select("doc_id", "lang", "source", F.sha2(text_or_empty().cast("binary"), 256).alias("sha"), "text")
-    decoded = bpe.decode(bpe.encode(rows, vocab_path()), vocab_path(), keep_ids=True)
+    decoded = bpe.encode_decode(rows, vocab_path())
     return decoded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids",
                           (F.sha2(F.col("text").cast("binary"), 256) == F.col("sha")).alias("round_trip"))
 

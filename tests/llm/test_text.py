@@ -161,6 +161,22 @@ def test_bpe_on_frames(spark, library):
     assert sorted(r["text"] for r in both.collect()) == sorted(r["text"] for r in dec)
 
 
+def test_bpe_encodes_and_decodes_in_one_worker(spark):
+    """One Python step a task, with what the two operators give one after the other."""
+    import corpus_pipeline
+    rows = [(1, "héllo world"), (2, None), (3, ""), (None, "x"), (1, "héllo world"), (5, "a\u6f22b <|endoftext|> c")]
+    df = docs(spark, rows).withColumn("ids", F.lit("clash")).repartition(2)
+    both = bpe.encode_decode(df, vocab_path())
+    one_by_one = bpe.decode(bpe.encode(df, vocab_path()), vocab_path(), keep_ids=True)
+    assert both.schema == one_by_one.schema
+    assert sorted(map(str, both.collect())) == sorted(map(str, one_by_one.collect()))
+    assert bpe.encode_decode(df.limit(0), vocab_path()).count() == 0
+    stage = corpus_pipeline.token_ids(spark, df.withColumns({"lang": F.lit("en"), "source": F.lit("s")}), "")
+    assert [r["round_trip"] for r in stage.collect()] == [True] * len(rows)
+    for plan in (both, stage):
+        assert plan._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
 def test_bpe_forgets_its_pieces(library, monkeypatch):
     """Ids are the same whether a worker knows a chunk's pieces, some of them or none."""
     texts = ["one two two", "two <|endoftext|> three", "", "four<|endoftext|>", "one \u00e9 \u6f22 four"]
