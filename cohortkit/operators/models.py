@@ -27,6 +27,7 @@ from cohortkit.operators.split import SEED
 
 FEATURES = "features"
 FULL_STEP = 1        # its place among the lengths that the SVR tries
+NODE_BATCH_MB = 256  # bin counts of the forest that a task holds at a time
 
 
 def _ship_by_value() -> None:
@@ -90,11 +91,12 @@ def fit(kind: str, train: DataFrame, categorical: Sequence[str], numeric: Sequen
     prep = prepare(train, categorical, numeric, scaler)
     x = prep.transform(train).select(FEATURES, F.col(label).cast("double").alias("label"))
     if kind == "rf":
-        # node ids cached and large node batches: far fewer passes over the data per level
+        # node ids cached: a pass finds its nodes without walking the trees. Every running task holds
+        # the bin counts of a node batch, on top of what it sorts; the trees do not depend on its size
         est = RandomForestRegressor(numTrees=params.get("num_trees", 100), featureSubsetStrategy="all",
                                     maxDepth=params.get("max_depth", 20), maxBins=params.get("max_bins", 64),
                                     minInstancesPerNode=1, bootstrap=True, seed=seed,
-                                    maxMemoryInMB=params.get("max_memory_mb", 1024), cacheNodeIds=True,
+                                    maxMemoryInMB=params.get("max_memory_mb", NODE_BATCH_MB), cacheNodeIds=True,
                                     checkpointInterval=10)
         model = est.fit(x)
     elif kind in ("linear", "ridge", "elastic"):

@@ -50,6 +50,20 @@ def test_onehot_unknown_is_all_zero(spark):
     assert feats == [[0.0, 0.0, 5.0], [0.0, 0.0, 6.0]]
 
 
+def test_forest_bounds_its_bin_counts(spark, monkeypatch):
+    """Four tasks of an executor hold at most 1 GB of bin counts, and the size of the node
+    batches changes no tree."""
+    x, y, df = _data(spark, n=60, seed=5)
+    made, forest = [], MD.RandomForestRegressor
+    monkeypatch.setattr(MD, "RandomForestRegressor", lambda **k: made.append(k) or forest(**k))
+    df = df.coalesce(1)
+    small, usual = (MD.fit("rf", df, [], ["a", "b", "c"], label="y", num_trees=2, **k)
+                    for k in ({"max_memory_mb": 0}, {}))
+    assert 0 < made[1]["maxMemoryInMB"] <= 256
+    assert small.stages[-1].totalNumNodes == usual.stages[-1].totalNumNodes > 20
+    assert _coef(small, df, x) == pytest.approx(_coef(usual, df, x), abs=1e-9)
+
+
 def test_svr_fits_linear_signal(spark):
     x, y, df = _data(spark, seed=2)
     m = MD.fit("svr", df, [], ["a", "b", "c"], label="y")
