@@ -19,9 +19,11 @@ are both empty, or one of them is not), which keeps the join whole and these key
 
 Comparison. In a bucket (sets with one signature) no pairs are enumerated at first: each
 set is compared with one hub, the bucket minimum it shares most buckets with, and
-components are formed from the verified links. Buckets that still hold several components
-are joined to clusters; a cluster's sets are dealt into blocks of bounded size and compared
-block by block inside the tasks, which hand on a spanning forest of the links found. So a large group of near copies
+components are formed from the verified links. Sets with one hub are a cluster (those of
+small hubs share one); a cluster's sets are dealt into blocks of bounded size and compared
+block by block inside the tasks, which hand on a spanning forest of the links found. Of two
+clusters only the sets meet that share a bucket with a set of the other one and of another
+component, and whose sizes allow a link. So a large group of near copies
 costs one comparison a set where they are linked, and where they are just below the
 similarity it costs block products but no rows for pairs. The sets of a cluster's largest
 component are compared with the others only. No two components that a link joins stay apart.
@@ -477,30 +479,90 @@ def compare_tasks(plan: DataFrame, least: int) -> int:
     return min(max(least, int(work or 0), int((groups or 0) / TASK_GROUPS)), MOST_TASKS)
 
 
-def _cluster_links(shared: DataFrame, part: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def neighbourhoods(sets: DataFrame, hubs: DataFrame) -> DataFrame:
+    """set_id, cluster of rows (set_id, grams). Sets with one hub are a cluster; those of small
+    hubs share clusters of about a block."""
+    homes = sets.join(hubs, "set_id", "left").select(
+        "set_id", F.coalesce("hub", "set_id").alias("home"), F.octet_length("grams").alias("bytes"))
+    homes = staged(homes, "homes")
+    full = F.greatest(F.count(F.lit(1)) / BLOCK_SETS, F.sum("bytes") / BLOCK_BYTES)
+    filled = staged(homes.groupBy("home").agg(full.alias("f")), "filled")
+    small = F.col("f") <= 0.5
+    pools = int(filled.where(small).agg(F.ceil(F.sum("f"))).first()[0] or 1)
+    cluster = F.when(small, F.pmod(F.xxhash64("home"), F.lit(pools))).otherwise(F.col("home"))
+    return homes.join(filled.select("home", cluster.alias("cluster")), "home").select("set_id", "cluster")
+
+
+def meetings(placed: DataFrame, num: int, den: int) -> DataFrame:
+    """set_id, component, cluster, other: the other clusters in which a set may have a link, of
+    rows (sig, set_id, component, cluster, size, held): one of its buckets holds a set of that
+    cluster, of another component, with which it can have the wanted share of a union."""
+    apart = (placed.groupBy("sig")
+             .agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
+                  F.min("cluster").alias("first"), F.max("cluster").alias("last"))
+             .where("lo <> hi AND first <> last").select("sig"))
+    apart = staged(apart, "apart")
+    across = staged(placed.join(fitting_broadcast(apart, apart.count(), 24), "sig"), "across")
+    reach = (across.groupBy("sig", F.col("cluster").alias("other"))
+             .agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
+                  F.min("size").alias("least"), F.max("held").alias("most")))
+    shareable = F.lit(num + den) * F.least("held", "most") >= F.lit(num) * (F.col("size") + F.col("least"))
+    return (across.join(reach, "sig")
+            .where((F.col("cluster") != F.col("other")) & shareable)
+            .where((F.col("lo") != F.col("component")) | (F.col("hi") != F.col("component")))
+            .select("set_id", "component", "cluster", "other").distinct())
+
+
+def across_plan(met: DataFrame) -> DataFrame:
+    """cluster, other (the smaller one first), the blocks of the sets of each that meet the other
+    (same, apart) and their pairs as multiples of a pair of full blocks (work), of rows
+    (cluster, other, bytes)."""
+    full = F.greatest(F.count(F.lit(1)) / BLOCK_SETS, F.sum("bytes") / BLOCK_BYTES)
+    sides = met.groupBy("cluster", "other").agg(full.alias("f"))
+    right = sides.select(F.col("cluster").alias("other"), F.col("other").alias("cluster"), F.col("f").alias("g"))
+    return (sides.where("cluster < other").join(right, ["cluster", "other"])
+            .select("cluster", "other", F.ceil("f").cast("int").alias("same"), F.ceil("g").cast("int").alias("apart"),
+                    (F.col("f") * F.col("g")).alias("work")))
+
+
+def _cluster_links(shared: DataFrame, part: DataFrame, hubs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Links between sets that share a bucket and are in different components."""
-    placed = staged(shared.join(part, shared["set_id"] == part["node"], "left")
-                    .select("sig", "set_id", "hub", F.coalesce("component", "set_id").alias("component")), "placed")
-    open_sigs = (placed.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-                 .where("lo <> hi").select("sig"))
-    rest = staged(placed.join(open_sigs, "sig").select("set_id", "hub", "component").distinct(), "rest")
-    cluster = staged(components(rest.select(F.col("hub").alias("a"), F.col("set_id").alias("b"))), "clusters")
-    members = staged(cluster.select(F.col("node").alias("set_id"), F.col("component").alias("cluster"))
-                     .join(rest.groupBy("set_id").agg(F.min("component").alias("component")), "set_id")
-                     .join(sets, "set_id"), "cluster_sets")
+    near = neighbourhoods(sets, hubs)
+    near = near.join(part, near["set_id"] == part["node"], "left").select(
+        "set_id", "cluster", F.coalesce("component", "set_id").alias("component"))
+    members = staged(near.join(sets, "set_id"), "cluster_sets")
+    known = members.select("set_id", "component", "cluster", "size", (F.octet_length("grams") / 8).cast("long").alias("held"))
+    placed = shared.join(fitting_broadcast(known, members.count(), 56), "set_id").select("sig", *known.columns)
+    met = staged(meetings(staged(placed, "placed"), num, den).join(sets, "set_id"), "met")
+    slot = F.xxhash64("set_id")
+
+    # inside a cluster
     plan = staged(block_plan(members), "blocks")
     main = F.col("component") == F.col("largest")
-    tasks = compare_tasks(plan, int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    slot = F.xxhash64("set_id")
     block = F.when(main & (F.col("same") > 0), F.pmod(slot, F.col("same"))).otherwise(F.col("same") + F.pmod(slot, F.col("apart"))).cast("int")
     others = F.sequence(F.col("same"), F.col("same") + F.col("apart") - 1)
     every = F.sequence(F.lit(0), F.col("same") + F.col("apart") - 1)
-    dealt = (members.join(plan, "cluster").where("apart > 0")
-             .withColumn("block", block).withColumn("other", F.explode(F.when(main & (F.col("same") > 0), others).otherwise(every)))
-             .select("cluster", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"),
-                     "block", "set_id", "component", "size", "grams"))
-    dealt = dealt.repartition(tasks, "cluster", "p", "q")
-    return dealt.groupBy("cluster", "p", "q").applyInPandas(_compare_blocks(num, den), "a long, b long")
+    row = ["set_id", "component", "size", "grams"]
+    inside = (members.join(plan, "cluster").where("apart > 0")
+              .withColumn("block", block).withColumn("at", F.explode(F.when(main & (F.col("same") > 0), others).otherwise(every)))
+              .select("cluster", F.col("cluster").alias("other"), F.least("block", "at").alias("p"),
+                      F.greatest("block", "at").alias("q"), "block", *row))
+
+    # between two clusters
+    pairs = staged(across_plan(met.select("cluster", "other", F.octet_length("grams").alias("bytes"))), "pairs")
+    first = F.col("cluster") < F.col("other")
+    sides = met.select(F.least("cluster", "other").alias("cluster"), F.greatest("cluster", "other").alias("other"),
+                       first.alias("first"), *row).join(pairs, ["cluster", "other"])
+    block = F.when(F.col("first"), F.pmod(slot, F.col("same"))).otherwise(F.col("same") + F.pmod(slot, F.col("apart"))).cast("int")
+    facing = F.when(F.col("first"), others).otherwise(F.sequence(F.lit(0), F.col("same") - 1))
+    across = (sides.withColumn("block", block).withColumn("at", F.explode(facing))
+              .select("cluster", "other", F.least("block", "at").alias("p"), F.greatest("block", "at").alias("q"), "block", *row))
+
+    tasks = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(compare_tasks(plan, tasks), compare_tasks(pairs, tasks))
+    group = ["cluster", "other", "p", "q"]
+    return (inside.union(across).repartition(tasks, *group).groupBy(*group)
+            .applyInPandas(_compare_blocks(num, den), "a long, b long"))
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
@@ -531,11 +593,11 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     shared = staged(sigs.join(spans, "sig").select("sig", "set_id", "hub"), "shared")
 
     # each set against one hub, then what is still apart in a bucket, block by block
-    hubs = (shared.where("set_id <> hub").groupBy("set_id", "hub").agg(F.count(F.lit(1)).alias("n"))
-            .groupBy("set_id").agg(F.max_by("hub", F.struct("n", "hub")).alias("hub")))
+    hubs = staged(shared.where("set_id <> hub").groupBy("set_id", "hub").agg(F.count(F.lit(1)).alias("n"))
+                  .groupBy("set_id").agg(F.max_by("hub", F.struct("n", "hub")).alias("hub")), "hubs")
     stars = hubs.select(F.col("hub").alias("a"), F.col("set_id").alias("b"))
     links = staged(verified(stars, reduced, num, den), "star_links")
-    more = staged(_cluster_links(shared, components(links), reduced, num, den), "cluster_links")
+    more = staged(_cluster_links(shared, components(links), hubs, reduced, num, den), "cluster_links")
     joined = components(links.union(more))
     least = (joined.join(classes, joined["node"] == classes["set_id"])
              .groupBy("component").agg(F.min("first_row").alias("least")))

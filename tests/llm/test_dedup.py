@@ -267,6 +267,32 @@ def test_small_clusters_share_tasks(spark):
     assert JA.compare_tasks(plan.withColumn("work", F.lit(50.0)), 8) == 301 * 50
 
 
+def test_sets_of_two_clusters_meet_by_bucket(spark):
+    # 40 clusters of 50 sets in a chain: one set of each shares a bucket with one of the next
+    per = [(c, c * 1000 + i) for c in range(1, 41) for i in range(50)]
+    inner = [(c, s, s % 25, c, 100, 100) for c, s in per]                       # a bucket a cluster
+    chain = [(10_000 + c, s, s, k, 100, 100) for c in range(1, 40) for k, s in ((c, c * 1000 + 1), (c + 1, (c + 1) * 1000))]
+    schema = "sig long, set_id long, component long, cluster long, size long, held long"
+    met = {(r.set_id, r.other) for r in JA.meetings(spark.createDataFrame(inner + chain, schema), 80, 100).collect()}
+    want = {(c * 1000 + 1, c + 1) for c in range(1, 40)} | {((c + 1) * 1000, c) for c in range(1, 40)}
+    assert met == want                                                          # 2,000 sets, all in 40 blocks before
+    # one component, sizes that allow no link, too few n-grams that others have: no meeting
+    rows = [(1, 1, 5, 1, 100, 100), (1, 2, 5, 2, 100, 100), (2, 3, 3, 1, 100, 100), (2, 4, 4, 2, 79, 79),
+            (3, 5, 5, 1, 100, 100), (3, 6, 6, 2, 100, 88), (4, 7, 7, 1, 100, 100), (4, 8, 8, 2, 80, 80)]
+    met = {(r.set_id, r.other) for r in JA.meetings(spark.createDataFrame(rows, schema), 80, 100).collect()}
+    assert met == {(7, 2), (8, 1)}
+
+
+@pytest.mark.parametrize("sets", [1024, 4])
+def test_jaccard_over_many_clusters(spark, monkeypatch, sets):
+    monkeypatch.setattr(JA, "BLOCK_SETS", sets)          # small: clusters of one hub, several blocks
+    texts = [t for seed in range(5, 17) for t in near_rows(seed, 14 + 3 * seed, 8, 5)]
+    texts += [" ".join(t.split()[2:]) + " tail" for t in texts[::3]] + near_rows(30, 40, 25, 12)
+    rows = list(enumerate(texts))
+    out = JA.jaccard_components(docs(spark, rows), 3, 70, 100).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == brute_components(rows, 3, 70, 100)
+
+
 def test_block_comparison_is_bounded_in_memory():
     """Two full blocks take little beside their own bytes."""
     import tracemalloc
