@@ -56,6 +56,7 @@ DENSE, CODES = 64, 1 << 18     # rows above which an n-gram is counted densely;
 ROWS = 128                     # rows of a block whose links are judged at once
 TASK_GROUPS = 256              # pairs of blocks in a task, however small
 MOST_TASKS = 100_000
+HOPS = 2                       # times that a set takes its hub's hub
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _rng = np.random.default_rng(20240229)
 BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
@@ -480,10 +481,14 @@ def compare_tasks(plan: DataFrame, least: int) -> int:
 
 
 def neighbourhoods(sets: DataFrame, hubs: DataFrame) -> DataFrame:
-    """set_id, cluster of rows (set_id, grams). Sets with one hub are a cluster; those of small
-    hubs share clusters of about a block."""
+    """set_id, cluster of rows (set_id, grams). Sets with one hub, 2 ** HOPS hubs on, are a
+    cluster; those of small hubs share clusters of about a block."""
     homes = sets.join(hubs, "set_id", "left").select(
         "set_id", F.coalesce("hub", "set_id").alias("home"), F.octet_length("grams").alias("bytes"))
+    for _ in range(HOPS):
+        homes = staged(homes, "homes")
+        homes = homes.join(homes.select(F.col("set_id").alias("home"), F.col("home").alias("next")), "home").select(
+            "set_id", F.col("next").alias("home"), "bytes")
     homes = staged(homes, "homes")
     full = F.greatest(F.count(F.lit(1)) / BLOCK_SETS, F.sum("bytes") / BLOCK_BYTES)
     filled = staged(homes.groupBy("home").agg(full.alias("f")), "filled")
@@ -494,7 +499,7 @@ def neighbourhoods(sets: DataFrame, hubs: DataFrame) -> DataFrame:
 
 
 def meetings(placed: DataFrame, num: int, den: int) -> DataFrame:
-    """set_id, component, cluster, other: the other clusters in which a set may have a link, of
+    """set_id, component, cluster, held, other: the other clusters in which a set may have a link, of
     rows (sig, set_id, component, cluster, size, held): one of its buckets holds a set of that
     cluster, of another component, with which it can have the wanted share of a union."""
     apart = (placed.groupBy("sig")
@@ -510,14 +515,14 @@ def meetings(placed: DataFrame, num: int, den: int) -> DataFrame:
     return (across.join(reach, "sig")
             .where((F.col("cluster") != F.col("other")) & shareable)
             .where((F.col("lo") != F.col("component")) | (F.col("hi") != F.col("component")))
-            .select("set_id", "component", "cluster", "other").distinct())
+            .select("set_id", "component", "cluster", "held", "other").distinct())
 
 
 def across_plan(met: DataFrame) -> DataFrame:
     """cluster, other (the smaller one first), the blocks of the sets of each that meet the other
     (same, apart) and their pairs as multiples of a pair of full blocks (work), of rows
-    (cluster, other, bytes)."""
-    full = F.greatest(F.count(F.lit(1)) / BLOCK_SETS, F.sum("bytes") / BLOCK_BYTES)
+    (cluster, other, held)."""
+    full = F.greatest(F.count(F.lit(1)) / BLOCK_SETS, F.sum("held") * 8 / BLOCK_BYTES)
     sides = met.groupBy("cluster", "other").agg(full.alias("f"))
     right = sides.select(F.col("cluster").alias("other"), F.col("other").alias("cluster"), F.col("f").alias("g"))
     return (sides.where("cluster < other").join(right, ["cluster", "other"])
@@ -533,7 +538,7 @@ def _cluster_links(shared: DataFrame, part: DataFrame, hubs: DataFrame, sets: Da
     members = staged(near.join(sets, "set_id"), "cluster_sets")
     known = members.select("set_id", "component", "cluster", "size", (F.octet_length("grams") / 8).cast("long").alias("held"))
     placed = shared.join(fitting_broadcast(known, members.count(), 56), "set_id").select("sig", *known.columns)
-    met = staged(meetings(staged(placed, "placed"), num, den).join(sets, "set_id"), "met")
+    met = staged(meetings(staged(placed, "placed"), num, den), "met")
     slot = F.xxhash64("set_id")
 
     # inside a cluster
@@ -549,9 +554,9 @@ def _cluster_links(shared: DataFrame, part: DataFrame, hubs: DataFrame, sets: Da
                       F.greatest("block", "at").alias("q"), "block", *row))
 
     # between two clusters
-    pairs = staged(across_plan(met.select("cluster", "other", F.octet_length("grams").alias("bytes"))), "pairs")
+    pairs = staged(across_plan(met), "pairs")
     first = F.col("cluster") < F.col("other")
-    sides = met.select(F.least("cluster", "other").alias("cluster"), F.greatest("cluster", "other").alias("other"),
+    sides = met.join(sets, "set_id").select(F.least("cluster", "other").alias("cluster"), F.greatest("cluster", "other").alias("other"),
                        first.alias("first"), *row).join(pairs, ["cluster", "other"])
     block = F.when(F.col("first"), F.pmod(slot, F.col("same"))).otherwise(F.col("same") + F.pmod(slot, F.col("apart"))).cast("int")
     facing = F.when(F.col("first"), others).otherwise(F.sequence(F.lit(0), F.col("same") - 1))
