@@ -19,8 +19,8 @@ are both empty, or one of them is not), which keeps the join whole and these key
 
 Comparison. In a bucket (sets with one signature) no pairs are enumerated at first: each
 set is compared with one hub, the bucket minimum it shares most buckets with, and
-components are formed from the verified links. Sets with one hub are a cluster (those of
-small hubs share one); a cluster's sets are dealt into blocks of bounded size and compared
+components are formed from the verified links. Sets with one hub, four hubs on, are a cluster
+(those of small hubs share one); a cluster's sets are dealt into blocks of bounded size and compared
 block by block inside the tasks, which hand on a spanning forest of the links found. Of two
 clusters only the sets meet that share a bucket with a set of the other one and of another
 component, and whose sizes allow a link. So a large group of near copies
