@@ -22,7 +22,7 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortkit.operators import dictionary, gram
+from cohortkit.operators import dictionary, forest, gram
 from cohortkit.operators.split import SEED
 
 FEATURES = "features"
@@ -91,14 +91,13 @@ def fit(kind: str, train: DataFrame, categorical: Sequence[str], numeric: Sequen
     prep = prepare(train, categorical, numeric, scaler)
     x = prep.transform(train).select(FEATURES, F.col(label).cast("double").alias("label"))
     if kind == "rf":
-        # node ids cached: a pass finds its nodes without walking the trees. Every running task holds
-        # the bin counts of a node batch, on top of what it sorts; the trees do not depend on its size
+        # names the forest; its trees are grown by forest.py, and do not depend on the last three
         est = RandomForestRegressor(numTrees=params.get("num_trees", 100), featureSubsetStrategy="all",
                                     maxDepth=params.get("max_depth", 20), maxBins=params.get("max_bins", 64),
                                     minInstancesPerNode=1, bootstrap=True, seed=seed,
                                     maxMemoryInMB=params.get("max_memory_mb", NODE_BATCH_MB), cacheNodeIds=True,
                                     checkpointInterval=10)
-        model = est.fit(x)
+        model = forest.ForestModel.train(est, x)
     elif kind in ("linear", "ridge", "elastic"):
         st = gram.statistics(x).get("")
         if st is None:
