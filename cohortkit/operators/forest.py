@@ -31,6 +31,7 @@ from cohortkit.session import materialise
 
 LOCAL_ROWS = 1_000_000   # most rows of a node that one task takes
 CHUNK_ROWS = 20_000      # rows whose draws are summed at a time
+LEVEL_CELLS = 1_000_000  # bin counts of one feature that a task holds at a time
 EPSILON = 2.220446049250313e-16
 LEAF = -1
 _BLOCK = "tree int, node int, bins binary, sums binary"
@@ -209,6 +210,24 @@ def _mean(c, s):
         return np.where(c == 0, 0.0, s / c)
 
 
+def _level_splits(node: np.ndarray, columns: list[np.ndarray], sums: np.ndarray, total: np.ndarray, bins: Bins):
+    """``_best_splits`` of a level's nodes, as many nodes at a time as ``LEVEL_CELLS`` allows."""
+    n, step = total.shape[1], max(1, LEVEL_CELLS // max(bins.count))
+    order = np.argsort(node, kind="stable") if n > step else None
+    found = []
+    for a in range(0, n, step):
+        size = min(step, n - a)
+        of = slice(None) if order is None else order[slice(*np.searchsorted(node, [a, a + size], sorter=order))]
+        here, part = node[of] - a, sums[:, of]
+
+        def counts(f, here=here, part=part, of=of, size=size):
+            place = here * bins.count[f] + columns[f][of]
+            return np.stack([np.bincount(place, v, size * bins.count[f]).reshape(size, -1) for v in part])
+
+        found.append(_best_splits(total[:, a:a + size], counts, bins))
+    return tuple(np.concatenate(v, axis=-1) for v in zip(*found))
+
+
 def _grown(rows: np.ndarray, sums: np.ndarray, bins: Bins, depth: int) -> tuple[np.ndarray, ...]:
     """The subtree over rows of bins with ``sums`` (3 x rows), of at most ``depth`` levels below its
     root: (feature, bin, left child, value) of its nodes. A right child follows the left one."""
@@ -219,13 +238,8 @@ def _grown(rows: np.ndarray, sums: np.ndarray, bins: Bins, depth: int) -> tuple[
         n = total.shape[1]
         if not n:
             break
-
-        def counts(f):
-            place = node * bins.count[f] + columns[f]
-            return np.stack([np.bincount(place, v, n * bins.count[f]).reshape(n, -1) for v in sums])
-
         if level < depth:
-            gain, feature, split, lower = _best_splits(total, counts, bins)
+            gain, feature, split, lower = _level_splits(node, columns, sums, total, bins)
         else:
             gain, feature, split, lower = np.full(n, -np.inf), np.zeros(n, "i4"), np.zeros(n, "i4"), total
         parted = gain > 0

@@ -17,12 +17,14 @@ def _features(spark, n=400):
     return materialise(MD.prepare(df, ["g"], ["a", "b", "t"]).transform(df).select("features", "label"))
 
 
-@pytest.mark.parametrize(("local_rows", "chunk_rows"), [(1_000_000, 20_000), (40, 64), (1, 1000)])
-def test_forest_is_that_of_spark(spark, monkeypatch, local_rows, chunk_rows):
+@pytest.mark.parametrize(("local_rows", "chunk_rows", "level_cells"),
+                         [(1_000_000, 20_000, 1_000_000), (40, 64, 150), (1_000_000, 1000, 1), (1, 1000, 1)])
+def test_forest_is_that_of_spark(spark, monkeypatch, local_rows, chunk_rows, level_cells):
     x = _features(spark)
     est = RandomForestRegressor(numTrees=5, featureSubsetStrategy="all", maxDepth=6, maxBins=64, bootstrap=True, seed=3)
     monkeypatch.setattr(FO, "LOCAL_ROWS", local_rows)
     monkeypatch.setattr(FO, "CHUNK_ROWS", chunk_rows)
+    monkeypatch.setattr(FO, "LEVEL_CELLS", level_cells)
     want, got = ([r["prediction"] for r in m.transform(x).select("prediction").collect()]
                  for m in (est.fit(x), FO.ForestModel.train(est, x)))
     assert got == want and len(set(got)) > 50
